@@ -6,13 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def md5_bucket(text: Column, buckets: int) -> Column:
-    """The 128-bit MD5 of ``text`` modulo ``buckets``.
+def _fold(digest: Column, buckets: int) -> Column:
+    """A 32-digit hex number modulo ``buckets``.
 
-    A 32-digit hex number does not fit a BIGINT, so the digest is folded in four
-    32-bit chunks. ``buckets`` below 2**31 keeps every product inside 64 bits.
+    It does not fit a BIGINT, so it is folded in four 32-bit chunks; ``buckets``
+    below 2**31 keeps every product inside 64 bits.
     """
-    digest = F.md5(text.cast("binary"))
     step = F.lit((1 << 32) % buckets).cast("bigint")
     folded = F.lit(0).cast("bigint")
     for start in (1, 9, 17, 25):
@@ -21,6 +20,17 @@ def md5_bucket(text: Column, buckets: int) -> Column:
     return folded.cast("int")
 
 
+def md5_bucket(text: Column, buckets: int) -> Column:
+    """The 128-bit MD5 of ``text`` modulo ``buckets``."""
+    return F.element_at(md5_buckets(F.array(text), buckets), 1)
+
+
+def md5_buckets(texts: Column, buckets: int) -> Column:
+    """``md5_bucket`` of every text of an array; each digest is taken once."""
+    digests = F.transform(texts, lambda t: F.md5(t.cast("binary")))
+    return F.transform(digests, lambda d: _fold(d, buckets))
+
+
 def trace_id(at: Column) -> Column:
     """Ten hex digits of the time's MD5 followed by the epoch second."""
     seconds = F.unix_timestamp(at).cast("string")

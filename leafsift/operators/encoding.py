@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafsift.functions.dates import parse_date_text
-from leafsift.functions.hashing import md5_bucket
+from leafsift.functions.hashing import md5_buckets
 
 WIDTH = 10_000
 DENSE_WIDTH = 1_000
@@ -43,37 +43,36 @@ def dense_entries() -> list[Column]:
     return [_entry(F.lit(slot), scaled(name)) for slot, name in enumerate(SLOTS)]
 
 
-def step_entries() -> list[Column]:
+def _ones(idx: Column) -> Column:
+    return F.transform(idx, lambda i: _entry(i, F.lit(1.0)))
+
+
+def _sparse(texts: Column) -> Column:
+    buckets = md5_buckets(texts, WIDTH - DENSE_WIDTH)
+    return _ones(F.transform(buckets, lambda b: b + DENSE_WIDTH))
+
+
+def _step_text(name: str) -> Column:
+    return F.concat(F.lit(f"{name}:"), (scaled(name) * 3).cast("int").cast("string"))
+
+
+def step_entries() -> Column:
     """Each scaled feature once more, cut into steps of a third and hashed."""
-    sparse = WIDTH - DENSE_WIDTH
-    return [
-        _entry(
-            md5_bucket(F.concat(F.lit(f"{name}:"), (scaled(name) * 3).cast("int").cast("string")), sparse) + DENSE_WIDTH,
-            F.lit(1.0),
-        )
-        for name in SLOTS
-    ]
+    return _sparse(F.array(*[_step_text(name) for name in SLOTS]))
 
 
 def tag_entries(tags: Column) -> Column:
-    sparse = WIDTH - DENSE_WIDTH
-    return F.transform(
-        tags, lambda t: _entry(md5_bucket(F.concat(F.lit("f_all_tags:"), t), sparse) + DENSE_WIDTH, F.lit(1.0))
-    )
+    return _sparse(F.transform(tags, lambda t: F.concat(F.lit("f_all_tags:"), t)))
 
 
 def encode_blocks(features: DataFrame, keys: list[str]) -> DataFrame:
     """Long rows ``keys, idx, value`` of block features; duplicates are not yet summed."""
-    parts = [F.array(*dense_entries()), F.array(*step_entries())]
+    parts = [F.array(*dense_entries()), step_entries()]
     if "f_all_tags" in require_frame(features).columns:
         parts.append(tag_entries(F.col("f_all_tags")))
     return features.select(*keys, F.inline(F.concat(*parts)))
 
 
-def _bucket(name: str, text: Column) -> Column:
-    return _entry(md5_bucket(F.concat(F.lit(f"{name}:"), text), WIDTH), F.lit(1.0))
-
-
 def age_step(date: Column, as_of: Column) -> Column:
     hours = (F.unix_timestamp(as_of) - F.unix_timestamp(date)) / 3600
     return F.log2(1 + hours / 4).cast("int")
@@ -87,23 +86,31 @@ def image_step(images: Column) -> Column:
     return F.log2((F.lit(1) + images).cast("double")).cast("int")
 
 
-def site_entry() -> Column:
-    return _bucket("f_site", F.col("f_site"))
+def _named(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{name}:"), value.cast("string"))
+
 
+def site_text() -> Column:
+    return _named("f_site", F.col("f_site"))
 
-def keyword_entries(name: str) -> Column:
+
+def keyword_texts(name: str) -> Column:
     """Empty text still gives one empty keyword."""
-    return F.transform(F.split(F.col(name), ","), lambda k: _bucket(name, k))
+    return F.transform(F.split(F.col(name), ","), lambda k: _named(name, k))
+
+
+def hashed(texts: Column) -> Column:
+    return _ones(md5_buckets(texts, WIDTH))
 
 
 def article_entries(as_of: Column) -> Column:
     single = [
-        site_entry(),
-        _bucket("f_date", age_step(parse_date_text(F.col("f_date")), as_of).cast("string")),
-        _bucket("f_content_len", length_step(F.col("f_content_len")).cast("string")),
-        _bucket("f_img_n", image_step(F.col("f_img_n")).cast("string")),
+        site_text(),
+        _named("f_date", age_step(parse_date_text(F.col("f_date")), as_of)),
+        _named("f_content_len", length_step(F.col("f_content_len"))),
+        _named("f_img_n", image_step(F.col("f_img_n"))),
     ]
-    return F.concat(F.array(*single), keyword_entries("f_title_keywords"), keyword_entries("f_content_keywords"))
+    return hashed(F.concat(F.array(*single), keyword_texts("f_title_keywords"), keyword_texts("f_content_keywords")))
 
 
 def encode_articles(features: DataFrame, keys: list[str], as_of: Column) -> DataFrame:

@@ -69,7 +69,7 @@ _STEP = V.sql_bucket("name || ':' || trunc(x * 3)::BIGINT", 9000)
 @query("e05_step_buckets", _ENTRIES + f" SELECT page_id, pre, (1000 + {_STEP})::BIGINT AS idx, 1.0::DOUBLE AS value FROM slots")
 def e05(spark, sf):
     rows = _block_features(spark, sf, False)
-    return _rounded(rows.select("page_id", "pre", F.inline(F.array(*E.step_entries()))))
+    return _rounded(rows.select("page_id", "pre", F.inline(E.step_entries())))
 
 
 _TAG = V.sql_bucket("'f_all_tags:' || tag", 9000)
@@ -92,7 +92,7 @@ def e08(spark, sf):
     from leafsift.functions.urls import site
 
     rows = V.articles(spark, sf).withColumn("f_site", site(F.col("link")))
-    return rows.select("id", E.site_entry()["idx"].cast("bigint").alias("idx"))
+    return rows.select("id", E.hashed(F.array(E.site_text()))[0]["idx"].cast("bigint").alias("idx"))
 
 
 _KW = V.sql_bucket("'f_title_keywords:' || kw", 10000)
@@ -104,7 +104,8 @@ _KW = V.sql_bucket("'f_title_keywords:' || kw", 10000)
 def e09(spark, sf):
     csv = F.when(F.col("id") % 10 == 0, "").otherwise(F.replace(F.lower("title"), F.lit(" "), F.lit(",")))
     rows = V.articles(spark, sf).withColumn("f_title_keywords", csv)
-    return rows.select("id", F.explode(E.keyword_entries("f_title_keywords")["idx"]).cast("bigint").alias("idx"))
+    entries = rows.select("id", F.inline(E.hashed(E.keyword_texts("f_title_keywords"))))
+    return entries.select("id", F.col("idx").cast("bigint").alias("idx"))
 
 
 @query("e10_age_step",

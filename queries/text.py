@@ -10,6 +10,7 @@ from leafsift.operators import profile as R
 from leafsift.operators import vectors as W
 from leafsift.operators.diversify import diversify, kept_vectors, max_similarity
 from leafsift.plans.tagging import tag_articles
+from leafsift.session import cut
 from queries import encoding as E
 from queries import registrar
 from queries import views as V
@@ -93,9 +94,14 @@ def _rank_sql(tag, tokens, span, k=10):
     return ", ".join(parts)
 
 
-@query("t03_edges", f"WITH {_tokens_sql('tw', K.STOP_WORDS)}, {_edges_sql('e', 'tw', K.WIDE_SPAN)} SELECT id, src, dst, weight FROM e")
+@query("t03_edges",
+       f"WITH {_tokens_sql('tw', K.STOP_WORDS)}, {_edges_sql('e', 'tw', K.WIDE_SPAN)} "
+       "SELECT id, src, count(*) AS partners, sum(weight)::BIGINT AS weight, min(dst) AS lowest, max(weight) AS heaviest FROM e GROUP BY id, src")
 def t03_edges(spark, sf):
-    return K.cooccurrence_edges(V.articles(spark, sf), "id", K.wide_tokens(F.col("text")), K.WIDE_SPAN)
+    edges = K.cooccurrence_edges(V.articles(spark, sf), "id", K.wide_tokens(F.col("text")), K.WIDE_SPAN)
+    return edges.groupBy("id", "src").agg(
+        F.count(F.lit(1)).alias("partners"), F.sum("weight").alias("weight"), F.min("dst").alias("lowest"), F.max("weight").alias("heaviest")
+    )
 
 
 def _ranked(rows):
@@ -204,7 +210,7 @@ _KEPT = f"WITH {V.SQL_ARTICLES}, {sql_vectors()}, {sql_kept('SELECT id, coalesce
 
 
 def _kept(spark, sf, top=5000):
-    ranked = ranked_documents(spark, sf)
+    ranked = cut(ranked_documents(spark, sf))
     return ranked, diversify(ranked.select("score", "id", "terms", "weights"), top)
 
 
