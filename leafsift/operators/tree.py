@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
@@ -300,3 +300,17 @@ def page_text(nodes: DataFrame) -> DataFrame:
     runs = F.when(F.col("tag") == TEXT, F.struct("pre", "text"))
     parts = F.transform(F.array_sort(F.collect_list(runs)), lambda r: r["text"])
     return nodes.groupBy("page_id").agg(F.array_join(parts, "").alias("text"))
+
+
+class HtmlNodes:
+    """Table function: the nodes of one page."""
+
+    def eval(self, html: str):
+        for row in page_nodes(html or ""):
+            yield row[0], row[1], row[2], row[3], row[4], row[6]
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Make ``html_nodes(html)`` known to SQL, for use with LATERAL."""
+    schema = "pre int, last int, parent int, depth int, tag string, text string"
+    spark.udtf.register("html_nodes", F.udtf(HtmlNodes, returnType=schema, useArrow=True))

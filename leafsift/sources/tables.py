@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from leafsift.sources.schemas import TABLES
 
 
-def create_table(spark: SparkSession, name: str, path: str | None = None) -> None:
-    """Create a declared table unless it exists."""
+def create_table(spark: SparkSession, name: str, path: str | None = None, stored_as: str | None = None) -> None:
+    """Create a declared table, under its own name or another, unless it exists."""
     columns = ", ".join(f"`{c.strip().split(' ', 1)[0]}` {c.strip().split(' ', 1)[1]}" for c in TABLES[name].split(","))
     where = f" LOCATION '{path}'" if path else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({columns}) USING parquet{where}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{stored_as or name}` ({columns}) USING parquet{where}")
 
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pages", "encoding", "text")
+MODULES = ("pages", "encoding", "text", "tables", "listing", "models", "streams", "scalars")
 
 
 def _merged(attribute: str) -> dict:
