@@ -19,7 +19,9 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """``word, df``. Reading ``tf`` keeps the plan of ``counts`` whole, so that its
+    shuffle is shared with the join that follows instead of run again."""
+    return counts.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def word_idf(counts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -51,12 +53,14 @@ def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame |
     """
     counts = word_counts(docs, id_col, text_col)
     weighted = join_on_word(counts, word_idf(counts, docs) if idf is None else idf)
-    entry = F.struct("word", (F.col("tf") * F.col("idf")).alias("w"))
-    rows = weighted.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    return rows.select(
-        "id", F.col("e.word").alias("terms"), norm.alias("_n"), F.col("e.w").alias("_w")
-    ).select("id", "terms", F.transform("_w", lambda w: w / F.col("_n")).alias("weights"))
+    entries = weighted.select("id", "word", (F.col("tf") * F.col("idf")).alias("w"))
+    # The norm is an aggregate of its own: written over the list, it would be taken
+    # again for every element once Spark merges the projections.
+    rows = entries.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("word", "w"))).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+    )
+    scaled = F.transform("e.w", lambda w: w / F.col("norm"))
+    return rows.select("id", F.col("e.word").alias("terms"), scaled.alias("weights"))
 
 
 def vector_entries(vectors: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafsift.functions.dates import date_text
 from leafsift.operators.projection import project_pages
 from leafsift.plans.extract import clean_pages
+from leafsift.sources.tables import spread
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 
@@ -17,7 +18,8 @@ def as_of() -> Column:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in ("pages", "documents") else rows
 
 
 def hours_back(key: str) -> Column:
