@@ -12,7 +12,7 @@ from leafsift.functions.urls import site
 from leafsift.operators import events as E
 from leafsift.operators.keywords import keyword_lists, top_keywords
 from leafsift.operators.tree import TEXT, page_nodes
-from leafsift.operators.vectors import cosine_to, join_on_word, word_counts, word_idf
+from leafsift.operators.vectors import cosine_to, tfidf_vectors, vector_entries, word_counts, word_idf
 
 TITLE_KEYWORDS, CONTENT_KEYWORDS = 20, 200
 
@@ -94,19 +94,16 @@ def profile_vectors(profile: DataFrame, idf: DataFrame) -> DataFrame:
 
 def profile_similarity(articles: DataFrame, profile: DataFrame) -> DataFrame:
     """``id, f_like_similarity, f_hate_similarity``: cosine of each article to the two profiles."""
-    counts = word_counts(articles, "id", "text")
-    idf = word_idf(counts, articles)
-    weighted = join_on_word(counts, idf).select("id", "word", (F.col("tf") * F.col("idf")).alias("weight"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_n"))
-    raw = cosine_to(weighted, profile_vectors(profile, idf))
+    idf = corpus_idf(articles, "text")
+    entries = vector_entries(tfidf_vectors(articles, "id", "text", idf))
+    near = cosine_to(entries, profile_vectors(profile, idf))
 
     def to(opinion: str) -> Column:
         return F.max(F.when(F.col("target") == opinion, F.col("similarity")))
 
-    wide = raw.groupBy("id").agg(to("like").alias("_l"), to("hate").alias("_h"))
-    joined = articles.select("id").join(norms, "id", "left").join(wide, "id", "left")
-    return joined.select(
+    wide = near.groupBy("id").agg(to("like").alias("_l"), to("hate").alias("_h"))
+    return articles.select("id").join(wide, "id", "left").select(
         "id",
-        F.coalesce(F.col("_l") / F.col("_n"), F.lit(0.0)).alias("f_like_similarity"),
-        F.coalesce(F.col("_h") / F.col("_n"), F.lit(0.0)).alias("f_hate_similarity"),
+        F.coalesce("_l", F.lit(0.0)).alias("f_like_similarity"),
+        F.coalesce("_h", F.lit(0.0)).alias("f_hate_similarity"),
     )

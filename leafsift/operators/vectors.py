@@ -15,7 +15,9 @@ HOT_WORDS = 2_000
 def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, word, tf``."""
     exploded = docs.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("word"))
-    return exploded.groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # The filter drops nothing; joins on the word would add it to some uses of this
+    # plan only, and uses that differ do not share their shuffle.
+    return exploded.filter(F.col("word").isNotNull()).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -69,12 +71,17 @@ def vector_entries(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", F.inline(zipped))
 
 
+SALTS = 8
+
+
 def cosine_to(entries: DataFrame, targets: DataFrame) -> DataFrame:
     """``id, target, similarity`` of every row to each row of ``targets(target, word, weight)``.
 
-    ``targets`` is a short list such as the kept rows or the profiles, so a word has
-    few partners on that side; sums are combined before the shuffle.
+    ``targets`` is a short list such as the kept rows or the profiles. It is repeated
+    under a few salts, so the rows of a frequent word are spread over as many tasks.
     """
-    to = targets.select("target", "word", F.col("weight").alias("_to"))
-    joined = entries.select("id", "word", "weight").join(to, "word")
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    to = targets.select("target", "word", F.col("weight").alias("_to"), salts.alias("_salt"))
+    salted = entries.select("id", "word", "weight", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    joined = salted.join(to, ["word", "_salt"])
     return joined.groupBy("id", "target").agg(F.sum(F.col("weight") * F.col("_to")).alias("similarity"))
