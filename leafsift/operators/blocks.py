@@ -125,7 +125,7 @@ def block_features(nodes: DataFrame, with_tail: bool = True, with_tags: bool = F
         F.min(F.when(paragraph, F.col("depth"))).alias("_paragraph"),
     ]
     if with_tags:
-        aggs.append(F.array_sort(F.collect_set(F.when(element, tag))).alias("f_all_tags"))
+        aggs.append(F.sort_array(F.collect_set(F.when(element, tag))).alias("f_all_tags"))
     grouped = rows.groupBy("page_id", "blk").agg(*aggs)
     link_bytes = F.col("_linked") - F.col("_n_a") * F.col("_inner")
     density = F.when(F.col("_spaceless") == 0, F.lit(0.0)).otherwise(

@@ -125,5 +125,5 @@ def sum_entries(encoded: DataFrame, keys: list[str]) -> DataFrame:
 
 def as_examples(encoded: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key with parallel ``idx`` and ``value`` arrays in index order."""
-    rows = sum_entries(encoded, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("e"))
+    rows = sum_entries(encoded, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("e"))
     return rows.select(*keys, F.col("e.idx").alias("idx"), F.col("e.value").alias("value"))

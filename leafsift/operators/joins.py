@@ -33,7 +33,7 @@ def with_tag(articles: DataFrame, tags: DataFrame, name: str) -> DataFrame:
 
 def tags_of(articles: DataFrame, tags: DataFrame) -> DataFrame:
     """Articles with their sorted tag list; an empty list if there is none."""
-    lists = tags.groupBy(F.col("article_id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("tags"))
+    lists = tags.groupBy(F.col("article_id").alias("id")).agg(F.sort_array(F.collect_set("name")).alias("tags"))
     return articles.join(lists, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 

@@ -28,19 +28,29 @@ WIDE_SPAN, NARROW_SPAN = 5, 2
 DAMPING, RANK_ROUNDS = 0.85, 10
 
 
+def _weighted_words(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None) -> DataFrame:
+    counts = word_counts(docs, id_col, text_col)
+    joined = join_on_word(counts, word_idf(counts, docs) if idf is None else idf)
+    return joined.select("id", "word", F.round(F.col("tf") * F.col("idf"), 9).alias("weight"))
+
+
 def top_keywords(docs: DataFrame, id_col: str, text_col: str, k: int, idf: DataFrame | None = None) -> DataFrame:
     """``id, word, weight, rank``: the k words of highest TF-IDF, ties by word."""
-    counts = word_counts(docs, id_col, text_col)
-    weighted = join_on_word(counts, word_idf(counts, docs) if idf is None else idf)
-    scored = weighted.select("id", "word", F.round(F.col("tf") * F.col("idf"), 9).alias("weight"))
     order = Window.partitionBy("id").orderBy(F.desc("weight"), F.asc("word"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = _weighted_words(docs, id_col, text_col, idf).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k)
+
 
+def keyword_lists(
+    docs: DataFrame, id_col: str, text_col: str, k: int, name: str, idf: DataFrame | None = None
+) -> DataFrame:
+    """``id`` and the same k words as one comma-separated list.
 
-def keyword_lists(keywords: DataFrame, name: str) -> DataFrame:
-    """``id`` and a comma-separated list in rank order; at most k words a row."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "word")))
-    return keywords.groupBy("id").agg(keyword_csv(F.transform(ordered, lambda r: r["word"])).alias(name))
+    The words of a document are gathered in one row, which is no larger than its text.
+    """
+    entry = F.struct((-F.col("weight")).alias("w"), "word")
+    rows = _weighted_words(docs, id_col, text_col, idf).groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return rows.select("id", keyword_csv(F.slice("e.word", 1, k)).alias(name))
 
 
 def cooccurrence_edges(docs: DataFrame, id_col: str, tokens: Column, span: int) -> DataFrame:

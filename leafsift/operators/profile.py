@@ -48,8 +48,8 @@ def article_features(articles: DataFrame, title_idf: DataFrame | None = None, bo
         F.octet_length("text").cast("bigint").alias("f_content_len"),
         F.col("f_img_n").cast("int").alias("f_img_n"),
     )
-    titles = keyword_lists(top_keywords(articles, "id", "title", TITLE_KEYWORDS, title_idf), "f_title_keywords")
-    bodies = keyword_lists(top_keywords(articles, "id", "text", CONTENT_KEYWORDS, body_idf), "f_content_keywords")
+    titles = keyword_lists(articles, "id", "title", TITLE_KEYWORDS, "f_title_keywords", title_idf)
+    bodies = keyword_lists(articles, "id", "text", CONTENT_KEYWORDS, "f_content_keywords", body_idf)
     joined = base.join(titles, "id", "left").join(bodies, "id", "left")
     return joined.select(
         "id",

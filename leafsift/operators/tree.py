@@ -291,14 +291,14 @@ def element_text(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     inside = (F.col("at") >= F.col("pre")) & (F.col("at") <= F.col("last"))
     joined = roots.select("page_id", "pre", "last").join(runs, "page_id", "left")
     kept = F.when(inside | (F.col("tail_of") == F.col("pre")), F.struct("at", "text"))
-    parts = F.transform(F.array_sort(F.collect_list(kept)), lambda r: r["text"])
+    parts = F.transform(F.sort_array(F.collect_list(kept)), lambda r: r["text"])
     return joined.groupBy("page_id", "pre").agg(F.array_join(parts, "").alias("text"))
 
 
 def page_text(nodes: DataFrame) -> DataFrame:
     """Whole text of every page: all text runs in document order."""
     runs = F.when(F.col("tag") == TEXT, F.struct("pre", "text"))
-    parts = F.transform(F.array_sort(F.collect_list(runs)), lambda r: r["text"])
+    parts = F.transform(F.sort_array(F.collect_list(runs)), lambda r: r["text"])
     return nodes.groupBy("page_id").agg(F.array_join(parts, "").alias("text"))
 
 

@@ -19,6 +19,8 @@ def build_session(app: str = "leafsift", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Join by hash instead of sorting where every partition of one side is known to be small.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Block features collect a tag set per block; the default of 128 groups
         # sends nearly every task to the sort-based fallback.

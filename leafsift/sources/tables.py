@@ -84,7 +84,7 @@ def ranked_json(ranked: DataFrame, updated_at: str) -> DataFrame:
 def ranked_document(ranked: DataFrame, updated_at: str) -> DataFrame:
     """The whole list as one JSON document; only for lists cut to a fixed top."""
     fields = [c for c in ranked.columns if c != "rank"]
-    rows = F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("a"))))
+    rows = F.sort_array(F.collect_list(F.struct("rank", F.struct(*fields).alias("a"))))
     return ranked.agg(
         F.to_json(
             F.struct(F.lit(updated_at).alias("updateTime"), F.transform(rows, lambda r: r["a"]).alias("articles"))
