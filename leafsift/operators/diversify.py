@@ -88,22 +88,6 @@ def _settle(rows: list, threshold: float) -> list:
     return [rows[i] for i in kept]
 
 
-def max_similarity(vectors: DataFrame, kept: KeptVectors) -> DataFrame:
-    """``id, similarity``: highest cosine of each row to the kept rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best = kept.best(*_columns(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], names=["id", "similarity"])
-
-    return vectors.select("id", "terms", "weights").mapInArrow(run, "id bigint, similarity double")
-
-
-def kept_vectors(vectors: DataFrame, kept_ids: list[int]) -> KeptVectors:
-    rows = vectors.filter(F.col("id").isin(*kept_ids)).select("terms", "weights").collect()
-    return KeptVectors([r["terms"] for r in rows], [r["weights"] for r in rows])
-
-
 def diversify(
     ranked: DataFrame, top: int, threshold: float = 0.05, block: int = 256, budget: int = 2_000_000
 ) -> DataFrame:

@@ -49,11 +49,22 @@ def opinions(events: DataFrame) -> DataFrame:
     return rows.groupBy("id", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+COPIES_PER_ROW = 10_000
+
+
+def repeated(rows: DataFrame, keys: list[str], n_col: str = "n") -> DataFrame:
+    """Each row ``n`` times. A large ``n`` is cut into parts that go to different tasks first."""
+    n, size = F.col(n_col), F.lit(COPIES_PER_ROW)
+    last = F.floor((n - 1) / size)
+    parts = rows.filter(n > 0).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    apart = parts.repartition(*keys, "_part")
+    copies = F.sequence(F.lit(1).cast("bigint"), F.least(size, n - F.col("_part") * size).cast("bigint"))
+    return apart.withColumn("_copy", F.explode(copies)).drop("_copy", "_part", n_col)
+
+
 def feedback(events: DataFrame, articles: DataFrame, columns: list[str]) -> DataFrame:
     """``id, y`` and article columns, one row per opinion event."""
-    counted = opinions(events).join(articles.select("id", *columns), "id")
-    repeated = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))
-    return counted.withColumn("_copy", repeated).drop("_copy", "n")
+    return repeated(opinions(events).join(articles.select("id", *columns), "id"), ["id", "y"])
 
 
 def latest_opinions(events: DataFrame) -> DataFrame:

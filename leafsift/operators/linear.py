@@ -29,7 +29,8 @@ def decision_values(encoded: DataFrame, model: DataFrame, keys: list[str], digit
 
     Rounded so that equal rows score equally whatever order they are summed in.
     """
-    weights = model.filter(F.col("idx").between(0, WIDTH - 1)).select("idx", "weight")
+    in_width = model.filter(F.col("idx").between(0, WIDTH - 1))
+    weights = in_width.groupBy("idx").agg(F.sum("weight").alias("weight"))  # at most WIDTH rows
     intercept = model.filter(F.col("idx") == INTERCEPT).agg(F.coalesce(F.sum("weight"), F.lit(0.0))).scalar()
     product = F.col("value") * F.coalesce(F.col("weight"), F.lit(0.0))
     summed = encoded.join(F.broadcast(weights), "idx", "left").groupBy(*keys).agg(F.sum(product).alias("score"))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from leafsift.functions.dates import asctime_to_date_text
 from leafsift.functions.html import strip_noise
-from leafsift.operators.blocks import best_blocks, block_features, ranked_blocks
+from leafsift.operators.blocks import FEATURES, best_blocks, block_features, ranked_blocks
 from leafsift.operators.encoding import encode_blocks
 from leafsift.operators.joins import unprocessed
 from leafsift.operators.linear import decision_values
 from leafsift.operators.profile import with_text
 from leafsift.operators.tree import node_table
+from leafsift.session import cut
 
 KEYS = ["page_id", "pre", "src_start", "src_end", "f_text_n"]
 MIN_TEXT_BYTES = 500
@@ -32,10 +33,12 @@ def score_blocks(cleaned: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def rank_blocks(cleaned: DataFrame, model: DataFrame) -> DataFrame:
-    """All blocks of each page with features and score, best first."""
-    features = dom_features(cleaned)
-    scores = decision_values(encode_blocks(features, ["page_id", "pre"]), model, ["page_id", "pre"])
-    return ranked_blocks(features.join(scores, ["page_id", "pre"]))
+    """All blocks of each page with features and score, best first.
+
+    The features travel as grouping keys, so pages are parsed once and not joined back.
+    """
+    keys = ["page_id", "pre", "last", "src_start", "src_end", *FEATURES]
+    return ranked_blocks(decision_values(encode_blocks(dom_features(cleaned), keys), model, keys))
 
 
 def block_html(cleaned: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -68,7 +71,8 @@ def extract_articles(
     fresh = rss if done is None else unprocessed(rss, done)
     cleaned = clean_pages(fresh, "id", html_col)
     bodies = main_content(cleaned, model).withColumnRenamed("page_id", "id")
-    texts = with_text(bodies, "body").withColumn("_kept", F.octet_length("text") >= min_bytes)
+    # Both results read the bodies found, so they are stored once.
+    texts = cut(with_text(bodies, "body")).withColumn("_kept", F.octet_length("text") >= min_bytes)
     header = fresh.select("id", "title", "link", asctime_to_date_text(F.col("date")).alias("date"))
     articles = texts.filter("_kept").join(header, "id").select("id", "title", "link", "body", "date", "text", "f_img_n")
     outcome = F.when(F.col("_kept"), "article").otherwise("short")

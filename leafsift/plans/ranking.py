@@ -9,7 +9,7 @@ from leafsift.functions.urls import rewrite_root_links
 from leafsift.operators import listing
 from leafsift.operators.diversify import diversify
 from leafsift.operators.encoding import as_examples, encode_articles
-from leafsift.operators.events import latest_opinions, opinions
+from leafsift.operators.events import latest_opinions, opinions, repeated
 from leafsift.operators.linear import FitResult, decision_values, fit_l1_svm
 from leafsift.operators.profile import article_features, corpus_idf
 from leafsift.operators.vectors import tfidf_vectors
@@ -37,8 +37,7 @@ def weighted_rows(events: DataFrame, articles: DataFrame, known: DataFrame | Non
 
 def repeat_rows(weighted: DataFrame) -> DataFrame:
     """Stored form: one row per event."""
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))
-    return weighted.withColumn("_copy", copies).drop("_copy", "n")
+    return repeated(weighted, ["id", "y"])
 
 
 def fit_like_model(weighted: DataFrame, as_of: Column, c: float = LIKE_C, tol: float = 1e-6, **options) -> FitResult:

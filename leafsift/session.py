@@ -22,6 +22,9 @@ def build_session(app: str = "leafsift", master: str | None = None, **conf: str)
         # Join by hash instead of sorting where every partition of one side is known to be small.
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Whole pages travel in Arrow batches: few rows each, and no more than 64 MB.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         # Block features collect a tag set per block; the default of 128 groups
         # sends nearly every task to the sort-based fallback.
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",

@@ -8,7 +8,7 @@ from leafsift.functions.text import keyword_csv, words
 from leafsift.operators import keywords as K
 from leafsift.operators import profile as R
 from leafsift.operators import vectors as W
-from leafsift.operators.diversify import diversify, kept_vectors, max_similarity
+from leafsift.operators.diversify import diversify
 from leafsift.plans.tagging import tag_articles
 from leafsift.session import cut
 from queries import encoding as E
@@ -250,10 +250,8 @@ def j08(spark, sf):
 
 @query("a06_best_similarity", _TO_KEPT + " SELECT id, round(max(similarity), 6) AS similarity FROM sims GROUP BY id")
 def a06(spark, sf):
-    ranked, kept = _kept(spark, sf)
-    ids = [r["id"] for r in kept.select("id").collect()]  # at most ``top`` ids
-    best = max_similarity(ranked, kept_vectors(ranked, ids))
-    return best.filter(F.col("similarity") > 0).select("id", F.round("similarity", 6).alias("similarity"))
+    best = _similarity(spark, sf)[2].groupBy("id").agg(F.max("similarity").alias("similarity"))
+    return best.select("id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("t09_keyword_csv",

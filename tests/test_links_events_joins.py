@@ -94,6 +94,13 @@ def test_feedback_reads_every_id_form(spark):
     assert latest[0]["y"] == 1
 
 
+def test_many_copies_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(E, "COPIES_PER_ROW", 3)
+    rows = spark.createDataFrame([(1, 1, 7), (2, 1, 3), (3, -1, 1), (4, 1, 0)], "id long, y int, n long")
+    got = E.repeated(rows, ["id", "y"]).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {1: 7, 2: 3, 3: 1}
+
+
 def test_counters_and_routes(spark):
     e = events(
         spark,

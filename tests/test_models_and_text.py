@@ -55,9 +55,9 @@ def test_fit_meets_the_optimality_conditions(spark):
 
 
 def test_small_working_set_and_partitions_give_the_same_fit(spark):
-    rows = random_rows(2, 120, 60)
-    one = M.fit_l1_svm(examples(spark, rows, 1), 0.5, width=60, tol=1e-8)
-    many = M.fit_l1_svm(examples(spark, rows, 6), 0.5, width=60, tol=1e-8, working_size=4)
+    rows = random_rows(2, 120, 40)
+    one = M.fit_l1_svm(examples(spark, rows, 1), 0.2, width=40, tol=1e-8)
+    many = M.fit_l1_svm(examples(spark, rows, 6), 0.2, width=40, tol=1e-8, working_size=8)
     assert np.allclose(one.weights, many.weights, atol=1e-5)
 
 
