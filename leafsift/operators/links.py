@@ -35,23 +35,29 @@ def matches_rules(url: Column, rules: list[tuple[str, list[str]]], mode: str = "
     """
     if mode not in ("first", "any"):
         raise ValueError(f"unknown mode {mode!r}")
-    verdict = None
+    # A lambda variable keeps the URL from being resolved and parsed again for every rule.
+    parsed = F.transform(F.array(url), lambda u: F.struct(U.site(u).alias("site"), U.path(u).alias("path")))
+    return F.exists(parsed, lambda part: _verdict(part["site"], part["path"], rules, mode))
+
+
+def _verdict(site: Column, path: Column, rules: list[tuple[str, list[str]]], mode: str) -> Column:
+    verdict = F
     for domain, prefixes in rules:
-        tested = prefixes[:1] if mode == "first" else prefixes
         passes = F.lit(False)
-        for prefix in tested:
-            passes = passes | F.startswith(U.path(url), F.lit(prefix))
-        applies = F.contains(U.site(url), F.lit(domain))
-        verdict = F.when(applies, passes) if verdict is None else verdict.when(applies, passes)
-    return F.lit(True) if verdict is None else verdict.otherwise(F.lit(True))
+        for prefix in prefixes[:1] if mode == "first" else prefixes:
+            passes = passes | F.startswith(path, F.lit(prefix))
+        verdict = verdict.when(F.contains(site, F.lit(domain)), passes)
+    return verdict.otherwise(F.lit(True)) if rules else F.lit(True)
 
 
 def in_domains(url: Column, domains: list[str]) -> Column:
     """Whether the host is one of ``domains`` or below one."""
-    name = U.host(url)
-    return name.isin(*domains) | F.exists(
-        F.array(*[F.lit(f".{d}") for d in domains]), lambda suffix: F.endswith(name, suffix)
-    )
+    suffixes = F.array(*[F.lit(f".{d}") for d in domains])
+
+    def inside(name: Column) -> Column:
+        return name.isin(*domains) | F.exists(suffixes, lambda suffix: F.endswith(name, suffix))
+
+    return F.exists(F.transform(F.array(url), U.host), inside)
 
 
 def not_seen(urls: DataFrame, seen: DataFrame | None, column: str = "target") -> DataFrame:

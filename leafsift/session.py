@@ -28,6 +28,8 @@ def build_session(app: str = "leafsift", master: str | None = None, **conf: str)
         # Block features collect a tag set per block; the default of 128 groups
         # sends nearly every task to the sort-based fallback.
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+        # Checkpoints of frames no longer in use are removed.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
