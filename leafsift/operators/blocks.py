@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafsift.functions.text import bytes_without_spaces
-from leafsift.operators.tree import BLOCK_TAGS, COMMENT, TEXT, VOID_TAGS
+from leafsift.operators.tree import BLOCK_TAGS, TEXT, VOID_TAGS, node_table
 
 # The tags and substrings each feature counts.
 PARAGRAPH_TAGS = ("p", "blockquote")
@@ -166,8 +166,6 @@ def fragment_features(fragments: DataFrame, id_col: str, html_col: str, root_mod
     measures the parsed document around it, html and body included, in which no
     node is a direct child of the measured one.
     """
-    from leafsift.operators.tree import node_table
-
     if root_mode not in ("element", "document"):
         raise ValueError(f"unknown root_mode {root_mode!r}")
     nodes = node_table(fragments, id_col, html_col)
