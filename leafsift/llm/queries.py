@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import quality_rules
+from leafsift.llm import quality_rules, secret_scans
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,3 +28,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     forest = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, forest)
+
+
+@query
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scans.find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secret_scans.joined(base), 256).alias("base_sha256"),
+        secret_scans.joined(F.col("spans")).alias("spans"),
+    )
