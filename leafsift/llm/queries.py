@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import quality_rules, secret_scans
+from leafsift.llm import quality_rules, secret_scans, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,3 +43,9 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scans.joined(base), 256).alias("base_sha256"),
         secret_scans.joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
