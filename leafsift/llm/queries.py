@@ -5,10 +5,11 @@ Each applies its operator with production parameters and returns its full result
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import quality_rules, secret_scans, simhash
+from leafsift.llm import packing, quality_rules, secret_scans, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,3 +50,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents") if docs is None else docs
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=4096)
