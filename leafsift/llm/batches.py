@@ -48,11 +48,11 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column:
             begin = end
 
 
-def per_slice(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
+def per_slice(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``work`` on every bounded slice of (doc_id, text)."""
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit):
             out = work(part)
             if isinstance(out, pa.Table):
                 yield from out.to_batches()
@@ -99,6 +99,51 @@ def firsts(ids: np.ndarray, kinds: int) -> np.ndarray:
     return out
 
 
+class HashTable:
+    """From 64-bit keys (0 or more) to two numbers, looked up for whole arrays."""
+
+    def __init__(self, size: int = 1 << 16):
+        self.keys = np.full(size, -1, np.int64)
+        self.value = np.zeros(size, np.int32)
+        self.extra = np.zeros(size, np.int32)
+        self.used = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(20)).astype(np.int64) & (len(self.keys) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, -1 if it is not there."""
+        at = self._slots(keys)
+        out = np.full(len(keys), -1, np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit & (held != -1)]
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+        return out
+
+    def add(self, key: int, value: int, extra: int = 0) -> None:
+        """A key that is not there yet."""
+        if 2 * self.used >= len(self.keys):
+            full = np.flatnonzero(self.keys != -1)
+            old = zip(self.keys[full].tolist(), self.value[full].tolist(), self.extra[full].tolist())
+            self.__init__(4 * len(self.keys))
+            for entry in old:
+                self._put(*entry)
+        self._put(key, value, extra)
+
+    def _put(self, key: int, value: int, extra: int) -> None:
+        mask = len(self.keys) - 1
+        at = ((key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 20) & mask
+        while self.keys[at] != -1:
+            at = (at + 1) & mask
+        self.keys[at], self.value[at], self.extra[at] = key, value, extra
+        self.used += 1
+
+
 @dataclass
 class Bytes:
     """The texts of a batch as one run of UTF-8 bytes; text i is data[bounds[i]:bounds[i + 1]]. Null is empty."""

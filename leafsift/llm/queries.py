@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import packing, quality_rules, secret_scans, simhash
+from leafsift.llm import packing, quality_rules, secret_scans, simhash, token_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | Non
     docs = _table(spark, sf_dir, "documents") if docs is None else docs
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
     return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=4096)
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
