@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import packing, quality_rules, secret_scans, simhash, token_counts
+from leafsift.llm import packing, pieces, quality_rules, secret_scans, simhash, token_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | Non
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and decoded again from its ids."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model), model)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
