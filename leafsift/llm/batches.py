@@ -130,7 +130,7 @@ class HashTable:
         if 2 * self.used >= len(self.keys):
             full = np.flatnonzero(self.keys != -1)
             old = zip(self.keys[full].tolist(), self.value[full].tolist(), self.extra[full].tolist())
-            self.__init__(4 * len(self.keys))
+            self.__init__(2 * len(self.keys))
             for entry in old:
                 self._put(*entry)
         self._put(key, value, extra)

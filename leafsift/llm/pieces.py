@@ -30,7 +30,9 @@ BLANK = "▁"
 #: Ends a word in the joined text; never a byte of UTF-8.
 SEPARATOR = 0xFF
 #: Tested pairs kept in a worker.
-MOST_PAIRS = 2_000_000
+MOST_PAIRS = 1_000_000
+#: Bytes of text matched at once; its edges take about a hundred times that.
+MATCH_BYTES = 1 << 21
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -123,7 +125,7 @@ class Model:
 
     def may_follow(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece may come after the last one (-1: after a byte, or nothing)."""
-        keys = (last + 1) * self.size + piece
+        keys = (last.astype(np.int64) + 1) * self.size + piece
         at = self.follows.find(keys)
         if (at < 0).any():
             for key in np.unique(keys[at < 0]).tolist():
@@ -198,16 +200,16 @@ class Model:
         if len(position) and position.max() < 1 << 16:
             position = position.astype(np.uint16)  # sorted by radix
         order = np.argsort(position, kind="stable")
-        begin, end, piece, position = begin[order], end[order], piece[order], position[order]
+        begin, end, piece, position = (x[order].astype(np.int32) for x in (begin, end, piece, position))
         if self.follows.used > MOST_PAIRS:
             self.follows = HashTable()
 
         NONE = -2
-        last = np.full(len(text) + 1, NONE, np.int64)  # the last piece of the way to each place; -1 a byte or nothing
-        source = np.zeros(len(text) + 1, np.int64)
-        number = np.zeros(len(text) + 1, np.int64)
+        last = np.full(len(text) + 1, NONE, np.int32)  # the last piece of the way to each place; -1 a byte or nothing
+        source = np.zeros(len(text) + 1, np.int32)
+        number = np.zeros(len(text) + 1, np.int32)
         last[starts] = -1
-        own = np.zeros(len(text) + 1, np.int64)
+        own = np.zeros(len(text) + 1, np.int32)
         steps = np.flatnonzero(np.concatenate([[True], position[1:] != position[:-1]])) if len(position) else np.zeros(0, np.int64)
         for a, b in zip(steps, [*steps[1:], len(position)]):
             x, y, p = begin[a:b], end[a:b], piece[a:b]
@@ -221,7 +223,7 @@ class Model:
             last[y], source[y], number[y] = p, x, number[x] + 1
             own[y] = np.where(p < 0, self.byte_ids[text[x]], p)
         ends = starts + sizes
-        counts = number[ends]
+        counts = number[ends].astype(np.int64)
         ids = np.empty(int(counts.sum()), np.uint32)
         place, slot = ends.copy(), np.cumsum(counts) - 1
         open_ = np.flatnonzero(counts > 0)
@@ -287,7 +289,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         body = pack(ids.astype("<u4").view(np.uint8), 4 * np.concatenate([[0], np.cumsum(counts)])).cast(pa.binary())
         return pa.RecordBatch.from_arrays([part.column("doc_id"), body], ["doc_id", "ids"])
 
-    return per_slice(docs, work, "doc_id long, ids binary")
+    return per_slice(docs, work, "doc_id long, ids binary", MATCH_BYTES)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
