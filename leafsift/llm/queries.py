@@ -6,10 +6,10 @@ Each applies its operator with production parameters and returns its full result
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import packing, pieces, quality_rules, secret_scans, simhash, token_counts
+from leafsift.llm import impact_search, licenses, packing, passages, pieces, quality_rules, secret_scans, simhash, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,57 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     found = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model), model)
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
+def _fold(folds: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def _predictions(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold 0 is held out; folds 1 to 3 are counted, fold 4 sets the curve."""
+    docs, fold = _table(spark, sf_dir, "documents"), _fold(5)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), count_rows=fold.isin(1, 2, 3), curve_rows=fold == 4)
+    return _predictions(toxicity.score(docs, model), fold == 0)
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold 1 of three is held out."""
+    docs, fold = _table(spark, sf_dir, "documents"), _fold(3)
+    model = passages.train(docs, _table(spark, sf_dir, "labels"), learn=fold != 1)
+    return _predictions(passages.score(docs, model), fold == 1)
+
+
+SQL["op2_impact_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op2_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.search(_table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % 50 == 0, k=5, step=1 / 256)
+
+
+@query
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"), least=0.8)
+    names = F.array_join(F.transform("licenses", lambda f: f["name"]), ",")
+    return found.select("doc_id", F.size("licenses").alias("n_licenses"), names.alias("licenses"), F.coalesce(F.array_max(F.transform("licenses", lambda f: f["containment"])), F.lit(0.0)).alias("containment"))
