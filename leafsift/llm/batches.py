@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from leafsift.session import scratch_path
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: White space between words: \x20 and \x09-\x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -33,8 +34,22 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # no glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: several workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of text (one row if it is longer)."""
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -46,6 +61,9 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column:
             end = max(begin + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+            done += 1
+            if done % 4 == 0:
+                give_back()
 
 
 def per_slice(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, limit: int = SLICE_BYTES) -> DataFrame:

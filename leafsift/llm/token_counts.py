@@ -90,13 +90,14 @@ def classes() -> np.ndarray:
     from tokenizers.pre_tokenizers import Split
 
     points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
-    text = points.astype("<u4").tobytes().decode("utf-32-le")
     out = np.full(0x110000, MARK, np.uint8)
     for expression, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", WHITE)):
-        inside = np.ones(len(points), bool)
-        for _, (a, b) in Split(Regex(expression), "removed").pre_tokenize_str(text):
-            inside[a:b] = False
-        out[points[inside]] = kind
+        split = Split(Regex(expression), "removed")
+        for block in np.array_split(points, 64):  # the library needs much memory for each character
+            inside = np.ones(len(block), bool)
+            for _, (a, b) in split.pre_tokenize_str(block.astype("<u4").tobytes().decode("utf-32-le")):
+                inside[a:b] = False
+            out[block[inside]] = kind
     for chars, kind in (("stmd", ALONE), ("r", R), ("v", V), ("l", L), ("e", E), ("'", QUOTE), (" ", BLANK_CHAR)):
         out[[ord(c) for c in chars]] = kind
     return out
