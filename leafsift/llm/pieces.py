@@ -32,7 +32,7 @@ SEPARATOR = 0xFF
 #: Tested pairs kept in a worker.
 MOST_PAIRS = 1_000_000
 #: Bytes of text matched at once; its edges take about a hundred times that.
-MATCH_BYTES = 1 << 21
+MATCH_BYTES = 3 << 19
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -281,13 +281,16 @@ def load(path: str) -> Model:
     return Model(path)
 
 
+def _binary(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pack(ids.astype("<u4").view(np.uint8), 4 * np.concatenate([[0], np.cumsum(counts)])).cast(pa.binary())
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids) for every row; ids are little-endian unsigned 32-bit numbers."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         ids, counts = load(model).encode(part.column("text"))
-        body = pack(ids.astype("<u4").view(np.uint8), 4 * np.concatenate([[0], np.cumsum(counts)])).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), body], ["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), _binary(ids, counts)], ["doc_id", "ids"])
 
     return per_slice(docs, work, "doc_id long, ids binary", MATCH_BYTES)
 
@@ -303,3 +306,13 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
     return rows.mapInArrow(run, "doc_id long, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, model: str) -> DataFrame:
+    """(doc_id, ids, text) for every row: the text is decoded from the ids. One worker does both."""
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, counts = load(model).encode(part.column("text"))
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), _binary(ids, counts), load(model).decode(ids, counts)], ["doc_id", "ids", "text"])
+
+    return per_slice(docs, work, "doc_id long, ids binary, text string", MATCH_BYTES)
