@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,20 +40,48 @@ def build_session(app: str = "leafsift", master: str | None = None, **conf: str)
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, wherever the driver was started from.
+
+    Functions that run in Arrow maps are sent by name, so every worker must be able to import it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_leafsift_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = _own_folder("leafsift-package-")
+    archive = f"{folder}/leafsift.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._leafsift_shipped = True
+
+
+def _own_folder(prefix: str) -> str:
+    """A folder of this driver process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session whose tasks run in
+    the driver itself (``local[n]``, not ``local-cluster``) may leave it unset; it
+    gets a folder that is removed at the end.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="leafsift-")
+        root = _own_folder("leafsift-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -26,16 +26,6 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
         return spark.createDataFrame([], TABLES[name])
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when their files give fewer splits than that.
-
-    A table of a few row groups would otherwise be parsed by a few tasks. Large
-    tables have more splits than cores and are left alone.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
-
-
 def shaped(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with exactly the declared columns; missing ones are null."""
     declared = [part.strip().split(" ", 1) for part in TABLES[name].split(",")]
