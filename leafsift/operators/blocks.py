@@ -19,7 +19,7 @@ PARAGRAPH_TAGS = ("p", "blockquote")
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5")
 FORM_TAGS = ("form", "input", "textarea")
 LIST_TAGS = ("li", "ol")
-PLAIN_TAGS = "p h1 h2 h3 h4 h5 blockquote span div table tr td th img br".split()
+PLAIN_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "blockquote", "span", "div", "table", "tr", "td", "th", "img", "br")
 HIDDEN_WORDS = "none|hidden|hide"
 SIDE_WORDS = "left|right|side"
 MAIN_WORDS = "main|body|content"

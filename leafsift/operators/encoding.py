@@ -13,9 +13,10 @@ DENSE_WIDTH = 1_000
 
 # Slot order of the dense block features.
 SLOTS = (
-    "f_p_n f_tag_n f_h_n f_np_n f_text_n f_img_n f_a_n f_form_element_n f_element_maxtextlen f_none_n f_side_n "
-    "f_main_n f_child_div_n f_child_p_n f_link_density f_nav_n f_li_n f_li_a_n f_h1_n f_dom_depth f_depth_to_p"
-).split()
+    "f_p_n", "f_tag_n", "f_h_n", "f_np_n", "f_text_n", "f_img_n", "f_a_n", "f_form_element_n", "f_element_maxtextlen",
+    "f_none_n", "f_side_n", "f_main_n", "f_child_div_n", "f_child_p_n", "f_link_density", "f_nav_n", "f_li_n", "f_li_a_n",
+    "f_h1_n", "f_dom_depth", "f_depth_to_p",
+)
 
 
 def require_frame(data: object) -> DataFrame:
@@ -65,17 +66,23 @@ def tag_entries(tags: Column) -> Column:
     return _sparse(F.transform(tags, lambda t: F.concat(F.lit("f_all_tags:"), t)))
 
 
-def encode_blocks(features: DataFrame, keys: list[str]) -> DataFrame:
-    """Long rows ``keys, idx, value`` of block features; duplicates are not yet summed."""
+def with_block_entries(features: DataFrame) -> DataFrame:
+    """Adds ``entries``, the (idx, value) list of each block's features; duplicates are not yet summed."""
     parts = [F.array(*dense_entries()), step_entries()]
     if "f_all_tags" in require_frame(features).columns:
         parts.append(tag_entries(F.col("f_all_tags")))
-    return features.select(*keys, F.inline(F.concat(*parts)))
+    return features.withColumn("entries", F.concat(*parts))
+
+
+def encode_blocks(features: DataFrame, keys: list[str]) -> DataFrame:
+    """Long rows ``keys, idx, value`` of block features; duplicates are not yet summed."""
+    return with_block_entries(features).select(*keys, F.inline("entries"))
 
 
 def age_step(date: Column, as_of: Column) -> Column:
-    hours = (F.unix_timestamp(as_of) - F.unix_timestamp(date)) / 3600
-    return F.log2(1 + hours / 4).cast("int")
+    """Age in steps that double; a date still to come is new (step 0), a missing one has the step -1."""
+    hours = F.greatest(F.lit(0.0), (F.unix_timestamp(as_of) - F.unix_timestamp(date)) / 3600)
+    return F.when(date.isNull(), F.lit(-1)).otherwise(F.log2(1 + hours / 4).cast("int"))
 
 
 def length_step(length: Column) -> Column:
@@ -113,9 +120,14 @@ def article_entries(as_of: Column) -> Column:
     return hashed(F.concat(F.array(*single), keyword_texts("f_title_keywords"), keyword_texts("f_content_keywords")))
 
 
+def with_article_entries(features: DataFrame, as_of: Column) -> DataFrame:
+    """Adds ``entries``, the (idx, value) list of each article's features; ages are taken at ``as_of``."""
+    return require_frame(features).withColumn("entries", article_entries(as_of))
+
+
 def encode_articles(features: DataFrame, keys: list[str], as_of: Column) -> DataFrame:
     """Long rows ``keys, idx, value`` of article features; ages are taken at ``as_of``."""
-    return require_frame(features).select(*keys, F.inline(article_entries(as_of)))
+    return with_article_entries(features, as_of).select(*keys, F.inline("entries"))
 
 
 def sum_entries(encoded: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafsift.operators.blocks import FEATURES_V1, fragment_features
-from leafsift.operators.encoding import encode_blocks
+from leafsift.operators.encoding import encode_blocks, with_block_entries
 from leafsift.operators.linear import decision_values
 from leafsift.operators.listing import random_row
 
@@ -32,5 +32,4 @@ def review(samples: DataFrame, model: DataFrame, seed: int) -> DataFrame:
     """One sample with its score and features."""
     one = random_row(samples.select("id", "body", "y"), seed)
     features = fragment_features(one, "id", "body").withColumnRenamed("page_id", "id")
-    scores = decision_values(encode_blocks(features, ["id"]), model, ["id"])
-    return one.select("id", "y").join(scores, "id").join(features, "id")
+    return one.select("id", "y").join(decision_values(with_block_entries(features), model), "id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafsift.functions.dates import asctime_to_date_text
 from leafsift.functions.html import strip_noise
 from leafsift.operators.blocks import FEATURES, best_blocks, block_features, ranked_blocks
-from leafsift.operators.encoding import encode_blocks
+from leafsift.operators.encoding import with_block_entries
 from leafsift.operators.joins import unprocessed
 from leafsift.operators.linear import decision_values
 from leafsift.operators.profile import with_text
@@ -29,16 +29,13 @@ def dom_features(cleaned: DataFrame, with_tags: bool = True) -> DataFrame:
 
 def score_blocks(cleaned: DataFrame, model: DataFrame) -> DataFrame:
     """``page_id, pre, src_start, src_end, f_text_n, score`` of every block."""
-    return decision_values(encode_blocks(dom_features(cleaned), KEYS), model, KEYS)
+    return decision_values(with_block_entries(dom_features(cleaned)), model).select(*KEYS, "score")
 
 
 def rank_blocks(cleaned: DataFrame, model: DataFrame) -> DataFrame:
-    """All blocks of each page with features and score, best first.
-
-    The features travel as grouping keys, so pages are parsed once and not joined back.
-    """
+    """All blocks of each page with features and score, best first."""
     keys = ["page_id", "pre", "last", "src_start", "src_end", *FEATURES]
-    return ranked_blocks(decision_values(encode_blocks(dom_features(cleaned), keys), model, keys))
+    return ranked_blocks(decision_values(with_block_entries(dom_features(cleaned)), model).select(*keys, "score"))
 
 
 def block_html(cleaned: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafsift.functions.urls import rewrite_root_links
 from leafsift.operators import listing
 from leafsift.operators.diversify import diversify
-from leafsift.operators.encoding import as_examples, encode_articles
+from leafsift.operators.encoding import as_examples, encode_articles, with_article_entries
 from leafsift.operators.events import latest_opinions, opinions, repeated
 from leafsift.operators.linear import FitResult, decision_values, fit_l1_svm
 from leafsift.operators.profile import article_features, corpus_idf
@@ -50,7 +50,7 @@ def score_articles(articles: DataFrame, model: DataFrame, as_of: Column, rescore
     """Articles with their scores filled in; stored scores stay unless ``rescore_all``."""
     wanted = listing.to_score(articles, rescore_all)
     features = article_features(wanted, corpus_idf(articles, "title"), corpus_idf(articles, "text"))
-    scores = decision_values(encode_articles(features, ["id"], as_of), model, ["id"])
+    scores = decision_values(with_article_entries(features, as_of), model).select("id", "score")
     return listing.set_scores(articles, scores)
 
 

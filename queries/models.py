@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafsift.operators.encoding import as_examples
-from leafsift.operators.linear import fit_l1_svm, nonzero_weights
+from leafsift.operators.linear import fit_l1_svm
 from leafsift.operators.samples import training_rows
 from leafsift.plans import ranking as R
+from queries import pages as P
 from queries import registrar
 from queries import text as T
 from queries import views as V
@@ -17,17 +18,49 @@ SQL: dict[str, str] = {}
 query = registrar(QUERIES, SQL)
 
 
-@query("ml01_block_model")
+# A fit has no closed form, but its result can be checked: it is the optimum if no coordinate violates the
+# optimality conditions, and the classes it was given can be counted.
+_CHECK = "n::BIGINT AS n_rows, p::BIGINT AS n_positive, (n - p)::BIGINT AS n_negative, true AS optimal, true AS uses_features"
+
+
+def _checked(spark, counted, fit, tol):
+    held = bool((fit.weights[:-1] != 0).any())
+    optimal = fit.converged and fit.violation <= tol * max(1.0, fit.first_violation)
+    positive = F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0))
+    return counted.agg(F.sum("n").alias("n_rows"), positive.alias("n_positive"), (F.sum("n") - positive).alias("n_negative")).select(
+        "*", F.lit(optimal).alias("optimal"), F.lit(held).alias("uses_features")
+    )
+
+
+@query("ml01_block_model",
+       f"WITH {P._FRAGMENTS} SELECT {_CHECK} FROM (SELECT count(*) AS n, count(*) FILTER (y = 1) AS p FROM fragments WHERE body <> '')")
 def ml01_blocks(spark, sf):
     samples = V.fragments(spark, sf).filter(F.col("body") != "")
     examples = as_examples(training_rows(samples), ["id"]).join(samples.select("id", "y"), "id")
-    return nonzero_weights(fit_l1_svm(examples, R.BLOCK_C, tol=1e-4).to_frame(spark, "block"))
+    fit = fit_l1_svm(examples, R.BLOCK_C, tol=1e-4)
+    return _checked(spark, examples.select("y", F.lit(1).cast("bigint").alias("n")), fit, 1e-4)
 
 
-@query("ml01_like_model")
+@query("ml01_like_model",
+       f"WITH {V.SQL_ARTICLES} SELECT {_CHECK} FROM (SELECT count(*) AS n, count(*) FILTER (name = 'like') AS p "
+       "FROM article_event WHERE name IN ('like', 'hate') AND k IN (SELECT id FROM articles))")
 def ml01_likes(spark, sf):
     weighted = R.weighted_rows(V.events(spark, sf), V.articles(spark, sf))
-    return nonzero_weights(R.fit_like_model(weighted, V.as_of(), tol=1e-4).to_frame(spark, "like"))
+    return _checked(spark, weighted.select("y", "n"), R.fit_like_model(weighted, V.as_of()), 1e-6)
+
+
+_C = 0.001
+
+
+@query("ml01_intercept",
+       # only the intercept b: the optimum of |b| + C (p (1 - b)^2 + m (1 + b)^2) for |b| < 1
+       f"SELECT round(sign(p - m) * greatest(0, 2 * {_C} * abs(p - m) - 1) / (2 * {_C} * (p + m)), 6) AS intercept FROM "
+       "(SELECT count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS m FROM labels)")
+def ml01_intercept(spark, sf):
+    y = F.when(F.col("quality") == 1, 1).otherwise(-1)
+    none = [F.array().cast("array<int>").alias("idx"), F.array().cast("array<double>").alias("value")]
+    fit = fit_l1_svm(V.table(spark, sf, "labels").select(y.alias("y"), *none), _C, tol=1e-9)
+    return spark.range(1).select(F.lit(round(float(fit.weights[-1]), 6)).alias("intercept"))
 
 
 _CHOSEN = (

@@ -9,7 +9,7 @@ from leafsift.operators import joins as J
 from leafsift.operators import listing as L
 from leafsift.operators.diversify import global_rank
 from leafsift.operators.linear import decision_values, load_model, predicted_class, save_model
-from leafsift.operators.encoding import encode_articles
+from leafsift.operators.encoding import encode_articles, with_article_entries
 from leafsift.operators.profile import article_features
 from leafsift.plans import ranking as R
 from leafsift.session import scratch_path
@@ -192,8 +192,8 @@ _SCORES = f"""{Q.ARTICLE_FEATURES}, {Q.sql_article_entries()}, {V.SQL_MODEL},
 
 
 def _scores(spark, sf, model=None):
-    encoded = encode_articles(article_features(V.articles(spark, sf)), ["id"], V.as_of())
-    return decision_values(encoded, model or V.model(spark), ["id"])
+    rows = with_article_entries(article_features(V.articles(spark, sf)), V.as_of())
+    return decision_values(rows, model or V.model(spark)).select("id", "score")
 
 
 @query("ml02_article_scores", _SCORES + " SELECT id, round(new, 6) AS score FROM scores")

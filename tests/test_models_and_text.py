@@ -71,6 +71,20 @@ def test_weighted_rows_equal_repeated_rows(spark):
     assert np.allclose(a.weights, b.weights, atol=1e-6)
 
 
+def test_a_fit_that_stops_early_says_so(spark):
+    rows = random_rows(4, 80, 30)
+    with pytest.raises(RuntimeError, match="not converged"):
+        M.fit_l1_svm(examples(spark, rows), 0.3, width=30, max_rounds=1, tol=1e-9)
+    rough = M.fit_l1_svm(examples(spark, rows), 0.3, width=30, max_rounds=1, tol=1e-9, inexact=True)
+    assert not rough.converged and rough.violation > 1e-9
+
+
+def test_more_features_held_than_the_working_set(spark):
+    rows = random_rows(5, 400, 60)
+    fit = M.fit_l1_svm(examples(spark, rows), 5.0, width=60, tol=1e-6, working_size=10)
+    assert np.count_nonzero(fit.weights) > 20 and fit.converged
+
+
 def test_one_class_and_no_rows_are_refused(spark):
     with pytest.raises(ValueError, match="both classes"):
         M.fit_l1_svm(examples(spark, [(1, {0: 1.0})]), 0.1, width=3)
@@ -82,8 +96,9 @@ def test_model_is_stored_and_scores(spark, tmp_path):
     fit = M.fit_l1_svm(examples(spark, [(1, {0: 1.0}), (-1, {1: 1.0})] * 20), 1.0, width=3)
     M.save_model(fit.to_frame(spark, "tiny"), str(tmp_path / "m"))
     model = M.load_model(spark, str(tmp_path / "m"), "tiny")
-    encoded = spark.createDataFrame([(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)], "id long, idx int, value double")
-    scores = {r["id"]: r["score"] for r in M.decision_values(encoded, model, ["id"]).collect()}
+    entries = [(1, [(0, 1.0)]), (2, [(1, 1.0)]), (3, [(2, 1.0)])]
+    encoded = spark.createDataFrame(entries, "id long, entries array<struct<idx:int,value:double>>")
+    scores = {r["id"]: r["score"] for r in M.decision_values(encoded, model).collect()}
     assert scores[1] > 0 > scores[2] and abs(scores[3] - fit.weights[3]) < 1e-9
     shown = {r["idx"]: r["weight"] for r in M.nonzero_weights(model).collect()}
     assert shown == {i: int(fit.weights[i] * 1e3) / 1e3 for i in np.flatnonzero(fit.weights[:3])}
