@@ -36,31 +36,39 @@ def strip_noise(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, NOISE_ELEMENT, ""), BODY_TAG, "")
 
 
+REPLACEMENT = "\ufffd"
+
+
 def _code_point(number: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(number.cast("bigint")), 8, "0")), "UTF-32")
+    """The character of a numeric reference; numbers that name none give the replacement character."""
+    none = number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    shown = F.when(none, F.lit(ord(REPLACEMENT))).otherwise(number)
+    return F.decode(F.unhex(F.lpad(F.hex(shown), 8, "0")), "UTF-32")
 
 
 def decode_entities(text: Column) -> Column:
-    out = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,6});"), F.lit(1))),
-        text,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), _code_point(n)),
-    )
-    for name, char in NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Character references decoded in one pass from left to right, so nothing is decoded twice.
 
+    Numeric references may be decimal or hexadecimal and of any length; names are those of NAMED_ENTITIES.
+    """
+    names = F.create_map(*[F.lit(x) for pair in {**NAMED_ENTITIES, "&amp;": "&"}.items() for x in pair])
 
-def page_title(html: Column) -> Column:
-    """Text of the first title element, empty if there is none."""
-    return decode_entities(F.coalesce(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1), F.lit("")))
+    def number(part: Column, pattern: str, base: int) -> Column:
+        digits = F.regexp_extract(part, pattern, 1)
+        # more digits than any character has are beyond the range
+        return F.when(F.length(digits) > 8, F.lit(0x110000)).otherwise(F.conv(digits, base, 10).cast("bigint"))
 
+    def decoded(part: Column) -> Column:
+        hexadecimal, decimal = r"^&#[xX]0*([0-9a-fA-F]+);$", r"^&#0*([0-9]+);$"
+        return (
+            F.when(~F.startswith(part, F.lit("&")), part)
+            .when(part.rlike(hexadecimal), _code_point(number(part, hexadecimal, 16)))
+            .when(part.rlike(decimal), _code_point(number(part, decimal, 10)))
+            .otherwise(F.coalesce(F.try_element_at(names, part), part))
+        )
 
-def meta_description(html: Column) -> Column:
-    """``content`` of the first meta element named ``description``, else empty."""
-    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s([^>]*)>"), F.lit(1))
-    named = F.filter(metas, lambda m: attribute(m, "name") == "description")
-    return decode_entities(F.coalesce(attribute(F.try_element_at(named, F.lit(1)), "content"), F.lit("")))
+    parts = F.regexp_extract_all(text, F.lit(r"(&#?[0-9a-zA-Z]+;|[^&]+|&)"), F.lit(1))
+    return F.array_join(F.transform(parts, decoded), "")
 
 
 def page_body(html: Column) -> Column:
@@ -75,12 +83,5 @@ def attribute(attrs: Column, name: str) -> Column:
     return F.when(attrs.rlike(pattern), F.concat(*groups))
 
 
-def anchors(html: Column) -> Column:
-    """``href`` of every link of a page, entity-decoded."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\s([^>]*)>"), F.lit(1))
-    found = F.filter(F.transform(tags, lambda t: attribute(t, "href")), lambda h: h.isNotNull())
-    return F.transform(found, decode_entities)
-
-
 def urls_in_json(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(r"""(?i)https?://[^"'><]+"""), F.lit(0))

@@ -61,6 +61,15 @@ def resolve(base: Column, link: Column) -> Column:
     )
 
 
+def without_fragment(url: Column) -> Column:
+    """The URL of the resource itself: two URLs that differ in their fragment are one page."""
+    return F.regexp_replace(url, r"#.*$", "")
+
+
+def is_http(url: Column) -> Column:
+    return url.rlike(r"^(?i)https?://[^/?#]")
+
+
 def rewrite_root_links(body: Column, link: Column, faithful: bool = False) -> Column:
     """Make root-relative ``src`` and ``href`` values absolute.
 

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from leafsift.functions import html as H
 from leafsift.functions.dates import asctime
+from leafsift.operators.tree import with_page_fields
 
 
 def project_pages(pages: DataFrame, crawled_at: Column, id_col: str = "page_id") -> DataFrame:
-    """``id, title, link, desc, body, date`` of each page; ``crawled_at`` dates them."""
-    return pages.select(
+    """``id, title, link, desc, body, html, date`` of each page; ``crawled_at`` dates them. ``html`` is the page as it came."""
+    return with_page_fields(pages.withColumn("_date", asctime(crawled_at))).select(
         F.col(id_col).alias("id"),
-        H.page_title(F.col("html")).alias("title"),
+        "title",
         F.col("url").alias("link"),
-        H.meta_description(F.col("html")).alias("desc"),
+        F.col("description").alias("desc"),
         H.page_body(F.col("html")).alias("body"),
-        asctime(crawled_at).alias("date"),
+        "html",
+        F.col("_date").alias("date"),
     )
 
 

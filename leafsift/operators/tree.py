@@ -275,6 +275,60 @@ def node_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return source.mapInArrow(_parse_batches, NODE_SCHEMA)
 
 
+# name, and a value in double quotes, single quotes or none
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+
+
+def attribute_map(attrs: str) -> dict[str, str]:
+    """The decoded attributes of a start tag by lower-case name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(attrs):
+        found.setdefault(name.lower(), html_lib.unescape(double or single or bare))
+    return found
+
+
+PAGE_FIELDS = "title string, description string, hrefs array<string>, images array<struct<src:string,data_src:string>>"
+_FIELD_TYPES = (
+    pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("src", pa.string()), ("data_src", pa.string())]))
+)
+
+
+def page_record(source: str) -> tuple[str, str, list[str], list[dict]]:
+    """Title, description, link targets and images of one page, as its tree has them."""
+    rows = page_nodes(source)
+    title = next((r[_PRE] for r in rows if r[_TAG] == "title"), None)
+    text = "".join(r[_TXT] for r in rows if r[_PARENT] == title and r[_TAG] == TEXT) if title is not None else ""
+    description, hrefs, images = None, [], []
+    for row in rows:
+        if row[_TAG] == "meta" and description is None:
+            attrs = attribute_map(row[_ATTRS])
+            if attrs.get("name") == "description":
+                description = attrs.get("content", "")
+        elif row[_TAG] == "a":
+            href = attribute_map(row[_ATTRS]).get("href")
+            if href is not None:
+                hrefs.append(href)
+        elif row[_TAG] == "img":
+            attrs = attribute_map(row[_ATTRS])
+            images.append({"src": attrs.get("src"), "data_src": attrs.get("data-src")})
+    return text, description or "", hrefs, images
+
+
+def with_page_fields(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """Adds ``title, description, hrefs, images`` of every page, read from its tree in one narrow map. A null page has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sources = batch.column(batch.schema.get_field_index(html_col)).to_pylist()
+            found = list(zip(*(page_record(s) if s is not None else ("", "", [], []) for s in sources))) or [[]] * 4
+            columns = [*batch.columns, *(pa.array(list(c), kind) for c, kind in zip(found, _FIELD_TYPES))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "title", "description", "hrefs", "images"])
+
+    plain = pages.drop("title", "description", "hrefs", "images")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return plain.mapInArrow(run, f"{fields}, {PAGE_FIELDS}")
+
+
 def element_html(nodes: DataFrame, pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Source HTML of the given element rows."""
     text = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("_html"))

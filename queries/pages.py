@@ -13,9 +13,9 @@ from leafsift.operators import blocks as B
 from leafsift.operators import links as L
 from leafsift.operators.profile import with_text
 from leafsift.operators.projection import route_by_type
-from leafsift.operators.tree import BLOCK_TAGS, element_html, element_text, node_table, page_text
+from leafsift.operators.tree import BLOCK_TAGS, element_html, element_text, node_table, page_text, with_page_fields
 from leafsift.plans import extract as X
-from leafsift.sources.fixed import ALLOWED_DOMAINS, URL_RULES
+from leafsift.sources.fixed import ALLOWED_DOMAINS, START_URLS, URL_RULES, start_urls, url_rules
 from queries import registrar
 from queries import sql_tree as T
 from queries import views as V
@@ -32,16 +32,13 @@ _RAW_TITLE = r"""regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"""
 
 @query("p01_title", f"SELECT page_id, {T.decode(_RAW_TITLE)} AS title FROM pages")
 def p01(spark, sf):
-    return V.pages(spark, sf).select("page_id", H.page_title(F.col("html")).alias("title"))
+    # The SQL reads the given pages: what was put into them must not change the title.
+    return with_page_fields(V.tricky_pages(spark, sf).select("page_id", "html")).select("page_id", "title")
 
 
-_META = r"""coalesce(regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\s([^>]*)>', 1),
- lambda m: regexp_matches(m, 'name="description"'))[1], 'content="([^"]*)"', 1), '')"""
-
-
-@query("p02_description", f"SELECT page_id, {_META} AS description FROM pages")
+@query("p02_description", "SELECT page_id, 'page ' || page_id || ' &amp; ''q'' > end' AS description FROM pages")
 def p02(spark, sf):
-    return V.pages(spark, sf).select("page_id", H.meta_description(F.col("html")).alias("description"))
+    return with_page_fields(V.tricky_pages(spark, sf).select("page_id", "html")).select("page_id", "description")
 
 
 @query("p03_body", r"SELECT page_id, regexp_extract(html, '(?s)<body>(?:.*</body>|.*)', 0) AS body FROM pages")
@@ -59,15 +56,18 @@ def p04(spark, sf):
     return V.pages(spark, sf).select("page_id", first("h1").alias("heading"), first("h2").alias("subheading"))
 
 
-def _responses(spark, sf) -> DataFrame:
-    kind = (
+def _response_kind():
+    return (
         F.when(F.col("page_id") % 5 == 0, F.lit(None))
         .when(F.col("page_id") % 5 == 1, "image/png")
         .when(F.col("page_id") % 5 == 2, "Application/JSON")
         .when(F.col("page_id") % 5 == 3, "application/json; charset=utf-8")
         .otherwise("text/html")
     )
-    return V.pages(spark, sf).withColumn("content_type", kind)
+
+
+def _responses(spark, sf) -> DataFrame:
+    return V.pages(spark, sf).withColumn("content_type", _response_kind())
 
 
 @query("p05_route",
@@ -88,24 +88,33 @@ def p06(spark, sf):
 
 # ---------------------------------------------------------------- links
 
-_LINKS = r"""
-links AS (
+_GIVEN_LINKS = r"""
+given AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1)) AS href FROM pages
 )"""
+# the given pages' links, and those that were put into every page
+_LINKS = _GIVEN_LINKS + """,
+links AS (
+  SELECT * FROM given
+  UNION ALL SELECT page_id, url, unnest(['/q?x=1&y=' || page_id, '/part#one', '/part#two', 'mailto:a@b.example.com', 'javascript:void(0)']) FROM pages
+)"""
 _ROOT = r"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1)"
-_TARGETS = _LINKS + f", targets AS (SELECT page_id, url, href, {_ROOT} || href AS target FROM links)"
+_TARGETS = (
+    _LINKS + f", targets AS (SELECT page_id, url, href, {_ROOT} || regexp_replace(href, '#.*$', '') AS target FROM links WHERE href NOT LIKE '%:%')"
+)
+_NO_FRAGMENT = "regexp_replace(url, '#.*$', '')"
 _SITE = r"regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)"
 _PATH = r"regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
 @query("u01_links", f"WITH {_LINKS} SELECT page_id, href FROM links")
 def u01(spark, sf):
-    return L.page_links(V.pages(spark, sf)).select("page_id", "href")
+    return L.page_links(V.tricky_pages(spark, sf)).select("page_id", "href")
 
 
 @query("u01_links_by_tree", f"WITH {_LINKS} SELECT page_id, count(*) AS n, min(href) AS lowest, max(href) AS highest FROM links GROUP BY page_id")
 def u01_tree(spark, sf):
-    rows = L.anchor_nodes(V.pages(spark, sf))
+    rows = L.anchor_nodes(V.tricky_pages(spark, sf))
     return rows.groupBy("page_id").agg(F.count("href").alias("n"), F.min("href").alias("lowest"), F.max("href").alias("highest"))
 
 
@@ -117,6 +126,8 @@ def u02(spark, sf):
     return V.pages(spark, sf).select("page_id", F.explode(H.urls_in_json(body)).alias("link"))
 
 
+# the folder above the page's own; the root has none above it
+_PARENT = f"CASE WHEN regexp_matches({_PATH.format('url')}, '/[^/]*/') THEN regexp_replace({_PATH.format('url')}, '[^/]*/[^/]*$', '') ELSE '/' END"
 _FORMS = ["/a/./b/../c", "//other.example.com/x", "?q=1", "#part", "https://abs.example.org/z?y"]
 
 
@@ -124,9 +135,10 @@ _FORMS = ["/a/./b/../c", "//other.example.com/x", "?q=1", "#part", "https://abs.
        f"""SELECT page_id, {_ROOT} || '/a/c' AS r0, regexp_extract(url, '^([a-z]+):', 1) || '://other.example.com/x' AS r1,
  regexp_replace(regexp_replace(url, '#.*$', ''), '\\?.*$', '') || '?q=1' AS r2, regexp_replace(url, '#.*$', '') || '#part' AS r3,
  'https://abs.example.org/z?y' AS r4,
- {_ROOT} || regexp_replace({_PATH.format("url")}, '[^/]*$', '') || 'up/x.html' AS r5 FROM pages""")
+ {_ROOT} || regexp_replace({_PATH.format("url")}, '[^/]*$', '') || 'up/x.html' AS r5,
+ {_ROOT} || {_PARENT} || 'up/x.html' AS r6, {_ROOT} || {_PARENT} || 'b?c' AS r7 FROM pages""")
 def u03(spark, sf):
-    forms = [*_FORMS, "../" * 0 + "./up/x.html"]
+    forms = [*_FORMS, "./up/x.html", "../up/./x.html", "a/../../b?c"]
     return V.pages(spark, sf).select(
         "page_id", *[U.resolve(F.col("url"), F.lit(f)).alias(f"r{i}") for i, f in enumerate(forms)]
     )
@@ -183,9 +195,9 @@ def u05(spark, sf):
 
 @query("u06_unseen",
        f"WITH {_TARGETS} SELECT DISTINCT target FROM targets WHERE target NOT IN "
-       f"(SELECT {_ROOT} || '/de' FROM pages UNION ALL SELECT url FROM pages)")
+       f"(SELECT {_ROOT} || '/de' FROM pages UNION ALL SELECT {_NO_FRAGMENT} FROM pages) UNION ALL SELECT unnest(['mailto:a@b.example.com', 'javascript:void(0)'])")
 def u06(spark, sf):
-    p = V.pages(spark, sf)
+    p = V.tricky_pages(spark, sf)
     seen = p.select(U.resolve(F.col("url"), F.lit("/de")).alias("url")).unionByName(p.select("url"))
     return L.not_seen(L.resolve_links(L.page_links(p)).select("target"), seen)
 
@@ -210,12 +222,37 @@ def u08(spark, sf):
     )
 
 
+_DOMAINS = ["example.net", "example.org"]
+# JSON bodies name one URL under the page's host and one elsewhere
+_JSON = f"""json AS (
+  SELECT page_id, unnest([{_ROOT} || '/json/' || page_id % 7, 'https://other.example.com/x']) AS target FROM pages WHERE page_id % 5 = 2
+)"""
+
+
 @query("u09_frontier",
-       f"WITH {_TARGETS} SELECT target, count(*) AS n_links, min(page_id) AS first_page FROM targets "
-       f"WHERE target NOT IN (SELECT url FROM pages) GROUP BY target")
+       f"WITH {_TARGETS}, {_JSON}, found AS (SELECT page_id, target FROM targets WHERE page_id % 5 > 2 UNION ALL SELECT page_id, target FROM json) "
+       f"SELECT target, count(*) AS n_links, min(page_id) AS first_page FROM found WHERE target NOT IN (SELECT {_NO_FRAGMENT} FROM pages) "
+       f"AND ({_SITE.format('target')} LIKE '%.example.net' OR {_SITE.format('target')} LIKE '%.example.org') GROUP BY target")
 def u09(spark, sf):
-    p = V.pages(spark, sf)
-    return L.frontier(p, URL_RULES, seen=p.select("url"))
+    p = V.tricky_pages(spark, sf)
+    root = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    body = F.concat(F.lit('{"u": "'), root, F.lit("/json/"), (F.col("page_id") % 7).cast("string"), F.lit('#top", "v": ["https://other.example.com/x"]}'))
+    kind = _response_kind()
+    responses = p.withColumn("content_type", kind).withColumn("html", F.when(F.lower(kind) == "application/json", body).otherwise(F.col("html")))
+    return L.frontier(responses, URL_RULES, _DOMAINS, seen=p.select("url"))
+
+
+@query("s18_page_rules",
+       f"SELECT page_id, s AS seed, d AS domain FROM (SELECT page_id, {_SITE.format('u')} AS h FROM (SELECT page_id, {_SQL_RULE_URL} AS u FROM pages)) "
+       f"LEFT JOIN (SELECT min(x) AS s, regexp_extract(x, '^[a-z]+://([^/?#]*)', 1) AS sh FROM (SELECT unnest({START_URLS!r}) AS x) GROUP BY 2) ON h = 'm.' || sh "
+       f"LEFT JOIN (SELECT unnest({[d for d, _ in URL_RULES]!r}) AS d) ON h = 'm.' || d")
+def s18(spark, sf):
+    """Which seed and which rule the page hosts fall under, by joins with the seed tables."""
+    host = F.regexp_replace(U.host(_rule_url()), r"^m\.", "")
+    rows = V.pages(spark, sf).select("page_id", host.alias("host"))
+    seeds = start_urls(spark).groupBy(U.host(F.col("url")).alias("host")).agg(F.min("url").alias("seed"))
+    rules = url_rules(spark).select(F.col("domain").alias("host"), "domain")
+    return rows.join(seeds, "host", "left").join(rules, "host", "left").select("page_id", "seed", "domain")
 
 
 @query("u10_images",
@@ -302,13 +339,14 @@ def h11_nodes(spark, sf):
     return page_text(node_table(V.cleaned(spark, sf))).select("page_id", "text")
 
 
-_FOOTER = r"regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)"
+# every kind of reference, and what must stay or be decoded once only
+_REFERENCES = "a&#x27;b &#38;lt; &amp;lt; &#128512; &#x1F600; &#0; &#55296; &#1114112; &#00000000065; &unknown; &amp &quot;"
+_DECODED = "a''b &lt; &lt; 😀 😀 \ufffd \ufffd \ufffd A &unknown; &amp \""
 
 
-@query("h12_entities", f"SELECT page_id, {T.decode(_FOOTER)} AS text FROM pages")
+@query("h12_entities", f"SELECT page_id, {T.decode('html')} || '{_DECODED}' AS text FROM pages")
 def h12(spark, sf):
-    footer = F.regexp_extract("html", "(?s)<footer>(.*?)</footer>", 1)
-    return V.pages(spark, sf).select("page_id", H.decode_entities(footer).alias("text"))
+    return V.pages(spark, sf).select("page_id", H.decode_entities(F.concat("html", F.lit(_REFERENCES))).alias("text"))
 
 
 # ---------------------------------------------------------------- block features
@@ -364,10 +402,12 @@ def f24(spark, sf):
 
 # ---------------------------------------------------------------- block choice
 
+# Slot order of the dense block features, for comparison with the engine's.
 SLOTS_SQL = (
-    "f_p_n f_tag_n f_h_n f_np_n f_text_n f_img_n f_a_n f_form_element_n f_element_maxtextlen f_none_n f_side_n "
-    "f_main_n f_child_div_n f_child_p_n f_link_density f_nav_n f_li_n f_li_a_n f_h1_n f_dom_depth f_depth_to_p"
-).split()
+    "f_p_n", "f_tag_n", "f_h_n", "f_np_n", "f_text_n", "f_img_n", "f_a_n", "f_form_element_n", "f_element_maxtextlen",
+    "f_none_n", "f_side_n", "f_main_n", "f_child_div_n", "f_child_p_n", "f_link_density", "f_nav_n", "f_li_n", "f_li_a_n",
+    "f_h1_n", "f_dom_depth", "f_depth_to_p",
+)
 
 
 def sql_scaled(name: str) -> str:
@@ -441,7 +481,7 @@ def h09(spark, sf):
 
 
 def _rss_html(spark, sf) -> DataFrame:
-    return V.rss(spark, sf).join(V.pages(spark, sf).select(F.col("page_id").alias("id"), "html"), "id")
+    return V.rss(spark, sf)
 
 
 @query("h10_articles",

@@ -28,6 +28,26 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages")
 
 
+# Markup that a search by pattern misreads: a comment, a script and a quoted ">" around links, titles and descriptions.
+TRICKY_HEAD = (
+    '<!-- <title>gone</title><meta name="description" content="gone"> -->'
+    '<meta name="description" content="page {id} &amp;amp; &#39;q&#x27; > end">'
+)
+TRICKY_BODY = (
+    '<!-- <a href="/gone"> <img src="/gone.png"> --><script>var x = \'<a href="/js">\';</script>'
+    '<a title="a>b" href="/q?x=1&amp;y={id}">q</a><a href="/part#one">1</a><a href=\'/part#two\'>2</a>'
+    '<a href="mailto:a@b.example.com">m</a><a href="javascript:void(0)">j</a><a name="none">n</a>'
+)
+
+
+def tricky_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The given pages with such markup put into every head and body."""
+    n = F.col("page_id").cast("string")
+    filled = lambda text: F.replace(F.lit(text), F.lit("{id}"), n)
+    html = F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), filled(TRICKY_HEAD)))
+    return pages(spark, sf).withColumn("html", F.replace(html, F.lit("<body>"), F.concat(F.lit("<body>"), filled(TRICKY_BODY))))
+
+
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return clean_pages(pages(spark, sf))
 

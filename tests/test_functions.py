@@ -5,6 +5,7 @@ from urllib.parse import urljoin, urlparse
 import pytest
 from pyspark.sql import functions as F
 
+from leafsift.operators.tree import with_page_fields
 from leafsift.functions import dates, hashing, html, text, urls
 
 
@@ -57,13 +58,23 @@ def test_strip_noise_pairs_different_names_and_any_case(spark):
     assert row == ("abdf",)
 
 
-def test_page_fields(spark):
+def test_entities_are_decoded_once_from_left_to_right(spark):
+    rows = [("a&#x27;b &#X41;", "a'b A"), ("&#38;lt; &amp;amp;", "&lt; &amp;"), ("&#0;&#55296;&#99999999999;", "\ufffd" * 3), ("&nope; & &;", "&nope; & &;"), (None, None)]
+    assert [g[0] for g in values(spark, [(r[0],) for r in rows], "t string", html.decode_entities(F.col("t")))] == [r[1] for r in rows]
+
+
+def test_page_fields_come_from_the_tree(spark):
     page = (
-        '<html><head><title>A &amp; B</title><meta name="keywords" content="k"><meta content=\'d\' name="description">'
-        "</head><body id=1>x</body></html>"
+        "<html><head><!-- <title>no</title> --><title>A &amp; B</title><meta name=\"keywords\" content=\"k\"><meta content='d' name=\"description\">"
+        "</head><body id=1><script>var x = '<a href=\"/js\">';</script><a title=\"a>b\" href='/q?x=1&amp;y=2'>x</a><img SRC=i.png src=j.png></body></html>"
     )
-    got = values(spark, [(page,), ("plain",)], "t string", html.page_title(F.col("t")), html.meta_description(F.col("t")), html.page_body(F.col("t")))
-    assert got == [("A & B", "d", "<body id=1>x</body>"), ("", "", "")]
+    rows = spark.createDataFrame([(1, page), (2, "plain"), (3, None)], "page_id long, html string")
+    got = {r["page_id"]: r for r in with_page_fields(rows).collect()}
+    assert (got[1]["title"], got[1]["description"], got[1]["hrefs"]) == ("A & B", "d", ["/q?x=1&y=2"])
+    assert [(i["src"], i["data_src"]) for i in got[1]["images"]] == [("i.png", None)]
+    assert all((got[i]["title"], got[i]["description"], got[i]["hrefs"], got[i]["images"]) == ("", "", [], []) for i in (2, 3))
+    (row,) = values(spark, [(page,)], "t string", html.page_body(F.col("t")))
+    assert row[0].startswith("<body id=1>") and row[0].endswith("</body>")
 
 
 def test_attribute_forms(spark):
