@@ -1,10 +1,11 @@
 """Greedy diversification: keep a row unless it resembles a better kept one.
 
 The loop over rows is replaced by rounds over blocks. A round takes the best rows
-still open (a block of bounded size), settles them among themselves in order, and
-one narrow pass drops every open row that resembles a row just kept. No pair of
+still open (a block of bounded size), settles them among themselves in order in one task, and
+one narrow pass drops every open row that resembles a row kept lately. No pair of
 open rows is ever compared, nothing is shuffled but the choice of the block, and
-the result is that of the row-by-row loop.
+the result is that of the row-by-row loop. Kept rows are a stored table; only those of the
+last rounds, at most ``budget`` vector entries, are held by the driver and sent to the tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafsift.session import cut
+from leafsift.session import cut, scratch_path
 
 VECTOR_ROWS = "score double, id bigint, terms array<string>, weights array<double>"
 _CELLS = 4_000_000  # similarity cells and postings held at once in a task
@@ -27,19 +28,28 @@ class KeptVectors:
     """Word postings of a few kept rows, for similarity with many others."""
 
     def __init__(self, terms: list[list[str]], weights: list[list[float]]) -> None:
+        self._index(pa.array(terms, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64())))
+
+    @classmethod
+    def of(cls, terms: pa.ListArray, weights: pa.ListArray) -> KeptVectors:
+        found = cls.__new__(cls)
+        found._index(terms, weights)
+        return found
+
+    def _index(self, terms: pa.ListArray, weights: pa.ListArray) -> None:
         self.count = len(terms)
-        flat = [t for ts in terms for t in ts]
-        owner = np.repeat(np.arange(self.count), [len(t) for t in terms])
-        weight = np.array([w for ws in weights for w in ws], dtype=float)
-        vocabulary, place = np.unique(np.array(flat, dtype=object), return_inverse=True)
+        owner = np.repeat(np.arange(self.count), terms.value_lengths().to_numpy(zero_copy_only=False))
+        weight = weights.flatten().to_numpy(zero_copy_only=False).astype(float)
+        found = terms.flatten().dictionary_encode()
+        place = found.indices.to_numpy(zero_copy_only=False)
         order = np.argsort(place, kind="stable")
-        self.words = pa.array(list(vocabulary), pa.string())
-        self.start = np.searchsorted(place[order], np.arange(len(vocabulary) + 1))
+        self.words = found.dictionary.cast(pa.string())
+        self.start = np.searchsorted(place[order], np.arange(len(self.words) + 1))
         self.owner, self.weight = owner[order], weight[order]
 
     def similarities(self, terms: pa.ListArray, weights: pa.ListArray) -> Iterator[np.ndarray]:
         """Cosines of consecutive rows (rows x kept), a bounded number of cells at a time."""
-        sizes = np.diff(terms.offsets.to_numpy())
+        sizes = terms.value_lengths().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(terms)), sizes)
         found = pc.index_in(terms.flatten(), value_set=self.words)
         hit = found.is_valid().to_numpy(zero_copy_only=False)
@@ -76,56 +86,158 @@ def _columns(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.ListArray]:
     return batch.column(batch.schema.get_field_index("terms")), batch.column(batch.schema.get_field_index("weights"))
 
 
-def _settle(rows: list, threshold: float) -> list:
-    """The row-by-row rule within one block."""
-    terms, weights = [r["terms"] for r in rows], [r["weights"] for r in rows]
-    lists = pa.array(terms, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))
-    between = np.concatenate(list(KeptVectors(terms, weights).similarities(*lists)))
-    kept: list[int] = []
-    for i in range(len(rows)):
-        if not kept or between[i, kept].max() < threshold:
-            kept.append(i)
-    return [rows[i] for i in kept]
+def _settle(rows: pa.Table, threshold: float, budget: int) -> pa.Table:
+    """The row-by-row rule within one block: rows by score and id, as many as have ``budget`` entries (one at least)."""
+    rows = rows.sort_by([("score", "descending"), ("id", "ascending")]).combine_chunks()
+    sizes = pc.list_value_length(rows.column("terms")).to_numpy()
+    rows = rows.slice(0, max(1, int(np.searchsorted(np.cumsum(sizes), budget, side="right"))))
+    terms, weights = (rows.column(c).combine_chunks() for c in ("terms", "weights"))
+    between = np.concatenate(list(KeptVectors.of(terms, weights).similarities(terms, weights)))
+    open_ = np.ones(rows.num_rows, dtype=bool)
+    kept = np.zeros(rows.num_rows, dtype=bool)
+    for i in range(rows.num_rows):
+        if open_[i]:
+            kept[i] = True
+            open_ &= between[i] < threshold
+    return rows.append_column("kept", pa.array(kept))
+
+
+def _kept_vectors(parts: list[pa.Table]) -> KeptVectors:
+    rows = pa.concat_tables(parts).combine_chunks()
+    return KeptVectors.of(rows.column("terms").combine_chunks(), rows.column("weights").combine_chunks())
+
+
+def _entries(rows: pa.Table) -> int:
+    return pc.sum(pc.list_value_length(rows.column("terms"))).as_py() or 0
+
+
+def _unlike(kept: KeptVectors, threshold: float):
+    """Keeps the rows of a batch that resemble none of ``kept``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(kept.best(*_columns(batch)) < threshold))
+
+    return run
 
 
 def diversify(
-    ranked: DataFrame, top: int, threshold: float = 0.05, block: int = 256, budget: int = 2_000_000
+    ranked: DataFrame, top: int | None = None, threshold: float = 0.05, block: int = 4096, budget: int = 2_000_000, vectors: bool = False
 ) -> DataFrame:
     """``rank, score, id`` of the kept rows of ``ranked(score, id, terms, weights)``.
 
-    Rows are taken by score, then id. ``block`` rows with at most ``budget`` vector
-    entries (one row at least) are settled per round; ``top`` bounds the result.
+    Rows are taken by score, then id. A round settles at most ``block`` rows with at most ``budget``
+    vector entries (one row at least). Without ``top`` every row is settled. ``vectors`` adds terms and weights.
+    Jobs run while the frame is built; the open rows are written again only when
+    the rows dropped or the vectors held make it worth while.
     """
     spark = ranked.sparkSession
-    pending = cut(
-        ranked.select(
-            F.col("score").cast("double"), F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>")
-        )
-    )
+    rows = ranked.select(F.col("score").cast("double"), F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"))
+    pending = cut(rows)
     order = [F.desc("score"), F.asc("id")]
-    chosen: list[tuple[float, int]] = []
-    size = 32  # the first few rows kept drop most of the rest
-    while len(chosen) < top:
-        heads = pending.select("score", "id", F.size("terms").alias("n")).orderBy(*order).limit(size).collect()
-        if not heads:
+    path = scratch_path(spark, "diversified")
+    held: list[pa.Table] = []  # kept rows whose like are still among ``pending``
+    beyond = F.lit(True)
+    count = number = 0
+    left = pending.count()
+    size = min(32, block)  # the first few rows kept drop most of the rest
+    while top is None or count < top:
+        open_ = pending.filter(beyond)
+        if held:
+            open_ = open_.mapInArrow(_unlike(_kept_vectors(held), threshold), VECTOR_ROWS)
+        lead = open_.orderBy(*order).limit(size).coalesce(1)
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = [b for b in batches if b.num_rows]
+            if found:
+                yield from _settle(pa.Table.from_batches(found), threshold, budget).to_batches()
+
+        settled = lead.mapInArrow(settle, VECTOR_ROWS + ", kept boolean").toArrow()  # at most ``size`` rows, ``budget`` entries
+        if not settled.num_rows:
             break
-        total = np.cumsum([h["n"] for h in heads])
-        heads = heads[: max(1, int(np.searchsorted(total, budget, side="right")))]
-        last = heads[-1]
+        fresh = settled.filter(settled.column("kept")).drop(["kept"])
+        spark.createDataFrame(fresh, VECTOR_ROWS).write.parquet(f"{path}/round={number}")
+        number, count = number + 1, count + fresh.num_rows
+        last = settled.slice(settled.num_rows - 1).to_pylist()[0]
         beyond = (F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("id") > last["id"]))
-        lead = pending.filter(~beyond).orderBy(*order).collect()
-        fresh = _settle(lead, threshold)
-        chosen.extend((r["score"], r["id"]) for r in fresh)
-        kept = KeptVectors([r["terms"] for r in fresh], [r["weights"] for r in fresh])
-
-        def drop(batches: Iterator[pa.RecordBatch], kept: KeptVectors = kept) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(kept.best(*_columns(batch)) < threshold))
-
-        pending = cut(pending.filter(beyond).mapInArrow(drop, VECTOR_ROWS))
-        size = min(size * 2, block)
-    rows = [(i + 1, score, id_) for i, (score, id_) in enumerate(chosen[:top])]
-    return spark.createDataFrame(rows, "rank int, score double, id bigint")
+        held.append(fresh)
+        if number <= 2 or sum(map(_entries, held)) > budget:
+            narrowed = pending.filter(beyond).mapInArrow(_unlike(_kept_vectors(held), threshold), VECTOR_ROWS)
+            pending, held, beyond = cut(narrowed), [], F.lit(True)
+            now = pending.count()
+            size = min(size * 2, block) if now < left / 2 else block
+            left = now
+        else:
+            size = min(size * 2, block)
+    if not number:
+        return spark.createDataFrame([], "rank int, score double, id bigint" + (", terms array<string>, weights array<double>" if vectors else ""))
+    kept = spark.read.schema(VECTOR_ROWS).option("recursiveFileLookup", "true").parquet(path)
+    kept = global_rank(kept, *order).filter(F.lit(True) if top is None else F.col("rank") <= top)
+    return kept.select(F.col("rank").cast("int").alias("rank"), "score", "id", *(["terms", "weights"] if vectors else []))
+
+
+def similar_to(rows: DataFrame, kept: DataFrame, threshold: float, budget: int = 2_000_000) -> DataFrame:
+    """``id, target, similarity`` of every row of ``rows(id, terms, weights)`` to the rows of ``kept`` it resembles at least that much.
+
+    ``kept(rank, id, terms, weights)`` is taken in parts of at most ``budget`` entries; each is one
+    narrow pass over the rows, so pairs below the threshold are never shuffled. Jobs run while the frame is built.
+    """
+    found = None
+    for part in parts_of(kept, budget):
+        near = _near(part, threshold)
+        one = rows.select("id", "terms", "weights").mapInArrow(near, "id bigint, target bigint, similarity double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "id bigint, target bigint, similarity double")
+    return found
+
+
+def best_similarity(rows: DataFrame, kept: DataFrame, budget: int = 2_000_000) -> DataFrame:
+    """``id, similarity``: the highest cosine of every row to any row of ``kept``."""
+    found = None
+    for part in parts_of(kept, budget):
+        one = rows.select("id", "terms", "weights").mapInArrow(_highest(part), "id bigint, similarity double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return rows.select("id", F.lit(0.0).alias("similarity"))
+    return found.groupBy("id").agg(F.max("similarity").alias("similarity"))
+
+
+def parts_of(kept: DataFrame, budget: int) -> Iterator[pa.Table]:
+    """The kept rows in the order of their rank, in parts of at most ``budget`` entries (one row at least)."""
+    sizes = cut(kept.select("rank", "id", "terms", "weights"))
+    reach = Window.partitionBy("_slice").orderBy("rank")
+    # rows of one slice of ranks: their number is bounded, and so is what the window holds
+    sliced = sizes.withColumn("_slice", F.floor((F.col("rank") - 1) / 4096)).withColumn("_n", F.size("terms"))
+    placed = sliced.withColumn("_part", F.floor((F.sum("_n").over(reach) - F.col("_n")) / budget))
+    for key in placed.select("_slice", "_part").distinct().orderBy("_slice", "_part").toLocalIterator():
+        mine = placed.filter((F.col("_slice") == key["_slice"]) & (F.col("_part") == key["_part"]))
+        yield mine.select("id", "terms", F.col("weights").cast("array<double>")).orderBy("id").toArrow()
+
+
+def _near(part: pa.Table, threshold: float):
+    kept, ids = _kept_vectors([part]), part.column("id").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, first = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for cells in kept.similarities(*_columns(batch)):
+                row, target = np.nonzero(cells >= threshold)
+                columns = [pa.array(own[first + row]), pa.array(ids[target]), pa.array(cells[row, target])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "target", "similarity"])
+                first += len(cells)
+
+    return run
+
+
+def _highest(part: pa.Table):
+    kept = _kept_vectors([part])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept.best(*_columns(batch)))], ["id", "similarity"])
+
+    return run
 
 
 def global_rank(df: DataFrame, *order, partitions: int | None = None) -> DataFrame:

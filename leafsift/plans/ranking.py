@@ -55,9 +55,12 @@ def score_articles(articles: DataFrame, model: DataFrame, as_of: Column, rescore
 
 
 def daily_list(
-    articles: DataFrame, as_of: Column, top: int = 5000, threshold: float = 0.05, html: bool = True
+    articles: DataFrame, as_of: Column, top: int | None = 5000, threshold: float = 0.05, html: bool = True
 ) -> DataFrame:
-    """``rank, score, id, title, link, body, date``: recent well-scored articles without near repeats."""
+    """``rank, score, id, title, link, body, date``: recent well-scored articles without near repeats.
+
+    Jobs run while the frame is built.
+    """
     chosen = listing.candidates(articles, as_of)
     vectors = tfidf_vectors(chosen, "id", "text").join(chosen.select("id", "score"), "id")
     # A text without words is like nothing, so it is always kept.
@@ -67,5 +70,5 @@ def daily_list(
     kept = diversify(ranked, top, threshold).select("rank", "id")
     body = rewrite_root_links(F.col("body"), F.col("link")) if html else F.col("body")
     shown = chosen.select("id", "score", "title", "link", body.alias("body"), "date")
-    # ``kept`` holds at most ``top`` rows.
-    return shown.join(F.broadcast(kept), "id").select("rank", "score", "id", "title", "link", "body", "date")
+    # ``kept`` holds at most ``top`` rows; without that bound it is not small.
+    return shown.join(kept if top is None else F.broadcast(kept), "id").select("rank", "score", "id", "title", "link", "body", "date")

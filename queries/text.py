@@ -8,7 +8,7 @@ from leafsift.functions.text import keyword_csv, words
 from leafsift.operators import keywords as K
 from leafsift.operators import profile as R
 from leafsift.operators import vectors as W
-from leafsift.operators.diversify import diversify
+from leafsift.operators.diversify import best_similarity, diversify, similar_to
 from leafsift.plans.tagging import tag_articles
 from leafsift.session import cut
 from queries import encoding as E
@@ -209,49 +209,42 @@ kept AS (
 _KEPT = f"WITH {V.SQL_ARTICLES}, {sql_vectors()}, {sql_kept('SELECT id, coalesce(score, 0) AS score FROM articles WHERE id IN (SELECT id FROM vec)')}"
 
 
-def _kept(spark, sf, top=5000):
+def _kept(spark, sf):
     ranked = cut(ranked_documents(spark, sf))
-    return ranked, diversify(ranked.select("score", "id", "terms", "weights"), top)
+    return ranked, cut(diversify(ranked.select("score", "id", "terms", "weights"), vectors=True))
 
 
 @query("ml06_diversified", _KEPT + " SELECT rank, id, score FROM kept")
 def ml06(spark, sf):
-    return _kept(spark, sf)[1].select(F.col("rank").cast("bigint").alias("rank"), "id", "score")
+    rows = diversify(ranked_documents(spark, sf).select("score", "id", "terms", "weights"))
+    return rows.select(F.col("rank").cast("bigint").alias("rank"), "id", "score")
 
 
 _TO_KEPT = _KEPT + """, sims AS (SELECT a.id, k.id AS target, k.place AS target_place, sum(a.weight * b.weight) AS similarity
  FROM kept k JOIN vec b ON b.id = k.id JOIN vec a ON a.word = b.word GROUP BY a.id, k.id, k.place)"""
 
 
-def _similarity(spark, sf):
-    ranked, kept = _kept(spark, sf)
-    entries = W.vector_entries(ranked)
-    # ``kept`` holds at most ``top`` rows.
-    targets = entries.join(F.broadcast(kept.select("id")), "id").withColumnRenamed("id", "target")
-    return ranked, kept, W.cosine_to(entries, targets)
-
-
-@query("t08_cosine_to_kept", _TO_KEPT + " SELECT id, target, round(similarity, 6) AS similarity FROM sims")
+@query("t08_cosine_to_kept", _TO_KEPT + " SELECT id, target, round(similarity, 6) AS similarity FROM sims WHERE similarity >= 0.05")
 def t08(spark, sf):
-    return _similarity(spark, sf)[2].select("id", "target", F.round("similarity", 6).alias("similarity"))
+    rows = similar_to(*_kept(spark, sf), 0.05)
+    return rows.select("id", "target", F.round("similarity", 6).alias("similarity"))
 
 
 @query("j08_similar_to_better",
        _TO_KEPT + " SELECT s.id, s.target, round(similarity, 6) AS similarity FROM sims s JOIN ordered o USING (id) "
        "WHERE o.place > s.target_place AND similarity >= 0.05")
 def j08(spark, sf):
-    ranked, kept, sims = _similarity(spark, sf)
+    ranked, kept = _kept(spark, sf)
     mine = ranked.select("id", "score")
-    theirs = F.broadcast(kept.select(F.col("id").alias("target"), F.col("score").alias("_s")))
+    theirs = kept.select(F.col("id").alias("target"), F.col("score").alias("_s"))
     worse = (F.col("score") < F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("id") > F.col("target")))
-    rows = sims.filter(F.col("similarity") >= 0.05).join(mine, "id").join(theirs, "target").filter(worse)
+    rows = similar_to(ranked, kept, 0.05).join(mine, "id").join(theirs, "target").filter(worse)
     return rows.select("id", "target", F.round("similarity", 6).alias("similarity"))
 
 
 @query("a06_best_similarity", _TO_KEPT + " SELECT id, round(max(similarity), 6) AS similarity FROM sims GROUP BY id")
 def a06(spark, sf):
-    best = _similarity(spark, sf)[2].groupBy("id").agg(F.max("similarity").alias("similarity"))
-    return best.select("id", F.round("similarity", 6).alias("similarity"))
+    return best_similarity(*_kept(spark, sf)).select("id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("t09_keyword_csv",

@@ -81,7 +81,7 @@ def test_a_fit_that_stops_early_says_so(spark):
 
 def test_more_features_held_than_the_working_set(spark):
     rows = random_rows(5, 400, 60)
-    fit = M.fit_l1_svm(examples(spark, rows), 5.0, width=60, tol=1e-6, working_size=10)
+    fit = M.fit_l1_svm(examples(spark, rows), 1.0, width=60, tol=1e-3, working_size=16)
     assert np.count_nonzero(fit.weights) > 20 and fit.converged
 
 
@@ -142,6 +142,37 @@ def test_diversified_equals_the_loop(spark, block, budget):
     assert [(r["score"], r["id"]) for r in top] == want[:5]
 
 
+def test_more_than_five_thousand_kept_rows_equal_the_loop(spark):
+    """No limit: nearly every row has a word of its own; every seventh repeats the row seven before."""
+    rows = []
+    for i in range(6500):
+        words = {f"own{i}": 1.0} if i % 7 else {f"own{max(0, i - 6)}": 1.0}
+        rows.append((float(i % 100), i, words))
+    got = D.diversify(vectors(spark, rows), threshold=0.5, budget=3000).orderBy("rank").collect()
+    seen, want = set(), []
+    for score, id_, words in sorted(rows, key=lambda r: (-r[0], r[1])):  # equal words or none in common
+        if not words.keys() & seen:
+            seen |= words.keys()
+            want.append((score, id_))
+    assert [(r["score"], r["id"]) for r in got] == want and len(want) > 5000
+    assert [r["rank"] for r in got] == list(range(1, len(want) + 1))
+
+
+def test_similarities_to_kept_rows_in_parts(spark):
+    rows = random_vectors(6, 60, 25, 6)
+    by_id = {i: v for _, i, v in rows}
+    frame = vectors(spark, rows)
+    kept = frame.filter("id < 20").withColumn("rank", (F.col("id") + 1).cast("int"))
+    cosine = lambda a, b: sum(w * by_id[b].get(t, 0) for t, w in by_id[a].items())
+    for budget in (7, 10_000):
+        near = {(r["id"], r["target"]): r["similarity"] for r in D.similar_to(frame, kept, 0.3, budget).collect()}
+        want = {(i, k): cosine(i, k) for i in by_id for k in range(20) if cosine(i, k) >= 0.3}
+        assert near.keys() == want.keys() and all(abs(near[p] - want[p]) < 1e-12 for p in want)
+        best = {r["id"]: r["similarity"] for r in D.best_similarity(frame, kept, budget).collect()}
+        assert all(abs(best[i] - max(cosine(i, k) for k in range(20))) < 1e-12 for i in by_id)
+    assert D.similar_to(frame, kept.limit(0), 0.3).count() == 0
+
+
 def test_chain_keeps_both_ends(spark):
     rows = [(3.0, 1, {"x": 1.0}), (2.0, 2, {"x": 0.6, "y": 0.8}), (1.0, 3, {"y": 1.0})]
     kept = D.diversify(vectors(spark, rows), top=10, threshold=0.5).collect()
