@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,40 +70,55 @@ def cooccurrence_edges(docs: DataFrame, id_col: str, tokens: Column, span: int)
     return rows.select("id", F.inline(both)).groupBy("id", "src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _rank_words(tokens: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of one document and their rank after a fixed number of rounds."""
-    vocabulary, at = np.unique(tokens, return_inverse=True)
-    n = len(vocabulary)
-    left = np.concatenate([at[:-gap] for gap in range(1, min(span, len(at)))])
-    right = np.concatenate([at[gap:] for gap in range(1, min(span, len(at)))])
-    src, dst = np.concatenate([left, right]), np.concatenate([right, left])
-    out = np.bincount(src, minlength=n)
-    score = np.full(n, 1.0 / n)
+def _rank_words(doc: np.ndarray, word: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word, rank) of the words of many documents after a fixed number of rounds.
+
+    ``doc`` and ``word`` number the documents and words of all tokens in order; ``width`` is the span of each document.
+    """
+    nodes, at = np.unique(doc * (int(word.max(initial=0)) + 1) + word, return_inverse=True)
+    owner = nodes // (int(word.max(initial=0)) + 1)
+    left, right = [], []
+    for gap in range(1, int(width.max(initial=1))):
+        near = np.flatnonzero((doc[:-gap] == doc[gap:]) & (width[doc[gap:]] > gap))
+        left.append(at[near])
+        right.append(at[near + gap])
+    src, dst = np.concatenate([*left, *right]), np.concatenate([*right, *left])
+    out = np.bincount(src, minlength=len(nodes))
+    score = 1.0 / np.bincount(owner)[owner]
     for _ in range(RANK_ROUNDS):
-        score = (1 - DAMPING) + DAMPING * np.bincount(dst, weights=score[src] / out[src], minlength=n)
-    return vocabulary, score
+        score = (1 - DAMPING) + DAMPING * np.bincount(dst, weights=score[src] / out[src], minlength=len(nodes))
+    return owner, nodes % (int(word.max(initial=0)) + 1), score
 
 
 def _rank_batches(k: int):
-    schema = pa.schema([("id", pa.int64()), ("word", pa.string()), ("weight", pa.float64()), ("rank", pa.int32()), ("span", pa.int32())])
+    names = ["id", "word", "weight", "rank", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, names, weights, ranks, spans = [], [], [], [], []
-            for doc, tokens, span in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if len(tokens) < 2:
-                    continue
-                vocabulary, score = _rank_words(np.array(tokens, dtype=object), span)
-                score = np.round(score, 9)
-                best = np.lexsort((np.arange(len(vocabulary)), -score))[:k]
-                ids += [doc] * len(best)
-                names += list(vocabulary[best])
-                weights += list(score[best])
-                ranks += range(1, len(best) + 1)
-                spans += [span] * len(best)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip((ids, names, weights, ranks, spans), schema)], schema=schema
-            )
+            lists = batch.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            long_ = np.flatnonzero(sizes >= 2)
+            batch = batch.take(pa.array(long_))
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            found = lists.flatten().dictionary_encode()
+            doc = np.repeat(np.arange(len(long_)), sizes[long_])
+            span = batch.column(2).to_numpy(zero_copy_only=False)
+            owner, word, score = _rank_words(doc, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), span)
+            score = np.round(score, 9)
+            # ties go to the word that sorts first
+            alphabet = np.empty(len(found.dictionary), np.int64)
+            alphabet[pc.array_sort_indices(found.dictionary).to_numpy()] = np.arange(len(found.dictionary))
+            order = np.lexsort((alphabet[word], -score, owner))
+            owner, word, score = owner[order], word[order], score[order]
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner) + 1
+            best = np.flatnonzero(rank <= k)
+            columns = [
+                batch.column(0).take(pa.array(owner[best])), found.dictionary.take(pa.array(word[best])), pa.array(score[best]),
+                pa.array(rank[best].astype(np.int32)), pa.array(span[owner[best]].astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -133,10 +149,11 @@ def english_textrank(docs: DataFrame, id_col: str, text_col: str, k: int = 10) -
     return ranked_keywords(docs, id_col, narrow_tokens(F.col(text_col)), F.lit(NARROW_SPAN), k)
 
 
-def tags_with_fallback(docs: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
+def tags_with_fallback(docs: DataFrame, id_col: str, text_col: str, k: int = 10, idf: DataFrame | None = None) -> DataFrame:
     """``id, word, rank, source``: the first method that finds anything for a document.
 
-    A rank needs two tokens, so the method is known per row before any work is done.
+    A rank needs two tokens, so the method is known per row before any work is done. ``idf`` is that of the
+    whole article table; without it ``docs`` is the corpus.
     """
     text = F.col(text_col)
     routed = docs.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -149,9 +166,8 @@ def tags_with_fallback(docs: DataFrame, id_col: str, text_col: str, k: int = 10)
         F.when(use_wide, F.col("_wide")).otherwise(F.col("_narrow")),
         F.when(use_wide, WIDE_SPAN).otherwise(NARROW_SPAN), k,
     )
-    counts = word_counts(docs, id_col, text_col)
     rest = routed.filter(F.col("source") == "tfidf")
-    plain = top_keywords(rest, "id", "text", k, idf=word_idf(counts, docs))
+    plain = top_keywords(rest, "id", "text", k, idf=word_idf(word_counts(docs, id_col, text_col), docs) if idf is None else idf)
     by_span = F.when(F.col("span") == WIDE_SPAN, "wide").otherwise("narrow")
     return ranked.select("id", "word", "rank", by_span.alias("source")).unionByName(
         plain.select("id", "word", "rank", F.lit("tfidf").alias("source"))

@@ -12,7 +12,7 @@ from leafsift.functions.urls import site
 from leafsift.operators import events as E
 from leafsift.operators.keywords import keyword_lists, top_keywords
 from leafsift.operators.tree import TEXT, page_nodes
-from leafsift.operators.vectors import cosine_to, tfidf_vectors, vector_entries, word_counts, word_idf
+from leafsift.operators.vectors import join_on_word, word_counts, word_idf
 
 TITLE_KEYWORDS, CONTENT_KEYWORDS = 20, 200
 
@@ -93,17 +93,21 @@ def profile_vectors(profile: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def profile_similarity(articles: DataFrame, profile: DataFrame) -> DataFrame:
-    """``id, f_like_similarity, f_hate_similarity``: cosine of each article to the two profiles."""
-    idf = corpus_idf(articles, "text")
-    entries = vector_entries(tfidf_vectors(articles, "id", "text", idf))
-    near = cosine_to(entries, profile_vectors(profile, idf))
+    """``id, f_like_similarity, f_hate_similarity``: cosine of each article to the two profiles.
 
-    def to(opinion: str) -> Column:
-        return F.max(F.when(F.col("target") == opinion, F.col("similarity")))
-
-    wide = near.groupBy("id").agg(to("like").alias("_l"), to("hate").alias("_h"))
-    return articles.select("id").join(wide, "id", "left").select(
+    The profiles' weights travel beside the idf of each word, so both cosines come out of the grouping
+    that also gives the norm.
+    """
+    counts = word_counts(articles, "id", "text")
+    idf = word_idf(counts, articles)
+    to = lambda opinion: F.max(F.when(F.col("target") == opinion, F.col("weight")))
+    weights = profile_vectors(profile, idf).groupBy("word").agg(to("like").alias("_like"), to("hate").alias("_hate"))
+    rows = join_on_word(counts, idf.join(weights, "word", "left"))
+    w = F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(w * w))
+    near = rows.groupBy("id").agg(*[(F.sum(w * F.col(f"_{o}")) / norm).alias(f"_s_{o}") for o in ("like", "hate")])
+    return articles.select("id").join(near, "id", "left").select(
         "id",
-        F.coalesce("_l", F.lit(0.0)).alias("f_like_similarity"),
-        F.coalesce("_h", F.lit(0.0)).alias("f_hate_similarity"),
+        F.coalesce("_s_like", F.lit(0.0)).alias("f_like_similarity"),
+        F.coalesce("_s_hate", F.lit(0.0)).alias("f_hate_similarity"),
     )

@@ -33,19 +33,16 @@ def word_idf(counts: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def join_on_word(rows: DataFrame, idf: DataFrame) -> DataFrame:
-    """Inner join of ``rows(id, word, ...)`` with the unique words of ``idf(word, df, idf)``.
+    """Inner join of ``rows(id, word, ...)`` with the unique words of ``idf(word, df, idf, ...)``.
 
     A frequent word may hold a third of all rows. The most frequent words are a list
-    of fixed length, so they are broadcast; their rows then meet the shuffle under
-    keys of their own and spread evenly.
+    of fixed length, so they are broadcast and their rows are not shuffled again; only the rows of
+    all other words meet the rest of the list by shuffle.
     """
-    hot = idf.orderBy(F.desc("df"), "word").limit(HOT_WORDS).select("word", F.col("idf").alias("_hot"))
-    marked = rows.join(F.broadcast(hot), "word", "left")
-    apart = F.concat(F.lit("\u0000"), F.col("id").cast("string"))
-    keyed = marked.withColumn("_key", F.when(F.col("_hot").isNotNull(), apart).otherwise(F.col("word")))
-    cold = idf.select(F.col("word").alias("_key"), F.col("idf").alias("_cold"))
-    joined = keyed.join(cold, "_key", "left").withColumn("idf", F.coalesce("_hot", "_cold"))
-    return joined.filter(F.col("idf").isNotNull()).drop("_hot", "_cold", "_key")
+    hot = idf.orderBy(F.desc("df"), "word").limit(HOT_WORDS)
+    frequent = rows.join(F.broadcast(hot), "word")
+    others = rows.join(F.broadcast(hot.select("word")), "word", "left_anti").join(idf, "word")
+    return frequent.unionByName(others)
 
 
 def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = None) -> DataFrame:

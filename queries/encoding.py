@@ -190,5 +190,5 @@ ARTICLE_FEATURES = f"WITH {V.SQL_ARTICLES}, {sql_article_features()}"
 
 @query("e07_article_rows", f"{ARTICLE_FEATURES}, {sql_article_entries()} SELECT id, idx::BIGINT AS idx, count(*)::DOUBLE AS value FROM entries GROUP BY id, idx")
 def e07_articles(spark, sf):
-    encoded = E.encode_articles(article_features(V.articles(spark, sf)), ["id"], V.as_of())
+    encoded = E.encode_articles(article_features(V.texts(spark, sf)), ["id"], V.as_of())
     return E.sum_entries(encoded, ["id"]).select("id", F.col("idx").cast("bigint").alias("idx"), "value")

@@ -192,7 +192,7 @@ _SCORES = f"""{Q.ARTICLE_FEATURES}, {Q.sql_article_entries()}, {V.SQL_MODEL},
 
 
 def _scores(spark, sf, model=None):
-    rows = with_article_entries(article_features(V.articles(spark, sf)), V.as_of())
+    rows = with_article_entries(article_features(V.texts(spark, sf)), V.as_of())
     return decision_values(rows, model or V.model(spark)).select("id", "score")
 
 
@@ -333,7 +333,7 @@ def a04(spark, sf):
 def a07(spark, sf):
     from leafsift.operators.encoding import sum_entries
 
-    rows = encode_articles(article_features(V.articles(spark, sf)), ["id"], V.as_of())
+    rows = encode_articles(article_features(V.texts(spark, sf)), ["id"], V.as_of())
     return sum_entries(rows, []).select(F.col("idx").cast("bigint").alias("idx"), "value")
 
 

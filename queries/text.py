@@ -24,7 +24,7 @@ _WORD = E.SQL_WORD.format("text")
 
 @query("t01_words", f"SELECT doc_id AS id, len(w) AS n, array_to_string(w, ' ') AS words FROM (SELECT doc_id, {_WORD} AS w FROM documents)")
 def t01(spark, sf):
-    rows = V.articles(spark, sf).select("id", words(F.col("text")).alias("w"))
+    rows = V.texts(spark, sf).select("id", words(F.col("text")).alias("w"))
     return rows.select("id", F.size("w").cast("bigint").alias("n"), F.array_join("w", " ").alias("words"))
 
 
@@ -44,17 +44,17 @@ def _top(rows):
 
 @query("t02_title_keywords", _top_sql("title", 20))
 def t02_title(spark, sf):
-    return _top(K.top_keywords(V.articles(spark, sf), "id", "title", 20))
+    return _top(K.top_keywords(V.texts(spark, sf), "id", "title", 20))
 
 
 @query("t02_body_keywords", _top_sql("text", 200))
 def t02_body(spark, sf):
-    return _top(K.top_keywords(V.articles(spark, sf), "id", "text", 200))
+    return _top(K.top_keywords(V.texts(spark, sf), "id", "text", 200))
 
 
 @query("w02_top10_keywords", _top_sql("text", 10))
 def w02(spark, sf):
-    return _top(K.top_keywords(V.articles(spark, sf), "id", "text", 10))
+    return _top(K.top_keywords(V.texts(spark, sf), "id", "text", 10))
 
 
 def _quoted(names):
@@ -98,7 +98,7 @@ def _rank_sql(tag, tokens, span, k=10):
        f"WITH {_tokens_sql('tw', K.STOP_WORDS)}, {_edges_sql('e', 'tw', K.WIDE_SPAN)} "
        "SELECT id, src, count(*) AS partners, sum(weight)::BIGINT AS weight, min(dst) AS lowest, max(weight) AS heaviest FROM e GROUP BY id, src")
 def t03_edges(spark, sf):
-    edges = K.cooccurrence_edges(V.articles(spark, sf), "id", K.wide_tokens(F.col("text")), K.WIDE_SPAN)
+    edges = K.cooccurrence_edges(V.texts(spark, sf), "id", K.wide_tokens(F.col("text")), K.WIDE_SPAN)
     return edges.groupBy("id", "src").agg(
         F.count(F.lit(1)).alias("partners"), F.sum("weight").alias("weight"), F.min("dst").alias("lowest"), F.max("weight").alias("heaviest")
     )
@@ -110,21 +110,22 @@ def _ranked(rows):
 
 @query("t03_textrank", f"WITH {_tokens_sql('tw', K.STOP_WORDS)}, {_rank_sql('r', 'tw', K.WIDE_SPAN)} SELECT id, word, round(weight, 6) AS weight, rank FROM r_top")
 def t03(spark, sf):
-    return _ranked(K.textrank(V.articles(spark, sf), "id", "text"))
+    return _ranked(K.textrank(V.texts(spark, sf), "id", "text"))
 
 
 @query("t04_english_textrank", f"WITH {_tokens_sql('tn', K.ENGLISH_STOP_WORDS)}, {_rank_sql('r', 'tn', K.NARROW_SPAN)} SELECT id, word, round(weight, 6) AS weight, rank FROM r_top")
 def t04(spark, sf):
-    return _ranked(K.english_textrank(V.articles(spark, sf), "id", "text"))
+    return _ranked(K.english_textrank(V.texts(spark, sf), "id", "text"))
 
 
-def _fallback_sql(source="documents"):
+def _fallback_sql(source="documents", corpus=None):
+    corpus = corpus or source
     return f"""{_tokens_sql('tw', K.STOP_WORDS).replace('FROM documents', f'FROM {source}')},
  {_tokens_sql('tn', K.ENGLISH_STOP_WORDS).replace('FROM documents', f'FROM {source}')},
  routes AS (SELECT a.id, CASE WHEN len(a.w) >= 2 THEN 'wide' WHEN len(b.w) >= 2 THEN 'narrow' ELSE 'tfidf' END AS source
             FROM tw a JOIN tn b USING (id)),
  {_rank_sql('a', 'tw', K.WIDE_SPAN)}, {_rank_sql('b', 'tn', K.NARROW_SPAN)},
- fd AS (SELECT doc_id AS id, text FROM {source}), {E.sql_keywords('c', 'fd', 'text', 10)},
+ fd AS (SELECT doc_id AS id, text FROM {source}), fc AS (SELECT doc_id AS id, text FROM {corpus}), {E.sql_keywords('c', 'fd', 'text', 10, 'fc')},
  fallback AS (
   SELECT id, word, rank, source FROM (
     SELECT id, word, rank, 'wide' AS source FROM a_top UNION ALL SELECT id, word, rank, 'narrow' FROM b_top
@@ -150,9 +151,9 @@ def t05(spark, sf):
 
 @query("t06_new_tags",
        f"WITH {V.SQL_TAGS}, left_over AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT article_id FROM tags WHERE article_id IS NOT NULL)), "
-       f"{_fallback_sql('left_over')} SELECT DISTINCT word AS name, id AS article_id FROM fallback")
+       f"{_fallback_sql('left_over', 'documents')} SELECT DISTINCT word AS name, id AS article_id FROM fallback")
 def t06(spark, sf):
-    return tag_articles(V.articles(spark, sf), V.tags(spark, sf))
+    return tag_articles(V.texts(spark, sf), V.tags(spark, sf))
 
 
 def sql_vectors(source: str = "articles", column: str = "text") -> str:
@@ -167,14 +168,14 @@ vec AS MATERIALIZED (SELECT id, word, x / sqrt(sum(x * x) OVER (PARTITION BY id)
 
 @query("t07_tfidf", f"WITH {V.SQL_ARTICLES}, {sql_vectors()} SELECT id, word, round(weight, 6) AS weight FROM vec")
 def t07(spark, sf):
-    entries = W.vector_entries(W.tfidf_vectors(V.articles(spark, sf), "id", "text"))
+    entries = W.vector_entries(W.tfidf_vectors(V.texts(spark, sf), "id", "text"))
     return entries.select("id", "word", F.round("weight", 6).alias("weight"))
 
 
 @query("a10_document_frequency",
        f"SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORD}) AS word FROM documents) GROUP BY word")
 def a10(spark, sf):
-    return W.document_frequency(W.word_counts(V.articles(spark, sf), "id", "text"))
+    return W.document_frequency(W.word_counts(V.texts(spark, sf), "id", "text"))
 
 
 def ranked_documents(spark, sf):
@@ -248,14 +249,15 @@ def a06(spark, sf):
 
 
 @query("t09_keyword_csv",
-       f"SELECT doc_id AS id, array_to_string(list_transform(string_split(substring(text, 1, 60), ' '), lambda x: lower(x)), ',') AS csv FROM documents")
+       f"WITH {V.SQL_ARTICLES}, {E.sql_keywords('kw', 'articles', 'text', 20)} SELECT id, string_agg(lower(word), ',' ORDER BY rank) AS csv FROM kw GROUP BY id")
 def t09(spark, sf):
-    return V.articles(spark, sf).select("id", keyword_csv(F.split("title", " ")).alias("csv"))
+    ranked = K.top_keywords(V.texts(spark, sf), "id", "text", 20).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("k"))
+    return ranked.select("id", keyword_csv(F.col("k.word")).alias("csv"))
 
 
 @query("t10_article_features", E.ARTICLE_FEATURES + " SELECT * FROM article_feat")
 def t10(spark, sf):
-    return R.article_features(V.articles(spark, sf)).withColumn("f_img_n", F.col("f_img_n").cast("bigint"))
+    return R.article_features(V.texts(spark, sf)).withColumn("f_img_n", F.col("f_img_n").cast("bigint"))
 
 
 SQL_PROFILE = f"""{V.SQL_ARTICLES},
@@ -271,7 +273,7 @@ profile AS (
 
 @query("t11_recent_profile", f"WITH {SQL_PROFILE} SELECT opinion, field, word FROM profile")
 def t11(spark, sf):
-    return R.recent_profile(V.events(spark, sf), V.articles(spark, sf), V.as_of())
+    return R.recent_profile(V.events(spark, sf), V.texts(spark, sf), V.as_of())
 
 
 @query("t12_profile_similarity",
@@ -282,6 +284,6 @@ def t11(spark, sf):
  SELECT a.id, round(coalesce((SELECT s FROM sims x WHERE x.id = a.id AND opinion = 'like'), 0), 6) AS f_like_similarity,
         round(coalesce((SELECT s FROM sims x WHERE x.id = a.id AND opinion = 'hate'), 0), 6) AS f_hate_similarity FROM articles a""")
 def t12(spark, sf):
-    a = V.articles(spark, sf)
+    a = V.texts(spark, sf)
     rows = R.profile_similarity(a, R.recent_profile(V.events(spark, sf), a, V.as_of()))
     return rows.select("id", F.round("f_like_similarity", 6).alias("f_like_similarity"), F.round("f_hate_similarity", 6).alias("f_hate_similarity"))

@@ -76,30 +76,36 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), name.alias("name"), F.col("ts").cast("timestamp").alias("time"), attr.alias("evt_attr"))
 
 
-def articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as articles: the body is plain text."""
-    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    likes = (
-        events(spark, sf).filter(F.col("name") == "like")
-        .groupBy(F.get_json_object("evt_attr", "$.article_id").cast("bigint").alias("doc_id"))
-        .agg(F.count(F.lit(1)).alias("n_like"))
-    )
-    points = F.col("quality") * 6 - F.col("toxic") * 4 + F.col("doc_id") % 7 - 2
-    joined = d.join(labels, "doc_id", "left").join(likes, "doc_id", "left")
-    return joined.select(
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as articles, without scores and likes: the body is plain text."""
+    d = table(spark, sf, "documents")
+    return d.select(
         F.col("doc_id").alias("id"),
         F.substring("text", 1, 60).alias("title"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("link"),
         F.col("text").alias("body"),
         F.col("text"),
         date_text(hours_back("doc_id")).alias("date"),
-        (points.cast("double") / 10).alias("score"),
-        F.col("n_like"),
         F.lit(0).alias("f_img_n"),
         "lang",
     )
 
 
+def articles(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a score from the labels and the likes of the events."""
+    labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
+    likes = (
+        events(spark, sf).filter(F.col("name") == "like")
+        .groupBy(F.get_json_object("evt_attr", "$.article_id").cast("bigint").alias("id"))
+        .agg(F.count(F.lit(1)).alias("n_like"))
+    )
+    points = F.col("quality") * 6 - F.col("toxic") * 4 + F.col("id") % 7 - 2
+    joined = texts(spark, sf).join(labels, "id", "left").join(likes, "id", "left")
+    return joined.select(
+        "id", "title", "link", "body", "text", "date", (points.cast("double") / 10).alias("score"), "n_like", "f_img_n", "lang"
+    )
+
+
 def tags(spark: SparkSession, sf: str) -> DataFrame:
     """A stored tag table: language and source of every second document, and two rows without an article."""
     d = table(spark, sf, "documents").filter(F.col("doc_id") % 2 == 0)

@@ -231,10 +231,17 @@ def test_cosines_to_targets(spark):
             assert abs(got.get((i, k), 0.0) - want) < 1e-12
 
 
-def test_rank_words_favours_the_hub():
-    tokens = np.array("hub a hub b hub c hub d".split(), dtype=object)
-    vocabulary, score = K._rank_words(tokens, 2)
-    assert vocabulary[np.argmax(score)] == "hub"
+def test_rank_words_favours_the_hub_in_each_document():
+    texts = ["hub a hub b hub c hub d", "a b", "x y x z x"]
+    words = sorted({w for t in texts for w in t.split()})
+    doc = np.array([i for i, t in enumerate(texts) for _ in t.split()])
+    word = np.array([words.index(w) for t in texts for w in t.split()])
+    owner, found, score = K._rank_words(doc, word, np.array([2, 5, 2]))
+    for i, hub in ((0, "hub"), (2, "x")):
+        mine = np.flatnonzero(owner == i)
+        assert words[found[mine[np.argmax(score[mine])]]] == hub
+    alone = K._rank_words(doc[doc == 2] * 0, word[doc == 2], np.array([2]))[2]
+    assert np.allclose(alone, score[owner == 2])
 
 
 def test_fallback_sources(spark):
