@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafsift.llm.batches import Bytes, Words, dense, per_slice, slices, spread_repeats, stored, sums_between, texts_of
+from leafsift.llm.batches import Bytes, Words, dense, give_back, per_slice, slices, spread_repeats, stored, sums_between, texts_of
 from leafsift.llm.quality_rules import labelled_ids, labelled_texts
 
 #: Bytes of an n-gram.
@@ -169,13 +169,17 @@ class Slots:
 
         placed = rows.select("key", F.col("value").cast("float").alias("value"), "n").mapInArrow(place, "place int, check int, value float, n long, key long")
         best = placed.groupBy("place").agg(F.max_by(F.struct("check", "value"), F.struct("n", "key")).alias("best"))
-        found = best.select("place", "best.check", "best.value").toPandas()  # at most ``slots`` rows
         self.check = np.zeros(slots, np.uint8)
         self.value = np.zeros(slots, np.float32)
         self.full = np.zeros(slots, bool)
-        self.check[found["place"]] = found["check"]
-        self.value[found["place"]] = found["value"]
-        self.full[found["place"]] = True
+        found = best.select("place", "best.check", "best.value").toArrow()  # at most ``slots`` rows
+        for part in found.to_batches():
+            at = part.column("place").to_numpy(zero_copy_only=False)
+            self.check[at] = part.column("check").to_numpy(zero_copy_only=False)
+            self.value[at] = part.column("value").to_numpy(zero_copy_only=False)
+            self.full[at] = True
+        del found
+        give_back()
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value, whether it is there)."""
