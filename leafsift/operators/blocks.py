@@ -168,25 +168,19 @@ def fragment_features(fragments: DataFrame, id_col: str, html_col: str, root_mod
     """
     if root_mode not in ("element", "document"):
         raise ValueError(f"unknown root_mode {root_mode!r}")
-    nodes = node_table(fragments, id_col, html_col)
+    nodes = node_table(fragments, id_col, html_col, roots=root_mode == "element")
     if root_mode == "document":
         rooted = nodes.withColumn("blocks", F.array(F.lit(0)))
         found = block_features(rooted, with_tail=False, with_tags=True)
         zero = F.lit(0).cast("bigint")
         return found.withColumn("f_child_div_n", zero).withColumn("f_child_p_n", zero)
-    page = Window.partitionBy("page_id")
-    body = F.max(F.when(F.col("tag") == "body", F.col("pre"))).over(page)
-    placed = nodes.withColumn("_body", body)
-    is_top = (F.col("parent") == F.col("_body")) & ~F.startswith("tag", F.lit("#"))
-    placed = placed.withColumn("_top", F.min(F.when(is_top, F.col("pre"))).over(page))
-    placed = placed.withColumn("_end", F.max(F.when(F.col("pre") == F.col("_top"), F.col("last"))).over(page))
-    inside = F.col("pre").between(F.col("_top"), F.col("_end"))
+    inside = F.coalesce(F.col("pre").between(F.col("root"), F.col("root_last")), F.lit(False))
     none = F.array().cast("array<int>")
-    rooted = placed.select(
-        *[c for c in nodes.columns if c not in ("blocks", "tail_tag")],
-        F.when(inside, F.array("_top")).otherwise(none).alias("blocks"),
+    rooted = nodes.select(
+        *[c for c in nodes.columns if c not in ("blocks", "tail_tag", "root", "root_last")],
+        F.when(inside, F.array("root")).otherwise(none).alias("blocks"),
         # The root's tail counts as a block's tail does; no other tail does.
-        F.when(F.col("tail_of") == F.col("_top"), F.lit("div")).when(F.col("tail_tag") == "a", "a").alias("tail_tag"),
+        F.when(F.col("tail_of") == F.col("root"), F.lit("div")).when(F.col("tail_tag") == "a", "a").alias("tail_tag"),
     )
     return block_features(rooted, with_tail=True, with_tags=True)
 

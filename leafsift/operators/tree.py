@@ -240,14 +240,22 @@ _ARROW = pa.schema(
 _ROWS_PER_BATCH = 20_000
 
 
-def _batch(ids: list[int], rows: list[list]) -> pa.RecordBatch:
+def _batch(ids: list[int], rows: list[list], schema: pa.Schema = _ARROW) -> pa.RecordBatch:
     columns = [ids, *map(list, zip(*rows))]
     return pa.RecordBatch.from_arrays(
-        [pa.array(values, field.type) for values, field in zip(columns, _ARROW)], schema=_ARROW
+        [pa.array(values, field.type) for values, field in zip(columns, schema)], schema=schema
     )
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _root(rows: list[list]) -> tuple[int | None, int | None]:
+    """The first element in the body, and the last node below it."""
+    body = next((r[_PRE] for r in rows if r[_TAG] == "body"), None)
+    top = next((r for r in rows if r[_PARENT] == body and r[_TAG][0] != "#"), None) if body is not None else None
+    return (top[_PRE], top[_LAST]) if top else (None, None)
+
+
+def _parse_batches(batches: Iterator[pa.RecordBatch], roots: bool = False) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([*_ARROW, ("root", pa.int32()), ("root_last", pa.int32())]) if roots else _ARROW
     ids: list[int] = []
     rows: list[list] = []
     for batch in batches:
@@ -255,24 +263,29 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if not source.is_valid:
                 continue
             found = page_nodes(source.as_py())
+            if roots:
+                root = _root(found)
+                found = [[*row, *root] for row in found]
             ids.extend([page_id.as_py()] * len(found))
             rows.extend(found)
             if len(rows) >= _ROWS_PER_BATCH:
-                yield _batch(ids, rows)
+                yield _batch(ids, rows, schema)
                 ids, rows = [], []
     if rows:
-        yield _batch(ids, rows)
+        yield _batch(ids, rows, schema)
 
 
-def node_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def node_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", roots: bool = False) -> DataFrame:
     """One row per element, comment and text run of every page.
 
     ``pre``/``last`` bound the subtree, ``blocks`` lists the enclosing div, section
     and article nodes (the node itself included), ``tail_of`` names the sibling a
-    text run follows, ``n_a`` counts the links a node lies in.
+    text run follows, ``n_a`` counts the links a node lies in. ``roots`` adds the page's first element in the
+    body and the last node below it, as ``root`` and ``root_last``.
     """
     source = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("html"))
-    return source.mapInArrow(_parse_batches, NODE_SCHEMA)
+    schema = NODE_SCHEMA + (", root int, root_last int" if roots else "")
+    return source.mapInArrow(lambda batches: _parse_batches(batches, roots), schema)
 
 
 # name, and a value in double quotes, single quotes or none

@@ -47,9 +47,14 @@ def append_articles(articles: DataFrame, path: str) -> None:
     dated.write.mode("append").partitionBy("day").parquet(path)
 
 
-def write_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Store rows bucketed by ``key``; joins on it then leave them in place."""
-    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(rows: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Store rows bucketed by ``key`` and read them again; joins on it then leave them in place.
+
+    Every task writes the files of its own rows, so nothing is shuffled.
+    """
+    writer = rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return rows.sparkSession.table(table)
 
 
 def new_tags(found: DataFrame, stored: DataFrame) -> DataFrame:

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from leafsift.operators.links import not_seen
+from leafsift.functions.urls import without_fragment
 from leafsift.plans.extract import extract_articles
 from leafsift.plans.tagging import tag_articles
 from leafsift.sources.tables import shaped
 from leafsift.streaming.feedback import available
 
 
-def pages_to_tags(rss: DataFrame, model: DataFrame, articles_path: str, tags_path: str, checkpoint: str) -> DataStreamWriter:
+SEEN_BUCKETS = 256
+
+
+def pages_to_tags(rss: DataFrame, model: DataFrame, articles_path: str, tags_path: str, checkpoint: str, idf_path: str | None = None) -> DataStreamWriter:
     """Extract and tag each batch of new pages with the batch jobs.
 
-    The stream's checkpoint says which pages are done, so no anti join is needed.
+    The stream's checkpoint says which pages are done, so no anti join is needed. Word weights come from the
+    stored idf table and known tags from earlier batches, so tags equal those of the batch job with that table.
     """
 
     def store(batch: DataFrame, number: int) -> None:
@@ -25,20 +29,32 @@ def pages_to_tags(rss: DataFrame, model: DataFrame, articles_path: str, tags_pat
         target = f"{articles_path}/batch={number}"
         found.write.mode("overwrite").parquet(target)
         articles = spark.read.schema(found.schema).parquet(target)
-        tags = tag_articles(articles, spark.createDataFrame([], "name string, article_id bigint"))
+        idf = spark.read.parquet(idf_path) if idf_path else None
+        known = spark.read.schema("name string, article_id bigint, batch int").parquet(tags_path) if number else None
+        none = spark.createDataFrame([], "name string, article_id bigint")
+        tags = tag_articles(articles, known.filter(F.col("batch") < number) if number else none, idf=idf)
         shaped(tags, "article_tags").write.mode("overwrite").parquet(f"{tags_path}/batch={number}")
 
     return available(rss, checkpoint).foreachBatch(store)
 
 
-def new_urls(urls: DataFrame, seen_path: str, checkpoint: str) -> DataStreamWriter:
-    """Store URLs never seen before. What was seen is a table, not stream state, so state stays bounded."""
+def new_urls(urls: DataFrame, seen_path: str, checkpoint: str, buckets: int = SEEN_BUCKETS) -> DataStreamWriter:
+    """Store URLs never seen before, without fragments. What was seen is a table, not stream state, so state stays bounded.
+
+    The table is dealt to ``buckets`` by the URL's hash, and a batch reads only those it touches.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = spark.read.schema("url string, batch int").parquet(seen_path) if number else None
-        seen = stored.filter(F.col("batch") < number) if number else None
-        fresh = not_seen(batch.select("url"), seen, "url")
-        fresh.write.mode("overwrite").parquet(f"{seen_path}/batch={number}")
+        url = without_fragment(F.col("url"))
+        bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+        fresh = batch.select(url.alias("url")).distinct().withColumn("bucket", bucket)
+        if number:
+            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            seen = spark.read.schema("url string, bucket int, batch int").parquet(seen_path)
+            seen = seen.filter(F.col("bucket").isin(touched) & (F.col("batch") < number))
+            fresh = fresh.join(seen.select("bucket", "url"), ["bucket", "url"], "left_anti")
+        fresh = fresh.withColumn("batch", F.lit(number))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(seen_path)
 
     return available(urls, checkpoint).foreachBatch(store)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -28,12 +28,11 @@ def intake(events: DataFrame, accepted_path: str, rejected_path: str, checkpoint
     return available(events, checkpoint).foreachBatch(store)
 
 
-def recent_windows(events: DataFrame, late: str = "1 hour", hours: int = 48, slide: int = 1) -> DataFrame:
-    """Opinions per article in sliding windows of the last ``hours``."""
+def hourly_opinions(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Opinions per article and hour; an hour's state is dropped once the watermark passes it."""
     kept = events.filter(F.col("name").isin(*E.OPINIONS)).withWatermark("time", late)
     rows = kept.select("time", "name", E.article_id(F.col("evt_attr")).alias("id")).filter(F.col("id").isNotNull())
-    window = F.window("time", f"{hours} hours", f"{slide} hours")
-    return rows.groupBy(window, "id", "name").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(F.window("time", "1 hour"), "id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def hourly_counters(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -43,6 +42,22 @@ def hourly_counters(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.groupBy(F.window("time", "1 hour"), "id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def append_hours(counts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Store each hour once, when it is complete, in a folder for its micro-batch."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        hours = batch.select(F.col("window.start").alias("hour"), "id", "name", "n")
+        hours.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return available(counts, checkpoint).outputMode("append").foreachBatch(store)
+
+
+def recent_sums(hours: DataFrame, as_of: Column, back: int = 48) -> DataFrame:
+    """``id, name, n`` over the stored hours that began in the last ``back`` hours before ``as_of``."""
+    fresh = (F.col("hour") >= as_of - F.expr(f"interval {back} hours")) & (F.col("hour") < as_of)
+    return hours.filter(fresh).groupBy("id", "name").agg(F.sum("n").alias("n"))
+
+
 def counter_deltas(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Counters of every micro-batch in a folder of its own; ``total_counters`` adds them up."""
 

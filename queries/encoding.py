@@ -128,12 +128,26 @@ def e12(spark, sf):
     return V.pages(spark, sf).select(F.col("page_id").alias("id"), E.image_step(F.col("page_id") % 40).cast("bigint").alias("step"))
 
 
+@query("e13_checked_input", "SELECT count(*) AS n, true AS refused FROM documents")
+def e13(spark, sf):
+    """A frame is taken as it is, its rows gathered in a list are refused."""
+    rows = V.table(spark, sf, "documents").select("doc_id")
+    counted = E.require_frame(rows).agg(F.count(F.lit(1)).alias("n"))
+    try:
+        E.require_frame(rows.take(3))
+        refused = False
+    except TypeError:
+        refused = True
+    return counted.withColumn("refused", F.lit(refused))
+
+
 @query("e14_pick_by_index",
-       "SELECT id, w[3] || ' ' || w[1] || ' ' || w[len(w)] AS picked FROM (SELECT doc_id AS id, "
-       "regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]{2,})', 1) AS w FROM documents) WHERE len(w) >= 3")
+       "SELECT id, CASE WHEN len(w) >= 3 THEN w[3] || ' ' || w[1] || ' ' || w[len(w)] WHEN len(w) > 0 THEN w[len(w)] || ' ' || w[1] ELSE '' END AS picked "
+       "FROM (SELECT doc_id AS id, regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]{2,})', 1) AS w FROM documents)")
 def e14(spark, sf):
-    rows = V.articles(spark, sf).select("id", words(F.col("text")).alias("w")).filter(F.size("w") >= 3)
-    at = F.array(F.lit(2), F.lit(0), F.size("w") - 1)
+    rows = V.texts(spark, sf).select("id", words(F.col("text")).alias("w"))
+    last = F.size("w") - 1
+    at = F.when(F.size("w") >= 3, F.array(F.lit(2), F.lit(0), last)).when(F.size("w") > 0, F.array(last, F.lit(0))).otherwise(F.array().cast("array<int>"))
     return rows.select("id", F.array_join(pick(F.col("w"), at), " ").alias("picked"))
 
 

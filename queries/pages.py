@@ -15,7 +15,10 @@ from leafsift.operators.profile import with_text
 from leafsift.operators.projection import route_by_type
 from leafsift.operators.tree import BLOCK_TAGS, element_html, element_text, node_table, page_text, with_page_fields
 from leafsift.plans import extract as X
+from leafsift.plans.storing import append_samples, remove_samples
+from leafsift.session import scratch_path
 from leafsift.sources.fixed import ALLOWED_DOMAINS, START_URLS, URL_RULES, start_urls, url_rules
+from leafsift.sources.tables import read_table
 from queries import registrar
 from queries import sql_tree as T
 from queries import views as V
@@ -285,17 +288,18 @@ def h01(spark, sf):
 
 _BLOCK_IDS = """
 blocks AS (
-  SELECT page_id, id, pre FROM nodes WHERE tag = 'article'
+  SELECT page_id, id, pre FROM nodes WHERE tag IN ('article', 'nav', 'footer', 'head')
 )"""
 
 
 @query("h02_element_text",
-       _TREE + "," + _BLOCK_IDS + """ SELECT b.page_id, b.pre, string_agg(n.text, '' ORDER BY n.id) AS text
- FROM blocks b JOIN nodes n ON n.page_id = b.page_id AND n.tag = '#text'
+       _TREE + "," + _BLOCK_IDS + """ SELECT b.page_id, b.pre, coalesce(string_agg(n.text, '' ORDER BY n.id), '') AS text
+ FROM blocks b LEFT JOIN nodes n ON n.page_id = b.page_id AND n.tag = '#text'
  AND list_contains(list_transform(n.path, lambda x: x.id), b.id) GROUP BY b.page_id, b.pre""")
 def h02(spark, sf):
     nodes = node_table(V.cleaned(spark, sf))
-    roots = nodes.filter(F.col("tag") == "article")
+    # disjoint elements of every page
+    roots = nodes.filter(F.col("tag").isin("article", "nav", "footer", "head"))
     return element_text(nodes, roots).select("page_id", F.col("pre").cast("bigint").alias("pre"), "text")
 
 
@@ -303,8 +307,8 @@ def h02(spark, sf):
        f"WITH {T.CLEAN}, {T.nodes()}, {T.ends()} SELECT e.page_id, n.pre, substr(c.html, n.at0 + 1, e.src_end - n.at0) AS html "
        "FROM ends e JOIN nodes n ON n.page_id = e.page_id AND n.id = e.id JOIN clean c ON c.page_id = e.page_id")
 def h03(spark, sf):
-    pages = V.cleaned(spark, sf)
-    blocks = node_table(pages).filter(F.col("tag").isin(*BLOCK_TAGS))
+    pages = X.clean_pages(V.stored_pages(spark, sf))
+    blocks = node_table(pages).filter(F.col("tag").isin(*BLOCK_TAGS)).select("page_id", "pre", "src_start", "src_end")
     return element_html(blocks, pages).select("page_id", F.col("pre").cast("bigint").alias("pre"), "html")
 
 
@@ -452,7 +456,7 @@ def scored(spark, sf) -> DataFrame:
 
 @query("h07_main_content", _MAIN + " SELECT page_id, body FROM main")
 def h07(spark, sf):
-    return X.main_content(V.cleaned(spark, sf), V.model(spark))
+    return X.main_content(X.clean_pages(V.stored_pages(spark, sf)), V.model(spark))
 
 
 @query("h08_ranked_blocks",
@@ -481,7 +485,7 @@ def h09(spark, sf):
 
 
 def _rss_html(spark, sf) -> DataFrame:
-    return V.rss(spark, sf)
+    return V.stored_rss(spark, sf)
 
 
 @query("h10_articles",
@@ -541,18 +545,21 @@ _DOCUMENT = f"""WITH {_FRAGMENT_PAGES}, {T.nodes("fragment_pages")},
  sums AS (SELECT n.page_id, sum(CASE WHEN tag = '#text' THEN strlen(text) ELSE 0 END)::BIGINT AS f_text_n,
   count(*) FILTER ({_PARA}) AS f_p_n, count(*) FILTER (tag <> '#text') AS f_tag_n,
   count(*) FILTER (tag IN ('h1', 'h2', 'h3', 'h4', 'h5')) AS f_h_n,
+  coalesce(sum(CASE WHEN tag = '#text' AND len(list_filter(path, lambda x: x.tag = 'a')) > 0 THEN strlen(replace(text, ' ', '')) ELSE 0 END)::DOUBLE
+   / nullif(sum(CASE WHEN tag = '#text' THEN strlen(replace(text, ' ', '')) ELSE 0 END), 0), 0) AS f_link_density,
   count(*) FILTER (tag NOT LIKE '#%' AND tag NOT IN ('p', 'h1', 'h2', 'h3', 'h4', 'h5', 'blockquote', 'span', 'div', 'table',
    'tr', 'td', 'th', 'img', 'br')) AS f_np_n FROM nodes n GROUP BY n.page_id)"""
 
 
 @query("s13_labelled_blocks",
-       _DOCUMENT + " SELECT f.id, f.body, f.y::BIGINT AS y, s.f_text_n, s.f_p_n, s.f_tag_n - 2 AS f_tag_n, s.f_h_n, s.f_np_n - 2 AS f_np_n "
-       "FROM fragments f JOIN sums s ON s.page_id = f.id")
+       _DOCUMENT + " SELECT f.id, f.body, f.y::BIGINT AS y, s.f_text_n, s.f_p_n, s.f_tag_n - 2 AS f_tag_n, s.f_h_n, s.f_np_n - 2 AS f_np_n, "
+       "round(s.f_link_density, 9) AS f_link_density FROM fragments f JOIN sums s ON s.page_id = f.id")
 def s13(spark, sf):
     from leafsift.operators.samples import labelled_blocks
 
     rows = labelled_blocks(V.fragments(spark, sf))
-    return rows.select("id", "body", F.col("y").cast("bigint").alias("y"), "f_text_n", "f_p_n", "f_tag_n", "f_h_n", "f_np_n")
+    density = F.round("f_link_density", 9).alias("f_link_density")
+    return rows.select("id", "body", F.col("y").cast("bigint").alias("y"), "f_text_n", "f_p_n", "f_tag_n", "f_h_n", "f_np_n", density)
 
 
 @query("s13_labelled_blocks_as_documents",
@@ -567,21 +574,32 @@ def s13_documents(spark, sf):
 @query("s14_remove_samples",
        f"WITH {_FRAGMENTS} SELECT id, y::BIGINT AS y, strlen(body) AS n FROM fragments WHERE id NOT IN (SELECT page_id * 3 FROM pages)")
 def s14(spark, sf):
-    from leafsift.operators.samples import without_samples
-
-    removed = V.pages(spark, sf).select((F.col("page_id") * 3).alias("id"))
-    rows = without_samples(V.fragments(spark, sf), removed)
+    path = scratch_path(spark, "samples")
+    append_samples(V.fragments(spark, sf), path)
+    remove_samples(spark, path, V.pages(spark, sf).select((F.col("page_id") * 3).alias("id")))
+    rows = read_table(spark, "main_content_feat", path)
     return rows.select("id", F.col("y").cast("bigint").alias("y"), F.octet_length("body").cast("bigint").alias("n"))
 
 
 @query("s15_samples", f"WITH {_FRAGMENTS} SELECT y::BIGINT AS y, body FROM fragments")
 def s15(spark, sf):
-    return V.fragments(spark, sf).select(F.col("y").cast("bigint").alias("y"), "body")
+    path = scratch_path(spark, "samples")
+    append_samples(V.fragments(spark, sf), path)
+    return read_table(spark, "main_content_feat", path).select(F.col("y").cast("bigint").alias("y"), "body")
 
 
 @query("l12_review_sample",
-       f"WITH {_FRAGMENTS} SELECT id, y::BIGINT AS y FROM fragments ORDER BY md5(id || '-7'), id LIMIT 1")
+       _DOCUMENT + ", one AS (SELECT * FROM fragments ORDER BY md5(id || '-7'), id LIMIT 1) "
+       "SELECT o.id, o.y::BIGINT AS y, s.f_text_n, s.f_p_n, s.f_tag_n - 2 AS f_tag_n, s.f_h_n, s.f_np_n - 2 AS f_np_n, "
+       "round(s.f_link_density, 9) AS f_link_density, true AS score_is_decision FROM one o JOIN sums s ON s.page_id = o.id")
 def l12(spark, sf):
+    from leafsift.operators.encoding import with_block_entries
+    from leafsift.operators.linear import decision_values
     from leafsift.operators.samples import review
 
-    return review(V.fragments(spark, sf), V.model(spark), 7).select("id", F.col("y").cast("bigint").alias("y"))
+    one = review(V.fragments(spark, sf), V.model(spark), 7)
+    again = decision_values(with_block_entries(one.drop("score")), V.model(spark)).select(F.col("score").alias("_again"))
+    rows = one.join(again, F.abs(F.col("score") - F.col("_again")) < 1e-9, "left")
+    names = ("f_text_n", "f_p_n", "f_tag_n", "f_h_n", "f_np_n")
+    density = F.round("f_link_density", 9).alias("f_link_density")
+    return rows.select("id", F.col("y").cast("bigint").alias("y"), *names, density, F.col("_again").isNotNull().alias("score_is_decision"))

@@ -25,28 +25,28 @@ def _docs(spark, sf):
 
 
 @query("x12_strings",
-       """SELECT doc_id, text LIKE '%the%' AS likes, left(text, 10) AS first10, lower(left(text, 20)) AS low,
- replace(left(text, 20), 'e', '_') AS swapped, string_split(text, ' ')[1] AS head, array_to_string(string_split(left(text, 30), ' '), ',') AS joined,
+       """SELECT doc_id, text LIKE '%the%' AS likes, left(text, 10) AS first10, lower(text) AS low,
+ replace(text, 'e', '_') AS swapped, string_split(text, ' ')[1] AS head, array_to_string(string_split(text, ' '), ',') AS joined,
  starts_with(text, 'The') AS starts, contains(text, 'ing') AS has, strlen(replace(text, ' ', '')) AS n_bytes, strlen(text) AS n_all FROM documents""")
 def strings(spark, sf):
     t = F.col("text")
     return _docs(spark, sf).select(
         "doc_id", t.like("%the%").alias("likes"), F.substring(t, 1, 10).alias("first10"),
-        F.lower(F.substring(t, 1, 20)).alias("low"), F.replace(F.substring(t, 1, 20), F.lit("e"), F.lit("_")).alias("swapped"),
-        F.split(t, " ")[0].alias("head"), F.array_join(F.split(F.substring(t, 1, 30), " "), ",").alias("joined"),
+        F.lower(t).alias("low"), F.replace(t, F.lit("e"), F.lit("_")).alias("swapped"),
+        F.split(t, " ")[0].alias("head"), F.array_join(F.split(t, " "), ",").alias("joined"),
         F.startswith(t, F.lit("The")).alias("starts"), F.contains(t, F.lit("ing")).alias("has"),
         bytes_without_spaces(t).cast("bigint").alias("n_bytes"), F.octet_length(t).cast("bigint").alias("n_all"),
     )
 
 
 @query("x12_regex",
-       """SELECT doc_id, len(regexp_extract_all(text, 'none|hidden|hide')) AS hits, regexp_replace(left(text, 60), '[aeiou]+', '*', 'g') AS starred,
+       """SELECT doc_id, len(regexp_extract_all(text, 'none|hidden|hide')) AS hits, regexp_replace(text, '[aeiou]+', '*', 'g') AS starred,
  regexp_matches(text, '^[A-Z]') AS capital, array_to_string(regexp_extract_all(text, '[A-Z][a-z]+'), ' ') AS names FROM documents""")
 def regex(spark, sf):
     t = F.col("text")
     return _docs(spark, sf).select(
         "doc_id", F.regexp_count(t, F.lit("none|hidden|hide")).cast("bigint").alias("hits"),
-        F.regexp_replace(F.substring(t, 1, 60), "[aeiou]+", "*").alias("starred"), t.rlike("^[A-Z]").alias("capital"),
+        F.regexp_replace(t, "[aeiou]+", "*").alias("starred"), t.rlike("^[A-Z]").alias("capital"),
         F.array_join(F.regexp_extract_all(t, F.lit("[A-Z][a-z]+"), F.lit(0)), " ").alias("names"),
     )
 
@@ -77,13 +77,13 @@ def json(spark, sf):
 
 
 @query("x12_casts",
-       """SELECT doc_id, TRY_CAST(substring(source, 4) AS BIGINT) AS n, TRY_CAST(left(text, 3) AS BIGINT) AS m,
+       """SELECT doc_id, TRY_CAST(substring(source, 4) AS BIGINT) AS n, TRY_CAST(text AS BIGINT) AS m,
  CASE WHEN doc_id % 2 = 0 THEN 0 ELSE substring(source, 4)::BIGINT END AS safe FROM documents""")
 def casts(spark, sf):
     digits = F.substring("source", 4, 9)
     blank = F.when(F.col("doc_id") % 2 == 0, "").otherwise(digits)
     return _docs(spark, sf).select(
-        "doc_id", digits.try_cast("bigint").alias("n"), F.substring("text", 1, 3).try_cast("bigint").alias("m"),
+        "doc_id", digits.try_cast("bigint").alias("n"), F.col("text").try_cast("bigint").alias("m"),
         safe_int(blank).cast("bigint").alias("safe"),
     )
 

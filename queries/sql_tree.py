@@ -5,7 +5,22 @@ The tag stack is a recursive query that advances all pages by one token per step
 
 from __future__ import annotations
 
-from leafsift.operators.tree import CLOSES, END_STRENGTH, HEAD_TAGS, VOID_TAGS
+# Public HTML facts, written out here once more so that a wrong entry of the engine shows.
+VOID_TAGS = (
+    "area", "base", "basefont", "br", "col", "embed", "frame", "hr", "img", "input", "isindex", "link", "meta", "param",
+    "source", "track", "wbr",
+)
+HEAD_TAGS = ("title", "meta", "link", "base", "script", "style")
+END_STRENGTH = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5}
+# the start tags that occur in the given pages, and the open tags each ends
+CLOSES = {
+    "p": ("p", "h1", "h2", "h3", "h4", "h5", "h6", "tt", "i", "b", "u", "s", "strike", "big", "small"),
+    "h1": ("p", "h1", "h2", "h3", "h4", "h5", "h6"),
+    "li": ("li", "p", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "address", "pre"),
+    "a": ("a",),
+    "div": ("p",),
+    "ul": ("p",),
+}
 
 
 def _quoted(names) -> str:

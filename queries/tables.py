@@ -12,6 +12,7 @@ from leafsift.operators.linear import decision_values, load_model, predicted_cla
 from leafsift.operators.encoding import encode_articles, with_article_entries
 from leafsift.operators.profile import article_features
 from leafsift.plans import ranking as R
+from leafsift.plans.storing import store_likes, store_scores
 from leafsift.session import scratch_path
 from leafsift.sources import tables as S
 from queries import encoding as Q
@@ -79,9 +80,15 @@ def j03(spark, sf):
     return J.untagged(V.articles(spark, sf), V.tags(spark, sf)).select("id", "title")
 
 
-@query("j03_untagged_null_aware", _WITH_TAGS + " SELECT id, title FROM articles WHERE id NOT IN (SELECT DISTINCT article_id FROM tags)")
+# one tag table with tags of no article, which empties the result, and one without
+@query("j03_untagged_null_aware",
+       _WITH_TAGS + " SELECT id, title, 'nulls' AS tags FROM articles WHERE id NOT IN (SELECT DISTINCT article_id FROM tags) "
+       "UNION ALL SELECT id, title, 'none' FROM articles WHERE id NOT IN (SELECT article_id FROM tags WHERE article_id IS NOT NULL)")
 def j03_nulls(spark, sf):
-    return J.untagged(V.articles(spark, sf), V.tags(spark, sf), null_aware=True).select("id", "title")
+    a, tags = V.articles(spark, sf), V.tags(spark, sf)
+    with_nulls = J.untagged(a, tags, null_aware=True).select("id", "title", F.lit("nulls").alias("tags"))
+    without = J.untagged(a, tags.filter(F.col("article_id").isNotNull()), null_aware=True)
+    return with_nulls.unionByName(without.select("id", "title", F.lit("none").alias("tags")))
 
 
 @query("s05_scan_untagged", _WITH_TAGS + " SELECT id, title, link, body FROM articles WHERE id NOT IN (SELECT article_id FROM tags WHERE article_id IS NOT NULL)")
@@ -130,7 +137,10 @@ def s07(spark, sf):
 
 @query("s08_scan_training_rows", _TRAIN + f" SELECT o.y::BIGINT AS y, {_FEAT_COLUMNS} FROM new_opinions o JOIN article_feat f ON f.id = o.id")
 def s08(spark, sf):
-    rows = ml04(spark, sf)
+    path = scratch_path(spark, "feat")
+    S.append(R.repeat_rows(_training(spark, sf)), "article_feat", path)
+    rows = S.read_table(spark, "article_feat", path)
+    rows = rows.withColumn("y", F.col("y").cast("bigint")).withColumn("f_img_n", F.col("f_img_n").cast("bigint"))
     return rows.select("y", *[c.strip() for c in _FEAT_COLUMNS.split(",")])
 
 
@@ -141,11 +151,13 @@ def s09(spark, sf):
 
 @query("s10_set_scores", f"WITH {V.SQL_ARTICLES} SELECT id, CASE WHEN id % 4 = 1 THEN id / 8.0::DOUBLE ELSE score END AS score FROM articles")
 def s10(spark, sf):
-    a = V.articles(spark, sf)
+    path = scratch_path(spark, "article")
+    S.append_articles(V.articles(spark, sf), path)
     new = V.table(spark, sf, "documents").filter(F.col("doc_id") % 4 == 1).select(
         F.col("doc_id").alias("id"), (F.col("doc_id") / 8.0).alias("score")
     )
-    return L.set_scores(a, new).select("id", "score")
+    store_scores(spark, path, new)
+    return S.read_table(spark, "article", path).select("id", "score")
 
 
 @query("s11_append_events",
@@ -168,7 +180,10 @@ def s11(spark, sf):
 @query("s12_count_likes",
        f"WITH {V.SQL_ARTICLES} SELECT id, CASE WHEN n_like IS NULL THEN NULL ELSE n_like * 2 END AS n_like FROM articles")
 def s12(spark, sf):
-    return E.add_likes(V.articles(spark, sf), V.events(spark, sf)).select("id", "n_like")
+    path = scratch_path(spark, "article")
+    S.append_articles(V.articles(spark, sf), path)
+    store_likes(spark, path, V.events(spark, sf))
+    return S.read_table(spark, "article", path).select("id", F.col("n_like").cast("bigint").alias("n_like"))
 
 
 @query("s16_ranked_json",
@@ -242,16 +257,16 @@ def a08(spark, sf):
 
 
 @query("a09_nonzero_weights",
-       # weights by rule, kept where a document's text falls into the slot
-       f"WITH {V.SQL_MODEL}, used AS (SELECT DISTINCT {V.sql_bucket('text', 10000)} AS idx FROM documents) "
-       "SELECT idx::BIGINT AS idx, trunc(weight * 1e3) / 1e3 AS weight FROM model JOIN used USING (idx) WHERE abs(weight) > 0")
+       # weights by rule, each moved by how many documents' texts fall into its slot
+       f"WITH {V.SQL_MODEL}, used AS (SELECT {V.sql_bucket('text', 10000)} AS idx, count(*) AS n FROM documents GROUP BY 1) "
+       "SELECT idx::BIGINT AS idx, trunc((weight + coalesce(n, 0)) * 1e3) / 1e3 AS weight FROM model LEFT JOIN used USING (idx) WHERE abs(weight + coalesce(n, 0)) > 0")
 def a09(spark, sf):
     from leafsift.functions.hashing import md5_bucket
     from leafsift.operators.linear import nonzero_weights
 
-    used = V.table(spark, sf, "documents").select(md5_bucket(F.col("text"), 10_000).alias("idx")).distinct()
-    rows = nonzero_weights(V.model(spark).join(used, "idx", "left_semi"))
-    return rows.select(F.col("idx").cast("bigint").alias("idx"), "weight")
+    used = V.table(spark, sf, "documents").groupBy(md5_bucket(F.col("text"), 10_000).alias("idx")).agg(F.count(F.lit(1)).alias("n"))
+    moved = V.model(spark).join(used, "idx", "left").withColumn("weight", F.col("weight") + F.coalesce("n", F.lit(0)))
+    return nonzero_weights(moved).select(F.col("idx").cast("bigint").alias("idx"), "weight")
 
 
 # ---------------------------------------------------------------- joins

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from leafsift.functions.dates import date_text
 from leafsift.operators.projection import project_pages
 from leafsift.plans.extract import clean_pages
+from leafsift.session import scratch_path
+from leafsift.sources.tables import write_bucketed
 
 AS_OF_TEXT = "2024-01-31 00:00:00"
 
@@ -59,6 +61,21 @@ def rss(spark: SparkSession, sf: str) -> DataFrame:
     return projected
 
 
+def _bucketed(spark: SparkSession, rows: DataFrame, name: str, key: str) -> DataFrame:
+    path = scratch_path(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return write_bucketed(rows, f"{name}_{path.rsplit('-', 1)[1]}", key, buckets, path)
+
+
+def stored_rss(spark: SparkSession, sf: str) -> DataFrame:
+    """The projected pages as a crawl stores them, bucketed by id: what is joined to them comes to the pages."""
+    return _bucketed(spark, rss(spark, sf), "rss", "id")
+
+
+def stored_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return _bucketed(spark, pages(spark, sf), "pages", "page_id")
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k")

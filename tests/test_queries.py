@@ -1,5 +1,6 @@
 """Every registered query against its SQL, on whole tables at the smallest scale."""
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 import compare
@@ -64,3 +65,34 @@ def test_block_features_shuffle_once_and_no_text(spark):
     text = plan(QUERIES["f23_vector_v1"](spark, SF))
     # one exchange spreads the small input's pages, one groups the block sums
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def shuffled_columns(df) -> set[str]:
+    """Names of all columns that any exchange of the plan moves."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    inputs = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)
+    return {name for columns in inputs for name in re.findall(r"(\w+)#", columns)}
+
+
+@pytest.mark.parametrize("name", ["h03_element_html", "h07_main_content", "s13_labelled_blocks"])
+def test_no_exchange_carries_html(spark, name):
+    from leafsift.operators.samples import training_rows
+    from queries import views
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large to broadcast
+    try:
+        df = training_rows(views.fragments(spark, SF)) if name == "s13_labelled_blocks" else QUERIES[name](spark, SF)
+        moved = shuffled_columns(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "page_id" in moved and not moved & {"html", "_html", "body", "raw", "attrs"}
+
+
+def test_scores_are_taken_without_an_exchange(spark):
+    from leafsift.operators.encoding import with_article_entries
+    from leafsift.operators.linear import decision_values
+    from queries import views
+
+    schema = "id bigint, f_site string, f_title_keywords string, f_content_keywords string, f_date string, f_content_len bigint, f_img_n int"
+    rows = with_article_entries(spark.createDataFrame([], schema), views.as_of())
+    assert "id" not in shuffled_columns(decision_values(rows, views.model(spark)))
