@@ -5,6 +5,8 @@ Each applies its operator with production parameters and returns its full result
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,6 +120,32 @@ def op2_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.search(_table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % 50 == 0, k=5, step=1 / 256)
 
 
+def _license_sql(least: float = 0.8) -> str:
+    """Exact containment in every window, without any retrieval."""
+    rows = []
+    for name, text in sorted(licenses.TEMPLATES.items()):
+        words = re.findall("[a-z0-9]+", text.lower())
+        runs = list(dict.fromkeys(" ".join(words[i : i + licenses.SHINGLE]) for i in range(len(words) - licenses.SHINGLE + 1)))
+        pieces = [runs[i : i + licenses.PIECE] for i in range(0, len(runs), licenses.PIECE)]
+        rows.append(f"('{name}', {len(runs)}, {pieces!r})")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH templates(name, total, pieces) AS (VALUES {", ".join(rows)}),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END AS s FROM w),
+windows AS (SELECT doc_id, list_transform(range(0, greatest(1, len(s)), {licenses.PIECE}), lambda a: s[a + 1:a + {2 * licenses.PIECE}]) AS ws FROM s),
+scored AS (
+  SELECT doc_id, name, list_sum(list_transform(pieces, lambda p: list_max(list_transform(ws, lambda x: len(list_intersect(x, p)))))) / total::DOUBLE AS c
+  FROM windows, templates
+),
+held AS (SELECT doc_id, name, c FROM scored WHERE c >= {least})
+SELECT d.doc_id, count(h.name)::INTEGER AS n_licenses, coalesce(string_agg(h.name, ',' ORDER BY h.name), '') AS licenses, coalesce(max(h.c), 0)::DOUBLE AS containment
+FROM documents d LEFT JOIN held h USING (doc_id) GROUP BY d.doc_id"""
+
+
+SQL["op5_license_scans"] = _license_sql()
+
+
 @query
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"), least=0.8)

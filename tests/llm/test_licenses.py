@@ -1,10 +1,11 @@
 import re
 
+import compare
 import numpy as np
 from samples import ODD, by_id, docs
 
 from leafsift.llm import licenses
-from leafsift.llm.queries import QUERIES
+from leafsift.llm.queries import QUERIES, SQL
 
 
 def words(text):
@@ -41,6 +42,11 @@ def test_query_equals_brute_force(spark):
     assert found == 39
 
 
+def test_query_agrees_with_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    assert compare.difference(QUERIES["op5_license_scans"](spark, sf), compare.connect(sf), SQL["op5_license_scans"]) is None
+
+
 def test_planted_notices_whole_cut_and_mixed(spark):
     rng = np.random.default_rng(0)
     filler = lambda n: " ".join("w%d" % x for x in rng.integers(0, 10**6, n))
