@@ -244,7 +244,7 @@ def global_rank(df: DataFrame, *order, partitions: int | None = None) -> DataFra
     """Adds ``rank`` over all rows without gathering them in one task.
 
     Rows are range partitioned, numbered per partition and shifted by the sizes of
-    the partitions before. ``order`` must be a total order.
+    the partitions before. ``order`` must be a total order. The partitioned rows are stored when this is called.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

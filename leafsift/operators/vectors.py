@@ -66,19 +66,3 @@ def vector_entries(vectors: DataFrame) -> DataFrame:
     """Long form ``id, word, weight``."""
     zipped = F.arrays_zip(F.col("terms").alias("word"), F.col("weights").alias("weight"))
     return vectors.select("id", F.inline(zipped))
-
-
-SALTS = 8
-
-
-def cosine_to(entries: DataFrame, targets: DataFrame) -> DataFrame:
-    """``id, target, similarity`` of every row to each row of ``targets(target, word, weight)``.
-
-    ``targets`` is a short list such as the kept rows or the profiles. It is repeated
-    under a few salts, so the rows of a frequent word are spread over as many tasks.
-    """
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
-    to = targets.select("target", "word", F.col("weight").alias("_to"), salts.alias("_salt"))
-    salted = entries.select("id", "word", "weight", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt"))
-    joined = salted.join(to, ["word", "_salt"])
-    return joined.groupBy("id", "target").agg(F.sum(F.col("weight") * F.col("_to")).alias("similarity"))

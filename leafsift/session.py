@@ -94,5 +94,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared checkpoint root."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name under the shared checkpoint root.
+
+    All folders of an application lie in one, ``leafsift-<application id>``, which may be removed when it is over.
+    """
+    return f"{checkpoint_root(spark)}/leafsift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

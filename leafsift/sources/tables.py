@@ -76,16 +76,16 @@ def ranked_json(ranked: DataFrame, updated_at: str) -> DataFrame:
     return ranked.select("rank", document.alias("value"))
 
 
-def ranked_document(ranked: DataFrame, updated_at: str) -> DataFrame:
-    """The whole list as one JSON document; only for lists cut to a fixed top."""
+def ranked_document(ranked: DataFrame, updated_at: str, top: int = 5000) -> DataFrame:
+    """The first ``top`` ranks as one JSON document, which one task gathers."""
     fields = [c for c in ranked.columns if c != "rank"]
     rows = F.sort_array(F.collect_list(F.struct("rank", F.struct(*fields).alias("a"))))
-    return ranked.agg(
+    return ranked.filter(F.col("rank") <= top).agg(
         F.to_json(
             F.struct(F.lit(updated_at).alias("updateTime"), F.transform(rows, lambda r: r["a"]).alias("articles"))
         ).alias("value")
     )
 
 
-def write_ranked(ranked: DataFrame, updated_at: str, path: str) -> None:
-    ranked_document(ranked, updated_at).write.mode("overwrite").text(path)
+def write_ranked(ranked: DataFrame, updated_at: str, path: str, top: int = 5000) -> None:
+    ranked_document(ranked, updated_at, top).write.mode("overwrite").text(path)

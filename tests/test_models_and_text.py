@@ -219,18 +219,6 @@ def test_hot_and_cold_words_join_alike(spark, monkeypatch):
     assert np.allclose([r[2] for r in results[0][:3]], raw / np.linalg.norm(raw))
 
 
-def test_cosines_to_targets(spark):
-    rows = random_vectors(4, 40, 20, 6)
-    entries = W.vector_entries(vectors(spark, rows).select("id", "terms", "weights"))
-    targets = entries.filter("id < 5").withColumnRenamed("id", "target")
-    got = {(r["id"], r["target"]): r["similarity"] for r in W.cosine_to(entries, targets).collect()}
-    by_id = {i: v for _, i, v in rows}
-    for i in by_id:
-        for k in range(5):
-            want = sum(w * by_id[k].get(t, 0) for t, w in by_id[i].items())
-            assert abs(got.get((i, k), 0.0) - want) < 1e-12
-
-
 def test_rank_words_favours_the_hub_in_each_document():
     texts = ["hub a hub b hub c hub d", "a b", "x y x z x"]
     words = sorted({w for t in texts for w in t.split()})
