@@ -1,7 +1,7 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE_WORDS`` words. A passage is encoded from the means of learned
-vectors of its words (hashed) and of their shapes (runs of capitals, letters, digits, marks). Gated attention gives each
+vectors of its words (hashed) and of their shapes (runs of capitals, letters, digits, marks), and from how far its words repeat. Gated attention gives each
 passage a weight, learned from document labels only, and the weighted
 representation is scored. Parameters are fitted with Adam on a bounded sample of labelled documents.
 
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafsift.llm.batches import Bytes, Words, per_slice, slices, sums_between
+from leafsift.llm.batches import Bytes, Words, dense, firsts, per_slice, slices, sums_between
 from leafsift.llm.quality_rules import labelled_ids, labelled_texts
 
 PASSAGE_WORDS = 64
@@ -54,10 +54,21 @@ def passage_bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(begin, first[-1]), at
 
 
+def repeats(word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each passage, the shares of its words that equal the word before, and that stood in it before."""
+    sizes = np.diff(bounds)
+    passage = np.repeat(np.arange(len(sizes)), sizes)
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (passage[1:] == passage[:-1])
+    again = ~firsts(*dense(passage * WORD_BUCKETS + word))
+    return np.column_stack([sums_between(same, bounds), sums_between(again, bounds)]) / np.maximum(1, sizes)[:, None]
+
+
 @dataclass
 class Parameters:
     words: np.ndarray
     shapes: np.ndarray
+    repeat: np.ndarray
     bias: np.ndarray
     value: np.ndarray  # V of the attention
     gate: np.ndarray  # U of the attention
@@ -71,6 +82,7 @@ class Parameters:
         return cls(
             draw(WORD_BUCKETS, WIDTH, scale=0.1),
             draw(SHAPE_BUCKETS, WIDTH, scale=0.5),
+            draw(2, WIDTH, scale=0.5),
             np.zeros(WIDTH, np.float32),
             draw(HIDDEN, WIDTH, scale=WIDTH**-0.5),
             draw(HIDDEN, WIDTH, scale=WIDTH**-0.5),
@@ -92,7 +104,7 @@ def _softmax(scores: np.ndarray, bag: np.ndarray, n_bags: int) -> np.ndarray:
 
 
 def represent(p: Parameters, mean: np.ndarray, bag: np.ndarray, n_bags: int) -> dict[str, np.ndarray]:
-    """All values from passage means (of word and shape vectors) to document scores."""
+    """All values from encoded passages to document scores."""
     h = np.tanh(mean + p.bias)
     t, g = np.tanh(h @ p.value.T), 1 / (1 + np.exp(-(h @ p.gate.T)))
     weight = _softmax((t * g) @ p.attend, bag, n_bags)
@@ -103,7 +115,7 @@ def represent(p: Parameters, mean: np.ndarray, bag: np.ndarray, n_bags: int) ->
 
 def _means(p: Parameters, word: np.ndarray, shape: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n = np.maximum(1, np.diff(bounds))[:, None]
-    return sums_between(p.words[word] + p.shapes[shape], bounds) / n
+    return sums_between(p.words[word] + p.shapes[shape], bounds) / n + repeats(word, bounds) @ p.repeat
 
 
 def gradients(p: Parameters, word: np.ndarray, shape: np.ndarray, bounds: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
@@ -123,6 +135,7 @@ def gradients(p: Parameters, word: np.ndarray, shape: np.ndarray, bounds: np.nda
     return {
         "words": columns(word, WORD_BUCKETS),
         "shapes": columns(shape, SHAPE_BUCKETS),
+        "repeat": repeats(word, bounds).T @ dq,
         "bias": dq.sum(axis=0),
         "value": dt.T @ v["h"],
         "gate": dg.T @ v["h"],
@@ -179,6 +192,7 @@ class Model:
         vectors = (p.words[word] + p.shapes[shape]).astype(np.float32)
         bounds, at = passage_bounds(words.first)
         mean = sums_between(vectors[words.ids], bounds) / np.maximum(1, np.diff(bounds))[:, None]
+        mean = mean + repeats(word[words.ids], bounds) @ p.repeat
         bag = np.repeat(np.arange(n), np.diff(at))
         v = represent(p, mean, bag, n)
         order = np.lexsort((-np.arange(len(bag)), v["weight"], bag))  # the last of each bag has its largest weight

@@ -180,6 +180,16 @@ def test_passages_of_odd_rows(spark):
     assert kept.columns == docs(spark, ODD).columns
 
 
+def test_repeats_by_brute_force():
+    rng = np.random.default_rng(1)
+    word, bounds = rng.integers(0, 4, 30), np.array([0, 10, 10, 25, 30])
+    found = passages.repeats(word, bounds)
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        own = word[a:b].tolist()
+        same = sum(x == y for x, y in zip(own, own[1:])) / max(1, len(own))
+        assert found[i].tolist() == [same, (len(own) - len(set(own))) / max(1, len(own))]
+
+
 def test_buckets_split_shapes():
     words = Words.of(Bytes.of(pa.array(["Hello hello HELLO!! a1 |"])))
     word, shape = passages.buckets(words)
