@@ -6,8 +6,12 @@ to one backoff model that both classes share: Kneser-Ney continuation counts
 of ever shorter contexts. A rare expression so gets nearly the same probability from both.
 Under the shared backoff a byte not seen after a context differs between the classes by the context's freed
 share alone, so scoring needs two tables: the log ratio of every n-gram
-seen, and of every context. Both are put into arrays of a fixed number of hashed slots, with eight more
-bits of the hash to tell strangers; the counts behind them are a Spark table and grow with the corpus.
+seen, and of every context. Both are Spark tables by the full n-gram and grow with the corpus.
+
+Scoring reduces the texts to their distinct words, joins the n-grams of those by shuffle, scores every word once and
+joins word scores back to documents. N-grams that make up at least 1 / ``HOT_GRAMS`` of the words' n-grams and words that make up
+at least 1 / ``HOT_WORDS`` of the texts are sent to the tasks instead, so no shuffled key has more; there cannot be more of them than
+that. Values are whole multiples of 1 / ``UNIT``, so that sums do not depend on their order.
 
 The toxic and the ordinary log-likelihood of each word are compared per byte, and means over the words of a text
 of what exceeds some thresholds go into a logistic curve fitted on a fold that was not counted: toxic passages are short,
@@ -20,26 +24,58 @@ their own row; an id labelled twice counts with its smaller label. Other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafsift.llm.batches import Bytes, Words, dense, give_back, per_slice, slices, spread_repeats, stored, sums_between, texts_of
+from leafsift.llm.batches import SLICE_BYTES, Bytes, Words, dense, give_back, slices, spread_repeats, stored, sums_between, texts_of
 from leafsift.llm.quality_rules import labelled_ids, labelled_texts
 
 #: Bytes of an n-gram.
 ORDER = 7
-#: Slots of each hashed table.
+#: Places of a table of ``Slots``, unless said otherwise.
 SLOTS = 1 << 21
+#: The share of all rows (1 / n) from which an n-gram or a word is sent to the tasks.
+HOT_GRAMS, HOT_WORDS = 1 << 12, 1 << 20
+#: Steps of the values that are added up.
+UNIT = 1 << 24
+#: Rows held in a task before they are summed and handed on.
+HELD_ROWS = 1 << 19
 #: Marks the beginning of a word.
 START = 1
 TRIM = ".,;:!?\"'()[]{}*#$%&|<>-_"
 FEATURES = 5
+NAMES = [f"f{i}" for i in range(FEATURES)]
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, Words]:
+    """The number of every token's word, the distinct words (trimmed, in lower case), and the batch's words as they stand."""
+    words = Words.of(Bytes.of(texts))
+    trimmed = pc.utf8_trim(pc.utf8_lower(words.distinct.cast(pa.large_string())), TRIM).dictionary_encode()
+    return trimmed.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.ids], trimmed.dictionary, words
+
+
+def grams_of(distinct: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of each word with its closing blank, the word of every n-gram, and the bytes of every n-gram."""
+    raw = Bytes.of(distinct)
+    lengths = np.diff(raw.bounds) + 1
+    data = np.full(int(lengths.sum()), 32, np.int64)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    place = spread_repeats(lengths)
+    data[place < (lengths - 1)[owner]] = raw.data
+    grams = np.zeros(len(data), np.int64)
+    for back in range(order):
+        earlier = np.full(len(data), START, np.int64)
+        inside = np.flatnonzero(place >= back)
+        earlier[inside] = data[inside - back]
+        grams |= earlier << (8 * back)
+    return lengths, owner, grams
 
 
 @dataclass
@@ -54,21 +90,8 @@ class WordGrams:
 
     @classmethod
     def of(cls, texts: pa.Array, order: int = ORDER) -> WordGrams:
-        words = Words.of(Bytes.of(texts))
-        trimmed = pc.utf8_trim(pc.utf8_lower(words.distinct.cast(pa.large_string())), TRIM).dictionary_encode()
-        word = trimmed.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.ids]
-        raw = Bytes.of(trimmed.dictionary)
-        lengths = np.diff(raw.bounds) + 1
-        data = np.full(int(lengths.sum()), 32, np.int64)
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        place = spread_repeats(lengths)
-        data[place < (lengths - 1)[owner]] = raw.data
-        grams = np.zeros(len(data), np.int64)
-        for back in range(order):
-            earlier = np.full(len(data), START, np.int64)
-            inside = np.flatnonzero(place >= back)
-            earlier[inside] = data[inside - back]
-            grams |= earlier << (8 * back)
+        word, distinct, words = tokens_of(texts)
+        lengths, owner, grams = grams_of(distinct, order)
         return cls(word, lengths, owner, grams, words)
 
 
@@ -187,32 +210,159 @@ class Slots:
         return self.value[place], self.full[place] & (self.check[place] == check)
 
 
+# ---------------------------------------------------------------- word scores
+
+
+def _summed(parts: list[pa.Table], key: str) -> pa.Table:
+    return pa.concat_tables(parts).group_by(key).aggregate([("n", "sum")]).rename_columns([key, "n"])
+
+
+def _counted(rows: DataFrame, counts: Callable[[pa.RecordBatch], pa.Table], key: str, kind: str, column: str = "text") -> DataFrame:
+    """(key, n): the sums of what ``counts`` finds in each slice, summed in each task first, a bounded number of rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in slices(batches, column=column):
+            held.append(counts(part))
+            size += held[-1].num_rows
+            if size >= HELD_ROWS:
+                yield from _summed(held, key).to_batches()
+                held, size = [], 0
+        if held:
+            yield from _summed(held, key).to_batches()
+
+    return rows.mapInArrow(run, f"{key} {kind}, n long").groupBy(key).agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(id, word, n): every distinct word and how often it stands in the texts; the ids are stored."""
+
+    def counts(part: pa.RecordBatch) -> pa.Table:
+        word, distinct, _ = tokens_of(part.column("text"))
+        return pa.table({"word": distinct.cast(pa.string()), "n": np.bincount(word, minlength=len(distinct)).astype(np.int64)})
+
+    found = _counted(texts_of(docs).select("text"), counts, "word", "string")
+    return stored(found.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "toxicity-words")
+
+
+def gram_values(words: DataFrame, of_grams: DataFrame, of_contexts: DataFrame, order: int) -> DataFrame:
+    """(gram, value, n) of the words' n-grams: its log ratio in units, that of its context if it was never seen, none if neither was; n words' places."""
+
+    def counts(part: pa.RecordBatch) -> pa.Table:
+        ids, kinds = dense(found := grams_of(part.column("word"), order)[2])
+        gram = np.empty(kinds, np.int64)
+        gram[ids] = found
+        return pa.table({"gram": gram, "n": np.bincount(ids, minlength=kinds).astype(np.int64)})
+
+    grams = _counted(words.select("word"), counts, "gram", "long", "word").withColumn("context", F.shiftright("gram", 8))
+    grams = grams.join(of_grams.select(F.col("key").alias("gram"), F.col("value").alias("own")), "gram", "left")
+    grams = grams.join(of_contexts.select(F.col("key").alias("context"), F.col("value").alias("other")), "context", "left")
+    value = F.round(F.coalesce("own", "other", F.lit(0.0)) * UNIT).cast("long")
+    return stored(grams.select("gram", value.alias("value"), "n"), "toxicity-values")
+
+
+def _hot(rows: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose n is at least 1 / ``share`` of all n, at most ``share`` of them; and the others."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * share >= total
+    return rows.filter(hot), rows.filter(~hot)
+
+
+def word_features(words: DataFrame, values: DataFrame, order: int) -> DataFrame:
+    """(word, n, f0 ..) for every word, in units: what its log ratio exceeds some thresholds by."""
+    hot, cold = _hot(values, HOT_GRAMS)
+    held = hot.select("gram", "value").toArrow().sort_by("gram")  # at most HOT_GRAMS rows
+    known, value = (held.column(c).to_numpy() for c in ("gram", "value"))
+
+    def places(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
+        return at, (known[at] == grams) if len(known) else np.zeros(len(grams), bool)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, SLICE_BYTES // 8, "word"):
+            _, owner, grams = grams_of(part.column("word"), order)
+            keep = ~places(grams)[1]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner[keep])), pa.array(grams[keep])], ["id", "gram"])
+
+    rows = words.select("id", "word").mapInArrow(others, "id long, gram long")
+    sums = rows.join(cold.filter("value <> 0").select("gram", "value"), "gram").groupBy("id").agg(F.sum("value").alias("rest"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, column="word"):
+            lengths, owner, grams = grams_of(part.column("word"), order)
+            at, there = places(grams)
+            whole = part.column("rest").to_numpy(zero_copy_only=False).astype(np.int64)
+            np.add.at(whole, owner[there], value[at[there]])
+            by_word = thresholds(whole / UNIT, lengths)
+            yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), *(pa.array(c) for c in by_word.T)], ["word", "n", *NAMES])
+
+    whole = words.join(sums, "id", "left").select("word", "n", F.coalesce("rest", F.lit(0)).alias("rest"))
+    return stored(whole.mapInArrow(finish, "word string, n long, " + ", ".join(f"{c} long" for c in NAMES)), "toxicity-word-features")
+
+
+def thresholds(whole: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The features of words from their log ratios, one row each, in units."""
+    per_byte = whole / lengths
+    over = lambda x, least: np.maximum(x - least, 0)
+    by_word = np.column_stack([over(whole, 2), over(per_byte, 0.25), over(per_byte, 0.5), over(per_byte, 0.75), np.clip(whole, -1, 1)])
+    return np.rint(by_word * UNIT).astype(np.int64)
+
+
+def document_features(docs: DataFrame, by_word: DataFrame) -> DataFrame:
+    """(doc_id, f0 ..) for every row of ``docs``: means over the words of its text."""
+    hot, cold = _hot(by_word, HOT_WORDS)
+    held = hot.select("word", *NAMES).toArrow().combine_chunks()  # at most HOT_WORDS rows
+    known = held.column("word").combine_chunks() if held.num_rows else pa.array([], pa.string())
+    value = np.column_stack([*(held.column(c).to_numpy() for c in NAMES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for part in slices(batches):
+            word, distinct, words = tokens_of(part.column("text"))
+            at = pc.index_in(distinct.cast(pa.string()), value_set=known)
+            hit = at.is_valid().to_numpy(zero_copy_only=False)
+            own = np.zeros((len(distinct), FEATURES), np.int64)
+            own[hit] = value[at.fill_null(0).to_numpy(zero_copy_only=False)[hit]]
+            sums = sums_between(own[word], words.first)
+            rare = np.flatnonzero(~hit[word])
+            pairs, kinds = dense(words.text_of[rare] * len(distinct) + word[rare])
+            pair = np.empty(kinds, np.int64)
+            pair[pairs] = words.text_of[rare] * len(distinct) + word[rare]
+            times = np.bincount(pairs, minlength=kinds).astype(np.int64)
+            order = np.argsort(pair, kind="stable")
+            text, word, times = pair[order] // max(1, len(distinct)), pair[order] % max(1, len(distinct)), times[order]
+            bounds = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
+            rows = np.arange(row, row + part.num_rows, dtype=np.int64)
+            row += part.num_rows
+            lists = [
+                pa.ListArray.from_arrays(bounds, distinct.take(pa.array(word)).cast(pa.string())),
+                pa.ListArray.from_arrays(bounds, pa.array(times)),
+            ]
+            columns = [pa.array(rows), part.column("doc_id"), pa.array(words.counts.astype(np.int64)), *(pa.array(c) for c in sums.T), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "words", *NAMES, "rare", "times"])
+
+    kinds = "row long, doc_id long, words long, " + ", ".join(f"{c} long" for c in NAMES) + ", rare array<string>, times array<long>"
+    rows = stored(texts_of(docs).mapInArrow(run, kinds), "toxicity-rows")  # row numbers must not change between the two uses
+    pairs = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("word"), F.col("p.times").alias("times"))
+    more = pairs.join(cold.drop("n"), "word").groupBy("row").agg(*(F.sum(F.col(c) * F.col("times")).alias(f"more_{c}") for c in NAMES))
+    both = rows.select("row", "doc_id", "words", *NAMES).join(more, "row", "left")
+    mean = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))) / F.lit(float(UNIT)) / F.greatest("words", F.lit(1))
+    return both.select("doc_id", *(F.log1p(50 * mean(c)).alias(c) for c in NAMES[:4]), *(mean(c).alias(c) for c in NAMES[4:]))
+
+
 @dataclass
 class Model:
-    grams: Slots | None
-    contexts: Slots | None
+    grams: DataFrame | None  # (key, value): the log ratio of every n-gram, and of every context
+    contexts: DataFrame | None
     order: int
     prior: float
     weights: np.ndarray | None = None
 
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """Means over the words of each text; one row each."""
-        found = WordGrams.of(texts, self.order)
-        value, there = self.grams.find(found.grams)
-        other, known = self.contexts.find(found.grams >> 8)
-        ratio = np.where(there, value, np.where(known, other, 0)).astype(np.float64)
-        whole = np.bincount(found.owner, ratio, minlength=len(found.lengths))
-        per_byte = whole / found.lengths
-        over = lambda x, least: np.maximum(x - least, 0)
-        by_word = np.column_stack([over(whole, 2), over(per_byte, 0.25), over(per_byte, 0.5), over(per_byte, 0.75), np.clip(whole, -1, 1)])
-        counts = np.maximum(1, found.words.counts)[:, None]
-        means = np.column_stack([sums_between(by_word[:, i][found.word], found.words.first) for i in range(FEATURES)]) / counts
-        return np.column_stack([np.log1p(50 * means[:, :4]), means[:, 4:]])
-
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        if self.weights is None:
-            return np.full(len(texts), self.prior)
-        return 1 / (1 + np.exp(-(self.features(texts) @ self.weights[1:] + self.weights[0])))
+    def features(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, f0 ..) for every row of ``docs``."""
+        words = vocabulary(docs)
+        values = gram_values(words, self.grams, self.contexts, self.order)
+        return document_features(docs, word_features(words, values, self.order))
 
 
 def fit_curve(rows: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -246,25 +396,19 @@ def train(docs: DataFrame, labels: DataFrame, count_rows: Column, curve_rows: Co
     if not 0 < model.prior < 1:
         return model
     of_grams, of_contexts = log_ratios(stored(count_grams(labelled, order), "toxicity-grams"), order)
-    model.grams, model.contexts = Slots(of_grams), Slots(of_contexts)
-    sample = labelled_texts(docs, labelled_ids(labels, "toxic", sample_rows, curve_rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            columns = [pa.array(c) for c in model.features(part.column("text")).T]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *columns], ["doc_id", "label", *(f"f{i}" for i in range(FEATURES))])
-
-    names = [f"f{i}" for i in range(FEATURES)]
-    found = sample.mapInArrow(run, "doc_id long, label int, " + ", ".join(f"{n} double" for n in names)).orderBy("doc_id", *names).toPandas()
+    model.grams, model.contexts = stored(of_grams.select("key", "value"), "toxicity-ratios"), stored(of_contexts.select("key", "value"), "toxicity-shares")
+    sample = labelled_ids(labels, "toxic", sample_rows, curve_rows)
+    found = model.features(labelled_texts(docs, sample)).join(F.broadcast(sample), "doc_id").orderBy("doc_id", *NAMES).toPandas()
     if len(found) and found["label"].nunique() == 2:
-        model.weights = fit_curve(found[names].to_numpy(), found["label"].to_numpy())
+        model.weights = fit_curve(found[NAMES].to_numpy(), found["label"].to_numpy())
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row."""
 
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(part.column("text")))], ["doc_id", "score"])
-
-    return per_slice(docs, work, "doc_id long, score double")
+    if model.weights is None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(model.prior).alias("score"))
+    parts = [F.col(c) * F.lit(float(w)) for c, w in zip(NAMES, model.weights[1:])]
+    z = sum(parts, F.lit(float(model.weights[0])))
+    return model.features(docs).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))

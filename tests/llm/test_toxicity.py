@@ -133,3 +133,28 @@ def test_query_folds_and_held_out_accuracy(spark):
         assert row["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and row["predicted"] == int(row["score"] >= 0.5)
     held = [(row["predicted"], labels[i]) for i, (row,) in rows.items() if row["held_out"] and i in labels]
     assert np.mean([p == y for p, y in held]) > 0.9
+
+
+def test_every_ratio_reaches_the_score(spark, monkeypatch):
+    """Document features equal a plain sum over the full n-gram tables, however few keys are sent to the tasks."""
+    monkeypatch.setattr(toxicity, "SLOTS", 16)  # a table of so few places lost nearly all n-grams
+    monkeypatch.setattr(toxicity, "HOT_GRAMS", 40)
+    monkeypatch.setattr(toxicity, "HOT_WORDS", 8)
+    rows = corpus(60, 3)
+    d, labels = frames(spark, rows)
+    model = toxicity.train(d, labels, F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1)
+    grams, contexts = ({r["key"]: r["value"] for r in t.collect()} for t in (model.grams, model.contexts))
+    new = "Blorkhead, riverstone (snargle) zzz the the"
+    extra = [(1000, new), (1000, new), (None, new), (1001, None)]
+    found = model.features(docs(spark, [(i, t) for i, t, _ in rows] + extra)).collect()
+    assert len(found) == len(rows) + len(extra)
+    for r in found:
+        text = new if r["doc_id"] in (1000, None) else dict((i, t) for i, t, _ in rows).get(r["doc_id"]) or ""
+        words, sums = [w.strip(toxicity.TRIM) for w in text.lower().split()], np.zeros(toxicity.FEATURES)
+        for w in words:
+            keys = [int.from_bytes(g, "big") for g in grams_of([w], toxicity.ORDER).elements()]
+            whole = sum(grams.get(k, contexts.get(k >> 8, 0.0)) for k in keys)
+            each = whole / len(keys)
+            sums += [max(whole - 2, 0), max(each - 0.25, 0), max(each - 0.5, 0), max(each - 0.75, 0), min(max(whole, -1), 1)]
+        means = sums / max(1, len(words))
+        assert [r[c] for c in toxicity.NAMES] == pytest.approx([*np.log1p(50 * means[:4]), means[4]], abs=1e-4)
