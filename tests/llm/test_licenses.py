@@ -76,3 +76,18 @@ def test_odd_rows(spark):
 def test_plan_has_no_python_and_no_exchange(spark):
     plan = QUERIES["op5_license_scans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange", "Join"))
+
+
+def test_short_notices_beside_long_ones_at_every_offset(spark):
+    names = sorted(licenses.TEMPLATES, key=lambda n: len(runs(licenses.TEMPLATES[n])))
+    short = [n for n in names if len(runs(licenses.TEMPLATES[n])) < 10]
+    texts = []
+    for a in short:
+        for b in [n for n in names if n not in short]:
+            for offset in range(32):
+                filler = " ".join(f"w{offset}x{i}" for i in range(offset))
+                pair = [licenses.TEMPLATES[a], licenses.TEMPLATES[b]]
+                texts += [" ".join([filler, *pair]), " ".join([filler, *pair[::-1]])]
+    rows = by_id(licenses.scan(docs(spark, list(enumerate(texts)))))
+    for i, text in enumerate(texts):
+        assert {f["name"]: round(f["containment"], 9) for f in rows[i][0]["licenses"]} == {k: round(v, 9) for k, v in brute(text).items()}
