@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from leafsift.session import cut, scratch_path
 
 VECTOR_ROWS = "score double, id bigint, terms array<string>, weights array<double>"
 _CELLS = 4_000_000  # similarity cells and postings held at once in a task
+_BLOCK_ROWS = 2048  # rows of a block that meets a block of kept rows
 
 
 class KeptVectors:
@@ -179,65 +181,77 @@ def diversify(
 def similar_to(rows: DataFrame, kept: DataFrame, threshold: float, budget: int = 2_000_000) -> DataFrame:
     """``id, target, similarity`` of every row of ``rows(id, terms, weights)`` to the rows of ``kept`` it resembles at least that much.
 
-    ``kept(rank, id, terms, weights)`` is taken in parts of at most ``budget`` entries; each is one
-    narrow pass over the rows, so pairs below the threshold are never shuffled. Jobs run while the frame is built.
+    ``kept(rank, id, terms, weights)`` and the rows are stored in blocks of at most ``budget`` entries; Spark brings every row block and
+    every kept block together by a shuffle on their numbers, so no vector passes through the driver and pairs
+    below the threshold are never shuffled. Jobs run while the frame is built.
     """
-    found = None
-    for part in parts_of(kept, budget):
-        near = _near(part, threshold)
-        one = rows.select("id", "terms", "weights").mapInArrow(near, "id bigint, target bigint, similarity double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], "id bigint, target bigint, similarity double")
-    return found
+
+    def near(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        own, ids, first = mine.column("id").to_numpy(), theirs.column("target").to_numpy(), 0
+        found = [pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], ["id", "target", "similarity"])]
+        for cells in _kept_vectors([theirs]).similarities(*_lists(mine)):
+            row, target = np.nonzero(cells >= threshold)
+            found.append(pa.table([pa.array(own[first + row]), pa.array(ids[target]), pa.array(cells[row, target])], ["id", "target", "similarity"]))
+            first += len(cells)
+        return pa.concat_tables(found)
+
+    return _by_blocks(rows, kept, budget, near, "id bigint, target bigint, similarity double")
 
 
 def best_similarity(rows: DataFrame, kept: DataFrame, budget: int = 2_000_000) -> DataFrame:
-    """``id, similarity``: the highest cosine of every row to any row of ``kept``."""
-    found = None
-    for part in parts_of(kept, budget):
-        one = rows.select("id", "terms", "weights").mapInArrow(_highest(part), "id bigint, similarity double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    """``id, similarity``: the highest cosine of every row to any row of ``kept``; blocks meet as in ``similar_to``."""
+
+    def highest(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        return pa.table([mine.column("id"), pa.array(_kept_vectors([theirs]).best(*_lists(mine)))], ["id", "similarity"])
+
+    kept = cut(kept.select("rank", "id", "terms", "weights"))
+    if not kept.take(1):
         return rows.select("id", F.lit(0.0).alias("similarity"))
+    found = _by_blocks(rows, kept, budget, highest, "id bigint, similarity double")
     return found.groupBy("id").agg(F.max("similarity").alias("similarity"))
 
 
-def parts_of(kept: DataFrame, budget: int) -> Iterator[pa.Table]:
-    """The kept rows in the order of their rank, in parts of at most ``budget`` entries (one row at least)."""
-    sizes = cut(kept.select("rank", "id", "terms", "weights"))
-    reach = Window.partitionBy("_slice").orderBy("rank")
-    # rows of one slice of ranks: their number is bounded, and so is what the window holds
-    sliced = sizes.withColumn("_slice", F.floor((F.col("rank") - 1) / 4096)).withColumn("_n", F.size("terms"))
-    placed = sliced.withColumn("_part", F.floor((F.sum("_n").over(reach) - F.col("_n")) / budget))
-    for key in placed.select("_slice", "_part").distinct().orderBy("_slice", "_part").toLocalIterator():
-        mine = placed.filter((F.col("_slice") == key["_slice"]) & (F.col("_part") == key["_part"]))
-        yield mine.select("id", "terms", F.col("weights").cast("array<double>")).orderBy("id").toArrow()
+def _lists(rows: pa.Table) -> tuple[pa.ListArray, pa.ListArray]:
+    return rows.column("terms").combine_chunks(), rows.column("weights").combine_chunks()
 
 
-def _near(part: pa.Table, threshold: float):
-    kept, ids = _kept_vectors([part]), part.column("id").to_numpy()
+def _by_blocks(rows: DataFrame, kept: DataFrame, budget: int, work, schema: str) -> DataFrame:
+    """``work`` on every block of rows with every block of kept rows, each pair of blocks in one group of a shuffle."""
+    mine, theirs = row_blocks(rows, budget), kept_blocks(kept, budget)
+    left = mine.crossJoin(theirs.select(F.col("_slice").alias("_s"), F.col("_part").alias("_p")).distinct())
+    right = theirs.crossJoin(mine.select(F.col("_block").alias("_b")).distinct())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, first = batch.column(0).to_numpy(zero_copy_only=False), 0
-            for cells in kept.similarities(*_columns(batch)):
-                row, target = np.nonzero(cells >= threshold)
-                columns = [pa.array(own[first + row]), pa.array(ids[target]), pa.array(cells[row, target])]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "target", "similarity"])
-                first += len(cells)
+    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        return work(mine.combine_chunks(), theirs.combine_chunks())
 
-    return run
+    return left.groupBy("_block", "_s", "_p").cogroup(right.groupBy("_b", "_slice", "_part")).applyInArrow(meet, schema)
 
 
-def _highest(part: pa.Table):
-    kept = _kept_vectors([part])
+def row_blocks(rows: DataFrame, budget: int) -> DataFrame:
+    """``id, terms, weights`` with a stored ``_block``: consecutive rows of a task, at most ``_BLOCK_ROWS`` and ``budget`` entries (one row at least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, entries = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept.best(*_columns(batch)))], ["id", "similarity"])
+            numbers = np.empty(batch.num_rows, np.int64)
+            for i, size in enumerate(pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).tolist()):
+                if held and (held >= _BLOCK_ROWS or entries + size > budget):
+                    block, held, entries = block + 1, 0, 0
+                held, entries = held + 1, entries + size
+                numbers[i] = block
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], ["id", "terms", "weights", "_block"])
 
-    return run
+    rows = rows.select(F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"))
+    return cut(rows.mapInArrow(run, "id bigint, terms array<string>, weights array<double>, _block bigint"))
+
+
+def kept_blocks(kept: DataFrame, budget: int) -> DataFrame:
+    """``target, terms, weights`` in the order of their rank with stored ``_slice, _part``: at most 4,096 rows and about ``budget`` entries each."""
+    reach = Window.partitionBy("_slice").orderBy("rank")
+    # rows of one slice of ranks: their number is bounded, and so is what the window holds
+    sliced = kept.withColumn("_slice", F.floor((F.col("rank") - 1) / 4096)).withColumn("_n", F.size("terms"))
+    placed = sliced.withColumn("_part", F.floor((F.sum("_n").over(reach) - F.col("_n")) / budget))
+    return cut(placed.select(F.col("id").cast("bigint").alias("target"), "terms", F.col("weights").cast("array<double>"), "_slice", "_part"))
 
 
 def global_rank(df: DataFrame, *order, partitions: int | None = None) -> DataFrame:

@@ -173,6 +173,18 @@ def test_similarities_to_kept_rows_in_parts(spark):
     assert D.similar_to(frame, kept.limit(0), 0.3).count() == 0
 
 
+def test_kept_vectors_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Many blocks of kept rows make one plan that meets them by a shuffle; no part of them is collected."""
+    rows = random_vectors(4, 60, 30, 8)
+    frame = vectors(spark, rows)
+    kept = frame.withColumn("rank", (F.col("id") + 1).cast("int"))
+    monkeypatch.setattr(type(frame), "toArrow", lambda self: pytest.fail("kept rows on the driver"))
+    for found in (D.similar_to(frame, kept, 0.3, 20), D.best_similarity(frame, kept, 20)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Union" not in plan and plan.count("FlatMapCoGroupsInArrow") == 1
+        assert found.count() >= len(rows)
+
+
 def test_chain_keeps_both_ends(spark):
     rows = [(3.0, 1, {"x": 1.0}), (2.0, 2, {"x": 0.6, "y": 0.8}), (1.0, 3, {"y": 1.0})]
     kept = D.diversify(vectors(spark, rows), top=10, threshold=0.5).collect()
