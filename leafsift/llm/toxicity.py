@@ -398,7 +398,8 @@ def train(docs: DataFrame, labels: DataFrame, count_rows: Column, curve_rows: Co
     of_grams, of_contexts = log_ratios(stored(count_grams(labelled, order), "toxicity-grams"), order)
     model.grams, model.contexts = stored(of_grams.select("key", "value"), "toxicity-ratios"), stored(of_contexts.select("key", "value"), "toxicity-shares")
     sample = labelled_ids(labels, "toxic", sample_rows, curve_rows)
-    found = model.features(labelled_texts(docs, sample)).join(F.broadcast(sample), "doc_id").orderBy("doc_id", *NAMES).toPandas()
+    rows = model.features(labelled_texts(docs, sample)).groupBy("doc_id").agg(F.min(F.struct(*NAMES)).alias("f")).select("doc_id", "f.*")  # one row an id
+    found = rows.join(F.broadcast(sample), "doc_id").orderBy("doc_id").toPandas()
     if len(found) and found["label"].nunique() == 2:
         model.weights = fit_curve(found[NAMES].to_numpy(), found["label"].to_numpy())
     return model

@@ -158,3 +158,13 @@ def test_every_ratio_reaches_the_score(spark, monkeypatch):
             sums += [max(whole - 2, 0), max(each - 0.25, 0), max(each - 0.5, 0), max(each - 0.75, 0), min(max(whole, -1), 1)]
         means = sums / max(1, len(words))
         assert [r[c] for c in toxicity.NAMES] == pytest.approx([*np.log1p(50 * means[:4]), means[4]], abs=1e-4)
+
+
+def test_curve_has_one_row_of_each_id(spark, monkeypatch):
+    rows = corpus(40, 4)
+    d, labels = frames(spark, rows)
+    d = d.unionByName(docs(spark, [(1, f"again {i} blorkish") for i in range(30)]))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_curve", lambda x, y: seen.append(x) or np.zeros(toxicity.FEATURES + 1))
+    toxicity.train(d, labels, F.col("doc_id") % 2 == 0, F.col("doc_id") < 20)
+    assert [len(x) for x in seen] == [20]
