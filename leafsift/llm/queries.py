@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import impact_search, licenses, packing, passages, pieces, quality_rules, secret_scans, simhash, token_counts, toxicity
+from leafsift.llm import hard_negatives, impact_search, licenses, packing, passages, pieces, quality_rules, secret_scans, simhash, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -151,3 +151,31 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"), least=0.8)
     names = F.array_join(F.transform("licenses", lambda f: f["name"]), ",")
     return found.select("doc_id", F.size("licenses").alias("n_licenses"), names.alias("licenses"), F.coalesce(F.array_max(F.transform("licenses", lambda f: f["containment"])), F.lit(0.0)).alias("containment"))
+
+
+SQL["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * c.x[i])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.r <> c.r
+  WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM (SELECT anchor, vec_id, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5
+), n AS (
+  SELECT s.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), label, asks=F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, step=1 / 256)
