@@ -5,13 +5,16 @@ Each applies its operator with production parameters and returns its full result
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafsift.llm import decontamination, hard_negatives, impact_search, licenses, packing, passages, pieces, quality_rules, secret_scans, simhash, token_counts, toxicity
+from leafsift.llm import conversation_repair, decontamination, hard_negatives, impact_search, licenses, packing, passages, pieces, quality_rules, secret_scans, simhash, token_counts, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -209,3 +212,86 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def _digests(repaired: DataFrame) -> DataFrame:
+    """(conv_id, repaired_sha256): one hash over each conversation's lines, taken as they stream by. A hash is made in one place, but no conversation is held."""
+    line = F.concat(F.when(F.col("place") > 0, "\n").otherwise(""), "role", F.lit(":"), "text").cast("binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, done = None, None, []
+        for batch in batches:
+            for conv_id, text in zip(batch.column("conv_id").to_pylist(), batch.column("line").to_pylist()):
+                if digest is None or conv_id != key:
+                    if digest is not None:
+                        done.append((key, digest.hexdigest()))
+                    key, digest = conv_id, hashlib.sha256()
+                digest.update(text)
+            yield _rows(done)
+            done = []
+        if digest is not None:
+            yield _rows([(key, digest.hexdigest())])
+
+    def _rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], ["conv_id", "repaired_sha256"])
+
+    lines = repaired.select("conv_id", "place", line.alias("line")).repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    return lines.mapInArrow(run, "conv_id long, repaired_sha256 string")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations")
+    summary, repaired = conversation_repair.repair(conversation_repair.damaged(table))
+    every = table.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    joined = conversation_repair.joined
+    out = joined(joined(every, summary, "conv_id", how="left"), _digests(repaired), "conv_id", how="left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+def _repair_sql() -> str:
+    """Row by row instead of by spans: the least (cost, audit) that reaches each state of the pattern after every row."""
+    plus = lambda v, cost, edit: f"{{'c': {v}.c + {cost}, 'a': {v}.a || '{edit}'}}"
+    least = lambda *vs: f"list_min([{', '.join(vs)}])"
+    closed = f"""SELECT *, {least("u", plus("o", 3, "I"), plus("s", 3, "I"), plus("a", 3, "I"))} AS xu"""
+    drawn = "list_reduce(flatten([[4294967295]] || list_transform(range(1, len(k) + 1), lambda i: [ascii(k[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END)"
+    never = "{'c': 1000000000000, 'a': ''}"
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE convs AS (SELECT conv_id, row_number() OVER () AS v FROM (SELECT DISTINCT conv_id FROM conversations)),
+keyed AS (SELECT v, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+          FROM conversations c JOIN convs n ON c.conv_id IS NOT DISTINCT FROM n.conv_id),
+drawn AS (SELECT *, xor({drawn}, 4294967295) % 20 AS d FROM keyed),
+damaged AS (SELECT v, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+                   CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) AS one
+            FROM drawn WHERE d <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY turn NULLS FIRST, role, left(text, 32), md5(text)) AS i FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY v, role, text ORDER BY i) AS nth, rtrim(text, {space}) AS body, left(role, 1) AS x FROM ordered),
+faulty AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f FROM seen),
+pairs AS (SELECT *, lag(x) OVER (PARTITION BY v ORDER BY i) || x AS pair FROM faulty),
+counts AS (SELECT v, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+                  count(*) FILTER (f = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM pairs GROUP BY v),
+steps(v, i, o, s, u, a) AS (
+  SELECT v, 0::BIGINT, {{'c': 0::BIGINT, 'a': ''}}, {never}, {never}, {never} FROM counts
+  UNION ALL
+  SELECT v, i, {plus("o", 4, "D")}, {least(plus("s", 4, "D"), f"CASE WHEN live AND x = 's' THEN {plus('o', 'more', 'K')} ELSE {never} END")},
+         {least(plus("xu", 4, "D"), f"CASE WHEN NOT live THEN {never} WHEN x = 'u' THEN {plus(least('o', 's', 'xa'), 'more', 'K')} ELSE {plus(least('o', 's', 'xa'), '3 + more', 'R')} END")},
+         {least(plus("xa", 4, "D"), f"CASE WHEN NOT live THEN {never} WHEN x = 'a' THEN {plus('xu', 'more', 'K')} ELSE {plus('xu', '3 + more', 'R')} END")}
+  FROM (SELECT *, {least("a", plus("xu", 3, "I"))} AS xa FROM (
+    {closed} FROM (SELECT p.v, f.i, o, s, u, a, x, f.f IN ('', 't') AS live, CASE WHEN f.f = 't' THEN 3 ELSE 0 END AS more FROM steps p JOIN faulty f ON f.v = p.v AND f.i = p.i + 1)))
+),
+done AS (SELECT v, {least("o", "a", plus("xu", 3, "I"))} AS best FROM ({closed} FROM steps JOIN counts USING (v) WHERE i = n)),
+letters AS (SELECT v, unnest(range(1, len(best.a) + 1)) AS p, best.a AS audit FROM done),
+edits AS (SELECT v, p, audit[p] AS e, count(*) FILTER (audit[p] <> 'I') OVER w AS i, count(*) FILTER (audit[p] <> 'D') OVER w - 1 AS place, count(*) FILTER (audit[p] <> 'D') OVER (PARTITION BY v) AS size
+          FROM letters WINDOW w AS (PARTITION BY v ORDER BY p)),
+lines AS (SELECT e.v, place, CASE WHEN e = 'K' THEN role WHEN (place - size % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line
+          FROM edits e LEFT JOIN faulty f ON f.v = e.v AND f.i = e.i WHERE e <> 'D'),
+texts AS (SELECT v, string_agg(line, chr(10) ORDER BY place) AS body FROM lines GROUP BY v)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM convs LEFT JOIN counts USING (v) LEFT JOIN done USING (v) LEFT JOIN texts USING (v)"""
+
+
+SQL["op11_conversation_repair"] = _repair_sql()
