@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafsift.functions.text import keyword_csv, words
-from leafsift.operators.vectors import join_on_word, word_counts, word_idf
+from leafsift.operators.vectors import corpus_idf, weighted_documents
 
 # Words that are never keywords of the co-occurrence rank.
 STOP_WORDS = (
@@ -29,29 +29,24 @@ WIDE_SPAN, NARROW_SPAN = 5, 2
 DAMPING, RANK_ROUNDS = 0.85, 10
 
 
-def _weighted_words(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None) -> DataFrame:
-    counts = word_counts(docs, id_col, text_col)
-    joined = join_on_word(counts, word_idf(counts, docs) if idf is None else idf)
-    return joined.select("id", "word", F.round(F.col("tf") * F.col("idf"), 9).alias("weight"))
+def _ranked_words(docs: DataFrame, id_col: str, text_col: str, k: int, idf: DataFrame | None) -> DataFrame:
+    """``id, kw``: the k words of highest TF-IDF in order, as (-weight, word); ties by word. Ordered inside the row, which is no larger than its text."""
+    rows = weighted_documents(docs, id_col, text_col, idf)
+    entry = F.transform("terms", lambda t, i: F.struct((-F.round(F.get("weights", i), 9)).alias("w"), t.alias("word")))
+    return rows.select("id", F.slice(F.array_sort(entry), 1, k).alias("kw"))
 
 
 def top_keywords(docs: DataFrame, id_col: str, text_col: str, k: int, idf: DataFrame | None = None) -> DataFrame:
     """``id, word, weight, rank``: the k words of highest TF-IDF, ties by word."""
-    order = Window.partitionBy("id").orderBy(F.desc("weight"), F.asc("word"))
-    ranked = _weighted_words(docs, id_col, text_col, idf).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k)
+    rows = _ranked_words(docs, id_col, text_col, k, idf).select("id", F.posexplode("kw").alias("at", "e"))
+    return rows.select("id", F.col("e.word").alias("word"), (-F.col("e.w")).alias("weight"), (F.col("at") + 1).alias("rank"))
 
 
 def keyword_lists(
     docs: DataFrame, id_col: str, text_col: str, k: int, name: str, idf: DataFrame | None = None
 ) -> DataFrame:
-    """``id`` and the same k words as one comma-separated list.
-
-    The words of a document are gathered in one row, which is no larger than its text.
-    """
-    entry = F.struct((-F.col("weight")).alias("w"), "word")
-    rows = _weighted_words(docs, id_col, text_col, idf).groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    return rows.select("id", keyword_csv(F.slice("e.word", 1, k)).alias(name))
+    """``id`` and the same k words as one comma-separated list."""
+    return _ranked_words(docs, id_col, text_col, k, idf).select("id", keyword_csv(F.col("kw.word")).alias(name))
 
 
 def cooccurrence_edges(docs: DataFrame, id_col: str, tokens: Column, span: int) -> DataFrame:
@@ -167,7 +162,7 @@ def tags_with_fallback(docs: DataFrame, id_col: str, text_col: str, k: int = 10,
         F.when(use_wide, WIDE_SPAN).otherwise(NARROW_SPAN), k,
     )
     rest = routed.filter(F.col("source") == "tfidf")
-    plain = top_keywords(rest, "id", "text", k, idf=word_idf(word_counts(docs, id_col, text_col), docs) if idf is None else idf)
+    plain = top_keywords(rest, "id", "text", k, idf=corpus_idf(docs, text_col, id_col) if idf is None else idf)
     by_span = F.when(F.col("span") == WIDE_SPAN, "wide").otherwise("narrow")
     return ranked.select("id", "word", "rank", by_span.alias("source")).unionByName(
         plain.select("id", "word", "rank", F.lit("tfidf").alias("source"))

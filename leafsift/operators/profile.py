@@ -12,7 +12,8 @@ from leafsift.functions.urls import site
 from leafsift.operators import events as E
 from leafsift.operators.keywords import keyword_lists, top_keywords
 from leafsift.operators.tree import TEXT, page_nodes
-from leafsift.operators.vectors import join_on_word, word_counts, word_idf
+from leafsift.operators.vectors import corpus_idf, document_words, unit, vector_entries, weighted_words, word_idf
+from leafsift.session import stored
 
 TITLE_KEYWORDS, CONTENT_KEYWORDS = 20, 200
 
@@ -62,10 +63,6 @@ def article_features(articles: DataFrame, title_idf: DataFrame | None = None, bo
     )
 
 
-def corpus_idf(articles: DataFrame, text_col: str) -> DataFrame:
-    return word_idf(word_counts(articles, "id", text_col), articles)
-
-
 def recent_profile(events: DataFrame, articles: DataFrame, as_of: Column, hours: int = 48) -> DataFrame:
     """``opinion, field, word``: distinct keywords of articles liked or hated lately.
 
@@ -95,17 +92,15 @@ def profile_vectors(profile: DataFrame, idf: DataFrame) -> DataFrame:
 def profile_similarity(articles: DataFrame, profile: DataFrame) -> DataFrame:
     """``id, f_like_similarity, f_hate_similarity``: cosine of each article to the two profiles.
 
-    The profiles' weights travel beside the idf of each word, so both cosines come out of the grouping
-    that also gives the norm.
+    Only the articles' words that stand in a profile are summed, each beside the norm of its whole article.
     """
-    counts = word_counts(articles, "id", "text")
-    idf = word_idf(counts, articles)
+    counted = stored(document_words(articles, "id", "text"), "words")
+    idf = stored(word_idf(counted), "idf")
     to = lambda opinion: F.max(F.when(F.col("target") == opinion, F.col("weight")))
     weights = profile_vectors(profile, idf).groupBy("word").agg(to("like").alias("_like"), to("hate").alias("_hate"))
-    rows = join_on_word(counts, idf.join(weights, "word", "left"))
-    w = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(w * w))
-    near = rows.groupBy("id").agg(*[(F.sum(w * F.col(f"_{o}")) / norm).alias(f"_s_{o}") for o in ("like", "hate")])
+    rows = weighted_words(counted, idf).select("id", "terms", unit(F.col("weights")).alias("weights"))
+    entries = vector_entries(rows).join(weights, "word")
+    near = entries.groupBy("id").agg(*[F.sum(F.col("weight") * F.col(f"_{o}")).alias(f"_s_{o}") for o in ("like", "hate")])
     return articles.select("id").join(near, "id", "left").select(
         "id",
         F.coalesce("_s_like", F.lit(0.0)).alias("f_like_similarity"),

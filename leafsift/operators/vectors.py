@@ -1,48 +1,133 @@
-"""Word counts, TF-IDF vectors and cosine similarity."""
+"""Words of documents, their document frequencies, and TF-IDF vectors.
+
+A document's words are counted inside its row. Weights are given inside the row as well: the frequent words and their idf are
+a list of at most ``LIST_WORDS`` entries that is sent to the tasks, cut at a power of two of the document frequency. Where the vocabulary is larger,
+the rows of the rare words left, each in few documents, meet the rest of the list by a shuffle and go back to their documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafsift.functions.text import words
+from leafsift.session import stored
 
-# How many of the most frequent words are joined by broadcast. Any other word then
-# occurs in at most one row of 2,000, so a shuffle on words has no hot group.
-HOT_WORDS = 2_000
-
+#: Words sent to the tasks with their idf: some 20 MB at most.
+LIST_WORDS = 500_000
 
-def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, word, tf``."""
-    exploded = docs.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("word"))
-    # The filter drops nothing; joins on the word would add it to some uses of this
-    # plan only, and uses that differ do not share their shuffle.
-    return exploded.filter(F.col("word").isNotNull()).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = lists.flatten().dictionary_encode()
+        alphabet = pc.array_sort_indices(found.dictionary).to_numpy()
+        place = np.empty(len(alphabet), np.int64)
+        place[alphabet] = np.arange(len(alphabet))
+        code = place[found.indices.to_numpy(zero_copy_only=False)]
+        key, count = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(alphabet)) + code, return_counts=True)
+        row, code = np.divmod(key, max(1, len(alphabet)))
+        offsets = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32))
+        terms = pa.ListArray.from_arrays(offsets, found.dictionary.take(pa.array(alphabet[code])))
+        counts = pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), terms, counts], ["id", "terms", "counts"])
 
-def document_frequency(counts: DataFrame) -> DataFrame:
-    """``word, df``. Reading ``tf`` keeps the plan of ``counts`` whole, so that its
-    shuffle is shared with the join that follows instead of run again."""
-    return counts.groupBy("word").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
+def document_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, terms, counts``: the distinct words of each text in order, and how often each stands there. One row a document, nothing is shuffled."""
+    listed = docs.select(F.col(id_col).cast("bigint").alias("id"), words(F.col(text_col)).alias("w"))
+    return listed.mapInArrow(_count_words, "id bigint, terms array<string>, counts array<int>")
 
-def word_idf(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """``word, df, idf`` with the smoothed inverse document frequency ln((1+n)/(1+df)) + 1."""
-    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return document_frequency(counts).withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
 
+def document_frequency(counted: DataFrame) -> DataFrame:
+    """``word, df``."""
+    return counted.select(F.explode("terms").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
-def join_on_word(rows: DataFrame, idf: DataFrame) -> DataFrame:
-    """Inner join of ``rows(id, word, ...)`` with the unique words of ``idf(word, df, idf, ...)``.
 
-    A frequent word may hold a third of all rows. The most frequent words are a list
-    of fixed length, so they are broadcast and their rows are not shuffled again; only the rows of
-    all other words meet the rest of the list by shuffle.
-    """
-    hot = idf.orderBy(F.desc("df"), "word").limit(HOT_WORDS)
-    frequent = rows.join(F.broadcast(hot), "word")
-    others = rows.join(F.broadcast(hot.select("word")), "word", "left_anti").join(idf, "word")
-    return frequent.unionByName(others)
+def word_idf(counted: DataFrame) -> DataFrame:
+    """``word, df, idf`` with the smoothed inverse document frequency ln((1+n)/(1+df)) + 1."""
+    n = counted.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return document_frequency(counted).withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1)
+
+
+def corpus_idf(docs: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
+    """``word, df, idf`` of a whole table, stored: it is read once for each use."""
+    return stored(word_idf(document_words(docs, id_col, text_col)), "idf")
+
+
+def _frequent(idf: DataFrame) -> tuple[pa.Table, float]:
+    """The words of document frequency 2 ** b and more with their idf, and 2 ** b: the smallest for which they are few enough."""
+    level = F.floor(F.log2(F.greatest("df", F.lit(1)) + F.lit(0.5))).cast("int")
+    sizes = idf.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64 rows
+    held, least = 0, 64
+    for level, n in sorted(((r["level"], r["n"]) for r in sizes), reverse=True):
+        if held + n > LIST_WORDS:
+            break
+        held, least = held + n, level
+    else:
+        least = 0
+    return idf.filter(F.col("df") >= 2.0**least).select("word", "idf").toArrow(), 2.0**least
+
+
+def weighted_words(counted: DataFrame, idf: DataFrame) -> DataFrame:
+    """``id, terms, weights``: count * idf of every word that ``idf`` has, terms in order."""
+    frequent, least = _frequent(idf)
+    rare = idf.filter(F.col("df") < least) if least > 1 else None
+    listed = counted.sparkSession.sparkContext.broadcast((frequent.column("word").combine_chunks(), frequent.column("idf").to_numpy()))
+    whole = rare is None
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, values = listed.value
+        for batch in batches:
+            terms, counts = batch.column(1), batch.column(2)
+            sizes = terms.value_lengths().to_numpy(zero_copy_only=False)
+            entries, count = terms.flatten(), counts.flatten().to_numpy(zero_copy_only=False)
+            at = pc.index_in(entries, value_set=names)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            weight = np.zeros(len(count))
+            weight[known] = count[known] * values[at.drop_null().to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+
+            def lists(kept: np.ndarray, column: pa.Array) -> pa.ListArray:
+                offsets = np.searchsorted(row[kept], np.arange(len(sizes) + 1)).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(offsets), column.filter(pa.array(kept)))
+
+            columns = [batch.column(0), lists(known, entries), lists(known, pa.array(weight))]
+            if not whole:
+                columns += [lists(~known, entries), lists(~known, pa.array(count))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "terms", "weights", "_rare", "_counts"][: len(columns)])
+
+    schema = "id bigint, terms array<string>, weights array<double>"
+    if whole:
+        return counted.mapInArrow(weigh, schema)
+    rows = stored(counted.mapInArrow(weigh, schema + ", _rare array<string>, _counts array<int>"), "weighted")
+    left = rows.select("id", F.inline(F.arrays_zip(F.col("_rare").alias("word"), F.col("_counts").alias("n")))).join(rare.select("word", "idf"), "word")
+    more = left.groupBy("id").agg(F.collect_list(F.struct("word", (F.col("n") * F.col("idf")).alias("w"))).alias("_more"))  # no more than the document's words
+    joined = rows.drop("_rare", "_counts").join(more, "id", "left")
+    entry = F.arrays_zip(F.col("terms").alias("word"), F.col("weights").alias("w"))
+    every = F.when(F.col("_more").isNull(), entry).otherwise(F.array_sort(F.concat(entry, "_more")))
+    return joined.select("id", every.alias("e")).select("id", F.col("e.word").alias("terms"), F.col("e.w").alias("weights"))
+
+
+def weighted_documents(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = None) -> DataFrame:
+    """``weighted_words`` of ``docs``; without ``idf`` they are the corpus, and their words are counted once and stored."""
+    counted = document_words(docs, id_col, text_col)
+    if idf is None:
+        counted = stored(counted, "words")
+        idf = stored(word_idf(counted), "idf")
+    return weighted_words(counted, idf)
+
+
+def unit(weights: Column) -> Column:
+    """The weights divided by their L2 norm, which is taken once a row: a projection of its own would be merged into the division and taken for every element."""
+    length = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda s, w: s + w * w))
+    return F.transform(F.array(length), lambda n: F.transform(weights, lambda w: w / n))[0]
 
 
 def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = None) -> DataFrame:
@@ -50,16 +135,8 @@ def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame |
 
     Documents without any word have no vector.
     """
-    counts = word_counts(docs, id_col, text_col)
-    weighted = join_on_word(counts, word_idf(counts, docs) if idf is None else idf)
-    entries = weighted.select("id", "word", (F.col("tf") * F.col("idf")).alias("w"))
-    # The norm is an aggregate of its own: written over the list, it would be taken
-    # again for every element once Spark merges the projections.
-    rows = entries.groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("word", "w"))).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-    )
-    scaled = F.transform("e.w", lambda w: w / F.col("norm"))
-    return rows.select("id", F.col("e.word").alias("terms"), scaled.alias("weights"))
+    rows = weighted_documents(docs, id_col, text_col, idf).filter(F.size("terms") > 0)
+    return rows.select("id", "terms", unit(F.col("weights")).alias("weights"))
 
 
 def vector_entries(vectors: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from leafsift.operators.diversify import diversify
 from leafsift.operators.encoding import as_examples, encode_articles, with_article_entries
 from leafsift.operators.events import latest_opinions, opinions, repeated
 from leafsift.operators.linear import FitResult, decision_values, fit_l1_svm
-from leafsift.operators.profile import article_features, corpus_idf
-from leafsift.operators.vectors import tfidf_vectors
+from leafsift.operators.profile import article_features
+from leafsift.operators.vectors import corpus_idf, tfidf_vectors
 
 LIKE_C = 0.1
 BLOCK_C = 0.05

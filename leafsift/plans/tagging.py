@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafsift.operators.joins import untagged
 from leafsift.operators.keywords import tags_with_fallback
-from leafsift.operators.profile import corpus_idf
+from leafsift.operators.vectors import corpus_idf
 from leafsift.sources.tables import new_tags
 
 

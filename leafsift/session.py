@@ -99,3 +99,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     All folders of an application lie in one, ``leafsift-<application id>``, which may be removed when it is over.
     """
     return f"{checkpoint_root(spark)}/leafsift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a table under the shared checkpoint root and read again: computed once, compressed, with its lineage cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafsift.functions.urls import is_http, resolve
 from leafsift.operators import events as E
 from leafsift.operators import links as L
-from leafsift.operators.profile import corpus_idf
+from leafsift.operators.vectors import corpus_idf
 from leafsift.session import scratch_path
 from leafsift.sources.schemas import ARTICLE_EVENT
 from leafsift.streaming import crawl as C

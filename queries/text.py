@@ -175,7 +175,7 @@ def t07(spark, sf):
 @query("a10_document_frequency",
        f"SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORD}) AS word FROM documents) GROUP BY word")
 def a10(spark, sf):
-    return W.document_frequency(W.word_counts(V.texts(spark, sf), "id", "text"))
+    return W.document_frequency(W.document_words(V.texts(spark, sf), "id", "text"))
 
 
 def ranked_documents(spark, sf):

@@ -219,13 +219,13 @@ def test_global_rank(spark):
 DOCS = [(1, "apple apple pear the the the"), (2, "pear the plum"), (3, "the fig the plum plum"), (4, ""), (5, "the")]
 
 
-def test_hot_and_cold_words_join_alike(spark, monkeypatch):
+def test_listed_and_rare_words_weigh_alike(spark, monkeypatch):
     docs = spark.createDataFrame(DOCS, "id long, text string")
     results = []
-    for hot in (1, 2, 2000):
-        monkeypatch.setattr(W, "HOT_WORDS", hot)
+    for most in (0, 1, 3, 2000):
+        monkeypatch.setattr(W, "LIST_WORDS", most)
         results.append(sorted((r["id"], r["word"], round(r["weight"], 12)) for r in W.vector_entries(W.tfidf_vectors(docs, "id", "text")).collect()))
-    assert results[0] == results[1] == results[2] and len(results[0]) == 10
+    assert results[0] == results[1] == results[2] == results[3] and len(results[0]) == 10
     idf = {w: np.log(6 / (1 + df)) + 1 for w, df in {"the": 4, "apple": 1, "pear": 2, "plum": 2, "fig": 1}.items()}
     raw = np.array([2 * idf["apple"], idf["pear"], 3 * idf["the"]])
     assert np.allclose([r[2] for r in results[0][:3]], raw / np.linalg.norm(raw))
