@@ -1,257 +1,310 @@
-"""Greedy diversification: keep a row unless it resembles a better kept one.
-
-The loop over rows is replaced by rounds over blocks. A round takes the best rows
-still open (a block of bounded size), settles them among themselves in order in one task, and
-one narrow pass drops every open row that resembles a row kept lately. No pair of
-open rows is ever compared, nothing is shuffled but the choice of the block, and
-the result is that of the row-by-row loop. Kept rows are a stored table; only those of the
-last rounds, at most ``budget`` vector entries, are held by the driver and sent to the tasks.
+"""Similar pairs of unit vectors, and greedy diversification by them.
+
+**Similar pairs.** Every vector's terms are ordered, rarest first. The head of a kept vector ends where the norm of what follows falls below the
+threshold: by Cauchy-Schwarz a unit vector that meets none of the head cannot reach it. Only heads are indexed; a pair met there is a
+candidate if its sum so far and the rest of the norm can reach the threshold, and gets the rest of its sum once. Kept vectors are cut into parts of bounded
+size. A row is sent to the parts whose heads share a word with it, found by an equi-join on words, and meets them in a stream: a task holds one part and
+one batch of rows.
+
+**Diversification** keeps a row unless it resembles a better kept one. The best open rows are taken as a lead; its similar pairs are an acyclic graph
+from worse to better rows, and every row whose better neighbours are all settled settles itself, in rounds over buckets of
+neighbouring ranks. Then open rows that resemble a row kept in this lead are dropped, and the next lead is taken, larger as long as leads hold few pairs. Pairs
+of all rows are so never formed where rows are much alike, and where they are not a few leads take all rows. The result equals that
+of the row-by-row loop for any sizes. No vector passes through the driver.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafsift.session import cut, scratch_path
+from leafsift.session import cut, release, scratch_path, stored
 
 VECTOR_ROWS = "score double, id bigint, terms array<string>, weights array<double>"
 _CELLS = 4_000_000  # similarity cells and postings held at once in a task
-_BLOCK_ROWS = 2048  # rows of a block that meets a block of kept rows
+_BUCKET = 8192  # neighbouring rows that settle in one task
+_LEAD = 262_144  # the most rows of a lead
 
 
-class KeptVectors:
-    """Word postings of a few kept rows, for similarity with many others."""
+class Postings:
+    """Entries of some vectors by word."""
 
-    def __init__(self, terms: list[list[str]], weights: list[list[float]]) -> None:
-        self._index(pa.array(terms, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64())))
-
-    @classmethod
-    def of(cls, terms: pa.ListArray, weights: pa.ListArray) -> KeptVectors:
-        found = cls.__new__(cls)
-        found._index(terms, weights)
-        return found
+    def __init__(self, word: np.ndarray, owner: np.ndarray, weight: np.ndarray, words: int) -> None:
+        order = np.argsort(word, kind="stable")
+        self.start = np.searchsorted(word[order], np.arange(words + 1))
+        self.owner, self.weight = owner[order], weight[order]
 
-    def _index(self, terms: pa.ListArray, weights: pa.ListArray) -> None:
-        self.count = len(terms)
+    def meet(self, row: np.ndarray, word: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, owner, product) of every entry with its postings, a bounded number at a time."""
+        fan = self.start[word + 1] - self.start[word]
+        reach = np.cumsum(fan)
+        at = 0
+        while at < len(row):
+            # as many entries as have a bounded number of postings, one at least
+            done = reach[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(reach, done + _CELLS, side="right")))
+            n = fan[at:end]
+            posting = np.repeat(self.start[word[at:end]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(row[at:end], n), self.owner[posting], np.repeat(weight[at:end], n) * self.weight[posting]
+            at = end
+
+
+class PrefixIndex:
+    """Heads and tails of unit vectors for a threshold; at 0 everything is head."""
+
+    def __init__(self, terms: pa.ListArray, weights: pa.ListArray, threshold: float) -> None:
+        self.count, self.threshold = len(terms), threshold
         owner = np.repeat(np.arange(self.count), terms.value_lengths().to_numpy(zero_copy_only=False))
         weight = weights.flatten().to_numpy(zero_copy_only=False).astype(float)
         found = terms.flatten().dictionary_encode()
-        place = found.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(place, kind="stable")
         self.words = found.dictionary.cast(pa.string())
-        self.start = np.searchsorted(place[order], np.arange(len(self.words) + 1))
-        self.owner, self.weight = owner[order], weight[order]
-
-    def similarities(self, terms: pa.ListArray, weights: pa.ListArray) -> Iterator[np.ndarray]:
-        """Cosines of consecutive rows (rows x kept), a bounded number of cells at a time."""
+        word = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((word, np.bincount(word, minlength=len(self.words))[word], owner))
+        owner, word, weight = owner[order], word[order], weight[order]
+        # what of each vector's square is left at each entry, itself included
+        square = np.cumsum((weight * weight)[::-1])[::-1]
+        ends = np.append(square, 0.0)[np.searchsorted(owner, np.arange(self.count), side="right")]
+        left = np.sqrt(np.maximum(0, square - ends[owner]))
+        head = left >= threshold * (1 - 1e-9) - 1e-12
+        self.rest = np.zeros(self.count)
+        np.maximum.at(self.rest, owner[~head], left[~head])
+        self.head = Postings(word[head], owner[head], weight[head], len(self.words))
+        self.tail = Postings(word[~head], owner[~head], weight[~head], len(self.words))
+
+    @property
+    def head_words(self) -> pa.Array:
+        return self.words.take(pa.array(np.flatnonzero(np.diff(self.head.start))))
+
+    def cells(self, terms: pa.ListArray, weights: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, rows x kept): exact cosines where they reach the threshold, anything below it elsewhere."""
         sizes = terms.value_lengths().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(terms)), sizes)
+        value = weights.flatten().to_numpy(zero_copy_only=False).astype(float)
+        norm = np.sqrt(np.bincount(row, value * value, len(terms)))
         found = pc.index_in(terms.flatten(), value_set=self.words)
         hit = found.is_valid().to_numpy(zero_copy_only=False)
-        word = found.fill_null(0).to_numpy()[hit]
-        row, weight = row[hit], weights.flatten().to_numpy()[hit]
-        fan = self.start[word + 1] - self.start[word]
-        step = max(1, _CELLS // self.count)
+        word, row, value = found.fill_null(0).to_numpy(zero_copy_only=False)[hit], row[hit], value[hit]
+        step = max(1, _CELLS // max(1, self.count))
         for first in range(0, len(terms), step):
-            lo, hi = np.searchsorted(row, [first, first + step])
-            cells = min(step, len(terms) - first) * self.count
-            sums = np.zeros(cells)
-            reach = np.cumsum(fan[lo:hi])
-            at = lo
-            while at < hi:
-                # as many entries as expand to a bounded number of postings, one at least
-                done = reach[at - lo - 1] if at > lo else 0
-                end = max(at + 1, lo + int(np.searchsorted(reach, done + _CELLS, side="right")))
-                n = fan[at:end]
-                shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                posting = np.repeat(self.start[word[at:end]], n) + shift
-                cell = np.repeat(row[at:end] - first, n) * self.count + self.owner[posting]
-                sums += np.bincount(cell, np.repeat(weight[at:end], n) * self.weight[posting], cells)
-                at = end
-            yield sums.reshape(-1, self.count)
+            rows = min(step, len(terms) - first)
+            lo, hi = np.searchsorted(row, [first, first + rows])
+            mine = row[lo:hi] - first, word[lo:hi], value[lo:hi]
+            sums = np.zeros(rows * self.count)
+            for r, owner, product in self.head.meet(*mine):
+                sums += np.bincount(r * self.count + owner, product, len(sums))
+            if self.rest.any():
+                reach = (sums.reshape(rows, self.count) + self.rest * norm[first : first + rows, None]).ravel()
+                likely = (sums > 0) & (reach >= self.threshold - 1e-12)
+                some = likely.reshape(rows, self.count).any(axis=1)[mine[0]]
+                for r, owner, product in self.tail.meet(*(part[some] for part in mine)):
+                    cell = r * self.count + owner
+                    kept = likely[cell]
+                    sums += np.bincount(cell[kept], product[kept], len(sums))
+                sums[~likely] = 0.0
+            yield first, sums.reshape(rows, self.count)
+
+    def pairs(self, terms: pa.ListArray, weights: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, kept, cosine) of all pairs that reach the threshold."""
+        rows, owners, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for first, cells in self.cells(terms, weights):
+            row, owner = np.nonzero(cells >= self.threshold)
+            rows.append(row + first)
+            owners.append(owner)
+            values.append(cells[row, owner])
+        return np.concatenate(rows), np.concatenate(owners), np.concatenate(values)
 
     def best(self, terms: pa.ListArray, weights: pa.ListArray) -> np.ndarray:
         """Highest cosine of each row to any kept row."""
         if not self.count or not len(terms):
             return np.zeros(len(terms))
-        return np.concatenate([block.max(axis=1) for block in self.similarities(terms, weights)])
-
+        return np.concatenate([cells.max(axis=1) for _, cells in self.cells(terms, weights)])
 
-def _columns(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.ListArray]:
-    return batch.column(batch.schema.get_field_index("terms")), batch.column(batch.schema.get_field_index("weights"))
 
-
-def _settle(rows: pa.Table, threshold: float, budget: int) -> pa.Table:
-    """The row-by-row rule within one block: rows by score and id, as many as have ``budget`` entries (one at least)."""
-    rows = rows.sort_by([("score", "descending"), ("id", "ascending")]).combine_chunks()
-    sizes = pc.list_value_length(rows.column("terms")).to_numpy()
-    rows = rows.slice(0, max(1, int(np.searchsorted(np.cumsum(sizes), budget, side="right"))))
-    terms, weights = (rows.column(c).combine_chunks() for c in ("terms", "weights"))
-    between = np.concatenate(list(KeptVectors.of(terms, weights).similarities(terms, weights)))
-    open_ = np.ones(rows.num_rows, dtype=bool)
-    kept = np.zeros(rows.num_rows, dtype=bool)
-    for i in range(rows.num_rows):
-        if open_[i]:
-            kept[i] = True
-            open_ &= between[i] < threshold
-    return rows.append_column("kept", pa.array(kept))
-
-
-def _kept_vectors(parts: list[pa.Table]) -> KeptVectors:
-    rows = pa.concat_tables(parts).combine_chunks()
-    return KeptVectors.of(rows.column("terms").combine_chunks(), rows.column("weights").combine_chunks())
+def kept_parts(kept: DataFrame, budget: int) -> DataFrame:
+    """``target, terms, weights, _part``, stored: parts of neighbouring ranks with at most 4,096 rows and about ``budget`` entries each."""
+    reach = Window.partitionBy("_slice").orderBy("rank")
+    # rows of one slice of ranks: their number is bounded, and so is what the window holds
+    sliced = kept.withColumn("_slice", F.floor((F.col("rank") - 1) / 4096)).withColumn("_n", F.size("terms"))
+    within = F.floor((F.sum("_n").over(reach) - F.col("_n")) / budget)
+    return stored(sliced.select(F.col("id").cast("bigint").alias("target"), "terms", F.col("weights").cast("array<double>"), (F.col("_slice") * (1 << 20) + within).alias("_part")), "kept")
 
 
-def _entries(rows: pa.Table) -> int:
-    return pc.sum(pc.list_value_length(rows.column("terms"))).as_py() or 0
+def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The stretches of a batch with one part, one share and one kind."""
+    key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_part", "_share", "_kind")])
+    edges = [0, *(np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
 
 
-def _unlike(kept: KeptVectors, threshold: float):
-    """Keeps the rows of a batch that resemble none of ``kept``."""
+def _met(rows: DataFrame, kept: DataFrame, threshold: float, budget: int, work, schema: str) -> DataFrame:
+    """``work(index, targets, stretch)`` for every stretch of rows and every part of kept rows whose heads it may meet."""
+    spark = rows.sparkSession
+    rows = rows.select(F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"))
+    parts = kept_parts(kept, budget)
+    numbers = parts.select("_part").distinct().count()
+    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, numbers))
+    if numbers > 1:
+
+        def heads(part: pa.Table) -> pa.Table:
+            part = part.combine_chunks()
+            found = PrefixIndex(*_lists(part), threshold).head_words
+            return pa.table([pa.array(np.full(len(found), part.column("_part")[0].as_py())), found], ["_part", "word"])
+
+        words = stored(parts.groupBy("_part").applyInArrow(heads, "_part bigint, word string"), "heads")
+        entries = rows.select("id", F.explode("terms").alias("word"))
+        routes = entries.join(words, "word").select("id", "_part").distinct()
+        rows = rows.join(routes, "id")
+    else:
+        rows = rows.withColumn("_part", F.lit(0).cast("bigint"))
+        parts = parts.withColumn("_part", F.lit(0).cast("bigint"))
+    copies = parts.select("_part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"), F.lit(0).alias("_kind"), F.col("target").alias("id"), "terms", "weights")
+    sent = rows.select("_part", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("_share"), F.lit(1).alias("_kind"), "id", "terms", "weights")
+    both = copies.unionByName(sent).repartition("_part", "_share").sortWithinPartitions("_part", "_share", "_kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        index, targets, unit = None, None, None
         for batch in batches:
-            yield batch.filter(pa.array(kept.best(*_columns(batch)) < threshold))
+            for part in _stretches(batch) if batch.num_rows else ():
+                now = part.column("_part")[0].as_py(), part.column("_share")[0].as_py()
+                if now != unit:
+                    index, held, unit = None, [], now
+                if part.column("_kind")[0].as_py() == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    index, targets, held = PrefixIndex(*_lists(table), threshold), table.column("id").to_numpy(), []
+                if index is not None:
+                    yield work(index, targets, part)
+
+    return both.mapInArrow(run, schema)
 
-    return run
 
-
-def diversify(
-    ranked: DataFrame, top: int | None = None, threshold: float = 0.05, block: int = 4096, budget: int = 2_000_000, vectors: bool = False
-) -> DataFrame:
-    """``rank, score, id`` of the kept rows of ``ranked(score, id, terms, weights)``.
-
-    Rows are taken by score, then id. A round settles at most ``block`` rows with at most ``budget``
-    vector entries (one row at least). Without ``top`` every row is settled. ``vectors`` adds terms and weights.
-    Jobs run while the frame is built; the open rows are written again only when
-    the rows dropped or the vectors held make it worth while.
-    """
-    spark = ranked.sparkSession
-    rows = ranked.select(F.col("score").cast("double"), F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"))
-    pending = cut(rows)
-    order = [F.desc("score"), F.asc("id")]
-    path = scratch_path(spark, "diversified")
-    held: list[pa.Table] = []  # kept rows whose like are still among ``pending``
-    beyond = F.lit(True)
-    count = number = 0
-    left = pending.count()
-    size = min(32, block)  # the first few rows kept drop most of the rest
-    while top is None or count < top:
-        open_ = pending.filter(beyond)
-        if held:
-            open_ = open_.mapInArrow(_unlike(_kept_vectors(held), threshold), VECTOR_ROWS)
-        lead = open_.orderBy(*order).limit(size).coalesce(1)
-
-        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = [b for b in batches if b.num_rows]
-            if found:
-                yield from _settle(pa.Table.from_batches(found), threshold, budget).to_batches()
-
-        settled = lead.mapInArrow(settle, VECTOR_ROWS + ", kept boolean").toArrow()  # at most ``size`` rows, ``budget`` entries
-        if not settled.num_rows:
-            break
-        fresh = settled.filter(settled.column("kept")).drop(["kept"])
-        spark.createDataFrame(fresh, VECTOR_ROWS).write.parquet(f"{path}/round={number}")
-        number, count = number + 1, count + fresh.num_rows
-        last = settled.slice(settled.num_rows - 1).to_pylist()[0]
-        beyond = (F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("id") > last["id"]))
-        held.append(fresh)
-        if number <= 2 or sum(map(_entries, held)) > budget:
-            narrowed = pending.filter(beyond).mapInArrow(_unlike(_kept_vectors(held), threshold), VECTOR_ROWS)
-            pending, held, beyond = cut(narrowed), [], F.lit(True)
-            now = pending.count()
-            size = min(size * 2, block) if now < left / 2 else block
-            left = now
-        else:
-            size = min(size * 2, block)
-    if not number:
-        return spark.createDataFrame([], "rank int, score double, id bigint" + (", terms array<string>, weights array<double>" if vectors else ""))
-    kept = spark.read.schema(VECTOR_ROWS).option("recursiveFileLookup", "true").parquet(path)
-    kept = global_rank(kept, *order).filter(F.lit(True) if top is None else F.col("rank") <= top)
-    return kept.select(F.col("rank").cast("int").alias("rank"), "score", "id", *(["terms", "weights"] if vectors else []))
+def _lists(rows: pa.Table) -> tuple[pa.ListArray, pa.ListArray]:
+    return rows.column("terms").combine_chunks(), rows.column("weights").combine_chunks()
 
 
 def similar_to(rows: DataFrame, kept: DataFrame, threshold: float, budget: int = 2_000_000) -> DataFrame:
-    """``id, target, similarity`` of every row of ``rows(id, terms, weights)`` to the rows of ``kept`` it resembles at least that much.
+    """``id, target, similarity`` of every row of ``rows(id, terms, weights)`` to the rows of ``kept(rank, id, terms, weights)`` it resembles at least that much.
 
-    ``kept(rank, id, terms, weights)`` and the rows are stored in blocks of at most ``budget`` entries; Spark brings every row block and
-    every kept block together by a shuffle on their numbers, so no vector passes through the driver and pairs
-    below the threshold are never shuffled. Jobs run while the frame is built.
+    Vectors have length 1 or less; ids are unique. Jobs run while the frame is built.
     """
 
-    def near(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        own, ids, first = mine.column("id").to_numpy(), theirs.column("target").to_numpy(), 0
-        found = [pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], ["id", "target", "similarity"])]
-        for cells in _kept_vectors([theirs]).similarities(*_lists(mine)):
-            row, target = np.nonzero(cells >= threshold)
-            found.append(pa.table([pa.array(own[first + row]), pa.array(ids[target]), pa.array(cells[row, target])], ["id", "target", "similarity"]))
-            first += len(cells)
-        return pa.concat_tables(found)
+    def near(index: PrefixIndex, targets: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        row, owner, value = index.pairs(part.column("terms"), part.column("weights"))
+        ids = part.column("id").to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(targets[owner]), pa.array(value)], ["id", "target", "similarity"])
 
-    return _by_blocks(rows, kept, budget, near, "id bigint, target bigint, similarity double")
+    return _met(rows, kept, threshold, budget, near, "id bigint, target bigint, similarity double")
 
 
 def best_similarity(rows: DataFrame, kept: DataFrame, budget: int = 2_000_000) -> DataFrame:
-    """``id, similarity``: the highest cosine of every row to any row of ``kept``; blocks meet as in ``similar_to``."""
-
-    def highest(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        return pa.table([mine.column("id"), pa.array(_kept_vectors([theirs]).best(*_lists(mine)))], ["id", "similarity"])
-
-    kept = cut(kept.select("rank", "id", "terms", "weights"))
-    if not kept.take(1):
-        return rows.select("id", F.lit(0.0).alias("similarity"))
-    found = _by_blocks(rows, kept, budget, highest, "id bigint, similarity double")
-    return found.groupBy("id").agg(F.max("similarity").alias("similarity"))
-
-
-def _lists(rows: pa.Table) -> tuple[pa.ListArray, pa.ListArray]:
-    return rows.column("terms").combine_chunks(), rows.column("weights").combine_chunks()
+    """``id, similarity``: the highest cosine of every row to any row of ``kept``, 0 where no word is shared."""
 
+    def highest(index: PrefixIndex, targets: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(index.best(part.column("terms"), part.column("weights")))], ["id", "similarity"])
 
-def _by_blocks(rows: DataFrame, kept: DataFrame, budget: int, work, schema: str) -> DataFrame:
-    """``work`` on every block of rows with every block of kept rows, each pair of blocks in one group of a shuffle."""
-    mine, theirs = row_blocks(rows, budget), kept_blocks(kept, budget)
-    left = mine.crossJoin(theirs.select(F.col("_slice").alias("_s"), F.col("_part").alias("_p")).distinct())
-    right = theirs.crossJoin(mine.select(F.col("_block").alias("_b")).distinct())
+    found = _met(rows, kept, 0.0, budget, highest, "id bigint, similarity double").groupBy("id").agg(F.max("similarity").alias("_best"))
+    return rows.select(F.col("id").cast("bigint").alias("id")).join(found, "id", "left").select("id", F.coalesce("_best", F.lit(0.0)).alias("similarity"))
 
-    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        return work(mine.combine_chunks(), theirs.combine_chunks())
 
-    return left.groupBy("_block", "_s", "_p").cogroup(right.groupBy("_b", "_slice", "_part")).applyInArrow(meet, schema)
+def settle(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """``hi, kept`` for every worse end of ``pairs(hi, lo)`` (numbers, lo < hi is the better row), and the rounds it took.
 
+    A row is dropped if a kept row is among its better neighbours, and kept if all of them are dropped. A row that is no worse end is kept.
+    Rows of a bucket settle in order as far as the rows of other buckets are known; a round settles the first open bucket at least.
+    """
+    open_ = pairs.select("hi", "lo")
+    ends = open_.select(F.col("hi").alias("lo"), F.lit(False).alias("_end")).distinct()
+    joined = open_.join(ends, "lo", "left").select("hi", "lo", F.when(F.col("_end").isNull(), True).alias("kept"))
+    out, rounds = None, 0
+
+    def pass_through(bucket: pa.Table) -> pa.Table:
+        hi, lo = (bucket.column(c).to_numpy() for c in ("hi", "lo"))
+        state = bucket.column("kept").to_pylist()
+        order = np.lexsort((lo, hi))
+        found: dict[int, bool | None] = {}
+        for i in order.tolist():
+            own = found.get(hi[i], True)  # kept until a better neighbour says otherwise
+            if own is False:
+                continue
+            better = state[i] if state[i] is not None else found.get(lo[i])
+            found[hi[i]] = False if better else None if better is None or own is None else True
+        return pa.table([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.bool_())], ["hi", "kept"])
+
+    while True:
+        rounds += 1
+        found = joined.withColumn("bucket", F.floor(F.col("hi") / _BUCKET)).groupBy("bucket").applyInArrow(pass_through, "hi bigint, kept boolean")
+        fresh = stored(found, "settled")
+        known = fresh.filter("kept is not null")
+        out = known if out is None else out.unionByName(known)
+        left = fresh.filter("kept is null").select("hi")
+        if not left.take(1):
+            return out, rounds
+        # a better row that is still open is no worse end of a known row, so it has no state; one that never is a worse end keeps its own
+        open_ = stored(joined.join(left, "hi", "left_semi"), "pairs")
+        now = known.select(F.col("hi").alias("lo"), F.col("kept").alias("_now"))
+        joined = open_.join(now, "lo", "left").select("hi", "lo", F.coalesce("kept", "_now").alias("kept"))
 
-def row_blocks(rows: DataFrame, budget: int) -> DataFrame:
-    """``id, terms, weights`` with a stored ``_block``: consecutive rows of a task, at most ``_BLOCK_ROWS`` and ``budget`` entries (one row at least)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, entries = TaskContext.get().partitionId() << 33, 0, 0
-        for batch in batches:
-            numbers = np.empty(batch.num_rows, np.int64)
-            for i, size in enumerate(pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).tolist()):
-                if held and (held >= _BLOCK_ROWS or entries + size > budget):
-                    block, held, entries = block + 1, 0, 0
-                held, entries = held + 1, entries + size
-                numbers[i] = block
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], ["id", "terms", "weights", "_block"])
-
-    rows = rows.select(F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"))
-    return cut(rows.mapInArrow(run, "id bigint, terms array<string>, weights array<double>, _block bigint"))
 
+def diversify(
+    ranked: DataFrame, top: int | None = None, threshold: float = 0.05, block: int = 64, budget: int = 2_000_000, vectors: bool = False, pairs: int = 20_000_000
+) -> DataFrame:
+    """``rank, score, id`` of the kept rows of ``ranked(score, id, terms, weights)``; ``vectors`` adds terms and weights.
 
-def kept_blocks(kept: DataFrame, budget: int) -> DataFrame:
-    """``target, terms, weights`` in the order of their rank with stored ``_slice, _part``: at most 4,096 rows and about ``budget`` entries each."""
-    reach = Window.partitionBy("_slice").orderBy("rank")
-    # rows of one slice of ranks: their number is bounded, and so is what the window holds
-    sliced = kept.withColumn("_slice", F.floor((F.col("rank") - 1) / 4096)).withColumn("_n", F.size("terms"))
-    placed = sliced.withColumn("_part", F.floor((F.sum("_n").over(reach) - F.col("_n")) / budget))
-    return cut(placed.select(F.col("id").cast("bigint").alias("target"), "terms", F.col("weights").cast("array<double>"), "_slice", "_part"))
+    Rows are taken by score, then id. The first lead has ``block`` rows; later ones grow as long as about ``pairs`` similar pairs at most are expected in
+    one. Without ``top`` every row is settled. Jobs run while the frame is built.
+    """
+    spark = ranked.sparkSession
+    order = [F.desc("score"), F.asc("id")]
+    rows = ranked.select(F.col("score").cast("double"), F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"))
+    open_ = stored(rows, "open")
+    path = scratch_path(spark, "diversified")
+    size, count, number = block, 0, 0
+    while top is None or count < top:
+        # one partition, in order: no vectors, and no more rows than a lead may have
+        lead = open_.select("score", F.col("id").alias("_id")).orderBy(F.desc("score"), F.asc("_id")).limit(size)
+        lead = lead.select("_id", F.monotonically_increasing_id().alias("n"))
+        led = stored(open_.join(lead, F.col("id") == F.col("_id")).drop("_id"), "lead")
+        taken = led.agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("score", "id"), "n").alias("last")).first()
+        if not taken["n"]:
+            break
+        numbered = led.select(F.col("n").alias("id"), (F.col("n") + 1).alias("rank"), "terms", "weights")
+        near = stored(similar_to(numbered, numbered, threshold, budget).filter("target < id").select(F.col("id").alias("hi"), F.col("target").alias("lo")), "pairs")
+        found = near.count()
+        kept, rounds = led, 0
+        if found:
+            state, rounds = settle(near)
+            kept = led.join(state.filter(~F.col("kept")).select(F.col("hi").alias("n")), "n", "left_anti")
+        kept.select("score", "id", "terms", "weights", "n").write.parquet(f"{path}/lead={number}")
+        kept = spark.read.schema(VECTOR_ROWS + ", n bigint").parquet(f"{path}/lead={number}")
+        fresh = kept.count()
+        logging.getLogger(__name__).info("lead %d: %d rows, %d pairs, %d rounds, %d kept", number, taken["n"], found, rounds, fresh)
+        number, count = number + 1, count + fresh
+        if taken["n"] < size:
+            break
+        if top is None or count < top:
+            last = taken["last"]
+            left = open_.filter((F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("id") > last["id"])))
+            like = similar_to(left, kept.withColumn("rank", F.col("n") + 1), threshold, budget).select("id").distinct()
+            after = stored(left.join(like, "id", "left_anti"), "open")
+            release(open_, led, near)
+            open_ = after
+        dense = found / taken["n"] ** 2
+        size = int(min(_LEAD, 8 * size, max(block, (pairs / dense) ** 0.5 if dense else _LEAD)))
+    if not number:
+        return spark.createDataFrame([], "rank int, score double, id bigint" + (", terms array<string>, weights array<double>" if vectors else ""))
+    every = spark.read.schema(VECTOR_ROWS).option("recursiveFileLookup", "true").parquet(path)
+    every = global_rank(every, *order).filter(F.lit(True) if top is None else F.col("rank") <= top)
+    return every.select(F.col("rank").cast("int").alias("rank"), "score", "id", *(["terms", "weights"] if vectors else []))
 
 
 def global_rank(df: DataFrame, *order, partitions: int | None = None) -> DataFrame:

@@ -105,4 +105,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a table under the shared checkpoint root and read again: computed once, compressed, with its lineage cut."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of ``stored`` frames whose last reader has stored its own result."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

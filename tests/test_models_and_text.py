@@ -174,15 +174,83 @@ def test_similarities_to_kept_rows_in_parts(spark):
 
 
 def test_kept_vectors_do_not_pass_through_the_driver(spark, monkeypatch):
-    """Many blocks of kept rows make one plan that meets them by a shuffle; no part of them is collected."""
+    """Many parts of kept rows meet the rows they may resemble by equi-joins; no part of them is collected."""
     rows = random_vectors(4, 60, 30, 8)
     frame = vectors(spark, rows)
     kept = frame.withColumn("rank", (F.col("id") + 1).cast("int"))
     monkeypatch.setattr(type(frame), "toArrow", lambda self: pytest.fail("kept rows on the driver"))
     for found in (D.similar_to(frame, kept, 0.3, 20), D.best_similarity(frame, kept, 20)):
         plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "Union" not in plan and plan.count("FlatMapCoGroupsInArrow") == 1
+        assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("MapInArrow") == 1
         assert found.count() >= len(rows)
+    assert D.diversify(frame, threshold=0.3).count() == len(loop(rows, 0.3))
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.05, 0.3, 0.7, 0.95, 1.0])
+def test_prefix_index_equals_all_products(monkeypatch, threshold):
+    import pyarrow as pa
+
+    rows = [v for _, _, v in random_vectors(11, 90, 40, 9)] + [{}, {"hot": 1.0}, {"w1": 0.6, "w2": 0.8}, {"w1": 0.6, "w2": 0.8}]
+    lists = pa.array([sorted(v) for v in rows], pa.list_(pa.string())), pa.array([[v[t] for t in sorted(v)] for v in rows], pa.list_(pa.float64()))
+    cosine = np.array([[sum(w * b.get(t, 0) for t, w in a.items()) for b in rows[:50]] for a in rows])
+    want = {(i, j) for i, j in zip(*np.nonzero(cosine >= threshold)) if abs(cosine[i, j] - threshold) > 1e-9 or threshold in (0.0, 1.0)}
+    for cells in (4_000_000, 70):
+        monkeypatch.setattr(D, "_CELLS", cells)
+        index = D.PrefixIndex(lists[0].slice(0, 50), lists[1].slice(0, 50), threshold)
+        row, owner, value = index.pairs(*lists)
+        if threshold == 1.0:  # sums of squares may miss it by a rounding
+            assert set(zip(row, owner)) <= {(i, j) for i, j in zip(*np.nonzero(cosine >= 1 - 1e-9))}
+        else:
+            assert set(zip(row, owner)) >= want and np.allclose(value, cosine[row, owner]) and (value >= threshold).all()
+    if threshold >= 0.95:
+        assert len(index.head.owner) < len(index.tail.owner)
+
+
+def test_prefixes_send_rows_to_few_parts(spark):
+    """At a high threshold a row is sent only to the parts whose heads share a word with it."""
+    rows = [(float(i), i, {f"own{i // 2}": 0.9, "common": 0.19**0.5}) for i in range(200)]
+    frame = vectors(spark, rows)
+    kept = frame.withColumn("rank", (F.col("id") + 1).cast("int"))
+    found = D.similar_to(frame, kept, 0.8, 10).collect()
+    assert {(r["id"], r["target"]) for r in found} == {(i, j) for i in range(200) for j in (i - i % 2, i - i % 2 + 1)}
+    parts = D.kept_parts(kept, 10)
+    assert parts.select("_part").distinct().count() > 20
+
+
+def graph_loop(n, edges):
+    better = {}
+    for hi, lo in edges:
+        better.setdefault(hi, []).append(lo)
+    kept = {}
+    for i in range(n):
+        kept[i] = not any(kept[j] for j in better.get(i, ()))
+    return kept
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 8192])
+def test_rounds_settle_chains_stars_and_random_graphs(spark, monkeypatch, bucket):
+    monkeypatch.setattr(D, "_BUCKET", bucket)
+    rng = random.Random(bucket)
+    n = 24
+    graphs = {
+        "chain": [(i, i - 1) for i in range(1, n)],
+        "star": [(i, 0) for i in range(1, n)],
+        "late star": [(n - 1, i) for i in range(n - 1)],
+        "random": sorted({(max(a, b), min(a, b)) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(40)) if a != b}),
+    }
+    for name, edges in graphs.items():
+        state, rounds = D.settle(spark.createDataFrame(edges, "hi long, lo long").repartition(3))
+        got = {r["hi"]: r["kept"] for r in state.collect()}
+        want = graph_loop(n, edges)
+        assert all(got[i] == want[i] for i in got) and {hi for hi, _ in edges} <= got.keys()
+        assert rounds <= -(-n // bucket) and (rounds == 1 or bucket < n)
+        assert rounds == 1 or "star" not in name
+
+
+def test_a_long_chain_of_rows_equals_the_loop(spark):
+    """Every row resembles its neighbours only, so every second stays."""
+    rows = [(float(-i), i, {f"e{i}": 0.5**0.5, f"e{i + 1}": 0.5**0.5}) for i in range(3000)]
+    assert [r["id"] for r in D.diversify(vectors(spark, rows), threshold=0.4).orderBy("rank").collect()] == list(range(0, 3000, 2))
 
 
 def test_chain_keeps_both_ends(spark):
@@ -195,20 +263,6 @@ def test_no_candidates_give_an_empty_list(spark):
     assert D.diversify(vectors(spark, [(1.0, 1, {"a": 1.0})]).limit(0), top=3).count() == 0
 
 
-def test_similarity_in_small_pieces_is_the_same(spark, monkeypatch):
-    import pyarrow as pa
-
-    rows = random_vectors(9, 50, 30, 8)
-    terms, weights = [sorted(v) for _, _, v in rows], [[v[t] for t in sorted(v)] for _, _, v in rows]
-    lists = pa.array(terms, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64()))
-    kept = D.KeptVectors(terms[:20], weights[:20])
-    whole = kept.best(*lists)
-    monkeypatch.setattr(D, "_CELLS", 7)
-    assert np.allclose(whole, kept.best(*lists))
-    brute = [max(sum(v.get(t, 0) * x for t, x in k.items()) for _, _, k in rows[:20]) for _, _, v in rows]
-    assert np.allclose(whole, brute)
-
-
 def test_global_rank(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("s"))
     got = D.global_rank(df, F.desc("s"), F.asc("id"), partitions=6).collect()
