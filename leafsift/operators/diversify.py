@@ -3,8 +3,8 @@
 **Similar pairs.** Every vector's terms are ordered, rarest first. The head of a kept vector ends where the norm of what follows falls below the
 threshold: by Cauchy-Schwarz a unit vector that meets none of the head cannot reach it. Only heads are indexed; a pair met there is a
 candidate if its sum so far and the rest of the norm can reach the threshold, and gets the rest of its sum once. Kept vectors are cut into parts of bounded
-size. A row is sent to the parts whose heads share a word with it, found by an equi-join on words, and meets them in a stream: a task holds one part and
-one batch of rows.
+size. One part alone goes to the tasks, beside the first row of each, and the rows stay where they are. Several parts meet the rows by a shuffle: a row is sent to the parts
+whose heads share a word with it, found by an equi-join on words. A task holds one part and one batch of rows.
 
 **Diversification** keeps a row unless it resembles a better kept one. The best open rows are taken as a lead; its similar pairs are an acyclic graph
 from worse to better rows, and every row whose better neighbours are all settled settles itself, in rounds over buckets of
@@ -145,27 +145,40 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _met(rows: DataFrame, kept: DataFrame, threshold: float, budget: int, work, schema: str) -> DataFrame:
     """``work(index, targets, stretch)`` for every stretch of rows and every part of kept rows whose heads it may meet."""
-    spark = rows.sparkSession
     rows = rows.select(F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"))
     parts = kept_parts(kept, budget)
     numbers = parts.select("_part").distinct().count()
-    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, numbers))
     if numbers > 1:
+        return _by_parts(rows, parts, numbers, threshold, work, schema)
 
-        def heads(part: pa.Table) -> pa.Table:
-            part = part.combine_chunks()
-            found = PrefixIndex(*_lists(part), threshold).head_words
-            return pa.table([pa.array(np.full(len(found), part.column("_part")[0].as_py())), found], ["_part", "word"])
-
-        words = stored(parts.groupBy("_part").applyInArrow(heads, "_part bigint, word string"), "heads")
-        entries = rows.select("id", F.explode("terms").alias("word"))
-        routes = entries.join(words, "word").select("id", "_part").distinct()
-        rows = rows.join(routes, "id")
-    else:
-        rows = rows.withColumn("_part", F.lit(0).cast("bigint"))
-        parts = parts.withColumn("_part", F.lit(0).cast("bigint"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, targets = None, None
+        for batch in batches:
+            if index is None and batch.num_rows:
+                held = batch.column("_held").slice(0, 1).flatten()
+                terms, weights = (pa.concat_arrays([held.field(n)]) for n in ("terms", "weights"))
+                index, targets = PrefixIndex(terms, weights, threshold), held.field("target").to_numpy(zero_copy_only=False)
+            if batch.num_rows:
+                yield work(index, targets, batch)
+
+    # one row: no more vectors than a part has
+    held = parts.agg(F.collect_list(F.struct("target", "terms", "weights")).alias("_held")).select("_held", F.lit(True).alias("_first"))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return rows.withColumn("_first", first).join(F.broadcast(held), "_first", "left").drop("_first").mapInArrow(run, schema)
+
+
+def _by_parts(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float, work, schema: str) -> DataFrame:
+    shares = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // numbers)
+
+    def heads(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        found = PrefixIndex(*_lists(part), threshold).head_words
+        return pa.table([pa.array(np.full(len(found), part.column("_part")[0].as_py())), found], ["_part", "word"])
+
+    words = stored(parts.groupBy("_part").applyInArrow(heads, "_part bigint, word string"), "heads")
+    routes = rows.select("id", F.explode("terms").alias("word")).join(words, "word").select("id", "_part").distinct()
     copies = parts.select("_part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"), F.lit(0).alias("_kind"), F.col("target").alias("id"), "terms", "weights")
-    sent = rows.select("_part", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("_share"), F.lit(1).alias("_kind"), "id", "terms", "weights")
+    sent = rows.join(routes, "id").select("_part", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("_share"), F.lit(1).alias("_kind"), "id", "terms", "weights")
     both = copies.unionByName(sent).repartition("_part", "_share").sortWithinPartitions("_part", "_share", "_kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +273,14 @@ def diversify(
 ) -> DataFrame:
     """``rank, score, id`` of the kept rows of ``ranked(score, id, terms, weights)``; ``vectors`` adds terms and weights.
 
+    ``ranked`` is read twice, so it should be a stored table or cheap to make.
     Rows are taken by score, then id. The first lead has ``block`` rows; later ones grow as long as about ``pairs`` similar pairs at most are expected in
     one. Without ``top`` every row is settled. Jobs run while the frame is built.
     """
     spark = ranked.sparkSession
     order = [F.desc("score"), F.asc("id")]
     rows = ranked.select(F.col("score").cast("double"), F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"))
-    open_ = stored(rows, "open")
+    open_, own = rows, []
     path = scratch_path(spark, "diversified")
     size, count, number = block, 0, 0
     while top is None or count < top:
@@ -296,8 +310,8 @@ def diversify(
             left = open_.filter((F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("id") > last["id"])))
             like = similar_to(left, kept.withColumn("rank", F.col("n") + 1), threshold, budget).select("id").distinct()
             after = stored(left.join(like, "id", "left_anti"), "open")
-            release(open_, led, near)
-            open_ = after
+            release(led, near, *own)
+            open_, own = after, [after]
         dense = found / taken["n"] ** 2
         size = int(min(_LEAD, 8 * size, max(block, (pairs / dense) ** 0.5 if dense else _LEAD)))
     if not number:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafsift.functions.text import words
-from leafsift.session import stored
+from leafsift.session import release, stored
 
 #: Words sent to the tasks with their idf: some 20 MB at most.
 LIST_WORDS = 500_000
@@ -25,6 +25,7 @@ LIST_WORDS = 500_000
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(1)
+        others = batch.schema.names[2:]
         sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         found = lists.flatten().dictionary_encode()
         alphabet = pc.array_sort_indices(found.dictionary).to_numpy()
@@ -36,13 +37,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = pa.array(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int32))
         terms = pa.ListArray.from_arrays(offsets, found.dictionary.take(pa.array(alphabet[code])))
         counts = pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), terms, counts], ["id", "terms", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), terms, counts, *batch.columns[2:]], ["id", "terms", "counts", *others])
 
 
-def document_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, terms, counts``: the distinct words of each text in order, and how often each stands there. One row a document, nothing is shuffled."""
-    listed = docs.select(F.col(id_col).cast("bigint").alias("id"), words(F.col(text_col)).alias("w"))
-    return listed.mapInArrow(_count_words, "id bigint, terms array<string>, counts array<int>")
+def _and(rows: DataFrame, names: tuple[str, ...]) -> str:
+    return "".join(f", `{name}` {rows.schema[name].dataType.simpleString()}" for name in names)
+
+
+def document_words(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, terms, counts`` and the columns ``keep``: the distinct words of each text in order, and how often each stands there.
+
+    One row a document, nothing is shuffled.
+    """
+    listed = docs.select(F.col(id_col).cast("bigint").alias("id"), words(F.col(text_col)).alias("w"), *keep)
+    return listed.mapInArrow(_count_words, "id bigint, terms array<string>, counts array<int>" + _and(listed, keep))
 
 
 def document_frequency(counted: DataFrame) -> DataFrame:
@@ -76,7 +84,8 @@ def _frequent(idf: DataFrame) -> tuple[pa.Table, float]:
 
 
 def weighted_words(counted: DataFrame, idf: DataFrame) -> DataFrame:
-    """``id, terms, weights``: count * idf of every word that ``idf`` has, terms in order."""
+    """``id, terms, weights`` and the other columns of ``counted``: count * idf of every word that ``idf`` has, terms in order."""
+    keep = tuple(c for c in counted.columns if c not in ("id", "terms", "counts"))
     frequent, least = _frequent(idf)
     rare = idf.filter(F.col("df") < least) if least > 1 else None
     listed = counted.sparkSession.sparkContext.broadcast((frequent.column("word").combine_chunks(), frequent.column("idf").to_numpy()))
@@ -98,12 +107,13 @@ def weighted_words(counted: DataFrame, idf: DataFrame) -> DataFrame:
                 offsets = np.searchsorted(row[kept], np.arange(len(sizes) + 1)).astype(np.int32)
                 return pa.ListArray.from_arrays(pa.array(offsets), column.filter(pa.array(kept)))
 
-            columns = [batch.column(0), lists(known, entries), lists(known, pa.array(weight))]
+            columns = [batch.column(0), lists(known, entries), lists(known, pa.array(weight)), *batch.columns[3:]]
             if not whole:
                 columns += [lists(~known, entries), lists(~known, pa.array(count))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "terms", "weights", "_rare", "_counts"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "terms", "weights", *keep, "_rare", "_counts"][: len(columns)])
 
-    schema = "id bigint, terms array<string>, weights array<double>"
+    counted = counted.select("id", "terms", "counts", *keep)
+    schema = "id bigint, terms array<string>, weights array<double>" + _and(counted, keep)
     if whole:
         return counted.mapInArrow(weigh, schema)
     rows = stored(counted.mapInArrow(weigh, schema + ", _rare array<string>, _counts array<int>"), "weighted")
@@ -112,16 +122,19 @@ def weighted_words(counted: DataFrame, idf: DataFrame) -> DataFrame:
     joined = rows.drop("_rare", "_counts").join(more, "id", "left")
     entry = F.arrays_zip(F.col("terms").alias("word"), F.col("weights").alias("w"))
     every = F.when(F.col("_more").isNull(), entry).otherwise(F.array_sort(F.concat(entry, "_more")))
-    return joined.select("id", every.alias("e")).select("id", F.col("e.word").alias("terms"), F.col("e.w").alias("weights"))
+    return joined.select("id", every.alias("e"), *keep).select("id", F.col("e.word").alias("terms"), F.col("e.w").alias("weights"), *keep)
 
 
-def weighted_documents(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = None) -> DataFrame:
-    """``weighted_words`` of ``docs``; without ``idf`` they are the corpus, and their words are counted once and stored."""
-    counted = document_words(docs, id_col, text_col)
-    if idf is None:
-        counted = stored(counted, "words")
-        idf = stored(word_idf(counted), "idf")
-    return weighted_words(counted, idf)
+def weighted_documents(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``weighted_words`` of ``docs``. Without ``idf`` they are the corpus: their words are counted once and the result is a stored table."""
+    counted = document_words(docs, id_col, text_col, keep)
+    if idf is not None:
+        return weighted_words(counted, idf)
+    counted = stored(counted, "words")
+    idf = stored(word_idf(counted), "idf")
+    out = stored(weighted_words(counted, idf), "weighted")
+    release(counted, idf)
+    return out
 
 
 def unit(weights: Column) -> Column:
@@ -130,13 +143,13 @@ def unit(weights: Column) -> Column:
     return F.transform(F.array(length), lambda n: F.transform(weights, lambda w: w / n))[0]
 
 
-def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = None) -> DataFrame:
-    """``id, terms, weights``: L2-normalised TF-IDF, terms in order.
+def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, terms, weights`` and the columns ``keep``: L2-normalised TF-IDF, terms in order.
 
     Documents without any word have no vector.
     """
-    rows = weighted_documents(docs, id_col, text_col, idf).filter(F.size("terms") > 0)
-    return rows.select("id", "terms", unit(F.col("weights")).alias("weights"))
+    rows = weighted_documents(docs, id_col, text_col, idf, keep).filter(F.size("terms") > 0)
+    return rows.select("id", "terms", unit(F.col("weights")).alias("weights"), *keep)
 
 
 def vector_entries(vectors: DataFrame) -> DataFrame:

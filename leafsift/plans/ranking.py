@@ -62,7 +62,7 @@ def daily_list(
     Jobs run while the frame is built.
     """
     chosen = listing.candidates(articles, as_of)
-    vectors = tfidf_vectors(chosen, "id", "text").join(chosen.select("id", "score"), "id")
+    vectors = tfidf_vectors(chosen, "id", "text", keep=("score",))
     # A text without words is like nothing, so it is always kept.
     empty = chosen.select("id", "score").join(vectors.select("id"), "id", "left_anti")
     nothing = [F.array().cast("array<string>").alias("terms"), F.array().cast("array<double>").alias("weights")]

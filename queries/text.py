@@ -180,7 +180,7 @@ def a10(spark, sf):
 
 def ranked_documents(spark, sf):
     a = V.articles(spark, sf).select("id", F.coalesce("score", F.lit(0.0)).alias("score"), "text")
-    return W.tfidf_vectors(a, "id", "text").join(a.select("id", "score"), "id")
+    return W.tfidf_vectors(a, "id", "text", keep=("score",))
 
 
 def sql_kept(ranked: str, threshold: float = 0.05) -> str:
@@ -211,7 +211,7 @@ _KEPT = f"WITH {V.SQL_ARTICLES}, {sql_vectors()}, {sql_kept('SELECT id, coalesce
 
 
 def _kept(spark, sf):
-    ranked = cut(ranked_documents(spark, sf))
+    ranked = ranked_documents(spark, sf)
     return ranked, cut(diversify(ranked.select("score", "id", "terms", "weights"), vectors=True))
 
 
