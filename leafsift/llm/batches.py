@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsift.session import scratch_path
+from leafsift.session import release, stored  # noqa: F401  used by the operators of this folder
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
 SLICE_BYTES = 2 << 20
@@ -22,13 +22,6 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a table under ``spark.checkpoint.dir`` and read again: computed once, with its lineage cut."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def texts_of(docs: DataFrame) -> DataFrame:
     """The two columns that text operators read; others, whatever their names, are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -90,7 +90,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fold 0 is held out; folds 1 to 3 are counted, fold 4 sets the curve."""
     docs, fold = _table(spark, sf_dir, "documents"), _fold(5)
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), count_rows=fold.isin(1, 2, 3), curve_rows=fold == 4)
-    return _predictions(toxicity.score(docs, model), fold == 0)
+    scored = toxicity.score(docs, model)
+    model.release()
+    return _predictions(scored, fold == 0)
 
 
 @query

@@ -34,13 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafsift.llm.batches import SLICE_BYTES, Bytes, Words, dense, give_back, slices, spread_repeats, stored, sums_between, texts_of
+from leafsift.llm.batches import SLICE_BYTES, Bytes, Words, dense, release, slices, spread_repeats, stored, sums_between, texts_of
 from leafsift.llm.quality_rules import labelled_ids, labelled_texts
 
 #: Bytes of an n-gram.
 ORDER = 7
-#: Places of a table of ``Slots``, unless said otherwise.
-SLOTS = 1 << 21
 #: The share of all rows (1 / n) from which an n-gram or a word is sent to the tasks.
 HOT_GRAMS, HOT_WORDS = 1 << 12, 1 << 20
 #: Steps of the values that are added up.
@@ -96,10 +94,15 @@ class WordGrams:
 
 
 def count_grams(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, ordinary, toxic): how often every n-gram occurs in texts of each label, summed in each task first."""
+    """(gram, ordinary, toxic): how often every n-gram occurs in texts of each label, summed in each task first, a bounded number of rows at a time."""
+    names = ["gram", "ordinary", "toxic"]
+
+    def summed(held: list[pa.Table]) -> list[pa.RecordBatch]:
+        total = pa.concat_tables(held).group_by("gram").aggregate([("ordinary", "sum"), ("toxic", "sum")])
+        return total.rename_columns(names).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = pa.table({"gram": pa.array([], pa.int64()), "ordinary": pa.array([], pa.int64()), "toxic": pa.array([], pa.int64())})
+        held, size = [], 0
         for part in slices(batches):
             found = WordGrams.of(part.column("text"), order)
             label = np.repeat(part.column("label").to_numpy(zero_copy_only=False), found.words.counts)
@@ -108,9 +111,16 @@ def count_grams(labelled: DataFrame, order: int = ORDER) -> DataFrame:
             gram = np.empty(kinds, np.int64)
             gram[ids] = found.grams
             counts = [np.bincount(ids, n[found.owner], minlength=kinds).astype(np.int64) for n in by_word]
-            total = pa.concat_tables([total, pa.table({"gram": gram, "ordinary": counts[0], "toxic": counts[1]})])
-            total = total.group_by("gram").aggregate([("ordinary", "sum"), ("toxic", "sum")]).rename_columns(["gram", "ordinary", "toxic"])
-        yield from total.to_batches()
+            held.append(pa.table(dict(zip(names, [gram, *counts]))))
+            size += kinds
+            if size >= HELD_ROWS:
+                again = pa.Table.from_batches(summed(held))
+                if again.num_rows > HELD_ROWS // 2:
+                    yield from again.to_batches()
+                    again = again.slice(0, 0)
+                held, size = [again], again.num_rows
+        if held:
+            yield from summed(held)
 
     rows = labelled.select("text", "label").mapInArrow(run, "gram long, ordinary long, toxic long")
     return rows.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
@@ -132,6 +142,7 @@ def shared_backoff(grams: DataFrame, order: int = ORDER) -> DataFrame:
         finer = finer.select("gram")
     below = None
     for n, level in reversed(levels):
+        counted = level
         d = _discount(level, "n")
         context = F.shiftright("gram", 8)
         totals = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(F.least(F.lit(d), "n")).alias("freed"))
@@ -142,72 +153,32 @@ def shared_backoff(grams: DataFrame, order: int = ORDER) -> DataFrame:
             level = level.withColumn("lower", suffix("gram", n - 1)).join(below.withColumnRenamed("suffix", "lower"), "lower")
             lower = F.col("p")
         p = (F.greatest(F.col("n") - d, F.lit(0.0)) + F.col("freed") * lower) / F.col("total")
-        below = stored(level.select(F.col("gram").alias("suffix"), p.alias("p")), "toxicity-backoff")
+        coarser, below = below, stored(level.select(F.col("gram").alias("suffix"), p.alias("p")), "toxicity-backoff")
+        release(counted, *([coarser] if coarser is not None else []))
     return below
 
 
 def log_ratios(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """(key, value, n) of every n-gram and of every context: log P(byte | context, toxic) - log P(byte | context, ordinary)."""
+    """(key, value) of every n-gram and of every context, stored: log P(byte | context, toxic) - log P(byte | context, ordinary)."""
     classes = ("ordinary", "toxic")
     d = {c: _discount(grams, c) for c in classes}
     context = F.shiftright("gram", 8)
     sums = [F.sum(c).alias(f"total_{c}") for c in classes] + [F.sum(F.least(F.lit(d[c]), c)).alias(f"freed_{c}") for c in classes]
     contexts = stored(grams.groupBy(context.alias("context")).agg(*sums), "toxicity-contexts")
     seen = grams.withColumn("context", context).withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1)))
-    seen = seen.join(shared_backoff(grams, order), "suffix").join(contexts, "context")
+    backoff = shared_backoff(grams, order)
+    seen = seen.join(backoff, "suffix").join(contexts, "context")
 
     def p(c: str) -> Column:
         own = (F.greatest(F.col(c) - d[c], F.lit(0.0)) + F.col(f"freed_{c}") * F.col("p")) / F.col(f"total_{c}")
         return F.when(F.col(f"total_{c}") > 0, own).otherwise(F.col("p"))
 
     share = lambda c: F.when(F.col(f"total_{c}") > 0, F.col(f"freed_{c}") / F.col(f"total_{c}")).otherwise(1.0)
-    n = lambda a, b: F.col(a) + F.col(b)
-    of_grams = seen.select(F.col("gram").alias("key"), (F.log(p("toxic")) - F.log(p("ordinary"))).alias("value"), n(*classes).alias("n"))
-    of_contexts = contexts.select(F.col("context").alias("key"), (F.log(share("toxic")) - F.log(share("ordinary"))).alias("value"), n("total_toxic", "total_ordinary").alias("n"))
-    return of_grams, of_contexts
-
-
-# ---------------------------------------------------------------- hashed tables
-
-_MIX = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
-
-
-def _places(keys: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slot of each key, and eight more bits of its hash."""
-    h = keys * _MIX
-    h ^= h >> 29
-    rest = 64 - (slots.bit_length() - 1)
-    return (h.view(np.uint64) >> np.uint64(rest)).astype(np.int64), ((h >> (rest - 8)) & 255).astype(np.uint8)
-
-
-class Slots:
-    """A table of ``slots`` places: the value of a key, if the place holds that key's further hash bits. Where keys meet, the most frequent has the place."""
-
-    def __init__(self, rows: DataFrame, slots: int = SLOTS):
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, check = _places(batch.column("key").to_numpy(zero_copy_only=False), slots)
-                columns = [pa.array(at.astype(np.int32)), pa.array(check.astype(np.int32)), *(batch.column(c) for c in ("value", "n", "key"))]
-                yield pa.RecordBatch.from_arrays(columns, ["place", "check", "value", "n", "key"])
-
-        placed = rows.select("key", F.col("value").cast("float").alias("value"), "n").mapInArrow(place, "place int, check int, value float, n long, key long")
-        best = placed.groupBy("place").agg(F.max_by(F.struct("check", "value"), F.struct("n", "key")).alias("best"))
-        self.check = np.zeros(slots, np.uint8)
-        self.value = np.zeros(slots, np.float32)
-        self.full = np.zeros(slots, bool)
-        found = best.select("place", "best.check", "best.value").toArrow()  # at most ``slots`` rows
-        for part in found.to_batches():
-            at = part.column("place").to_numpy(zero_copy_only=False)
-            self.check[at] = part.column("check").to_numpy(zero_copy_only=False)
-            self.value[at] = part.column("value").to_numpy(zero_copy_only=False)
-            self.full[at] = True
-        del found
-        give_back()
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(value, whether it is there)."""
-        place, check = _places(keys, len(self.full))
-        return self.value[place], self.full[place] & (self.check[place] == check)
+    of_grams = seen.select(F.col("gram").alias("key"), (F.log(p("toxic")) - F.log(p("ordinary"))).alias("value"))
+    of_contexts = contexts.select(F.col("context").alias("key"), (F.log(share("toxic")) - F.log(share("ordinary"))).alias("value"))
+    out = stored(of_grams, "toxicity-ratios"), stored(of_contexts, "toxicity-shares")
+    release(contexts, backoff)
+    return out
 
 
 # ---------------------------------------------------------------- word scores
@@ -359,10 +330,16 @@ class Model:
     weights: np.ndarray | None = None
 
     def features(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, f0 ..) for every row of ``docs``."""
+        """(doc_id, f0 ..) for every row of ``docs``; what it reads is stored, and no table of this model among it."""
         words = vocabulary(docs)
         values = gram_values(words, self.grams, self.contexts, self.order)
-        return document_features(docs, word_features(words, values, self.order))
+        by_word = word_features(words, values, self.order)
+        release(words, values)
+        return document_features(docs, by_word)
+
+    def release(self) -> None:
+        """Delete the model's tables; results of ``features`` and ``score`` already asked for stay whole."""
+        release(*(t for t in (self.grams, self.contexts) if t is not None))
 
 
 def fit_curve(rows: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -395,8 +372,9 @@ def train(docs: DataFrame, labels: DataFrame, count_rows: Column, curve_rows: Co
     model = Model(None, None, order, float(toxic or 0) / max(1, rows))
     if not 0 < model.prior < 1:
         return model
-    of_grams, of_contexts = log_ratios(stored(count_grams(labelled, order), "toxicity-grams"), order)
-    model.grams, model.contexts = stored(of_grams.select("key", "value"), "toxicity-ratios"), stored(of_contexts.select("key", "value"), "toxicity-shares")
+    counts = stored(count_grams(labelled, order), "toxicity-grams")
+    model.grams, model.contexts = log_ratios(counts, order)
+    release(counts)
     sample = labelled_ids(labels, "toxic", sample_rows, curve_rows)
     rows = model.features(labelled_texts(docs, sample)).groupBy("doc_id").agg(F.min(F.struct(*NAMES)).alias("f")).select("doc_id", "f.*")  # one row an id
     found = rows.join(F.broadcast(sample), "doc_id").orderBy("doc_id").toPandas()

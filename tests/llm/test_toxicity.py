@@ -95,14 +95,18 @@ def test_ratios_equal_plain_kneser_ney(spark):
     assert sum(probability(0, g) for g in set(counts[0] | counts[1]) if g[:-1] == context) <= 1 + 1e-9
 
 
-def test_hashed_slots_hold_values_and_know_strangers(spark):
-    rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 1 << 40, 500))
-    frame = spark.createDataFrame([(int(k), float(i), 1) for i, k in enumerate(keys)], "key long, value double, n long")
-    slots = toxicity.Slots(frame, 1 << 16)
-    value, there = slots.find(keys)
-    assert there.mean() > 0.97 and (value[there] == np.arange(len(keys))[there]).mean() > 0.99
-    assert slots.find(rng.integers(1 << 41, 1 << 42, 5000))[1].mean() < 0.01
+def test_counting_a_bounded_number_of_rows_and_released_tables(spark, monkeypatch):
+    rows = corpus(80, 5)
+    d, labels = frames(spark, rows)
+    labelled = d.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    whole = {tuple(r) for r in toxicity.count_grams(labelled, 5).collect()}
+    monkeypatch.setattr(toxicity, "HELD_ROWS", 50)
+    assert {tuple(r) for r in toxicity.count_grams(labelled, 5).collect()} == whole
+    model = toxicity.train(d, labels, F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1)
+    twice = [{r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()} for _ in range(2)]
+    last = toxicity.score(d, model)
+    model.release()
+    assert twice[0] == twice[1] == {r["doc_id"]: r["score"] for r in last.collect()}
 
 
 def test_grams_stay_inside_words():
@@ -137,7 +141,6 @@ def test_query_folds_and_held_out_accuracy(spark):
 
 def test_every_ratio_reaches_the_score(spark, monkeypatch):
     """Document features equal a plain sum over the full n-gram tables, however few keys are sent to the tasks."""
-    monkeypatch.setattr(toxicity, "SLOTS", 16)  # a table of so few places lost nearly all n-grams
     monkeypatch.setattr(toxicity, "HOT_GRAMS", 40)
     monkeypatch.setattr(toxicity, "HOT_WORDS", 8)
     rows = corpus(60, 3)
