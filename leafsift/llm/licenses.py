@@ -1,28 +1,34 @@
-"""License scans with DataFrame functions only: exact shingle containment in overlapping windows.
+"""License scans with DataFrame functions only: MinHash bands retrieve templates, exact shingle containment verifies them.
 
-A text is read as words (runs of a-z and 0-9, in lower case) and shingles of five words. Templates
-are cut into pieces of at most ``PIECE`` shingles; a text is read in windows of 2 * PIECE shingles, each
-PIECE after the last, so every run as long as a piece lies inside a window. Shingles that no template has are left out of a window.
-Every piece is compared exactly with every window that holds any of its shingles: the share of the
-template's distinct shingles that its pieces find in the best windows must reach ``least``.
+A text is read as words (runs of a-z and 0-9, in lower case) and shingles of five words. Templates, a table of whole texts, are cut into pieces of at
+most ``PIECE`` shingles; a text is read in windows of 2 * PIECE shingles, each PIECE after the last, so every run as long as a piece lies inside a window.
 
-No pair is missed, whatever else stands in a window. MinHash bands of the windows did retrieve the pairs before; a notice of one
-shingle beside a long one resembles their window by 1 / 60 and was out of reach of 64 bands in a third of all cases.
+A window is compared with a piece after it has been reduced to that piece's own shingles, whatever else stands in it: what is left resembles
+the piece by the share c of the piece that the window holds. Each of ``BANDS`` bands is the smallest shingle of the piece under a hash of its own, and the reduced window has
+the same smallest one just if it holds that shingle. So bands are a table of shingles, and retrieval is one equi-join of the texts' distinct shingles with
+it; no text meets a template it shares no band with. A piece of no more shingles than bands is retrieved by each of them.
 
-Everything happens inside a row, so nothing is shuffled and no group can be hot. Windows are only formed where
-any template's shingle occurs. Defined results: a null or empty text, and one of under five words, has no
-license; repeated rows each give their own row; a null doc_id is kept; other columns are not read.
+If a template's containment reaches ``least``, one of its pieces at least has c >= ``least`` in a window, and is missed by all bands with probability (1 - c) ** BANDS: below
+7e-12 at 0.8, and never for pieces of up to BANDS shingles. Templates retrieved for a text are verified whole: the share of the template's distinct shingles that its pieces find in
+their best windows must reach ``least``.
+
+Scale: retrieval shuffles a row for each retrieved pair only; the bands are broadcast where Spark finds them small, else texts with a frequent shingle are split.
+Texts are told apart by their MD5, so copies are verified once, and only retrieved texts are sent. Defined results: a null or empty text, and one of under five words, has no
+license; a template of under five words is never found; of templates of one name the last text by order counts. Repeated rows each give their own row; a null doc_id is kept; other
+columns are not read. A very long text is one row's array of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, PIECE = 5, 32
+from leafsift.llm.batches import stored
+
+SHINGLE, PIECE, BANDS = 5, 32, 16
+LICENSES = "array<struct<name:string,containment:double>>"
 
 #: Notices as they stand in files; fixed values.
 TEMPLATES = {
@@ -81,61 +87,48 @@ def shingles_of(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), body)
 
 
-@dataclass
-class Template:
-    name: str
-    pieces: list[list[int]]  # distinct shingles of each piece; a shingle belongs to its first piece
-
-    @property
-    def size(self) -> int:
-        return sum(map(len, self.pieces))
-
-
-def compiled(spark: SparkSession, templates: dict[str, str]) -> list[Template]:
-    """The shingles of the templates: one row each, computed by the same expressions as for texts."""
-    rows = spark.createDataFrame(list(templates.items()), "name string, text string")
-    rows = rows.select("name", shingles_of(words_of(F.col("text"))).alias("s"))
-    piece = lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(PIECE)), lambda at: F.slice(s, at + 1, PIECE))
-    rows = rows.filter(F.size("s") > 0).select("name", let(F.array_distinct("s"), piece).alias("pieces"))
-    return [Template(r["name"], r["pieces"]) for r in rows.orderBy("name").collect()]  # as many as templates
-
-
-def _longs(values: list[int]) -> Column:
-    return F.array(*(F.lit(v).cast("long") for v in values))
-
-
-def _most_shared(windows: Column, piece: Column) -> Column:
-    """The most shingles of ``piece`` in one of the windows."""
-    return F.coalesce(F.array_max(F.transform(windows, lambda w: F.size(F.array_intersect(w, piece)))), F.lit(0))
-
-
-def found_in(shingles: Column, templates: list[Template], least: float) -> Column:
-    """An array of (name, containment) of the templates that a text's shingles hold."""
-    known = _longs(sorted({s for t in templates for p in t.pieces for s in p}))
-    empty = F.array().cast("array<struct<name:string,containment:double>>")
-
-    def look(own: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(own) - 1), F.lit(PIECE))
-        windows = F.transform(starts, lambda at: F.array_intersect(F.slice(own, at + 1, 2 * PIECE), known))
-        windows = F.filter(windows, lambda w: F.size(w) > 0)
-
-        def verify(held: Column) -> Column:
-            out = []
-            for t in templates:
-                best = [_most_shared(held, _longs(piece)) for piece in t.pieces]
-                share = sum(best[1:], best[0]) / F.lit(float(t.size))
-                out.append(F.struct(F.lit(t.name).alias("name"), share.alias("containment")))
-            return F.filter(F.array(*out), lambda f: f["containment"] >= least)
-
-        return let(windows, verify)
-
-    return let(shingles, lambda own: F.when(F.size(F.array_intersect(own, known)) > 0, look(own)).otherwise(empty))
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """(doc_id, licenses) for every row: an array of (name, containment), by name."""
-    held = compiled(docs.sparkSession, TEMPLATES if templates is None else templates)
-    doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    if not held:
-        return docs.select(doc_id, F.array().cast("array<struct<name:string,containment:double>>").alias("licenses"))
-    return docs.select(doc_id, found_in(shingles_of(words_of(F.col("text").cast("string"))), held, least).alias("licenses"))
+def pieces_of(templates: DataFrame) -> DataFrame:
+    """(name, total, pieces) of ``templates(name, text)``: the distinct shingles in pieces, each in the first that has it."""
+    rows = templates.groupBy(F.col("name").cast("string").alias("name")).agg(F.max(F.col("text").cast("string")).alias("text"))
+    rows = rows.select("name", F.array_distinct(shingles_of(words_of(F.col("text")))).alias("s")).filter((F.size("s") > 0) & F.col("name").isNotNull())
+    cut = F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(PIECE)), lambda at: F.slice("s", at + 1, PIECE))
+    return rows.select("name", F.size("s").alias("total"), cut.alias("pieces"))
+
+
+def bands_of(pieces: DataFrame) -> DataFrame:
+    """(shingle, name): the shingles that retrieve a template."""
+    least = lambda s, band: F.array_min(F.transform(s, lambda x: F.struct(F.xxhash64(F.lit(band), x).alias("h"), x.alias("x"))))["x"]
+    each = pieces.select("name", F.explode("pieces").alias("s"))
+    kept = F.when(F.size("s") <= BANDS, F.col("s")).otherwise(F.array_distinct(F.array(*(least(F.col("s"), band) for band in range(BANDS)))))
+    return each.select(F.explode(kept).alias("shingle"), "name").distinct()
+
+
+def containment(shingles: Column, pieces: Column, total: Column) -> Column:
+    """The share of a template's shingles that its pieces find in their best windows of a text."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(shingles) - 1), F.lit(PIECE))
+    windows = F.transform(starts, lambda at: F.slice(shingles, at + 1, 2 * PIECE))
+    best = lambda held, piece: F.array_max(F.transform(held, lambda w: F.size(F.array_intersect(w, piece))))
+    return let(windows, lambda held: F.aggregate(pieces, F.lit(0), lambda n, piece: n + best(held, piece))) / total.cast("double")
+
+
+def retrieve(texts: DataFrame, bands: DataFrame) -> DataFrame:
+    """(key, name) of the texts and templates that share a band."""
+    shingles = texts.select("key", F.explode(F.array_distinct(shingles_of(words_of(F.col("text"))))).alias("shingle"))
+    return shingles.join(bands, "shingle").select("key", "name").distinct()
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = 0.8) -> DataFrame:
+    """(doc_id, licenses) for every row: an array of (name, containment), by name. ``templates(name, text)`` are the fixed notices unless given."""
+    if templates is None:
+        templates = docs.sparkSession.createDataFrame(list(TEMPLATES.items()), "name string, text string")
+    pieces = stored(pieces_of(templates), "license-pieces")
+    bands = stored(bands_of(pieces), "license-bands")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("string").cast("binary")).alias("key"), F.col("text").cast("string").alias("text"))
+    pairs = stored(retrieve(texts.select("key", "text"), bands), "license-pairs")
+    # copies of a text are one row from here on; sums in each task come before the shuffle
+    held = texts.select("key", "text").join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    held = held.select("key", shingles_of(words_of(F.col("text"))).alias("shingles"))
+    share = containment(F.col("shingles"), F.col("pieces"), F.col("total"))
+    found = held.join(pairs, "key").join(pieces, "name").select("key", F.struct("name", share.alias("containment")).alias("f")).filter(F.col("f.containment") >= least)
+    found = found.groupBy("key").agg(F.array_sort(F.collect_list("f")).alias("licenses"))  # no more than templates
+    return texts.select("doc_id", "key").join(found, "key", "left").select("doc_id", F.coalesce("licenses", F.array().cast(LICENSES)).alias("licenses"))
