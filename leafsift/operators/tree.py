@@ -1,9 +1,9 @@
 """Pages to node rows.
 
 HTML nesting needs a stack, which no built-in expression offers, so one narrow
-Arrow map turns each page into nested-set numbered rows. It only numbers nodes;
-every measure on them is DataFrame work (see ``blocks``). A page never leaves its
-partition here and pages are read one Arrow batch at a time.
+Arrow map turns each page into nested-set numbered rows, each with its range in the source and in the page's text. It only numbers nodes;
+measures on them are column expressions, and subtrees are differences of their running sums (see ``blocks``). A page never leaves its
+partition here and pages are read one Arrow batch at a time. What is held grows with a page's nodes, however deeply they nest.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 NODE_SCHEMA = (
     "page_id bigint, pre int, last int, parent int, depth int, tag string, attrs string, text string, "
-    "src_start int, src_end int, blocks array<int>, n_a int, has_a boolean, tail_of int, tail_tag string, "
-    "captured boolean"
+    "src_start int, src_end int, n_a int, has_a boolean, tail_of int, tail_tag string, "
+    "captured boolean, text_start int, text_end int, tail_end int"
 )
 
 TEXT, COMMENT = "#text", "#comment"
@@ -79,7 +79,7 @@ _TOKEN = re.compile(
     re.S,
 )
 
-_PRE, _LAST, _PARENT, _DEPTH, _TAG, _ATTRS, _TXT, _START, _END, _BLOCKS, _NA, _HASA, _TAILOF, _TAILTAG, _CAP = range(15)
+_PRE, _LAST, _PARENT, _DEPTH, _TAG, _ATTRS, _TXT, _START, _END, _NA, _HASA, _TAILOF, _TAILTAG, _CAP = range(14)
 
 
 class _Tree:
@@ -95,13 +95,8 @@ class _Tree:
     def node(self, tag, attrs, text, start, end):
         top = self.open[-1] if self.open else None
         pre = len(self.rows)
-        blocks = top[_BLOCKS] if top else []
-        n_a = top[_NA] if top else 0
-        if tag in BLOCK_TAGS:
-            blocks = blocks + [pre]
-        elif tag == "a":
-            n_a += 1
-        row = [pre, pre, top[_PRE] if top else -1, len(self.open), tag, attrs, text, start, end, blocks, n_a]
+        n_a = (top[_NA] if top else 0) + (tag == "a")
+        row = [pre, pre, top[_PRE] if top else -1, len(self.open), tag, attrs, text, start, end, n_a]
         row += [False, None, None, False]
         self.rows.append(row)
         return row
@@ -228,12 +223,22 @@ def page_nodes(source: str) -> list[list]:
     return tree.rows
 
 
+def with_text_ranges(rows: list[list]) -> list[list]:
+    """The rows with where each node's text lies in the page's text: first character, end, and end with the text run that follows the node."""
+    at = [0]
+    for row in rows:
+        at.append(at[-1] + (len(row[_TXT]) if row[_TAG] == TEXT else 0))
+    tails = {row[_TAILOF]: at[row[_PRE] + 1] for row in rows if row[_TAILOF] is not None}
+    return [[*row, at[row[_PRE]], at[row[_LAST] + 1], tails.get(row[_PRE], at[row[_LAST] + 1])] for row in rows]
+
+
 _ARROW = pa.schema(
     [
         ("page_id", pa.int64()), ("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()),
         ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.string()), ("text", pa.string()),
-        ("src_start", pa.int32()), ("src_end", pa.int32()), ("blocks", pa.list_(pa.int32())), ("n_a", pa.int32()),
+        ("src_start", pa.int32()), ("src_end", pa.int32()), ("n_a", pa.int32()),
         ("has_a", pa.bool_()), ("tail_of", pa.int32()), ("tail_tag", pa.string()), ("captured", pa.bool_()),
+        ("text_start", pa.int32()), ("text_end", pa.int32()), ("tail_end", pa.int32()),
     ]
 )
 
@@ -263,9 +268,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], roots: bool = False) -> It
             if not source.is_valid:
                 continue
             found = page_nodes(source.as_py())
-            if roots:
-                root = _root(found)
-                found = [[*row, *root] for row in found]
+            root = _root(found) if roots else ()
+            found = [[*row, *root] for row in with_text_ranges(found)]
             ids.extend([page_id.as_py()] * len(found))
             rows.extend(found)
             if len(rows) >= _ROWS_PER_BATCH:
@@ -278,10 +282,9 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], roots: bool = False) -> It
 def node_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", roots: bool = False) -> DataFrame:
     """One row per element, comment and text run of every page.
 
-    ``pre``/``last`` bound the subtree, ``blocks`` lists the enclosing div, section
-    and article nodes (the node itself included), ``tail_of`` names the sibling a
-    text run follows, ``n_a`` counts the links a node lies in. ``roots`` adds the page's first element in the
-    body and the last node below it, as ``root`` and ``root_last``.
+    ``pre``/``last`` bound the subtree, ``tail_of`` names the sibling a
+    text run follows, ``n_a`` counts the links a node lies in. A node's text is characters ``text_start`` to ``text_end`` of the page's text, and to ``tail_end``
+    with the run that follows it. ``roots`` adds the page's first element in the body and the last node below it, as ``root`` and ``root_last``.
     """
     source = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("html"))
     schema = NODE_SCHEMA + (", root int, root_last int" if roots else "")
@@ -349,17 +352,15 @@ def element_html(nodes: DataFrame, pages: DataFrame, id_col: str = "page_id", ht
     return nodes.join(text, "page_id").withColumn("html", piece).drop("_html")
 
 
-def element_text(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Text of the elements in ``roots`` (page_id, pre, last), in document order, with the tail.
+def element_text(nodes: DataFrame, texts: DataFrame, with_tail: bool = True) -> DataFrame:
+    """``page_id, pre, text`` of any of the nodes, nested or not: a piece of the page's text in ``texts(page_id, text)``.
 
-    ``roots`` must hold disjoint elements, such as one per page.
+    Only ranges move; the pieces are as long as the nodes asked for.
     """
-    runs = nodes.filter(F.col("tag") == TEXT).select("page_id", F.col("pre").alias("at"), "tail_of", "text")
-    inside = (F.col("at") >= F.col("pre")) & (F.col("at") <= F.col("last"))
-    joined = roots.select("page_id", "pre", "last").join(runs, "page_id", "left")
-    kept = F.when(inside | (F.col("tail_of") == F.col("pre")), F.struct("at", "text"))
-    parts = F.transform(F.sort_array(F.collect_list(kept)), lambda r: r["text"])
-    return joined.groupBy("page_id", "pre").agg(F.array_join(parts, "").alias("text"))
+    ranges = nodes.select("page_id", "pre", "text_start", F.col("tail_end" if with_tail else "text_end").alias("_end"))
+    placed = ranges.join(texts.select("page_id", F.col("text").alias("_text")), "page_id")
+    piece = F.substring(F.col("_text"), F.col("text_start") + 1, F.col("_end") - F.col("text_start"))
+    return placed.select("page_id", "pre", piece.alias("text"))
 
 
 def page_text(nodes: DataFrame) -> DataFrame:

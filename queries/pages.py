@@ -286,21 +286,18 @@ def h01(spark, sf):
     )
 
 
-_BLOCK_IDS = """
-blocks AS (
-  SELECT page_id, id, pre FROM nodes WHERE tag IN ('article', 'nav', 'footer', 'head')
-)"""
-
-
 @query("h02_element_text",
-       _TREE + "," + _BLOCK_IDS + """ SELECT b.page_id, b.pre, coalesce(string_agg(n.text, '' ORDER BY n.id), '') AS text
- FROM blocks b LEFT JOIN nodes n ON n.page_id = b.page_id AND n.tag = '#text'
- AND list_contains(list_transform(n.path, lambda x: x.id), b.id) GROUP BY b.page_id, b.pre""")
+       _TREE + """, runs AS (SELECT page_id, id, tag, text, path, lag(id) OVER s AS tail_of FROM nodes WINDOW s AS (PARTITION BY page_id, parent ORDER BY id)),
+ pieces AS (SELECT r.page_id, b.id AS el, r.id, r.text FROM runs r, unnest(r.path) AS u(b) WHERE r.tag = '#text'
+            UNION ALL SELECT page_id, tail_of, id, text FROM runs WHERE tag = '#text' AND tail_of IS NOT NULL)
+ SELECT e.page_id, e.pre, coalesce(string_agg(p.text, '' ORDER BY p.id), '') AS text
+ FROM nodes e LEFT JOIN pieces p ON p.page_id = e.page_id AND p.el = e.id WHERE e.tag NOT LIKE '#%' GROUP BY e.page_id, e.pre""")
 def h02(spark, sf):
-    nodes = node_table(V.cleaned(spark, sf))
-    # disjoint elements of every page
-    roots = nodes.filter(F.col("tag").isin("article", "nav", "footer", "head"))
-    return element_text(nodes, roots).select("page_id", F.col("pre").cast("bigint").alias("pre"), "text")
+    """Every element, with the text right after it."""
+    cleaned = V.cleaned(spark, sf)
+    elements = node_table(cleaned).filter(~F.startswith("tag", F.lit("#")))
+    texts = with_text(cleaned, "html").select("page_id", "text")
+    return element_text(elements, texts).select("page_id", F.col("pre").cast("bigint").alias("pre"), "text")
 
 
 @query("h03_element_html",
@@ -507,11 +504,8 @@ def w01(spark, sf):
        _TREE + " SELECT page_id, pre, sum(CASE WHEN tag = 'p' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pre "
        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS p_so_far FROM nodes")
 def w03(spark, sf):
-    from pyspark.sql import Window
-
-    nodes = node_table(V.cleaned(spark, sf)).select("page_id", F.col("pre").cast("bigint").alias("pre"), "tag")
-    order = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return nodes.select("page_id", "pre", F.sum(F.when(F.col("tag") == "p", 1).otherwise(0)).over(order).alias("p_so_far"))
+    rows = B.running_counts(node_table(V.cleaned(spark, sf)), F.col("tag") == "p")
+    return rows.select("page_id", F.col("pre").cast("bigint").alias("pre"), F.col("n").alias("p_so_far"))
 
 
 @query("a05_best_score", BLOCK_SCORES + " SELECT page_id, round(max(score), 6) AS score FROM scored GROUP BY page_id")
@@ -527,10 +521,10 @@ _PARA = "(tag IN ('p', 'blockquote'))"
  AND (n.id = b.id OR list_contains(list_transform(n.path, lambda x: x.id), b.id)) WHERE b.tag IN ('div', 'section', 'article')
  GROUP BY b.page_id, b.pre""")
 def j09(spark, sf):
-    nodes = node_table(V.cleaned(spark, sf)).select("page_id", "pre", F.explode("blocks").alias("blk"))
-    return nodes.groupBy("page_id", F.col("blk").cast("bigint").alias("pre")).agg(
-        F.count(F.lit(1)).alias("n_nodes"), F.max("pre").cast("bigint").alias("last")
-    )
+    """Nodes inside a block: the running number of nodes at its last less that before its first."""
+    nodes = node_table(V.cleaned(spark, sf)).filter(F.col("tag").isin(*BLOCK_TAGS))
+    inside = (F.col("last") - F.col("pre") + 1).cast("bigint")
+    return nodes.select("page_id", F.col("pre").cast("bigint").alias("pre"), inside.alias("n_nodes"), F.col("last").cast("bigint").alias("last"))
 
 
 _FRAGMENTS = """

@@ -55,7 +55,7 @@ def test_nested_set_is_consistent():
         for r in rows[1:]:
             parent = rows[r[2]]
             assert parent[0] < r[0] <= r[1] <= parent[1] and r[3] == parent[3] + 1
-            assert r[9] == parent[9] + ([r[0]] if r[4] in ("div", "section", "article") else [])
+            assert r[9] == parent[9] + (r[4] == "a")
         runs = [r[6] for r in rows if r[4] == TEXT]
         assert all(runs)
 
@@ -109,12 +109,12 @@ def naive(rows, block):
     """The features of one block by walking its nodes again."""
     inside = [r for r in rows if block[0] <= r[0] <= block[1]]
     elements = [r for r in inside if not r[4].startswith("#")]
-    tails = [r for r in rows if r[4] == TEXT and r[12] == block[0]]
+    tails = [r for r in rows if r[4] == TEXT and r[11] == block[0]]
     texts = [r[6] for r in inside if r[4] == TEXT] + [r[6] for r in tails]
     size = lambda t: len(t.replace(" ", "").encode())
 
     def sub(r):
-        return sum(size(x[6]) for x in rows if x[4] == TEXT and (r[0] <= x[0] <= r[1] or x[12] == r[0]))
+        return sum(size(x[6]) for x in rows if x[4] == TEXT and (r[0] <= x[0] <= r[1] or x[11] == r[0]))
 
     links = sum(sub(r) for r in elements if r[4] == "a" and r[0] != block[0])
     total = sum(map(size, texts))
@@ -248,3 +248,70 @@ def test_fragments_measure_their_own_root_or_the_document(spark):
 
 def test_view_of_articles_has_the_declared_columns(spark):
     assert "score" in V.articles(spark, "/root/testdata/sf0.001").columns
+
+
+def test_folds_over_nested_ranges_equal_slices():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(1, 30)
+        ranges, open_ = [], []
+        for i in range(n):  # nested like elements
+            while open_ and rng.random() < 0.4:
+                ranges[open_.pop()][1] = i - 1
+            if rng.random() < 0.6:
+                ranges.append([i, n - 1])
+                open_.append(len(ranges) - 1)
+        ranges = [(a, max(a, b)) for a, b in ranges]
+        pre, last = (np.array([r[k] for r in ranges], np.int64) for k in (0, 1))
+        values = np.array([rng.randint(0, 99) for _ in range(n)])
+        sums = B.running_sums(values)
+        assert (sums[last + 1] - sums[pre]).tolist() == [values[a : b + 1].sum() for a, b in ranges]
+        assert B.folded(pre, last, values, np.maximum).tolist() == [values[a : b + 1].max() for a, b in ranges]
+        bits = np.array([1 << int(v) for v in values], dtype=object)
+        assert B.folded(pre, last, bits, np.bitwise_or).tolist() == [int(np.bitwise_or.reduce(bits[a : b + 1])) for a, b in ranges]
+
+
+def test_deeply_nested_page_in_bounded_memory(spark):
+    """Twenty thousand divs in one another: lists of enclosing blocks would take some 3 GB."""
+    import resource
+
+    n = 20_000
+    page = "<body>" + "<div>t" * n + "<p>end</p>" + "</div>" * n + "</body>"
+    before = resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
+    df = spark.createDataFrame([(1, page), (2, "<div>x</div>")], "page_id long, html string").coalesce(1)
+    found = B.block_features(node_table(df), with_tags=True)
+    total = found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.max("f_text_n").alias("text"), F.max("f_dom_depth").alias("deep"), F.sum("f_p_n").alias("p"), F.min(F.size("f_all_tags")).alias("tags"))
+    rows = {r["page_id"]: r for r in total.collect()}
+    assert (rows[1]["n"], rows[1]["text"], rows[1]["deep"], rows[1]["p"], rows[1]["tags"]) == (n, n + 3, n, n, 2)
+    assert (rows[2]["n"], rows[2]["text"]) == (1, 1)
+    assert resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss - before < 1_000_000  # KB
+
+
+def test_pages_cut_anywhere_by_batches_are_measured_whole(spark):
+    df = spark.createDataFrame([(i, "<div>a<section><p>b</p></section>tail</div>" * (i % 5)) for i in range(60)], "page_id long, html string").coalesce(2)
+    want = sorted(map(tuple, B.block_features(node_table(df), with_tags=True).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted(map(tuple, B.block_features(node_table(df), with_tags=True).collect()))
+        counts = {(r["page_id"], r["pre"]): r["n"] for r in B.running_counts(node_table(df), F.col("tag") == "p").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert got == want and len(want) == 2 * sum(i % 5 for i in range(60))
+    assert all(n == sum(r["tag"] == "p" for r in node_table(df).filter(f"page_id = {i} and pre <= {pre}").collect()) for (i, pre), n in list(counts.items())[::40])
+
+
+def test_every_element_has_its_piece_of_the_text():
+    from leafsift.operators.tree import with_text_ranges
+
+    rng = random.Random(6)
+    tags = ["div", "p", "b", "li", "ul", "a", "br", "section"]
+    for _ in range(100):
+        source = "".join(rng.choice(["<%s>", "</%s>", "\U0001f600%s ", "<!-- %s -->"]) % rng.choice(tags) for _ in range(rng.randint(0, 40)))
+        rows = with_text_ranges(page_nodes(source))
+        whole = "".join(r[6] for r in rows if r[4] == TEXT)
+        for r in rows:
+            inside = "".join(x[6] for x in rows[r[0] : r[1] + 1] if x[4] == TEXT)
+            tail = "".join(x[6] for x in rows if x[4] == TEXT and x[11] == r[0])
+            assert whole[r[14] : r[15]] == inside and whole[r[14] : r[16]] == inside + tail
