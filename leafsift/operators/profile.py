@@ -98,7 +98,7 @@ def profile_similarity(articles: DataFrame, profile: DataFrame) -> DataFrame:
     idf = stored(word_idf(counted), "idf")
     to = lambda opinion: F.max(F.when(F.col("target") == opinion, F.col("weight")))
     weights = profile_vectors(profile, idf).groupBy("word").agg(to("like").alias("_like"), to("hate").alias("_hate"))
-    rows = weighted_words(counted, idf).select("id", "terms", unit(F.col("weights")).alias("weights"))
+    rows = weighted_words(counted, idf, complete=True).select("id", "terms", unit(F.col("weights")).alias("weights"))
     entries = vector_entries(rows).join(weights, "word")
     near = entries.groupBy("id").agg(*[F.sum(F.col("weight") * F.col(f"_{o}")).alias(f"_s_{o}") for o in ("like", "hate")])
     return articles.select("id").join(near, "id", "left").select(

@@ -1,8 +1,9 @@
 """Words of documents, their document frequencies, and TF-IDF vectors.
 
 A document's words are counted inside its row. Weights are given inside the row as well: the frequent words and their idf are
-a list of at most ``LIST_WORDS`` entries that is sent to the tasks, cut at a power of two of the document frequency. Where the vocabulary is larger,
-the rows of the rare words left, each in few documents, meet the rest of the list by a shuffle and go back to their documents.
+a list of at most ``LIST_WORDS`` entries that is sent to the tasks, cut at a power of two of the document frequency. Words of one document only, most of any vocabulary, share one idf
+and need no list where the documents are the corpus. Where the vocabulary is larger still, the rare words left, each in few documents, meet the rest of the list by a shuffle and go back
+to their documents.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from leafsift.functions.text import words
 from leafsift.session import release, stored
 
-#: Words sent to the tasks with their idf: some 20 MB at most.
-LIST_WORDS = 500_000
+#: Words sent to the tasks with their idf: some 25 MB at most.
+LIST_WORDS = 1_000_000
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,25 +70,34 @@ def corpus_idf(docs: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
     return stored(word_idf(document_words(docs, id_col, text_col)), "idf")
 
 
-def _frequent(idf: DataFrame) -> tuple[pa.Table, float]:
-    """The words of document frequency 2 ** b and more with their idf, and 2 ** b: the smallest for which they are few enough."""
+def _frequent(idf: DataFrame, complete: bool) -> tuple[pa.Table, float, float | None]:
+    """The words of document frequency 2 ** b and more with their idf, and 2 ** b: the smallest for which they are few enough.
+
+    Then the idf of all other words, if those are just the words of one document.
+    """
     level = F.floor(F.log2(F.greatest("df", F.lit(1)) + F.lit(0.5))).cast("int")
-    sizes = idf.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64 rows
-    held, least = 0, 64
-    for level, n in sorted(((r["level"], r["n"]) for r in sizes), reverse=True):
+    sizes = idf.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.max("idf").alias("idf")).collect()  # at most 64 rows
+    held, least, single = 0, 64, None
+    for level, n, value in sorted(((r["level"], r["n"], r["idf"]) for r in sizes), reverse=True):
+        if complete and level == 0:
+            least, single = 1, value
+            break
         if held + n > LIST_WORDS:
             break
         held, least = held + n, level
     else:
         least = 0
-    return idf.filter(F.col("df") >= 2.0**least).select("word", "idf").toArrow(), 2.0**least
+    return idf.filter(F.col("df") >= 2.0**least).select("word", "idf").toArrow(), 2.0**least, single
 
 
-def weighted_words(counted: DataFrame, idf: DataFrame) -> DataFrame:
-    """``id, terms, weights`` and the other columns of ``counted``: count * idf of every word that ``idf`` has, terms in order."""
+def weighted_words(counted: DataFrame, idf: DataFrame, complete: bool = False) -> DataFrame:
+    """``id, terms, weights`` and the other columns of ``counted``: count * idf of every word that ``idf`` has, terms in order.
+
+    ``complete`` says that ``idf`` has all words of ``counted``.
+    """
     keep = tuple(c for c in counted.columns if c not in ("id", "terms", "counts"))
-    frequent, least = _frequent(idf)
-    rare = idf.filter(F.col("df") < least) if least > 1 else None
+    frequent, least, single = _frequent(idf, complete)
+    rare = idf.filter(F.col("df") < least) if least > 1 and single is None else None
     listed = counted.sparkSession.sparkContext.broadcast((frequent.column("word").combine_chunks(), frequent.column("idf").to_numpy()))
     whole = rare is None
 
@@ -99,9 +109,11 @@ def weighted_words(counted: DataFrame, idf: DataFrame) -> DataFrame:
             entries, count = terms.flatten(), counts.flatten().to_numpy(zero_copy_only=False)
             at = pc.index_in(entries, value_set=names)
             known = at.is_valid().to_numpy(zero_copy_only=False)
-            weight = np.zeros(len(count))
+            weight = np.zeros(len(count)) if single is None else count * single
             weight[known] = count[known] * values[at.drop_null().to_numpy(zero_copy_only=False)]
             row = np.repeat(np.arange(len(sizes)), sizes)
+            if single is not None:
+                known[:] = True
 
             def lists(kept: np.ndarray, column: pa.Array) -> pa.ListArray:
                 offsets = np.searchsorted(row[kept], np.arange(len(sizes) + 1)).astype(np.int32)
@@ -132,7 +144,7 @@ def weighted_documents(docs: DataFrame, id_col: str, text_col: str, idf: DataFra
         return weighted_words(counted, idf)
     counted = stored(counted, "words")
     idf = stored(word_idf(counted), "idf")
-    out = stored(weighted_words(counted, idf), "weighted")
+    out = stored(weighted_words(counted, idf, complete=True), "weighted")
     release(counted, idf)
     return out
 
