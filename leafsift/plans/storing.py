@@ -1,70 +1,50 @@
-"""Changes written back to stored tables: only the partitions they touch are written again.
+"""Changes written back to stored tables: only the partitions they touch are written again, and each change is one commit (see ``sources.snapshots``).
 
-A change is first written beside the table and then takes the place of the old partitions, so the table is
-never read and overwritten by the same job. A change that is run again gives the same table.
+A change that is run again gives the same table: scores and removals by what they are, likes because a batch of events is counted once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafsift.operators import events as E
 from leafsift.operators import listing
 from leafsift.operators.samples import without_samples
-from leafsift.session import scratch_path
-from leafsift.sources.schemas import TABLES
-from leafsift.sources.tables import shaped
+from leafsift.sources.snapshots import Snapshots, batch_digest
 
 SAMPLE_PARTS = 64
 
 
-def read_partitioned(spark: SparkSession, name: str, path: str, by: str) -> DataFrame:
-    return spark.read.schema(f"{TABLES[name]}, `{by}` string").parquet(path)
-
+def article_store(spark: SparkSession, path: str) -> Snapshots:
+    """Articles by day."""
+    return Snapshots(spark, "article", path, F.substring("date", 1, 10))
 
-def rewrite_partitions(
-    spark: SparkSession, name: str, path: str, by: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame]
-) -> None:
-    """Apply ``change`` to the partitions of a stored table that hold any of ``ids(id)``."""
-    stored = read_partitioned(spark, name, path, by)
-    staged = scratch_path(spark, "staged")
-    touched = stored.join(ids.select("id"), "id", "left_semi").select(by).distinct()
-    change(stored.join(touched, by, "left_semi")).write.partitionBy(by).parquet(staged)
-    # partitions, not rows, are listed on the driver: those that lose their last row must be removed by hand
-    left = {r[0] for r in read_partitioned(spark, name, staged, by).select(by).distinct().collect()}
-    emptied = {r[0] for r in touched.collect()} - left
-    fresh = read_partitioned(spark, name, staged, by)
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-    for value in emptied:
-        _remove(spark, f"{path}/{by}={value}")
 
+def sample_store(spark: SparkSession, path: str) -> Snapshots:
+    """Labelled blocks, dealt by id to a fixed number of partitions."""
+    return Snapshots(spark, "main_content_feat", path, F.pmod("id", F.lit(SAMPLE_PARTS)))
 
-def _remove(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-
-def store_scores(spark: SparkSession, path: str, scores: DataFrame) -> None:
+def store_scores(store: Snapshots, scores: DataFrame) -> None:
     """Write ``scores(id, score)`` into the stored articles, day by day."""
-    rewrite_partitions(spark, "article", path, "day", scores, lambda rows: listing.set_scores(rows, scores))
+    store.change(scores, lambda rows: listing.set_scores(rows, scores))
+
 
+def store_likes(store: Snapshots, events: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+    """Add the like events to ``n_like`` of the stored articles, day by day; False if that batch has been added before.
 
-def store_likes(spark: SparkSession, path: str, events: DataFrame) -> None:
-    """Add the like events to ``n_like`` of the stored articles, day by day."""
+    A batch is known by its source and number, which rises, or else by its events.
+    """
     liked = E.opinions(events).filter(F.col("y") == 1)
     add = lambda rows: E.add_likes(rows, events).withColumn("n_like", F.col("n_like").cast("int"))
-    rewrite_partitions(spark, "article", path, "day", liked, add)
+    return store.change(liked, add, batch or batch_digest(events, "id", "name", "time", "evt_attr"))
 
 
-def append_samples(samples: DataFrame, path: str) -> None:
-    """Append labelled blocks, dealt by id to a fixed number of partitions."""
-    part = F.pmod("id", F.lit(SAMPLE_PARTS)).cast("string")
-    shaped(samples, "main_content_feat").withColumn("part", part).write.mode("append").partitionBy("part").parquet(path)
+def append_samples(store: Snapshots, samples: DataFrame) -> None:
+    store.append(samples)
 
 
-def remove_samples(spark: SparkSession, path: str, removed: DataFrame) -> None:
+def remove_samples(store: Snapshots, removed: DataFrame) -> None:
     """Delete the labelled blocks listed in ``removed(id)``."""
-    rewrite_partitions(spark, "main_content_feat", path, "part", removed, lambda rows: without_samples(rows, removed))
+    store.change(removed, lambda rows: without_samples(rows, removed))

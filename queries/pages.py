@@ -15,7 +15,7 @@ from leafsift.operators.profile import with_text
 from leafsift.operators.projection import route_by_type
 from leafsift.operators.tree import BLOCK_TAGS, element_html, element_text, node_table, page_text, with_page_fields
 from leafsift.plans import extract as X
-from leafsift.plans.storing import append_samples, remove_samples
+from leafsift.plans.storing import append_samples, remove_samples, sample_store
 from leafsift.session import scratch_path
 from leafsift.sources.fixed import ALLOWED_DOMAINS, START_URLS, URL_RULES, start_urls, url_rules
 from leafsift.sources.tables import read_table
@@ -568,18 +568,19 @@ def s13_documents(spark, sf):
 @query("s14_remove_samples",
        f"WITH {_FRAGMENTS} SELECT id, y::BIGINT AS y, strlen(body) AS n FROM fragments WHERE id NOT IN (SELECT page_id * 3 FROM pages)")
 def s14(spark, sf):
-    path = scratch_path(spark, "samples")
-    append_samples(V.fragments(spark, sf), path)
-    remove_samples(spark, path, V.pages(spark, sf).select((F.col("page_id") * 3).alias("id")))
-    rows = read_table(spark, "main_content_feat", path)
+    store = sample_store(spark, scratch_path(spark, "samples"))
+    append_samples(store, V.fragments(spark, sf))
+    for _ in range(2):
+        remove_samples(store, V.pages(spark, sf).select((F.col("page_id") * 3).alias("id")))
+    rows = store.read()
     return rows.select("id", F.col("y").cast("bigint").alias("y"), F.octet_length("body").cast("bigint").alias("n"))
 
 
 @query("s15_samples", f"WITH {_FRAGMENTS} SELECT y::BIGINT AS y, body FROM fragments")
 def s15(spark, sf):
-    path = scratch_path(spark, "samples")
-    append_samples(V.fragments(spark, sf), path)
-    return read_table(spark, "main_content_feat", path).select(F.col("y").cast("bigint").alias("y"), "body")
+    store = sample_store(spark, scratch_path(spark, "samples"))
+    append_samples(store, V.fragments(spark, sf))
+    return store.read().select(F.col("y").cast("bigint").alias("y"), "body")
 
 
 @query("l12_review_sample",
