@@ -260,3 +260,31 @@ def fit_l1_svm(
     if not (converged or inexact):
         raise RuntimeError(f"not converged after {done} rounds: violation {worst:.3g}, asked for {tol * max(first, 1.0):.3g}")
     return FitResult(w, done, objective, worst, converged, first)
+
+
+def duality_gap(examples: DataFrame, model: DataFrame, c: float) -> DataFrame:
+    """``primal, dual, gap``: a bound on what any other weights could gain, from stored weights and ``examples(y, idx, value[, weight])`` alone.
+
+    The dual of the fit is to maximise sum(a - a^2 / (4 C weight)) over a >= 0 with |sum(a y x)| <= 1 for every feature, the intercept among
+    them. The slacks of the given weights, 2 C weight max(0, 1 - y w.x), scaled until they are feasible, are such a point, whatever the
+    weights are; so no weights have an objective below ``dual``, and a gap of zero proves the optimum without the conditions the fit itself uses.
+    """
+    weight = F.col("weight") if "weight" in examples.columns else F.lit(1)
+    rows = examples.select(
+        F.col("y").cast("double").alias("y"), weight.cast("double").alias("n"),
+        F.arrays_zip(F.col("idx").cast("array<int>").alias("idx"), F.col("value").cast("array<double>").alias("value")).alias("entries"),
+    )
+    scored = decision_values(rows.withColumn("kept", F.col("entries")), model, digits=15)
+    slack = F.greatest(F.lit(0.0), 1 - F.col("y") * F.col("score"))
+    rows = scored.select("y", "n", "kept", slack.alias("slack"), (2 * c * F.col("n") * slack).alias("a"))
+    # a^2 / (4 C weight) is C weight slack^2: the loss itself
+    sums = rows.agg(F.coalesce(F.sum(c * F.col("n") * F.col("slack") * F.col("slack")), F.lit(0.0)).alias("loss"), F.coalesce(F.sum("a"), F.lit(0.0)).alias("a"))
+    ones = F.array(F.struct(F.lit(INTERCEPT).alias("idx"), F.lit(1.0).alias("value")))
+    pulls = rows.select((F.col("a") * F.col("y")).alias("ay"), F.explode(F.concat("kept", ones)).alias("e"))
+    pulls = pulls.groupBy("e.idx").agg(F.sum(F.col("ay") * F.col("e.value")).alias("pull")).agg(F.coalesce(F.max(F.abs("pull")), F.lit(0.0)).alias("steepest"))
+    norm = model.agg(F.coalesce(F.sum(F.abs("weight")), F.lit(0.0)).alias("norm"))
+    one = F.lit(1)  # three rows of one row each
+    joined = sums.withColumn("_", one).join(pulls.withColumn("_", one), "_").join(norm.withColumn("_", one), "_")
+    scale = F.when(F.col("loss") > 0, F.least(F.col("a") / (2 * F.col("loss")), 1 / F.greatest("steepest", F.lit(1e-300)))).otherwise(0.0)
+    dual = scale * F.col("a") - scale * scale * F.col("loss")
+    return joined.select((F.col("norm") + F.col("loss")).alias("primal"), dual.alias("dual"), (F.col("norm") + F.col("loss") - dual).alias("gap"))

@@ -40,10 +40,14 @@ def repeat_rows(weighted: DataFrame) -> DataFrame:
     return repeated(weighted, ["id", "y"])
 
 
+def like_examples(weighted: DataFrame, as_of: Column) -> DataFrame:
+    """``id, y, weight, idx, value``: weighted training rows as the fit reads them."""
+    return as_examples(encode_articles(weighted, ["id", "y", "n"], as_of), ["id", "y", "n"]).withColumnRenamed("n", "weight")
+
+
 def fit_like_model(weighted: DataFrame, as_of: Column, c: float = LIKE_C, tol: float = 1e-6, **options) -> FitResult:
     """Fit on weighted training rows; ages are taken at ``as_of``."""
-    examples = as_examples(encode_articles(weighted, ["id", "y", "n"], as_of), ["id", "y", "n"])
-    return fit_l1_svm(examples.withColumnRenamed("n", "weight"), c, tol=tol, **options)
+    return fit_l1_svm(like_examples(weighted, as_of), c, tol=tol, **options)
 
 
 def score_articles(articles: DataFrame, model: DataFrame, as_of: Column, rescore_all: bool = False) -> DataFrame:

@@ -61,6 +61,21 @@ def test_small_working_set_and_partitions_give_the_same_fit(spark):
     assert np.allclose(one.weights, many.weights, atol=1e-5)
 
 
+def test_duality_gap_proves_the_optimum_and_shows_what_is_none(spark):
+    rows, c, width = random_rows(7, 90, 25), 0.3, 25
+    data = examples(spark, rows).withColumn("weight", F.lit(2.0))
+    model = lambda w: spark.createDataFrame([("m", -1 if i == width else i, float(v)) for i, v in enumerate(w)], "model string, idx int, weight double")
+    best = M.fit_l1_svm(data, c, width=width, tol=1e-9)
+    found = M.duality_gap(data, model(best.weights), c).first()
+    assert abs(found["primal"] - best.objective) < 1e-6 and -1e-6 < found["gap"] < 1e-5 * found["primal"]
+    rng = np.random.default_rng(0)
+    for w in (np.zeros(width + 1), best.weights + 0.1, best.weights * 0.9, rng.normal(size=width + 1)):
+        off = M.duality_gap(data, model(w), c).first()
+        slack = np.array([max(0.0, 1 - y * (sum(w[i] * v for i, v in x.items()) + w[-1])) for y, x in rows])
+        assert abs(off["primal"] - (np.abs(w).sum() + c * 2 * (slack**2).sum())) < 1e-6
+        assert off["dual"] <= best.objective + 1e-6 and off["gap"] > 1e-3 * off["primal"]  # never above the optimum
+
+
 def test_weighted_rows_equal_repeated_rows(spark):
     rows = random_rows(3, 60, 20)
     repeated = [r for i, r in enumerate(rows) for _ in range(1 + i % 3)]
