@@ -24,10 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafsift.operators.vectors import pieces
 from leafsift.session import cut, release, scratch_path, stored
 
 VECTOR_ROWS = "score double, id bigint, terms array<string>, weights array<double>"
-_CELLS = 4_000_000  # similarity cells and postings held at once in a task
+_CELLS = 1_000_000  # similarity cells and postings held at once in a task
 _BUCKET = 8192  # neighbouring rows that settle in one task
 _LEAD = 262_144  # the most rows of a lead
 
@@ -158,8 +159,8 @@ def _met(rows: DataFrame, kept: DataFrame, threshold: float, budget: int, work,
                 held = batch.column("_held").slice(0, 1).flatten()
                 terms, weights = (pa.concat_arrays([held.field(n)]) for n in ("terms", "weights"))
                 index, targets = PrefixIndex(terms, weights, threshold), held.field("target").to_numpy(zero_copy_only=False)
-            if batch.num_rows:
-                yield work(index, targets, batch)
+            for piece in pieces([batch]):
+                yield work(index, targets, piece)
 
     # one row: no more vectors than a part has
     held = parts.agg(F.collect_list(F.struct("target", "terms", "weights")).alias("_held")).select("_held", F.lit(True).alias("_first"))
@@ -196,7 +197,8 @@ def _by_parts(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float,
                     table = pa.Table.from_batches(held).combine_chunks()
                     index, targets, held = PrefixIndex(*_lists(table), threshold), table.column("id").to_numpy(), []
                 if index is not None:
-                    yield work(index, targets, part)
+                    for piece in pieces([part.select(["id", "terms", "weights"])]):
+                        yield work(index, targets, piece)
 
     return both.mapInArrow(run, schema)
 

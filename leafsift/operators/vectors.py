@@ -23,8 +23,20 @@ from leafsift.session import release, stored
 LIST_WORDS = 1_000_000
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """The same rows with at most so many entries in the lists of the second column at once, one row at least."""
     for batch in batches:
+        ends = np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches):
         lists = batch.column(1)
         others = batch.schema.names[2:]
         sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -103,7 +115,7 @@ def weighted_words(counted: DataFrame, idf: DataFrame, complete: bool = False) -
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, values = listed.value
-        for batch in batches:
+        for batch in pieces(batches):
             terms, counts = batch.column(1), batch.column(2)
             sizes = terms.value_lengths().to_numpy(zero_copy_only=False)
             entries, count = terms.flatten(), counts.flatten().to_numpy(zero_copy_only=False)
