@@ -358,9 +358,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return classes(stored(fingerprints(docs, shingle), "simhash-prints"), radius)
 
 
+ROW = "_simhash_row"
+
+
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names the group. Rows that repeat its id are one document; rows without doc_id stay."""
-    found = near_duplicates(docs, shingle, radius)
-    chosen = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """``docs`` with exactly one row of each group: that with the smallest doc_id, rows without one last; of rows with the same id any one, told apart by row number.
+
+    Rows are numbered in a stored copy first, so a repeated or missing doc_id neither loses a group nor keeps two rows of one.
+    """
+    numbered = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash-rows")
+    found = near_duplicates(numbered.select(F.col(ROW).alias("doc_id"), "text"), shingle, radius).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = numbered.select(ROW, F.col("doc_id").cast("long").alias("id"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", ROW))[ROW]
+    chosen = stored(found.join(ids, ROW).groupBy("component_id").agg(best.alias(ROW)).select(ROW), "simhash-chosen")
+    return numbered.join(chosen, ROW, "left_semi").select(docs.columns)

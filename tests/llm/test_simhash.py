@@ -111,6 +111,14 @@ def test_odd_rows_and_one_of_each_group(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_one_row_of_each_group_with_repeated_and_missing_ids(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcde"]
+    # one id with two unlinked texts, copies without an id beside one with, copies that are all without
+    rows = [(7, words[0]), (7, words[1]), (8, words[0]), (None, words[2]), (3, words[2]), (None, words[3]), (None, words[3]), (None, words[4])]
+    kept = simhash.keep_one(docs(spark, rows)).collect()
+    assert sorted((r["text"], r["doc_id"]) for r in kept) == [(words[0], 7), (words[1], 7), (words[2], 3), (words[3], None), (words[4], None)]
+
+
 def test_copies_of_one_text_by_the_thousand(spark):
     frame = docs(spark, [(i, "the same text every time it is seen") for i in range(100, 3000)] + [(5, "something else entirely is here")], 4)
     assert {(r["component_id"], r["count"]) for r in simhash.near_duplicates(frame).groupBy("component_id").count().collect()} == {(100, 2900), (5, 1)}
