@@ -33,7 +33,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: the one with the smallest doc_id."""
+    """One row of each group of linked fingerprints stays: the one with the smallest doc_id."""
     return simhash.keep_one(docs, shingle=3, radius=3)
 
 
