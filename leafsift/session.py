@@ -112,14 +112,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete the tables of ``stored`` frames whose last reader has stored its own result.
-
-    The shuffle files of the jobs that made and read them go when the driver collects the garbage that refers to them, which a driver with much
-    memory does rarely; so it is asked to.
-    """
+    """Delete the tables of ``stored`` frames whose last reader has stored its own result."""
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
     for df in frames[:1]:
-        df.sparkSession._jvm.System.gc()
+        tidy(df.sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over.
+
+    They go when the driver collects the garbage that refers to them, which a driver with much memory does rarely; so it is asked to.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
