@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafsift.session import release, stored  # noqa: F401  used by the operators of this folder
+from leafsift.session import release, stored, tidy  # noqa: F401  used by the operators of this folder
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
 SLICE_BYTES = 2 << 20

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafsift.llm.batches import SLICE_BYTES, Bytes, Words, dense, release, slices, spread_repeats, stored, sums_between, texts_of
+from leafsift.llm.batches import SLICE_BYTES, Bytes, Words, dense, release, slices, spread_repeats, stored, sums_between, texts_of, tidy
 from leafsift.llm.quality_rules import labelled_ids, labelled_texts
 
 #: Bytes of an n-gram.
@@ -176,8 +176,10 @@ def log_ratios(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFra
     share = lambda c: F.when(F.col(f"total_{c}") > 0, F.col(f"freed_{c}") / F.col(f"total_{c}")).otherwise(1.0)
     of_grams = seen.select(F.col("gram").alias("key"), (F.log(p("toxic")) - F.log(p("ordinary"))).alias("value"))
     of_contexts = contexts.select(F.col("context").alias("key"), (F.log(share("toxic")) - F.log(share("ordinary"))).alias("value"))
-    out = stored(of_grams, "toxicity-ratios"), stored(of_contexts, "toxicity-shares")
-    release(contexts, backoff)
+    ratios = stored(of_grams, "toxicity-ratios")
+    release(backoff)
+    out = ratios, stored(of_contexts, "toxicity-shares")
+    release(contexts)
     return out
 
 
@@ -332,7 +334,9 @@ class Model:
     def features(self, docs: DataFrame) -> DataFrame:
         """(doc_id, f0 ..) for every row of ``docs``; what it reads is stored, and no table of this model among it."""
         words = vocabulary(docs)
+        tidy(docs.sparkSession)
         values = gram_values(words, self.grams, self.contexts, self.order)
+        tidy(docs.sparkSession)
         by_word = word_features(words, values, self.order)
         release(words, values)
         return document_features(docs, by_word)
@@ -373,6 +377,7 @@ def train(docs: DataFrame, labels: DataFrame, count_rows: Column, curve_rows: Co
     if not 0 < model.prior < 1:
         return model
     counts = stored(count_grams(labelled, order), "toxicity-grams")
+    tidy(docs.sparkSession)  # the labelled texts have been shuffled
     model.grams, model.contexts = log_ratios(counts, order)
     release(counts)
     sample = labelled_ids(labels, "toxic", sample_rows, curve_rows)
