@@ -18,7 +18,6 @@ from leafsift.plans import extract as X
 from leafsift.plans.storing import append_samples, remove_samples, sample_store
 from leafsift.session import scratch_path
 from leafsift.sources.fixed import ALLOWED_DOMAINS, START_URLS, URL_RULES, start_urls, url_rules
-from leafsift.sources.tables import read_table
 from queries import registrar
 from queries import sql_tree as T
 from queries import views as V
