@@ -126,7 +126,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = 0.8
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("string").cast("binary")).alias("key"), F.col("text").cast("string").alias("text"))
     pairs = stored(retrieve(texts.select("key", "text"), bands), "license-pairs")
     # copies of a text are one row from here on; sums in each task come before the shuffle
-    held = texts.select("key", "text").join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    keys = pairs.select("key").distinct().hint("merge")  # the same plan at every size: texts meet the keys by shuffle
+    held = texts.select("key", "text").join(keys, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     held = held.select("key", shingles_of(words_of(F.col("text"))).alias("shingles"))
     share = containment(F.col("shingles"), F.col("pieces"), F.col("total"))
     found = held.join(pairs, "key").join(pieces, "name").select("key", F.struct("name", share.alias("containment")).alias("f")).filter(F.col("f.containment") >= least)
