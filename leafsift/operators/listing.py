@@ -22,17 +22,21 @@ def favourites(articles: DataFrame) -> DataFrame:
     return articles.filter(F.col("n_like").isNotNull() & (F.col("n_like") > 0))
 
 
-def _score() -> Column:
+def score_or_zero() -> Column:
     return F.coalesce(F.col("score"), F.lit(0.0))
 
 
+def shuffled() -> Column:
+    return F.md5(F.col("id").cast("string").cast("binary"))
+
+
 def default_order() -> list[Column]:
     """Newest day, best score, then a stable shuffle by hashed id."""
-    return [F.substring("date", 1, 10).desc(), _score().desc(), F.md5(F.col("id").cast("string").cast("binary")).asc()]
+    return [F.substring("date", 1, 10).desc(), score_or_zero().desc(), shuffled().asc()]
 
 
 def recommended_order() -> list[Column]:
-    return [_score().desc(), F.col("id").asc()]
+    return [score_or_zero().desc(), F.col("id").asc()]
 
 
 def caller_order(text: str) -> list[Column]:
@@ -83,7 +87,7 @@ def page_offsets(offset: int, size: int = PAGE_SIZE) -> tuple[int, int]:
 
 def page_after(articles: DataFrame, score: float, last_id: int, limit: int = PAGE_SIZE) -> DataFrame:
     """The next page in recommended order after a known row; deep pages cost no more than the first."""
-    later = (_score() < score) | ((_score() == score) & (F.col("id") > last_id))
+    later = (score_or_zero() < score) | ((score_or_zero() == score) & (F.col("id") > last_id))
     return articles.filter(later).orderBy(*recommended_order()).limit(limit)
 
 
@@ -109,7 +113,7 @@ def best(rows: DataFrame, n: int) -> DataFrame:
 
 def to_score(articles: DataFrame, rescore_all: bool = False) -> DataFrame:
     """Articles without a score yet; zero counts as none."""
-    return articles if rescore_all else articles.filter(_score() == 0)
+    return articles if rescore_all else articles.filter(score_or_zero() == 0)
 
 
 def set_scores(articles: DataFrame, scores: DataFrame) -> DataFrame:

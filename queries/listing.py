@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafsift.operators import listing as L
+from leafsift.plans.paging import Place, page_by_day
+from leafsift.session import scratch_path
+from leafsift.sources.tables import append_articles
 from queries import registrar
 from queries import views as V
 
@@ -54,6 +57,28 @@ def l04(spark, sf):
     return _show(L.list_articles(V.articles(spark, sf), offset=20))
 
 
+def _by_day(spark, sf, at):
+    """The articles in one folder per day, and the place of the row at an offset."""
+    path = scratch_path(spark, "articles-by-day")
+    append_articles(V.articles(spark, sf), path)
+    row = L.list_articles(V.articles(spark, sf), offset=at, limit=1).select("date", "score", "id").first()
+    return path, row and Place(*row)
+
+
+@query("l04_page_by_day", _A + _PICK + f"ORDER BY {_DEFAULT} LIMIT 10 OFFSET 40")
+def l04_by_day(spark, sf):
+    path, place = _by_day(spark, sf, 39)
+    return _show(page_by_day(spark, path, place))
+
+
+@query("l07_previous_by_day", _A + f", kept AS (SELECT * FROM articles WHERE link LIKE '%src4%'), place AS (SELECT left(date, 10) AS d, coalesce(score, 0) AS s, md5(id::VARCHAR) AS m FROM articles ORDER BY {_DEFAULT} LIMIT 1 OFFSET 300)"
+       " SELECT id, title, date, score FROM kept, place WHERE left(date, 10) > d OR (left(date, 10) = d AND (coalesce(score, 0) > s OR (coalesce(score, 0) = s AND md5(id::VARCHAR) < m)))"
+       " ORDER BY left(date, 10), coalesce(score, 0), md5(id::VARCHAR) DESC LIMIT 10")
+def l07_previous(spark, sf):
+    path, place = _by_day(spark, sf, 300)
+    return _show(page_by_day(spark, path, place, back=True, where=lambda rows: L.by_site(rows, "src4")))
+
+
 @query("l05_recommended_order", _A + _PICK + "ORDER BY coalesce(score, 0) DESC, id LIMIT 10")
 def l05(spark, sf):
     return _show(L.list_articles(V.articles(spark, sf), recommended=True))

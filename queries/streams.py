@@ -143,7 +143,7 @@ def st05_tags(spark, sf):
     articles, tags, state, idf = (scratch_path(spark, n) for n in ("articles", "tags", "state", "idf"))
     corpus_idf(V.texts(spark, sf), "text").write.parquet(idf)
     S.run_to_end(C.pages_to_tags(stream, V.model(spark), articles, tags, state, idf))
-    return spark.read.parquet(tags).select("name", "article_id")
+    return C.stored_tags(spark, tags).read().select("name", "article_id")
 
 
 @query("st06_new_urls", f"WITH {P._TARGETS} SELECT DISTINCT target AS url FROM targets")
@@ -153,6 +153,6 @@ def st06(spark, sf):
     stream = spark.readStream.schema("url string").option("maxFilesPerTrigger", 1).parquet(path)
     seen, state = scratch_path(spark, "seen"), scratch_path(spark, "state")
     S.run_to_end(C.new_urls(stream, seen, state))
-    return spark.read.schema("url string").parquet(seen).select("url")
+    return C.seen_urls(spark, seen).read()
 
 
