@@ -232,8 +232,10 @@ def place(pieces: DataFrame, capacity: int = 4096, cell_rows: int = CELL_ROWS) -
         solved = stored(_places(_solve(open_, n_cells, capacity, level), capacity, level), "packing-places")
         settled = (F.col("fill") >= WELL_FILLED * capacity) if n_cells > 1 else F.lit(True)
         again = solved.filter(~settled).count() if n_cells > 1 else 0
-        if again > 0.9 * left:  # nothing more to gain
-            settled, again = F.lit(True), 0
+        if again > 0.9 * left:  # the lengths allow no better fill: what each cell has left over, its worst tenth at most, still meets that of the others
+            worst = solved.agg(F.percentile_approx("fill", 0.1, 10_000)).first()[0]
+            settled = F.col("fill") >= worst
+            again = solved.filter(~settled).count()
         placed = placed.unionByName(solved.filter(settled).select("row", "sequence_id", "offset"))
         open_, left, level = solved.filter(~settled).select("row", "length"), again, level + 1
     return table.join(placed.withColumnRenamed("row", "packing_row"), "packing_row").drop("packing_row")

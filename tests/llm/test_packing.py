@@ -119,3 +119,9 @@ def test_query(spark):
             want[doc_id, p] = (p * 4096, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
     assert len(used) <= -(-sum(r["length"] for r in rows) // 4096) + 1
+
+
+def test_lengths_that_allow_no_good_fill_share_what_cells_have_left(spark):
+    pieces = spark.range(150).select("id", F.lit(1400).alias("length"))  # two to a sequence
+    rows = packing.place(pieces, 4096, cell_rows=15).collect()
+    assert len(rows) == 150 and len(check_places(rows, 4096)) == 75
