@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and novelty under a dictionary-primed compressor.
 
 Three kinds of pattern give the base spans. The method adds spans of kind ``novel``:
-token-like strings (16 or more characters, with a digit) that start within 40 code
-points after a sensitive word, overlap no base span, and that zstandard, primed
+token-like strings (16 or more characters) within 40 code points of a sensitive
+word, before or after it, that overlap no base span and that zstandard, primed
 with an identifier dictionary and the text around the string, cannot shorten:
-their marginal compressed bytes per byte reach ``novelty``.
+their marginal compressed bytes per byte reach ``novelty``. A string without a
+digit must besides change case as often as random letters do, since a compressor
+of short strings cannot tell names from noise.
 
 Spans are code points, end exclusive, sorted by start and then by kind as in KINDS.
 Defined results: a null text is empty and has no spans; repeated rows each give
@@ -15,6 +17,7 @@ their own row; a null doc_id is kept as it is; other columns are not read by
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +37,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 SENSITIVE_WORDS = ("passw", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "private", "signature")
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.IGNORECASE | re.ASCII)
+LEAST_CHARS = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 DIGIT = re.compile(r"[0-9]")
+CASE_CHANGE = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")
 
 #: What a text must hold before it is looked at closely (RE2 syntax); texts without it have no span of any kind.
 WORTH = "(?i:" + "|".join(SENSITIVE_WORDS + ("passwd", "api_?key")) + ")|AKIA|[0-9a-f]{32}"
@@ -75,22 +80,30 @@ class Novelty:
         own = text[start:end].encode()
         return (len(self.compressor.compress(around + own)) - len(self.compressor.compress(around))) / len(own)
 
+    def needed(self, string: str) -> float:
+        """The share that must stay: words are news to any compressor of short strings, so one without a digit must also change case as often as chance does."""
+        if DIGIT.search(string) or len(CASE_CHANGE.findall(string)) >= 0.4 * (len(string) - 1):
+            return self.least
+        return float("inf")
+
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found: dict[int, int] = {}
-        refused: set[int] = set()
+        tokens = [m.span() for m in CANDIDATE.finditer(text)]
+        ends = [end for _, end in tokens]
+        near: set[tuple[int, int]] = set()
         for word in SENSITIVE.finditer(text):
+            near.update(tokens[bisect_left(ends, word.start() - self.reach) : bisect_right(ends, word.start())])
             at, limit = word.end(), word.end() + self.reach
-            while (m := CANDIDATE.search(text, at)) and m.start() <= limit:
+            while m := CANDIDATE.search(text, at, limit + LEAST_CHARS):
+                m = CANDIDATE.match(text, m.start())
+                near.add(m.span())
                 at = m.end()
-                start, end = m.span()
-                if start in found or start in refused:
-                    continue
-                refused.add(start)
-                if any(s < end and start < e for s, _, e in taken) or not DIGIT.search(m[0]):
-                    continue
-                if self.marginal(text, start, end) >= self.least:
-                    found[start] = end
-        return _apart([(s, 3, e) for s, e in sorted(found.items())])
+        found = []
+        for start, end in sorted(near):
+            if any(s < end and start < e for s, _, e in taken):
+                continue
+            if self.marginal(text, start, end) >= self.needed(text[start:end]):
+                found.append((start, 3, end))
+        return _apart(found)
 
 
 def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -80,3 +80,37 @@ def test_query_by_brute_force(spark, sf):
         assert [row["n_assign"], row["n_access"], row["n_hex"]] == [sum(k == n for _, k, _ in want) for n in range(3)]
         assert row["base_sha256"] == hashlib.sha256(joined(want).encode()).hexdigest()
         assert [x for x in row["spans"].split(",") if x and not x.startswith("novel")] == [x for x in joined(want).split(",") if x]
+
+
+def test_candidates_on_both_sides_and_without_a_digit():
+    judge = S.Novelty()
+    found = lambda text: [text[s:e] for s, _, e in judge.spans(text, [])]
+    assert found("q8Zr2Lk9Xw7Tn4Vb6Yp1Hs3 is the password") == ["q8Zr2Lk9Xw7Tn4Vb6Yp1Hs3"]
+    assert found("q8Zr2Lk9Xw7Tn4Vb6Yp1Hs3 " + "far away from there " * 3 + "password") == []
+    assert found("private aQzRxLkWpXwTnYVbGyPmHsJdF x") == ["aQzRxLkWpXwTnYVbGyPmHsJdF"]
+    assert found("key to getApplicationContextPath and internationalization of it") == []
+    first, other = "q8Zr2Lk9Xw7Tn4Vb6Yp1Hs3", "z1Xc4Vb7Nm0Qw3Er6Ty9Ui2"
+    assert found(f"{first} key {other}") == [first, other]
+
+
+def test_novel_spans_by_brute_force():
+    import random
+
+    rng, judge = random.Random(5), S.Novelty()
+    parts = ["key", "Token", "plain words", "q8Zr2Lk9Xw7Tn4Vb6Yp1", "a" * 20, "some/path/of/files", "x" * 39, " " * 5, "aQzRxLkWpXwTnYVbGyPm", "privateKeyOfTheHouse1"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", "", ":"]) for _ in range(9))
+        near = set()
+        for word in S.SENSITIVE.finditer(text):
+            for token in S.CANDIDATE.finditer(text):
+                if token.end() <= word.start() <= token.end() + 40:
+                    near.add(token.span())
+            for token in S.CANDIDATE.finditer(text[word.end() :]):
+                if token.start() <= 40:
+                    near.add((word.end() + token.start(), word.end() + token.end()))
+        want, done = [], 0
+        for s, e in sorted(near):
+            if s >= done and judge.marginal(text, s, e) >= judge.needed(text[s:e]):
+                want.append((s, 3, e))
+                done = e
+        assert judge.spans(text, []) == want
