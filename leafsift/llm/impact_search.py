@@ -104,9 +104,9 @@ def quantised(vectors: DataFrame, step: float = 1 / 256) -> DataFrame:
 
 def search(vectors: DataFrame, asks: Column, k: int = 5, step: float = 1 / 256, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector that ``asks`` (a condition on vec_id), its best k others."""
-    rows = stored(quantised(vectors, step), "impact-vectors")
+    rows = stored(quantised(vectors, step).withColumn("row", F.monotonically_increasing_id()), "impact-vectors")
     n_blocks = max(1, -(-rows.count() // block_rows))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
+    block = F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int")  # by row, as an id may repeat any number of times
     queries = rows.filter(asks).groupBy("vec_id").agg(F.min("x").alias("x"))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "x")
     both = rows.select(block.alias("block"), F.lit(0).alias("kind"), "vec_id", "x").unionByName(asked)

@@ -59,3 +59,15 @@ def test_few_and_no_rows(spark):
     assert impact_search.search(table(spark, [(0, [1.0])]), F.col("vec_id") % 50 == 0).count() == 0
     assert impact_search.search(table(spark, []), F.col("vec_id") % 50 == 0).count() == 0
     assert impact_search.search(table(spark, [(0, [1.0]), (1, [2.0])]), F.col("vec_id") % 50 == 0).count() == 1
+
+
+def test_one_id_on_most_rows_is_dealt_to_all_blocks(spark):
+    rows = [(7 if i % 3 else i, [float(i % 11), 1.0]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = impact_search.search(vectors, F.col("vec_id") % 30 == 0, block_rows=40).collect()
+    x = [(i, [int(256 * c) for c in v]) for i, v in rows]
+    for q, v in x:
+        if q % 30 == 0:
+            want = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in x if i != q)[:5]
+            got = sorted((r["rank"], -r["score"], r["vec_id"]) for r in found if r["query_id"] == q)
+            assert [g[1:] for g in got] == want
