@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafsift.llm.batches import Bytes, Words, dense, firsts, per_slice, slices, sums_between
-from leafsift.llm.quality_rules import labelled_ids, labelled_texts
+from leafsift.llm.quality_rules import labelled_ids, labelled_texts, one_of_each
 
 PASSAGE_WORDS = 64
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 13, 1 << 9
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int =
                 out.append(pa.array([flat[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:])], pa.binary()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *out], ["doc_id", "label", "word", "shape"])
 
-    found = sample.mapInArrow(run, "doc_id long, label int, word binary, shape binary").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    found = one_of_each(sample.mapInArrow(run, "doc_id long, label int, word binary, shape binary")).orderBy("doc_id").toPandas()
     if not len(found):
         return Model(None, 0.5)
     bags = [(np.frombuffer(w, "<u2"), np.frombuffer(s, "<u2")) for w, s in zip(found["word"], found["shape"])]

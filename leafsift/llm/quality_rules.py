@@ -267,11 +267,17 @@ def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts_of(docs).join(F.broadcast(ids), "doc_id")
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id: the smallest by its other columns, so that the order of rows does not matter."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, **settings) -> Forest | None:
     """A forest from the counts of at most ``sample_rows`` labelled documents (only counts reach the driver)."""
     ids = labelled_ids(labels, "quality", sample_rows)
     counts = document_statistics(labelled_texts(docs, ids)).join(F.broadcast(ids), "doc_id")
-    found = counts.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    found = one_of_each(counts).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     if not len(found):
         return None
     passes = ~base_fails(found["n_words"].to_numpy(), found["n_repeat_words"].to_numpy())

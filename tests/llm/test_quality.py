@@ -194,3 +194,12 @@ def test_buckets_split_shapes():
     words = Words.of(Bytes.of(pa.array(["Hello hello HELLO!! a1 |"])))
     word, shape = passages.buckets(words)
     assert word[0] == word[1] and len(set(shape.tolist())) == 5
+
+
+def test_of_a_repeated_id_the_same_row_is_learnt_in_any_order(spark):
+    from leafsift.llm.quality_rules import one_of_each
+
+    rows = [(1, "b", 2), (1, "a", 9), (1, None, 9), (2, None, None), (None, "x", 1), (None, "w", 1)]
+    for order in (rows, rows[::-1]):
+        found = one_of_each(spark.createDataFrame(order, "doc_id long, a string, n int").repartition(3)).collect()
+        assert sorted(map(tuple, found), key=str) == sorted([(1, None, 9), (2, None, None), (None, "w", 1)], key=str)
