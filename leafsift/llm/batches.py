@@ -57,6 +57,7 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES, column:
             done += 1
             if done % 4 == 0:
                 give_back()
+    give_back()  # the worker may idle while others need the memory
 
 
 def per_slice(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
