@@ -100,6 +100,24 @@ def test_more_features_held_than_the_working_set(spark):
     assert np.count_nonzero(fit.weights) > 20 and fit.converged
 
 
+def test_the_model_of_many_events_on_few_articles_is_solved():
+    # every article is liked and hated thousands of times and has more features than there are articles
+    rng = np.random.default_rng(6)
+    x = (rng.random((100, 256)) < np.linspace(0.9, 0.02, 256)).astype(float)
+    n = 24000 + rng.integers(-300, 300, (2, 100))
+    h, g = 0.2 * x.T @ (x * n.sum(axis=0)[:, None]), 0.2 * x.T @ (n[1] - n[0])
+    d = M._solve_model(np.zeros(256), g, h)
+    assert M.violations(d, g + h @ d).max() < 1e-3 and np.count_nonzero(d) > 10
+
+
+def test_a_working_set_has_violators_and_held_features():
+    w, off = np.zeros(40), np.zeros(40)
+    w[:20], off[10:35] = 1.0, np.arange(25) + 1.0
+    assert M._working_set(w, off, 8).tolist()[:4] == [34, 33, 32, 31]
+    assert sorted(M._working_set(w, off, 40)) == list(range(35))
+    assert len(set(M._working_set(w, off, 8).tolist())) == 8
+
+
 def test_one_class_and_no_rows_are_refused(spark):
     with pytest.raises(ValueError, match="both classes"):
         M.fit_l1_svm(examples(spark, [(1, {0: 1.0})]), 0.1, width=3)
