@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,6 +332,25 @@ def test_rank_words_favours_the_hub_in_each_document():
     assert np.allclose(alone, score[owner == 2])
 
 
+def test_edges_are_counted_in_the_row_and_summed_over_repeated_ids(spark):
+    texts = [(1, "a b a c"), (2, "a b"), (2, "b a d"), (None, "x y"), (None, "y x"), (3, None), (4, "z")]
+    rows = spark.createDataFrame(texts, "id bigint, text string")
+    want = {}
+    for i, text in texts:
+        w = (text or "").split()
+        for j in range(len(w)):
+            for k in range(j + 1, min(j + 3, len(w))):
+                for pair in ((w[j], w[k]), (w[k], w[j])):
+                    want[i, *pair] = want.get((i, *pair), 0) + 1
+    tokens = F.split("text", " ")
+    assert {tuple(r)[:3]: r["weight"] for r in K.cooccurrence_edges(rows, "id", tokens, 3).collect()} == want
+    grouped = K.cooccurrence_edges(rows, "id", tokens, 3, grouped=True).collect()
+    assert len({(r["id"], r["src"]) for r in grouped}) == len(grouped)
+    assert {(r["id"], r["src"], e["dst"]): e["weight"] for r in grouped for e in r["edges"]} == want
+    alone = K.cooccurrence_edges(rows.filter("id = 1"), "id", tokens, 3, grouped=True)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fallback_sources(spark):
     docs = spark.createDataFrame([(1, "red fox jumps red fox"), (2, "the of about fox"), (3, "the and"), (4, "")], "id long, text string")
     rows = K.tags_with_fallback(docs, "id", "text").collect()
