@@ -351,6 +351,16 @@ def test_edges_are_counted_in_the_row_and_summed_over_repeated_ids(spark):
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranks_of_a_batch_are_taken_a_bounded_number_of_tokens_at_a_time(monkeypatch):
+    sizes = []
+    rank = K._rank_words
+    monkeypatch.setattr(K, "_rank_words", lambda doc, word, width: sizes.append(len(doc)) or rank(doc, word, width))
+    texts = pa.array([[f"w{(i * 7 + j) % 50}" for j in range(1000)] for i in range(600)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), texts, pa.array([5] * 600, pa.int32())], ["id", "tokens", "span"])
+    rows = pa.Table.from_batches(list(K._rank_batches(3)([batch])))
+    assert rows.num_rows == 1800 and max(sizes) <= 200_000 and sum(sizes) == 600_000
+
+
 def test_fallback_sources(spark):
     docs = spark.createDataFrame([(1, "red fox jumps red fox"), (2, "the of about fox"), (3, "the and"), (4, "")], "id long, text string")
     rows = K.tags_with_fallback(docs, "id", "text").collect()
