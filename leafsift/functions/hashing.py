@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def _fold(digest: Column, buckets: int) -> Column:
     """A 32-digit hex number modulo ``buckets``.
 
-    It does not fit a BIGINT, so it is folded in four 32-bit chunks; ``buckets``
-    below 2**31 keeps every product inside 64 bits.
+    It does not fit a BIGINT, so it is folded in chunks of 60, 60 and 8 bits; ``buckets``
+    below 2**31 keeps every sum inside 63 bits.
     """
-    step = F.lit((1 << 32) % buckets).cast("bigint")
     folded = F.lit(0).cast("bigint")
-    for start in (1, 9, 17, 25):
-        chunk = F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
+    for start, digits in ((1, 15), (16, 15), (31, 2)):
+        step = F.lit((1 << 4 * digits) % buckets).cast("bigint")
+        chunk = F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
         folded = (folded * step + chunk) % F.lit(buckets).cast("bigint")
     return folded.cast("int")
 

@@ -36,11 +36,11 @@ def with_text(rows: DataFrame, html_col: str = "body") -> DataFrame:
     return plain.mapInArrow(run, f"{fields}, text string, f_img_n int")
 
 
-def article_features(articles: DataFrame, title_idf: DataFrame | None = None, body_idf: DataFrame | None = None) -> DataFrame:
+def article_features(articles: DataFrame, title_idf: DataFrame | None = None, body_idf: DataFrame | None = None, complete: bool = False) -> DataFrame:
     """``id, f_site, f_title_keywords, f_content_keywords, f_date, f_content_len, f_img_n``.
 
     ``articles(id, title, link, date, text, f_img_n)`` carry their text. Only words
-    are shuffled, never whole texts.
+    are shuffled, never whole texts. ``complete`` says that the given idf have all words of ``articles``.
     """
     base = articles.select(
         "id",
@@ -49,8 +49,8 @@ def article_features(articles: DataFrame, title_idf: DataFrame | None = None, bo
         F.octet_length("text").cast("bigint").alias("f_content_len"),
         F.col("f_img_n").cast("int").alias("f_img_n"),
     )
-    titles = keyword_lists(articles, "id", "title", TITLE_KEYWORDS, "f_title_keywords", title_idf)
-    bodies = keyword_lists(articles, "id", "text", CONTENT_KEYWORDS, "f_content_keywords", body_idf)
+    titles = keyword_lists(articles, "id", "title", TITLE_KEYWORDS, "f_title_keywords", title_idf, complete)
+    bodies = keyword_lists(articles, "id", "text", CONTENT_KEYWORDS, "f_content_keywords", body_idf, complete)
     joined = base.join(titles, "id", "left").join(bodies, "id", "left")
     return joined.select(
         "id",
@@ -75,7 +75,7 @@ def recent_profile(events: DataFrame, articles: DataFrame, as_of: Column, hours:
     chosen = articles.join(judged.select("id").distinct(), "id", "left_semi")
     parts = []
     for field, column, k in (("title", "title", TITLE_KEYWORDS), ("content", "text", CONTENT_KEYWORDS)):
-        keywords = top_keywords(chosen, "id", column, k, idf=corpus_idf(articles, column))
+        keywords = top_keywords(chosen, "id", column, k, idf=corpus_idf(articles, column), complete=True)
         rows = keywords.join(judged, "id").select("opinion", F.lit(field).alias("field"), F.lower("word").alias("word"))
         parts.append(rows)
     return parts[0].unionByName(parts[1]).distinct()

@@ -17,6 +17,7 @@ def tag_articles(articles: DataFrame, stored: DataFrame, k: int = 10, idf: DataF
     Word weights come from ``idf``, by default that of all ``articles``, so an article's tags do not depend on
     which others are still untagged.
     """
-    idf = corpus_idf(articles, "text") if idf is None else idf
-    found = tags_with_fallback(untagged(articles, stored), "id", "text", k, idf)
+    own = idf is None
+    idf = corpus_idf(articles, "text") if own else idf
+    found = tags_with_fallback(untagged(articles, stored), "id", "text", k, idf, complete=own)
     return new_tags(found.select(F.col("word").alias("name"), F.col("id").alias("article_id")), stored)

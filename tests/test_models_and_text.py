@@ -319,6 +319,36 @@ def test_listed_and_rare_words_weigh_alike(spark, monkeypatch):
     assert np.allclose([r[2] for r in results[0][:3]], raw / np.linalg.norm(raw))
 
 
+def test_only_words_that_can_lead_are_weighed_and_ranked_alike(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choices([f"w{j}" for j in range(60)], k=rng.randrange(0, 90)))) for i in range(40)]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    every, some = (W.weighted_documents(docs, "id", "text", best=best) for best in (None, 4))
+    assert some.select(F.sum(F.size("terms"))).first()[0] < every.select(F.sum(F.size("terms"))).first()[0]
+    want = {r["id"]: [(-w, t) for w, t in sorted((-round(w, 9), t) for t, w in zip(r["terms"], r["weights"]))[:4]] for r in every.collect()}
+    for most in (0, 10, 1000):
+        monkeypatch.setattr(W, "LIST_WORDS", most)
+        found = {i: [] for i in want}
+        for r in K.top_keywords(docs, "id", "text", 4).orderBy("id", "rank").collect():
+            found[r["id"]].append((r["weight"], r["word"]))
+        assert {i: [(round(w, 9), t) for w, t in v] for i, v in found.items()} == {i: [(round(w, 9), t) for w, t in v] for i, v in want.items()}
+
+
+def test_words_of_one_document_need_no_list_where_the_corpus_is_known(spark, monkeypatch):
+    # two words in many documents, one of its own in each
+    docs = spark.createDataFrame([(i, f"often both own{i}") for i in range(30)], "id long, text string")
+    monkeypatch.setattr(W, "LIST_WORDS", 5)
+    rows = K.top_keywords(docs.filter("id < 10"), "id", "text", 2, idf=W.corpus_idf(docs, "text"), complete=True)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id"], r["word"]) for r in rows.filter("rank = 1").collect()} == {(i, f"own{i}") for i in range(10)}
+
+
+def test_a_list_longer_than_the_entries_is_looked_up():
+    names, values = pa.array([f"w{i}" for i in range(1000)]), np.arange(1000.0)
+    found = W._listed_idf(pa.array(["w7", "none", "w7", "w999"]), names, values, -1.0)
+    assert found.tolist() == [7.0, -1.0, 7.0, 999.0]
+
+
 def test_rank_words_favours_the_hub_in_each_document():
     texts = ["hub a hub b hub c hub d", "a b", "x y x z x"]
     words = sorted({w for t in texts for w in t.split()})
