@@ -13,6 +13,7 @@ from leafsift.operators.events import latest_opinions, opinions, repeated
 from leafsift.operators.linear import FitResult, decision_values, fit_l1_svm
 from leafsift.operators.profile import article_features
 from leafsift.operators.vectors import corpus_idf, tfidf_vectors
+from leafsift.session import stored
 
 LIKE_C = 0.1
 BLOCK_C = 0.05
@@ -31,7 +32,7 @@ def weighted_rows(events: DataFrame, articles: DataFrame, known: DataFrame | Non
     if known is not None:
         counted = counted.join(known.select("id").distinct(), "id", "left_anti")
     chosen = articles.join(counted.select("id").distinct(), "id", "left_semi")
-    features = article_features(chosen, corpus_idf(articles, "title"), corpus_idf(articles, "text"))
+    features = article_features(chosen, corpus_idf(articles, "title"), corpus_idf(articles, "text"), complete=True)
     return counted.join(features, "id")
 
 
@@ -52,8 +53,13 @@ def fit_like_model(weighted: DataFrame, as_of: Column, c: float = LIKE_C, tol: f
 
 def score_articles(articles: DataFrame, model: DataFrame, as_of: Column, rescore_all: bool = False) -> DataFrame:
     """Articles with their scores filled in; stored scores stay unless ``rescore_all``."""
-    wanted = listing.to_score(articles, rescore_all)
-    features = article_features(wanted, corpus_idf(articles, "title"), corpus_idf(articles, "text"))
+    # read four times below, and the given articles may be joins
+    held = stored(articles.select("id", "title", "link", "date", "text", "f_img_n", "score"), "articles")
+    wanted = listing.to_score(held, rescore_all)
+    if rescore_all:
+        features = article_features(wanted)
+    else:
+        features = article_features(wanted, corpus_idf(held, "title"), corpus_idf(held, "text"), complete=True)
     scores = decision_values(with_article_entries(features, as_of), model).select("id", "score")
     return listing.set_scores(articles, scores)
 
