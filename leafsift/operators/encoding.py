@@ -136,6 +136,7 @@ def sum_entries(encoded: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def as_examples(encoded: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key with parallel ``idx`` and ``value`` arrays in index order."""
-    rows = sum_entries(encoded, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("e"))
+    """One row per key with parallel ``idx`` and ``value`` arrays in index order; a feature that is null has no position and is left out."""
+    entry = F.when(F.col("idx").isNotNull(), F.struct("idx", "value"))
+    rows = sum_entries(encoded, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("e"))
     return rows.select(*keys, F.col("e.idx").alias("idx"), F.col("e.value").alias("value"))

@@ -9,6 +9,7 @@ from leafsift.operators import diversify as D
 from leafsift.operators import keywords as K
 from leafsift.operators import linear as M
 from leafsift.operators import vectors as W
+from leafsift.operators.encoding import as_examples
 
 
 def examples(spark, rows, partitions=3):
@@ -111,6 +112,11 @@ def test_the_model_of_many_events_on_few_articles_is_solved():
     assert M.violations(d, g + h @ d).max() < 1e-3 and np.count_nonzero(d) > 10
 
 
+def test_features_without_a_position_are_no_part_of_an_example(spark):
+    rows = spark.createDataFrame([(1, 5, 1.0), (1, None, 1.0), (1, 2, 1.0), (2, None, 1.0)], "id long, idx int, value double")
+    assert {r["id"]: (r["idx"], r["value"]) for r in as_examples(rows, ["id"]).collect()} == {1: ([2, 5], [1.0, 1.0]), 2: ([], [])}
+
+
 def test_a_working_set_has_violators_and_held_features():
     w, off = np.zeros(40), np.zeros(40)
     w[:20], off[10:35] = 1.0, np.arange(25) + 1.0
