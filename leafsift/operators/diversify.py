@@ -2,13 +2,13 @@
 
 **Similar pairs.** Every vector's terms are ordered, rarest first. The head of a kept vector ends where the norm of what follows falls below the
 threshold: by Cauchy-Schwarz a unit vector that meets none of the head cannot reach it. Only heads are indexed; a pair met there is a
-candidate if its sum so far and the rest of the norm can reach the threshold, and gets the rest of its sum once. Kept vectors are cut into parts of bounded
-size. One part alone goes to the tasks, beside the first row of each, and the rows stay where they are. Several parts meet the rows by a shuffle: a row is sent to the parts
+candidate if its sum so far and the rest of the norm can reach the threshold, and gets the rest of its sum once. Kept vectors are cut into as few parts of bounded
+size as hold them. One part alone goes to the tasks, beside the first row of each, and the rows stay where they are. Several parts meet the rows by a shuffle: a row is sent to the parts
 whose heads share a word with it, found by an equi-join on words. A task holds one part and one batch of rows.
 
 **Diversification** keeps a row unless it resembles a better kept one. The best open rows are taken as a lead; its similar pairs are an acyclic graph
 from worse to better rows, and every row whose better neighbours are all settled settles itself, in rounds over buckets of
-neighbouring ranks. Then open rows that resemble a row kept in this lead are dropped, and the next lead is taken, larger as long as leads hold few pairs. Pairs
+neighbouring ranks. Then open rows that resemble a row kept in this lead are dropped where they are, so that only vectors of rows that stay are moved, and the next lead is taken, larger as long as leads hold few pairs. Pairs
 of all rows are so never formed where rows are much alike, and where they are not a few leads take all rows. The result equals that
 of the row-by-row loop for any sizes. No vector passes through the driver.
 """
@@ -31,6 +31,8 @@ VECTOR_ROWS = "score double, id bigint, terms array<string>, weights array<doubl
 _CELLS = 1_000_000  # similarity cells and postings held at once in a task
 _BUCKET = 8192  # neighbouring rows that settle in one task
 _LEAD = 262_144  # the most rows of a lead
+_ENTRIES = 4_000_000  # entries of kept rows in a part
+_PART_ROWS = 65_536  # the most kept rows of a part of that size
 
 
 class Postings:
@@ -127,13 +129,18 @@ class PrefixIndex:
         return np.concatenate([cells.max(axis=1) for _, cells in self.cells(terms, weights)])
 
 
-def kept_parts(kept: DataFrame, budget: int) -> DataFrame:
-    """``target, terms, weights, _part``, stored: parts of neighbouring ranks with at most 4,096 rows and about ``budget`` entries each."""
+def kept_parts(kept: DataFrame, budget: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``target, terms, weights, _part`` and the columns ``keep``, stored: parts of neighbouring ranks with about ``budget`` entries each, and at most 65,536 rows where that is 4,000,000."""
     reach = Window.partitionBy("_slice").orderBy("rank")
+    least = max(1, budget // _PART_ROWS)  # so that rows of few entries fill a part as well
     # rows of one slice of ranks: their number is bounded, and so is what the window holds
-    sliced = kept.withColumn("_slice", F.floor((F.col("rank") - 1) / 4096)).withColumn("_n", F.size("terms"))
-    within = F.floor((F.sum("_n").over(reach) - F.col("_n")) / budget)
-    return stored(sliced.select(F.col("id").cast("bigint").alias("target"), "terms", F.col("weights").cast("array<double>"), (F.col("_slice") * (1 << 20) + within).alias("_part")), "kept")
+    sliced = kept.withColumn("_slice", F.floor((F.col("rank") - 1) / 4096)).withColumn("_n", F.greatest(F.size("terms"), F.lit(least)).cast("bigint"))
+    # one row a slice, without vectors
+    before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sliced.groupBy("_slice").agg(F.sum("_n").alias("_all")).select(F.col("_slice").alias("_of"), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    begun = sliced.join(F.broadcast(starts), F.col("_slice").eqNullSafe(F.col("_of")))
+    within = F.floor((F.col("_start") + F.sum("_n").over(reach) - F.col("_n")) / budget)
+    return stored(begun.select(F.col("id").cast("bigint").alias("target"), "terms", F.col("weights").cast("array<double>"), *keep, within.alias("_part")), "kept")
 
 
 def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -144,13 +151,14 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def _met(rows: DataFrame, kept: DataFrame, threshold: float, budget: int, work, schema: str) -> DataFrame:
-    """``work(index, targets, stretch)`` for every stretch of rows and every part of kept rows whose heads it may meet."""
-    rows = rows.select(F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"))
-    parts = kept_parts(kept, budget)
-    numbers = parts.select("_part").distinct().count()
+def _met(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float, work, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``work(index, targets, stretch)`` for every stretch of rows and every part of kept rows whose heads it may meet.
+
+    Targets are the kept rows, without their vectors. Both have the columns ``keep``. ``numbers`` is the number of different parts.
+    """
+    rows = rows.select(F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"), *keep)
     if numbers > 1:
-        return _by_parts(rows, parts, numbers, threshold, work, schema)
+        return _by_parts(rows, parts, numbers, threshold, work, schema, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, targets = None, None
@@ -158,17 +166,17 @@ def _met(rows: DataFrame, kept: DataFrame, threshold: float, budget: int, work,
             if index is None and batch.num_rows:
                 held = batch.column("_held").slice(0, 1).flatten()
                 terms, weights = (pa.concat_arrays([held.field(n)]) for n in ("terms", "weights"))
-                index, targets = PrefixIndex(terms, weights, threshold), held.field("target").to_numpy(zero_copy_only=False)
+                index, targets = PrefixIndex(terms, weights, threshold), pa.RecordBatch.from_arrays([held.field(n) for n in ("target", *keep)], ["target", *keep])
             for piece in pieces([batch]):
                 yield work(index, targets, piece)
 
     # one row: no more vectors than a part has
-    held = parts.agg(F.collect_list(F.struct("target", "terms", "weights")).alias("_held")).select("_held", F.lit(True).alias("_first"))
+    held = parts.agg(F.collect_list(F.struct("target", "terms", "weights", *keep)).alias("_held")).select("_held", F.lit(True).alias("_first"))
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     return rows.withColumn("_first", first).join(F.broadcast(held), "_first", "left").drop("_first").mapInArrow(run, schema)
 
 
-def _by_parts(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float, work, schema: str) -> DataFrame:
+def _by_parts(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float, work, schema: str, keep: tuple[str, ...]) -> DataFrame:
     shares = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // numbers)
 
     def heads(part: pa.Table) -> pa.Table:
@@ -178,8 +186,8 @@ def _by_parts(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float,
 
     words = stored(parts.groupBy("_part").applyInArrow(heads, "_part bigint, word string"), "heads")
     routes = rows.select("id", F.explode("terms").alias("word")).join(words, "word").select("id", "_part").distinct()
-    copies = parts.select("_part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"), F.lit(0).alias("_kind"), F.col("target").alias("id"), "terms", "weights")
-    sent = rows.join(routes, "id").select("_part", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("_share"), F.lit(1).alias("_kind"), "id", "terms", "weights")
+    copies = parts.select("_part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share"), F.lit(0).alias("_kind"), F.col("target").alias("id"), "terms", "weights", *keep)
+    sent = rows.join(routes, "id").select("_part", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("_share"), F.lit(1).alias("_kind"), "id", "terms", "weights", *keep)
     both = copies.unionByName(sent).repartition("_part", "_share").sortWithinPartitions("_part", "_share", "_kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +203,9 @@ def _by_parts(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float,
                     continue
                 if held:
                     table = pa.Table.from_batches(held).combine_chunks()
-                    index, targets, held = PrefixIndex(*_lists(table), threshold), table.column("id").to_numpy(), []
+                    index, targets, held = PrefixIndex(*_lists(table), threshold), table.select(["id", *keep]).rename_columns(["target", *keep]).to_batches()[0], []
                 if index is not None:
-                    for piece in pieces([part.select(["id", "terms", "weights"])]):
+                    for piece in pieces([part.select(["id", "terms", "weights", *keep])]):
                         yield work(index, targets, piece)
 
     return both.mapInArrow(run, schema)
@@ -207,30 +215,70 @@ def _lists(rows: pa.Table) -> tuple[pa.ListArray, pa.ListArray]:
     return rows.column("terms").combine_chunks(), rows.column("weights").combine_chunks()
 
 
-def similar_to(rows: DataFrame, kept: DataFrame, threshold: float, budget: int = 2_000_000) -> DataFrame:
+def similar_to(rows: DataFrame, kept: DataFrame, threshold: float, budget: int = _ENTRIES, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id, target, similarity`` of every row of ``rows(id, terms, weights)`` to the rows of ``kept(rank, id, terms, weights)`` it resembles at least that much.
 
-    Vectors have length 1 or less; ids are unique. Jobs run while the frame is built.
+    Columns ``keep``, which both have, follow for the row and, as ``target_`` and the name, for the kept one. Vectors have length 1 or less; ids are unique. Jobs run while the frame is built.
     """
+    parts = kept_parts(kept, budget, keep)
+    return _similar(rows, parts, _numbers(parts), threshold, keep)
+
 
-    def near(index: PrefixIndex, targets: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+def _numbers(parts: DataFrame) -> int:
+    return parts.select("_part").distinct().count()
+
+
+def _similar(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    names = ["id", "target", "similarity", *keep, *(f"target_{c}" for c in keep)]
+
+    def near(index: PrefixIndex, targets: pa.RecordBatch, part: pa.RecordBatch) -> pa.RecordBatch:
         row, owner, value = index.pairs(part.column("terms"), part.column("weights"))
-        ids = part.column("id").to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(targets[owner]), pa.array(value)], ["id", "target", "similarity"])
+        mine = [part.column(c).take(pa.array(row)) for c in ("id", *keep)]
+        theirs = [targets.column(c).take(pa.array(owner)) for c in ("target", *keep)]
+        return pa.RecordBatch.from_arrays([mine[0], theirs[0], pa.array(value), *mine[1:], *theirs[1:]], names)
 
-    return _met(rows, kept, threshold, budget, near, "id bigint, target bigint, similarity double")
+    kinds = [rows.schema[c].dataType.simpleString() for c in keep] * 2
+    schema = "id bigint, target bigint, similarity double" + "".join(f", `{c}` {k}" for c, k in zip(names[3:], kinds))
+    return _met(rows, parts, numbers, threshold, near, schema, keep)
 
 
-def best_similarity(rows: DataFrame, kept: DataFrame, budget: int = 2_000_000) -> DataFrame:
+def best_similarity(rows: DataFrame, kept: DataFrame, budget: int = _ENTRIES) -> DataFrame:
     """``id, similarity``: the highest cosine of every row to any row of ``kept``, 0 where no word is shared."""
 
-    def highest(index: PrefixIndex, targets: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+    def highest(index: PrefixIndex, targets: pa.RecordBatch, part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("id"), pa.array(index.best(part.column("terms"), part.column("weights")))], ["id", "similarity"])
 
-    found = _met(rows, kept, 0.0, budget, highest, "id bigint, similarity double").groupBy("id").agg(F.max("similarity").alias("_best"))
+    parts = kept_parts(kept, budget)
+    found = _met(rows, parts, _numbers(parts), 0.0, highest, "id bigint, similarity double").groupBy("id").agg(F.max("similarity").alias("_best"))
     return rows.select(F.col("id").cast("bigint").alias("id")).join(found, "id", "left").select("id", F.coalesce("_best", F.lit(0.0)).alias("similarity"))
 
 
+def without_similar(rows: DataFrame, kept: DataFrame, threshold: float, budget: int = _ENTRIES) -> DataFrame:
+    """The rows ``score, id, terms, weights`` whose id has no row that resembles one of ``kept(rank, score, id, terms, weights)`` at least that much, stored.
+
+    Where ``kept`` is one part, rows are judged where they are and those that resemble it lose their vectors there.
+    """
+    parts = kept_parts(kept, budget, ("score",))
+    numbers = _numbers(parts)
+    if numbers > 1:
+        like = _similar(rows, parts, numbers, threshold).select("id").distinct()
+        return stored(rows.join(like, "id", "left_anti"), "open")
+
+    def judge(index: PrefixIndex, targets: pa.RecordBatch, part: pa.RecordBatch) -> pa.RecordBatch:
+        terms, weights = part.column("terms"), part.column("weights")
+        like = np.zeros(part.num_rows, bool)
+        like[index.pairs(terms, weights)[0]] = True
+        there = pa.array(like & part.column("id").is_valid().to_numpy(zero_copy_only=False))  # what has no id has no like id
+        terms, weights = (pc.if_else(there, pa.scalar(None, c.type), c) for c in (terms, weights))
+        return pa.RecordBatch.from_arrays([part.column("score"), part.column("id"), terms, weights, there], ["score", "id", "terms", "weights", "_like"])
+
+    judged = stored(_met(rows, parts, numbers, threshold, judge, VECTOR_ROWS + ", _like boolean", ("score",)), "judged")
+    like = judged.filter("_like").select("id").distinct()
+    out = stored(judged.filter("NOT _like").drop("_like").join(like, "id", "left_anti"), "open")
+    release(judged, parts)
+    return out
+
+
 def settle(pairs: DataFrame) -> tuple[DataFrame, int]:
     """``hi, kept`` for every worse end of ``pairs(hi, lo)`` (numbers, lo < hi is the better row), and the rounds it took.
 
@@ -271,7 +319,7 @@ def settle(pairs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def diversify(
-    ranked: DataFrame, top: int | None = None, threshold: float = 0.05, block: int = 64, budget: int = 2_000_000, vectors: bool = False, pairs: int = 20_000_000
+    ranked: DataFrame, top: int | None = None, threshold: float = 0.05, block: int = 64, budget: int = _ENTRIES, vectors: bool = False, pairs: int = 20_000_000
 ) -> DataFrame:
     """``rank, score, id`` of the kept rows of ``ranked(score, id, terms, weights)``; ``vectors`` adds terms and weights.
 
@@ -310,8 +358,7 @@ def diversify(
         if top is None or count < top:
             last = taken["last"]
             left = open_.filter((F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("id") > last["id"])))
-            like = similar_to(left, kept.withColumn("rank", F.col("n") + 1), threshold, budget).select("id").distinct()
-            after = stored(left.join(like, "id", "left_anti"), "open")
+            after = without_similar(left, kept.withColumn("rank", F.col("n") + 1), threshold, budget)
             release(led, near, *own)
             open_, own = after, [after]
         dense = found / taken["n"] ** 2

@@ -257,6 +257,37 @@ def test_prefixes_send_rows_to_few_parts(spark):
     assert parts.select("_part").distinct().count() > 20
 
 
+@pytest.mark.parametrize("budget", [20, 4_000_000])
+def test_few_kept_rows_of_distant_ranks_are_one_part(spark, budget):
+    """Parts are filled whatever the ranks; rows stay where they are if there is one."""
+    rows = random_vectors(9, 60, 30, 8)
+    by_id = {i: v for _, i, v in rows}
+    frame = vectors(spark, rows)
+    kept = frame.filter("id < 25").withColumn("rank", F.col("id") * 5000 + 1)
+    parts = D.kept_parts(kept, budget).groupBy("_part").agg(F.sum(F.size("terms")).alias("n")).collect()
+    assert len(parts) == 1 if budget > 20 else 1 < len(parts) < 12 and max(p["n"] for p in parts) < 30
+    found = D.similar_to(frame, kept, 0.3, budget, keep=("score",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning" in plan) == (budget == 20)
+    score = {i: s for s, i, _ in rows}
+    got = {(r["id"], r["target"]): (r["score"], r["target_score"]) for r in found.collect()}
+    cosine = {(a, b): sum(w * by_id[b].get(t, 0) for t, w in by_id[a].items()) for a in by_id for b in range(25)}
+    assert got == {(a, b): (score[a], score[b]) for (a, b), c in cosine.items() if c >= 0.3}
+
+
+@pytest.mark.parametrize("budget", [3, 4_000_000])
+def test_rows_that_resemble_kept_ones_are_left_out_by_id(spark, budget):
+    """All rows of an id go if one does; rows without an id stay. No vector of a row that goes is moved where kept rows are one part."""
+    rows = [(1.0, 1, ["a"], [1.0]), (1.0, 2, ["b"], [1.0]), (1.0, 2, ["c"], [1.0]), (1.0, 3, ["c", "d"], [0.6, 0.8]), (1.0, 4, [], []), (1.0, 5, ["e"], [1.0])]
+    rows = spark.createDataFrame(rows, D.VECTOR_ROWS)
+    kept = spark.createDataFrame([(1, 9.0, 8, ["b"], [1.0]), (9000, 9.0, 9, ["a", "x"], [0.6, 0.8])], "rank int, " + D.VECTOR_ROWS)
+    left = D.without_similar(rows, kept, 0.5, budget)
+    assert sorted(map(tuple, left.select("id", "terms", "weights", "score").collect())) == [(3, ["c", "d"], [0.6, 0.8], 1.0), (4, [], [], 1.0), (5, ["e"], [1.0], 1.0)]
+    if budget > 3:
+        nameless = rows.unionByName(spark.createDataFrame([(0.5, None, ["b"], [1.0])], D.VECTOR_ROWS))
+        assert {r["id"] for r in D.without_similar(nameless, kept, 0.5, budget).collect()} == {None, 3, 4, 5}
+
+
 def graph_loop(n, edges):
     better = {}
     for hi, lo in edges:
