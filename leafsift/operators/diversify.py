@@ -31,8 +31,8 @@ VECTOR_ROWS = "score double, id bigint, terms array<string>, weights array<doubl
 _CELLS = 1_000_000  # similarity cells and postings held at once in a task
 _BUCKET = 8192  # neighbouring rows that settle in one task
 _LEAD = 262_144  # the most rows of a lead
-_ENTRIES = 4_000_000  # entries of kept rows in a part
-_PART_ROWS = 65_536  # the most kept rows of a part of that size
+_ENTRIES = 8_000_000  # entries of kept rows in a part
+_PART_ROWS = 131_072  # the most kept rows of a part of that size
 
 
 class Postings:
@@ -130,7 +130,7 @@ class PrefixIndex:
 
 
 def kept_parts(kept: DataFrame, budget: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``target, terms, weights, _part`` and the columns ``keep``, stored: parts of neighbouring ranks with about ``budget`` entries each, and at most 65,536 rows where that is 4,000,000."""
+    """``target, terms, weights, _part`` and the columns ``keep``, stored: parts of neighbouring ranks with about ``budget`` entries each, and at most 131,072 rows where that is 8,000,000."""
     reach = Window.partitionBy("_slice").orderBy("rank")
     least = max(1, budget // _PART_ROWS)  # so that rows of few entries fill a part as well
     # rows of one slice of ranks: their number is bounded, and so is what the window holds
