@@ -76,7 +76,8 @@ def l04_by_day(spark, sf):
        " ORDER BY left(date, 10), coalesce(score, 0), md5(id::VARCHAR) DESC LIMIT 10")
 def l07_previous(spark, sf):
     path, place = _by_day(spark, sf, 300)
-    return _show(page_by_day(spark, path, place, back=True, where=lambda rows: L.by_site(rows, "src4")))
+    page = page_by_day(spark, path, place, back=True, where=lambda rows: L.by_site(rows, "src4"))
+    return _show(page if place else page.limit(0))  # nothing stands before a row that is not there
 
 
 @query("l05_recommended_order", _A + _PICK + "ORDER BY coalesce(score, 0) DESC, id LIMIT 10")
