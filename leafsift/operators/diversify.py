@@ -6,6 +6,8 @@ candidate if its sum so far and the rest of the norm can reach the threshold, an
 size as hold them. One part alone goes to the tasks, beside the first row of each, and the rows stay where they are. Several parts meet the rows by a shuffle: a row is sent to the parts
 whose heads share a word with it, found by an equi-join on words. A task holds one part and one batch of rows.
 
+**Highest cosine.** It has no threshold, but the best kept row tells which others can still be better: entries are added in levels, dearest last, until few or none can.
+
 **Diversification** keeps a row unless it resembles a better kept one. The best open rows are taken as a lead; its similar pairs are an acyclic graph
 from worse to better rows, and every row whose better neighbours are all settled settles itself, in rounds over buckets of
 neighbouring ranks. Then open rows that resemble a row kept in this lead are dropped where they are, so that only vectors of rows that stay are moved, and the next lead is taken, larger as long as leads hold few pairs. Pairs
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,12 @@ _BUCKET = 8192  # neighbouring rows that settle in one task
 _LEAD = 262_144  # the most rows of a lead
 _ENTRIES = 8_000_000  # entries of kept rows in a part
 _PART_ROWS = 131_072  # the most kept rows of a part of that size
+_LEVELS = (0.3, 0.12, 0.0)  # what the entries left out up to each level may have of a kept vector's norm
+_GROUPS = 32  # of the words left out: each has norms of its own
+_SQUARES = 1_000_000  # cells of a block of rows in the search for the highest cosine
+_STEP = 65_536  # postings added to them at once
+_TASKS = 32  # the least number of tasks that rows are dealt to where all kept rows are one part
+_TRIED = 16  # kept rows of one row that are tried at most before a level is added
 
 
 class Postings:
@@ -43,18 +52,22 @@ class Postings:
         self.start = np.searchsorted(word[order], np.arange(words + 1))
         self.owner, self.weight = owner[order], weight[order]
 
-    def meet(self, row: np.ndarray, word: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, owner, product) of every entry with its postings, a bounded number at a time."""
+    def meet(self, row: np.ndarray, word: np.ndarray, weight: np.ndarray, count: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row * count + owner, product) of every entry with its postings, a bounded number at a time."""
         fan = self.start[word + 1] - self.start[word]
         reach = np.cumsum(fan)
         at = 0
         while at < len(row):
             # as many entries as have a bounded number of postings, one at least
             done = reach[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(reach, done + _CELLS, side="right")))
+            end = max(at + 1, int(np.searchsorted(reach, done + most, side="right")))
             n = fan[at:end]
-            posting = np.repeat(self.start[word[at:end]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield np.repeat(row[at:end], n), self.owner[posting], np.repeat(weight[at:end], n) * self.weight[posting]
+            posting = np.repeat(self.start[word[at:end]] - (reach[at:end] - n - done), n)
+            posting += np.arange(len(posting))
+            cell, product = np.repeat(row[at:end] * count, n), np.repeat(weight[at:end], n)
+            cell += self.owner.take(posting, mode="clip")
+            product *= self.weight.take(posting, mode="clip")
+            yield cell, product
             at = end
 
 
@@ -99,14 +112,13 @@ class PrefixIndex:
             lo, hi = np.searchsorted(row, [first, first + rows])
             mine = row[lo:hi] - first, word[lo:hi], value[lo:hi]
             sums = np.zeros(rows * self.count)
-            for r, owner, product in self.head.meet(*mine):
-                sums += np.bincount(r * self.count + owner, product, len(sums))
+            for cell, product in self.head.meet(*mine, self.count, _CELLS):
+                sums += np.bincount(cell, product, len(sums))
             if self.rest.any():
                 reach = (sums.reshape(rows, self.count) + self.rest * norm[first : first + rows, None]).ravel()
                 likely = (sums > 0) & (reach >= self.threshold - 1e-12)
                 some = likely.reshape(rows, self.count).any(axis=1)[mine[0]]
-                for r, owner, product in self.tail.meet(*(part[some] for part in mine)):
-                    cell = r * self.count + owner
+                for cell, product in self.tail.meet(*(part[some] for part in mine), self.count, _CELLS):
                     kept = likely[cell]
                     sums += np.bincount(cell[kept], product[kept], len(sums))
                 sums[~likely] = 0.0
@@ -122,11 +134,130 @@ class PrefixIndex:
             values.append(cells[row, owner])
         return np.concatenate(rows), np.concatenate(owners), np.concatenate(values)
 
+
+class BestIndex:
+    """Entries of kept vectors in levels, for the highest cosine of a row to any kept row.
+
+    Entries that weigh little for the rows they meet, small ones of frequent words, are in the later levels. After a level a cosine is at most the sum so far and, by Cauchy-Schwarz,
+    the product of the norms of what is left. The kept row that can reach most is taken in full, and so are the few that can reach more than it has; where there are many, the next level is added.
+    """
+
+    def __init__(self, terms: pa.ListArray, weights: pa.ListArray) -> None:
+        self.count = len(terms)
+        owner = np.repeat(np.arange(self.count, dtype=np.int32), terms.value_lengths().to_numpy(zero_copy_only=False))
+        weight = weights.flatten().to_numpy(zero_copy_only=False).astype(float)
+        found = terms.flatten().dictionary_encode()
+        self.words = found.dictionary.cast(pa.string())
+        word = found.indices.to_numpy(zero_copy_only=False)
+        square = weight * weight
+        order = np.lexsort((square / np.bincount(word, minlength=len(self.words))[word], owner))
+        owner, word, weight, square = owner[order], word[order], weight[order], square[order]
+        del order
+        # what each vector's entries up to each one have of its square, the cheapest to leave out first
+        share = np.cumsum(square)
+        before = np.append(0.0, share)[np.searchsorted(owner, np.arange(self.count))]
+        share -= before[owner]
+        whole = np.bincount(owner, square, self.count)
+        level = np.zeros(len(owner), np.int8)
+        for left in _LEVELS[:-1]:
+            level += share < (left * left * whole)[owner]
+        del share, square
+        # the entries outside the first level, by vector: those outside a level stand before the others
+        late = level > 0
+        slots = np.flatnonzero(np.bincount(word[late], minlength=len(self.words)))
+        self.slots, self.slot = len(slots), np.full(len(self.words), -1, np.int32)
+        self.slot[slots] = np.arange(len(slots))
+        self.late_slot, self.late_weight = self.slot[word[late]], weight[late]
+        self.late_start = np.cumsum(np.append(0, np.bincount(owner[late], minlength=self.count)))
+        self.levels = [self._level(level == number, level > number, owner, word, weight) for number in range(len(_LEVELS))]
+
+    def _level(self, mine: np.ndarray, after: np.ndarray, owner: np.ndarray, word: np.ndarray, weight: np.ndarray) -> tuple[Postings, np.ndarray, np.ndarray, np.ndarray]:
+        """Postings of a level; of what is left after it the number of entries by vector, each word's group and the norms, vectors x groups."""
+        postings = Postings(word[mine], owner[mine], weight[mine], len(self.words))
+        owner, word, square = owner[after], word[after], weight[after] ** 2
+        mass = np.bincount(word, square, len(self.words))
+        group = np.full(len(mass), -1, np.int16)
+        heavy = np.argsort(-mass, kind="stable")[: np.count_nonzero(mass)]
+        # the heaviest words stand alone, the others share groups of equal mass
+        alone, others = heavy[: _GROUPS // 2], heavy[_GROUPS // 2 :]
+        group[alone] = np.arange(len(alone))
+        if len(others):
+            reach = np.cumsum(mass[others])
+            group[others] = len(alone) + np.minimum(_GROUPS - len(alone) - 1, (reach / reach[-1] * (_GROUPS - len(alone))).astype(np.int64))
+        norms = np.sqrt(np.bincount(owner * _GROUPS + group[word], square, self.count * _GROUPS)).reshape(self.count, _GROUPS)
+        # more than any rounding of these short numbers takes away
+        return postings, np.bincount(owner, minlength=self.count), group, np.ascontiguousarray((norms * (1 + 1e-5)).T, np.float32)
+
+    @property
+    def head_words(self) -> pa.Array:
+        return self.words
+
     def best(self, terms: pa.ListArray, weights: pa.ListArray) -> np.ndarray:
-        """Highest cosine of each row to any kept row."""
+        """Highest cosine of each row to any kept row, or the highest product where vectors have other lengths."""
+        out = np.zeros(len(terms))
         if not self.count or not len(terms):
-            return np.zeros(len(terms))
-        return np.concatenate([cells.max(axis=1) for _, cells in self.cells(terms, weights)])
+            return out
+        row = np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy(zero_copy_only=False))
+        value = weights.flatten().to_numpy(zero_copy_only=False).astype(float)
+        entries = terms.flatten().dictionary_encode()
+        # the batch has fewer different words than the kept rows
+        at = pc.index_in(self.words, value_set=entries.dictionary)
+        code = np.full(len(entries.dictionary), -1, np.int64)
+        code[at.drop_null().to_numpy(zero_copy_only=False)] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        word = code[entries.indices.to_numpy(zero_copy_only=False)]
+        hit = word >= 0
+        row, word, value = row[hit], word[hit], value[hit]
+        step = max(1, min(_SQUARES // self.count, 32 * _SQUARES // max(1, self.slots)))
+        grid = np.zeros(step * self.slots)  # values of a block of rows at the words of late entries
+        edges = np.searchsorted(row, np.arange(0, len(terms) + step, step))
+        for first, lo, hi in zip(range(0, len(terms), step), edges, edges[1:]):
+            mine = row[lo:hi] - first, word[lo:hi], value[lo:hi]
+            out[first : first + step] = self._block(min(step, len(terms) - first), *mine, grid)
+        return out
+
+    def _block(self, rows: int, row: np.ndarray, word: np.ndarray, value: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        out, number = np.zeros(rows), np.arange(rows)  # of the rows that are open
+        slot = self.slot[word]
+        set_ = (row * self.slots + slot)[slot >= 0]
+        grid[set_] = value[slot >= 0]
+        sums = np.zeros(rows * self.count)
+        for postings, size, group, norms in self.levels:
+            for cell, product in postings.meet(row, word, value, self.count, _STEP):
+                np.add.at(sums, cell, product)
+            of = group[word]
+            left = np.flatnonzero(of >= 0)
+            if not len(left):
+                out[number] = sums.reshape(-1, self.count).max(axis=1)
+                break
+            own = np.sqrt(np.bincount(row[left] * _GROUPS + of[left], value[left] ** 2, len(number) * _GROUPS))
+            reach = (own.reshape(-1, _GROUPS).astype(np.float32) @ norms).ravel()
+            reach += sums
+            ahead = reach.reshape(-1, self.count).argmax(axis=1) + np.arange(len(number)) * self.count
+            sure = self._full(ahead, sums, number, size, grid)
+            reach[ahead] = -np.inf
+            least = (sure - 1e-6 * np.abs(sure)).astype(np.float32)
+            likely = np.flatnonzero(reach.reshape(-1, self.count) > least[:, None])
+            done = np.bincount(likely // self.count, minlength=len(number)) <= _TRIED
+            likely = likely[done[likely // self.count]]
+            np.maximum.at(sure, likely // self.count, self._full(likely, sums, number, size, grid))
+            out[number[done]] = sure[done]
+            if done.all():
+                break
+            still = ~done[row]
+            row, word, value = (np.cumsum(~done) - 1)[row[still]], word[still], value[still]
+            sums, number = sums.reshape(-1, self.count)[~done].ravel(), number[~done]
+        grid[set_] = 0.0
+        return out
+
+    def _full(self, cell: np.ndarray, sums: np.ndarray, number: np.ndarray, size: np.ndarray, grid: np.ndarray) -> np.ndarray:
+        """The products of some cells: their sums so far and what is left of the kept rows, ``size`` entries of each."""
+        r, owner = np.divmod(cell, self.count)
+        n = size[owner]
+        ends = np.cumsum(n)
+        at = np.repeat(self.late_start[owner] - (ends - n), n)
+        at += np.arange(len(at))
+        product = grid[np.repeat(number[r] * self.slots, n) + self.late_slot[at]] * self.late_weight[at]
+        return sums[cell] + np.bincount(np.repeat(np.arange(len(cell)), n), product, len(cell))
 
 
 def kept_parts(kept: DataFrame, budget: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -151,14 +282,16 @@ def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def _met(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float, work, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``work(index, targets, stretch)`` for every stretch of rows and every part of kept rows whose heads it may meet.
+def _met(rows: DataFrame, parts: DataFrame, numbers: int, made, work, schema: str, keep: tuple[str, ...] = (), entries: int = 200_000) -> DataFrame:
+    """``work(index, targets, stretch)`` for every stretch of rows, of so many ``entries``, and every part of kept rows whose heads it may meet.
 
-    Targets are the kept rows, without their vectors. Both have the columns ``keep``. ``numbers`` is the number of different parts.
+    ``made(terms, weights)`` is the index of a part. Targets are the kept rows, without their vectors. Both have the columns ``keep``. ``numbers`` is the number of different parts.
     """
     rows = rows.select(F.col("id").cast("bigint"), "terms", F.col("weights").cast("array<double>"), *keep)
     if numbers > 1:
-        return _by_parts(rows, parts, numbers, threshold, work, schema, keep)
+        return _by_parts(rows, parts, numbers, made, work, schema, keep, entries)
+    # every task makes the index of the part again: a few tasks for each core
+    rows = rows.coalesce(max(_TASKS, 4 * rows.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, targets = None, None
@@ -166,8 +299,8 @@ def _met(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float, work
             if index is None and batch.num_rows:
                 held = batch.column("_held").slice(0, 1).flatten()
                 terms, weights = (pa.concat_arrays([held.field(n)]) for n in ("terms", "weights"))
-                index, targets = PrefixIndex(terms, weights, threshold), pa.RecordBatch.from_arrays([held.field(n) for n in ("target", *keep)], ["target", *keep])
-            for piece in pieces([batch]):
+                index, targets = made(terms, weights), pa.RecordBatch.from_arrays([held.field(n) for n in ("target", *keep)], ["target", *keep])
+            for piece in pieces([batch], entries):
                 yield work(index, targets, piece)
 
     # one row: no more vectors than a part has
@@ -176,12 +309,12 @@ def _met(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float, work
     return rows.withColumn("_first", first).join(F.broadcast(held), "_first", "left").drop("_first").mapInArrow(run, schema)
 
 
-def _by_parts(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float, work, schema: str, keep: tuple[str, ...]) -> DataFrame:
+def _by_parts(rows: DataFrame, parts: DataFrame, numbers: int, made, work, schema: str, keep: tuple[str, ...], entries: int) -> DataFrame:
     shares = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // numbers)
 
     def heads(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
-        found = PrefixIndex(*_lists(part), threshold).head_words
+        found = made(*_lists(part)).head_words
         return pa.table([pa.array(np.full(len(found), part.column("_part")[0].as_py())), found], ["_part", "word"])
 
     words = stored(parts.groupBy("_part").applyInArrow(heads, "_part bigint, word string"), "heads")
@@ -203,9 +336,9 @@ def _by_parts(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float,
                     continue
                 if held:
                     table = pa.Table.from_batches(held).combine_chunks()
-                    index, targets, held = PrefixIndex(*_lists(table), threshold), table.select(["id", *keep]).rename_columns(["target", *keep]).to_batches()[0], []
+                    index, targets, held = made(*_lists(table)), table.select(["id", *keep]).rename_columns(["target", *keep]).to_batches()[0], []
                 if index is not None:
-                    for piece in pieces([part.select(["id", "terms", "weights", *keep])]):
+                    for piece in pieces([part.select(["id", "terms", "weights", *keep])], entries):
                         yield work(index, targets, piece)
 
     return both.mapInArrow(run, schema)
@@ -239,18 +372,26 @@ def _similar(rows: DataFrame, parts: DataFrame, numbers: int, threshold: float,
 
     kinds = [rows.schema[c].dataType.simpleString() for c in keep] * 2
     schema = "id bigint, target bigint, similarity double" + "".join(f", `{c}` {k}" for c, k in zip(names[3:], kinds))
-    return _met(rows, parts, numbers, threshold, near, schema, keep)
+    return _met(rows, parts, numbers, partial(PrefixIndex, threshold=threshold), near, schema, keep)
 
 
 def best_similarity(rows: DataFrame, kept: DataFrame, budget: int = _ENTRIES) -> DataFrame:
-    """``id, similarity``: the highest cosine of every row to any row of ``kept``, 0 where no word is shared."""
+    """``id, similarity``: the highest cosine of every row to any row of ``kept``, 0 where no word is shared. Jobs run while the frame is built."""
 
-    def highest(index: PrefixIndex, targets: pa.RecordBatch, part: pa.RecordBatch) -> pa.RecordBatch:
+    def highest(index: BestIndex, targets: pa.RecordBatch, part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("id"), pa.array(index.best(part.column("terms"), part.column("weights")))], ["id", "similarity"])
 
     parts = kept_parts(kept, budget)
-    found = _met(rows, parts, _numbers(parts), 0.0, highest, "id bigint, similarity double").groupBy("id").agg(F.max("similarity").alias("_best"))
-    return rows.select(F.col("id").cast("bigint").alias("id")).join(found, "id", "left").select("id", F.coalesce("_best", F.lit(0.0)).alias("similarity"))
+    numbers = _numbers(parts)
+    found = _met(rows, parts, numbers, BestIndex, highest, "id bigint, similarity double", entries=1_000_000)
+    ids = rows.select(F.col("id").cast("bigint").alias("id"))
+    if numbers <= 1:
+        # every row is there once: what follows reads no vector
+        found = stored(found, "best")
+        ids = found.select("id")
+        release(parts)
+    best = found.groupBy("id").agg(F.max("similarity").alias("_best"))
+    return ids.join(best, "id", "left").select("id", F.coalesce("_best", F.lit(0.0)).alias("similarity"))
 
 
 def without_similar(rows: DataFrame, kept: DataFrame, threshold: float, budget: int = _ENTRIES) -> DataFrame:
@@ -272,7 +413,7 @@ def without_similar(rows: DataFrame, kept: DataFrame, threshold: float, budget:
         terms, weights = (pc.if_else(there, pa.scalar(None, c.type), c) for c in (terms, weights))
         return pa.RecordBatch.from_arrays([part.column("score"), part.column("id"), terms, weights, there], ["score", "id", "terms", "weights", "_like"])
 
-    judged = stored(_met(rows, parts, numbers, threshold, judge, VECTOR_ROWS + ", _like boolean", ("score",)), "judged")
+    judged = stored(_met(rows, parts, numbers, partial(PrefixIndex, threshold=threshold), judge, VECTOR_ROWS + ", _like boolean", ("score",)), "judged")
     like = judged.filter("_like").select("id").distinct()
     out = stored(judged.filter("NOT _like").drop("_like").join(like, "id", "left_anti"), "open")
     release(judged, parts)

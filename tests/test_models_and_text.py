@@ -246,6 +246,58 @@ def test_prefix_index_equals_all_products(monkeypatch, threshold):
         assert len(index.head.owner) < len(index.tail.owner)
 
 
+@pytest.mark.parametrize("squares,step,tried,groups", [(1_000_000, 65_536, 16, 32), (130, 3, 0, 2), (1, 1, 2, 4)])
+def test_highest_cosine_equals_all_products(monkeypatch, squares, step, tried, groups):
+    import pyarrow as pa
+
+    for name, value in (("_SQUARES", squares), ("_STEP", step), ("_TRIED", tried), ("_GROUPS", groups)):
+        monkeypatch.setattr(D, name, value)
+    rows = [v for _, _, v in random_vectors(12, 90, 40, 14)] + [{}, {"hot": 1.0}, {"nowhere": 1.0}, {"w1": 0.6, "w2": 0.8}, {"w1": -0.6, "w2": -0.8}, {"w3": 3.0, "hot": 40.0}]
+    kept = rows[:50] + [rows[7], {}, {"hot": 1.0}]
+    lists = lambda some: (pa.array([list(v) for v in some], pa.list_(pa.string())), pa.array([list(v.values()) for v in some], pa.list_(pa.float64())))
+    cosine = np.array([[sum(w * b.get(t, 0) for t, w in a.items()) for b in kept] for a in rows])
+    assert np.allclose(D.BestIndex(*lists(kept)).best(*lists(rows)), cosine.max(axis=1), rtol=0, atol=1e-12)
+    assert D.BestIndex(*lists([])).best(*lists(rows)).tolist() == [0.0] * len(rows) and len(D.BestIndex(*lists(kept)).best(*lists([]))) == 0
+
+
+def test_highest_cosine_meets_few_postings_of_frequent_words(monkeypatch):
+    """Kept rows share words that weigh little: a row whose best is far ahead of the others meets hardly any of their entries."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        words = {f"own{i}": 0.9, **{f"often{j}": 0.08 * rng.random() for j in rng.sample(range(12), 8)}}
+        norm = sum(x * x for x in words.values()) ** 0.5
+        rows.append({t: x / norm for t, x in words.items()})
+    lists = pa.array([list(v) for v in rows], pa.list_(pa.string())), pa.array([list(v.values()) for v in rows], pa.list_(pa.float64()))
+    met, meet = [], D.Postings.meet
+
+    def counted(self, *args):
+        for found in meet(self, *args):
+            met.append(len(found[0]))
+            yield found
+
+    monkeypatch.setattr(D.Postings, "meet", counted)
+    best = D.BestIndex(*lists).best(*lists)
+    assert np.allclose(best, 1.0) and sum(met) < 400 * 400 * 8 * 8 / 12 / 10
+
+
+def test_highest_cosine_by_id(spark):
+    """A row for each row, with the highest cosine of all rows of its id; 0 without an id. In one part rows are met by few tasks, and once only."""
+    rows = [(1, ["a", "b"], [0.6, 0.8]), (1, ["c"], [1.0]), (2, ["b"], [1.0]), (2, ["b"], [1.0]), (None, ["a"], [1.0]), (3, ["z"], [1.0]), (4, [], [])]
+    rows = spark.createDataFrame(rows, "id bigint, terms array<string>, weights array<double>").repartition(100)
+    kept = spark.createDataFrame([(1, 7, ["a"], [1.0]), (2, 8, ["b", "c"], [0.6, 0.8])], "rank int, id bigint, terms array<string>, weights array<double>")
+    for budget in (1, 4_000_000):
+        found = D.best_similarity(rows, kept, budget)
+        got = sorted(((r["id"] or 0, round(r["similarity"], 9)) for r in found.collect()))
+        assert got == [(0, 0.0), (1, 0.8), (1, 0.8), (2, 0.6), (2, 0.6), (3, 0.0), (4, 0.0)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "terms" not in plan
+    assert {r["similarity"] for r in D.best_similarity(rows, kept.limit(0)).collect()} == {0.0}
+    assert D.similar_to(rows, kept, 0.3).rdd.getNumPartitions() <= max(32, 4 * spark.sparkContext.defaultParallelism)
+
+
 def test_prefixes_send_rows_to_few_parts(spark):
     """At a high threshold a row is sent only to the parts whose heads share a word with it."""
     rows = [(float(i), i, {f"own{i // 2}": 0.9, "common": 0.19**0.5}) for i in range(200)]
